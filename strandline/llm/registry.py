@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, url_filter
+from . import line_dedup, mixing, near_dedup, secrets, url_filter
 
 
 def queries() -> dict:
@@ -10,8 +10,10 @@ def queries() -> dict:
         "op3_url_filter": url_filter.op3_url_filter,
         "op5_secrets": secrets.op5_secrets,
         "op6_mixing": mixing.op6_mixing,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
+    return {"op3_url_filter": url_filter.OP3_SQL, "op6_mixing": mixing.OP6_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
