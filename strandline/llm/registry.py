@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, secrets, url_filter
+from . import langid, line_dedup, mixing, near_dedup, secrets, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_secrets": secrets.op5_secrets,
         "op6_mixing": mixing.op6_mixing,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op9_language_id": langid.op9_language_id,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
