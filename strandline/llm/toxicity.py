@@ -13,7 +13,8 @@ words, and the logit is shifted so that the threshold of the guessed language fa
 
 Edge cases: a null or empty text, or one without words, gets the lowest score the model can give; the
 same text always gets the same score; labels that are null or of unknown documents are not learned from; without any
-usable label every score is 0; an empty table gives no rows. Other columns are not read.
+usable label no text reaches the threshold; an empty table gives no rows. Other columns are carried along by
+name, except one named as the score.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -225,12 +227,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, text_at: int, score_col: str) -> Iterator[pa.RecordBatch]:
     ids = WordIds()
     for batch in batches:
-        *own, texts = batch.columns
-        scores = [model.value.score(buckets(t, ids)) for t in texts.to_pylist()]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+        scores = [model.value.score(buckets(t, ids)) for t in batch.column(text_at).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, score_col])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -238,14 +239,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([r[1] for r in rows], [int(r[2]) for r in rows], [r[3] for r in rows])
 
 
-def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row."""
+def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with each row's score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: 2 * BUCKETS rows of DIM and of the languages
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(lambda it: _score(it, shared), f"`{id_col}` {kind}, score double")
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+    return docs.mapInArrow(lambda it: _score(it, shared, at, score_col), schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels)
-    return score_texts(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return with_score(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
