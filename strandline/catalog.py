@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .queries import construct, names, navigate, scan, strings, tables, variation  # noqa: F401
+from .queries.base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
