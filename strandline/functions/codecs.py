@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.index import PathIndex
 
@@ -59,7 +60,7 @@ class RunCode:
         return value, length, at
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def varint(values: pd.Series) -> pd.Series:
     """A bigint as a varint."""
 
@@ -71,7 +72,7 @@ def varint(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def from_varint(data: pd.Series) -> pd.Series:
     return data.map(lambda b: read_varint(b, 0)[0])
 
@@ -80,7 +81,7 @@ def from_varint(data: pd.Series) -> pd.Series:
 _WANG = (("sum", (21,)), ("xor", (24,)), ("add", (3, 8)), ("xor", (14,)), ("add", (2, 4)), ("xor", (28,)), ("add", (31,)))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def wang_hash(values: pd.Series) -> pd.Series:
     """Thomas Wang's 64-bit integer hash; unsigned arithmetic wraps, so the result is the signed view."""
     x = values.to_numpy(np.int64).view(np.uint64).copy()
@@ -110,7 +111,7 @@ def _by_source():
     return Window.partitionBy("src").orderBy("dst")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _record(edges: pd.Series, runs: pd.Series) -> pd.Series:
     def one(out_edges, body):
         data, before = bytearray(), 0

@@ -1,0 +1,162 @@
+"""Construction and mutation; every result is compared with the visits of the final paths built from scratch."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import mutate
+from ..plans import oracle as O
+from ..plans.index import PathIndex, both_orientations
+from ..sources.corpus import index, paths
+from .base import query
+
+ALL = "SELECT node, off, seq_id, pos, next, next_off, prev, prev_off FROM visits"
+
+
+def _from(rows: str, both: bool = True, corpus: str = "events", tail: str = ALL, *parts: str) -> str:
+    """The visits of the corpus's rows (path_id, p, node) after ``rows`` has changed them."""
+    seqs = O.SEQS if both else "both_ AS (SELECT path_id AS seq_id, p AS pos, node FROM rows_), seqs AS (SELECT seq_id, list(node ORDER BY pos) AS path FROM both_ GROUP BY seq_id)"
+    base = O.ROWS[corpus].replace("rows_ AS", "base_ AS", 1)
+    return "WITH " + ",\n".join([base, f"rows_ AS ({rows})", seqs, O.RANKED, *parts]) + "\n" + tail
+
+
+SAME = "SELECT * FROM base_"
+
+
+@query("c00_visits", O.sql(ALL))
+def c00(spark, sf):
+    return index(spark, sf).visits
+
+
+@query("c00_visits_orders", O.sql(ALL, corpus="orders"))
+def c00_orders(spark, sf):
+    return index(spark, sf, "orders").visits
+
+
+@query("c00_visits_conversations", O.sql(ALL, corpus="conversations"))
+def c00_conversations(spark, sf):
+    return index(spark, sf, "conversations").visits
+
+
+@query("c01_insert", _from(SAME))
+def c01(spark, sf):
+    """The first half, then the second half."""
+    own = paths(spark, sf)
+    n = own.count()
+    later = own.filter(F.col("path_id") >= n // 2).withColumn("path_id", F.col("path_id") - n // 2)
+    return mutate.insert(PathIndex.from_paths(own.filter(F.col("path_id") < n // 2)), later).visits
+
+
+@query("c01_insert_forward", _from("SELECT CASE WHEN path_id < c // 2 THEN path_id ELSE path_id END AS path_id, p, node FROM base_, (SELECT max(path_id) + 1 AS c FROM base_)", both=False))
+def c01_forward(spark, sf):
+    own = paths(spark, sf)
+    n = own.count()
+    later = own.filter(F.col("path_id") >= n // 2).withColumn("path_id", F.col("path_id") - n // 2)
+    return mutate.insert(PathIndex.from_paths(own.filter(F.col("path_id") < n // 2), both=False), later, both=False).visits
+
+
+@query("c02_insert_integers", _from(SAME, both=False))
+def c02(spark, sf):
+    """From one flat 0-terminated sequence."""
+    from ..sources.bundle import split_integers
+
+    flat = paths(spark, sf).select(F.col("path_id"), F.posexplode(F.concat("path", F.array(F.lit(0).cast("long")))).alias("p", "node"))
+    return PathIndex.from_paths(split_integers(flat.select((F.col("path_id") * 1000 + F.col("p")).alias("i"), "node")), both=False).visits
+
+
+@query("c03_builder_orientations", O.sql("SELECT seq_id, array_to_string(path, ',') AS path FROM seqs"))
+def c03(spark, sf):
+    return both_orientations(paths(spark, sf)).select("seq_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+@query("c04_build_by_doubling", O.sql(ALL))
+def c04(spark, sf):
+    return PathIndex.from_paths(paths(spark, sf), method="doubling").visits
+
+
+@query("c05_edges_after_removal", _from("SELECT path_id - (path_id // 3) - 1 AS path_id, p, node FROM base_ WHERE path_id % 3 <> 0", True, "events", "SELECT * FROM edges", O.EDGES))
+def c05(spark, sf):
+    return _removed(spark, sf)[0].edges
+
+
+def _removed(spark, sf):
+    ids = paths(spark, sf).filter("path_id % 3 = 0").select(F.col("path_id").alias("id"))
+    return mutate.remove(index(spark, sf), ids)
+
+
+@query("c06_remove", _from("SELECT path_id - (path_id // 3) - 1 AS path_id, p, node FROM base_ WHERE path_id % 3 <> 0"))
+def c06(spark, sf):
+    return _removed(spark, sf)[0].visits
+
+
+@query("c06_removed_length", O.sql("SELECT count(*) AS removed FROM visits WHERE seq_id // 2 % 3 = 0"))
+def c06_length(spark, sf):
+    return _removed(spark, sf)[1]
+
+
+@query("c06_remove_invalid", O.sql("SELECT 0::BIGINT AS removed, count(*) AS size FROM visits"))
+def c06_invalid(spark, sf):
+    left, removed = mutate.remove(index(spark, sf), spark.createDataFrame([(0,), (1 << 40,)], "id long"))
+    return removed.crossJoin(left.visits.agg(F.count(F.lit(1)).alias("size")))  # one row each
+
+
+SHIFTED = "SELECT * FROM base_ UNION ALL SELECT path_id + c, p, node FROM base_, (SELECT max(path_id) + 1 AS c FROM base_) WHERE path_id < 10"
+
+
+@query("c07_merge", _from(SHIFTED))
+def c07(spark, sf):
+    few = PathIndex.from_paths(paths(spark, sf).filter("path_id < 10"))
+    return mutate.merge(index(spark, sf), few).visits
+
+
+@query("c08_merge_parallel", _from(SHIFTED))
+def c08(spark, sf):
+    """The same by prefix doubling, whose rounds are range- and hash-partitioned sorts."""
+    own = index(spark, sf)
+    few = paths(spark, sf).filter("path_id < 10").withColumn("path_id", F.col("path_id") + F.lit(paths(spark, sf).count()))
+    return PathIndex.build(own.paths.unionByName(both_orientations(few)), True, method="doubling").visits
+
+
+DISJOINT = "SELECT * FROM base_ UNION ALL SELECT path_id + c, p, node + 1000 FROM base_, (SELECT max(path_id) + 1 AS c FROM base_)"
+
+
+def _disjoint(spark, sf):
+    own = paths(spark, sf)
+    moved = own.select("path_id", F.transform("path", lambda x: x + 1000).alias("path"))
+    return [PathIndex.from_paths(own), PathIndex.from_paths(moved)]
+
+
+@query("c09_merge_disjoint", _from(DISJOINT))
+def c09(spark, sf):
+    return mutate.merge_disjoint(_disjoint(spark, sf)).visits
+
+
+@query("c09_shared_nodes", O.sql("SELECT DISTINCT node FROM visits WHERE node <> 0"))
+def c09_shared(spark, sf):
+    own = index(spark, sf)
+    return mutate.shared_nodes(own, own)
+
+
+@query("c10_split", _from("SELECT * FROM base_", True, "events", "SELECT 0 AS subgraph, * FROM visits UNION ALL SELECT 1, * FROM visits").replace("SELECT 1, * FROM visits", "SELECT 1, CASE WHEN node = 0 THEN 0 ELSE node + 1000 END, off, seq_id, pos, CASE WHEN next = 0 THEN 0 ELSE next + 1000 END, next_off, CASE WHEN prev = 0 THEN 0 ELSE prev + 1000 END, prev_off FROM visits"))
+def c10(spark, sf):
+    """The disjoint merge taken apart again."""
+    both = mutate.merge_disjoint(_disjoint(spark, sf))
+    nodes = both.visits.filter("node <> 0").select(F.shiftright("node", 1).alias("node_id")).distinct()
+    mapping = nodes.select("node_id", F.when(F.col("node_id") > 500, 1).otherwise(0).alias("subgraph"))
+    return mutate.split(both, mapping)
+
+
+@query("c13_runs_merged", O.sql("SELECT node, count(*) AS runs, sum(len)::BIGINT AS visits FROM runs GROUP BY node", O.RUNS))
+def c13(spark, sf):
+    return index(spark, sf).runs.groupBy("node").agg(F.count(F.lit(1)).alias("runs"), F.sum("len").alias("visits"))
+
+
+@query("c16_partition_range", "SELECT i AS block, (100 * i // 7)::BIGINT AS first, (100 * (i + 1) // 7 - 1)::BIGINT AS last FROM (SELECT unnest(generate_series(0, 6)) AS i)")
+def c16(spark, sf):
+    rows = [(i, a, b) for i, (a, b) in enumerate(mutate.partition_range(0, 99, 7))]
+    return spark.createDataFrame(rows, "block long, first long, last long")
+
+
+@query("c17_source_tag", "SELECT 'source' AS key, 'strandline' AS value")
+def c17(spark, sf):
+    return spark.createDataFrame(list(index(spark, sf).tags.items()), "key string, value string")

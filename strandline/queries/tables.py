@@ -1,0 +1,74 @@
+"""Tools and the streaming builder, end to end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import tools
+from ..plans import oracle as O
+from ..sources import bundle
+from ..sources.corpus import index, paths
+from ..streaming.builder import StreamingBuilder
+from .base import query
+from .construct import SHIFTED, _from
+from .scan import joined, place
+
+
+@query("e01_build_tool", O.sql("SELECT * FROM visits"))
+def e01(spark, sf):
+    """From a text file."""
+    at = place(spark)
+    joined(paths(spark, sf)).repartitionByRange(3, "path_id").sortWithinPartitions("path_id").select("path").write.text(f"{at}-text")
+    return tools.build(spark, at, text=f"{at}-text").visits
+
+
+@query("e02_run_head_tool", O.sql("SELECT node, count(*) AS runs FROM logical GROUP BY node", O.RUNS))
+def e02(spark, sf):
+    at = place(spark)
+    bundle.save(index(spark, sf), at)
+    return tools.build_run_heads(spark, at).groupBy("node").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query("e03_merge_tool", _from(SHIFTED))
+def e03(spark, sf):
+    at = place(spark)
+    tools.build(spark, f"{at}-a", paths=paths(spark, sf))
+    tools.build(spark, f"{at}-b", paths=paths(spark, sf).filter("path_id < 10"))
+    return tools.merge(spark, f"{at}-c", [f"{at}-a", f"{at}-b"]).visits
+
+
+@query("e04_remove_tool", _from("SELECT path_id - 3 AS path_id, p, node FROM base_ WHERE path_id > 2"))
+def e04(spark, sf):
+    at = place(spark)
+    bundle.save(index(spark, sf), at)
+    tools.remove(spark, at, f"{at}-out", ids=[0, 1, 2])
+    return bundle.load(spark, f"{at}-out")[0].visits
+
+
+@query("e05_metadata_tool", "SELECT 'source' AS key, 'strandline' AS value")
+def e05(spark, sf):
+    at = place(spark)
+    bundle.save(index(spark, sf), at)
+    return spark.createDataFrame(list(tools.describe(spark, at)["tags"].items()), "key string, value string")
+
+
+@query("e06_benchmark_tool", "SELECT unnest(['bidirectional', 'extract', 'find', 'find_by_extension', 'lcs', 'locate']) AS work, true AS ran")
+def e06(spark, sf):
+    from ..sources.corpus import patterns
+
+    at = place(spark)
+    bundle.save(index(spark, sf), at)
+    rows = [(k, v > 0) for k, v in tools.benchmark(spark, at, patterns(spark, sf), 4).items()]
+    return spark.createDataFrame(rows, "work string, ran boolean")
+
+
+@query("st01_streaming_builder", O.sql("SELECT * FROM visits"))
+def st01(spark, sf):
+    """The paths as a stream of files, appended batch by batch."""
+    at = place(spark)
+    source = paths(spark, sf).select(F.col("path_id").alias("key"), "path")
+    source.repartitionByRange(1, "key").sortWithinPartitions("key").write.parquet(f"{at}-in")
+    stream = spark.readStream.schema("key long, path array<bigint>").parquet(f"{at}-in")
+    builder = StreamingBuilder(spark, f"{at}-seqs")
+    builder.run(stream, f"{at}-state").awaitTermination()
+    return builder.finish().visits

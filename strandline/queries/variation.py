@@ -1,0 +1,135 @@
+"""Variants and haplotypes. The reference is a path over the parts; sites, alleles and genotypes follow from the orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import variants as V
+from ..plans.tables import cut
+from ..sources.corpus import once, read
+from .base import query
+
+#: Every eighth reference position starts a site of 1 to 3 nodes; every other one overlaps its predecessor's end or not by the rule below.
+SITES = 40
+
+
+def _tables(spark, sf) -> V.VariantPaths:
+    reference = spark.range(SITES * 8 + 16).select(F.col("id").alias("pos"), (F.col("id") + 1).alias("node"))
+    sites = spark.range(SITES).select(F.col("id").alias("site"), (F.col("id") * 8).alias("ref_start"), (F.col("id") * 8 + F.when(F.col("id") % 4 == 1, 10).otherwise(F.col("id") % 3 + 1)).alias("ref_end"))
+    alleles = sites.select("site", "ref_start", "ref_end", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("allele"))
+    path = F.when((F.col("allele") == 2) & (F.col("site") % 2 == 1), F.concat(F.array(F.col("site") * 10 + 1000), F.transform(F.sequence(F.col("ref_start") + 1, F.col("ref_end") - 1), lambda x: x + 1))).otherwise(
+        F.array(F.col("site") * 10 + 1000 + F.col("allele"), F.col("site") * 10 + 1005 + F.col("allele"))
+    )
+    long_enough = F.col("ref_end") - F.col("ref_start") >= 2
+    path = F.when(long_enough, path).otherwise(F.array(F.col("site") * 10 + 1000 + F.col("allele")))
+    return V.VariantPaths(reference, sites, alleles.select("site", "allele", path.alias("path")))
+
+
+def vp(spark, sf) -> V.VariantPaths:
+    return once(spark, ("variants", sf), lambda: (lambda v: V.VariantPaths(cut(v.reference), cut(v.sites), cut(v.alleles)))(_tables(spark, sf)))
+
+
+VP = """reference AS (SELECT i AS pos, i + 1 AS node FROM (SELECT unnest(generate_series(0, 335)) AS i)), sites AS (
+  SELECT i AS site, i * 8 AS ref_start, i * 8 + CASE WHEN i % 4 = 1 THEN 10 ELSE i % 3 + 1 END AS ref_end FROM (SELECT unnest(generate_series(0, 39)) AS i)
+), alleles AS (
+  SELECT site, allele, CASE WHEN ref_end - ref_start < 2 THEN [site * 10 + 1000 + allele] WHEN allele = 2 AND site % 2 = 1 THEN list_prepend(site * 10 + 1000, list_transform(generate_series(ref_start + 1, ref_end - 1), lambda x: x + 1))
+    ELSE [site * 10 + 1000 + allele, site * 10 + 1005 + allele] END AS path FROM sites, (VALUES (1::BIGINT), (2)) a(allele)
+), every_ AS (
+  SELECT site, 0 AS allele, (SELECT list(node ORDER BY pos) FROM reference WHERE pos >= ref_start AND pos < ref_end) AS path FROM sites UNION ALL SELECT site, allele, path FROM alleles
+)"""
+GENOTYPES = "genotypes AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN (o_custkey % 3)::VARCHAR WHEN 2 THEN concat(o_custkey % 3, '|', o_orderkey % 2) WHEN 3 THEN concat(o_custkey % 3, '/', o_orderkey % 2) ELSE '.|.' END AS text, o_orderkey % 2 = 0 AS was, o_custkey % 2 = 0 AS homo FROM orders)"
+PARSED = """parsed AS (SELECT id, text, CASE WHEN text = '' THEN 0 ELSE coalesce(try_cast(regexp_extract(text, '^([0-9]+)', 1) AS BIGINT), 0) END AS first,
+  CASE WHEN text = '' THEN 0 ELSE coalesce(try_cast(regexp_extract(text, '[|/]([0-9]+)', 1) AS BIGINT), 0) END AS second, CASE WHEN text = '' THEN was ELSE regexp_matches(text, '[|/]') END AS diploid, text, was, homo FROM genotypes), typed AS (
+  SELECT id, first, second, diploid, text = '' OR NOT regexp_matches(text, '[|/]') OR regexp_matches(text, '[|]') OR (homo AND first = second) AS phased FROM parsed)"""
+
+
+def genotypes(spark, sf):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = F.when(o % 5 == 0, "").when(o % 5 == 1, (c % 3).cast("string")).when(o % 5 == 2, F.concat((c % 3).cast("string"), F.lit("|"), (o % 2).cast("string"))).when(o % 5 == 3, F.concat((c % 3).cast("string"), F.lit("/"), (o % 2).cast("string"))).otherwise(".|.")
+    rows = read(spark, sf, "orders").select(o.alias("id"), text.alias("text"), (o % 2 == 0).alias("was"), (c % 2 == 0).alias("homo"))
+    return rows.select("id", V.parse_genotype(F.col("text"), F.col("was"), F.col("homo")).alias("g"))
+
+
+@query("h01_site_summary", f"WITH {VP} SELECT site, coalesce(lag(ref_end) OVER (ORDER BY site), 0) AS ref_prev, ref_start, ref_end, 3::BIGINT AS alleles FROM sites")
+def h01(spark, sf):
+    return V.site_summary(vp(spark, sf))
+
+
+@query("h02_alleles", f"WITH {VP} SELECT site, allele, array_to_string(path, ',') AS path FROM every_")
+def h02(spark, sf):
+    return V.all_alleles(vp(spark, sf)).select("site", "allele", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+@query("h03_node_width", f"WITH {VP} SELECT len(bin(2 * max(n) + 1)) AS width FROM (SELECT node AS n FROM reference UNION ALL SELECT unnest(path) FROM alleles)")
+def h03(spark, sf):
+    return V.node_width(vp(spark, sf))
+
+
+@query("h04_first_occurrence", f"WITH {VP} SELECT node, min(pos) AS first FROM reference GROUP BY node")
+def h04(spark, sf):
+    return V.first_occurrence(vp(spark, sf))
+
+
+@query("h05_build", f"WITH {VP} SELECT (SELECT count(*) FROM reference) AS size, (SELECT count(*) FROM sites) AS sites, (SELECT count(*) FROM alleles) AS paths")
+def h05(spark, sf):
+    v = vp(spark, sf)
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return n(v.reference, "size").crossJoin(n(v.sites, "sites")).crossJoin(n(v.alleles, "paths"))  # one row each
+
+
+@query("h08_overlaps", f"""WITH {VP}, near_ AS (SELECT *, lag(site) OVER (ORDER BY site) AS before, lag(ref_end) OVER (ORDER BY site) AS before_end FROM sites)
+SELECT n.site, (before_end - n.ref_start)::INTEGER AS overlap, count(*) FILTER (fit) AS resolved, count(*) FILTER (NOT fit) AS unresolved FROM (
+  SELECT n.*, len(a.path) >= before_end - n.ref_start AND len(b.path) >= before_end - n.ref_start AND a.path[len(a.path) - (before_end - n.ref_start) + 1 :] = b.path[1 : before_end - n.ref_start] AS fit
+  FROM near_ n JOIN every_ a ON a.site = n.before JOIN every_ b ON b.site = n.site WHERE before_end > n.ref_start) n GROUP BY ALL""")
+def h08(spark, sf):
+    return V.overlaps(vp(spark, sf))
+
+
+@query("h09_parse_genotypes", f"WITH {GENOTYPES}, {PARSED} SELECT * FROM typed")
+def h09(spark, sf):
+    return genotypes(spark, sf).select("id", "g.*")
+
+
+@query("h10_force_phased", f"WITH {GENOTYPES}, {PARSED} SELECT id, CASE WHEN NOT phased AND id % 3 = 0 THEN second ELSE first END AS first, CASE WHEN NOT phased AND id % 3 = 0 THEN first ELSE second END AS second, diploid, true AS phased FROM typed")
+def h10(spark, sf):
+    return genotypes(spark, sf).select("id", V.force_phased(F.col("g"), F.col("id") % 3 == 0).alias("g")).select("id", "g.*")
+
+
+@query("h11_genotype_codes", f"WITH {GENOTYPES}, {PARSED} SELECT id, (CASE WHEN NOT diploid THEN 0 WHEN phased THEN 2 ELSE 1 END + 3 * first + 9 * second)::BIGINT AS code, first, second, 26::BIGINT AS top FROM typed")
+def h11(spark, sf):
+    two = F.lit(2).cast("long")
+    coded = genotypes(spark, sf).select("id", V.encode_genotype(F.col("g"), two).alias("code"))
+    return coded.select("id", "code", V.decode_genotype(F.col("code"), two).alias("d"), V.max_code(two).alias("top")).select("id", "code", "d.first", "d.second", "top")
+
+
+@query("h12_print_genotypes", f"WITH {GENOTYPES}, {PARSED} SELECT id, CASE WHEN NOT diploid THEN first::VARCHAR ELSE concat(first, CASE WHEN phased THEN '|' ELSE '/' END, second) END AS text FROM typed")
+def h12(spark, sf):
+    return genotypes(spark, sf).select("id", V.print_genotype(F.col("g")).alias("text"))
+
+
+def phasings(spark, sf):
+    """A genotype for each site and customer: phased, unphased and haploid stretches."""
+    cust = read(spark, sf, "customer").select(F.col("c_custkey").alias("sample"))
+    rows = cust.crossJoin(F.broadcast(vp(spark, sf).sites.select("site")))  # the sites of one contig
+    x = F.col("sample") * 31 + F.col("site") * 17
+    return rows.select((F.col("sample") % 2).alias("file"), "site", "sample", (x % 3).alias("first"), (F.floor(x / 3) % 3).alias("second"), (F.floor(F.col("site") / 10 + F.col("sample")) % 4 != 3).alias("diploid"), (x % 11 != 0).alias("phased"))
+
+
+@query("h13_generate_haplotypes")
+def h13(spark, sf):
+    return V.generate_haplotypes(vp(spark, sf), phasings(spark, sf)).select("seq_id", "file", "sample", "phase", "count", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+@query("h13_generate_skipping")
+def h13_skip(spark, sf):
+    return V.generate_haplotypes(vp(spark, sf), phasings(spark, sf), skip=True, files=[1]).select("seq_id", "file", "sample", "phase", "count", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+@query("h14_indexed_haplotypes")
+def h14(spark, sf):
+    """Generated, named, indexed in both orientations, and described."""
+    from ..tools import build_from_variants
+    from .scan import place
+
+    few = read(spark, sf, "customer").select(F.col("c_custkey").alias("sample")).filter("sample < 40")
+    return build_from_variants(spark, place(spark), vp(spark, sf), phasings(spark, sf), samples=few).header
