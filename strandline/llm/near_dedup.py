@@ -10,7 +10,9 @@
    are verified on their full sets. In each round a class verifies its likeliest link into another
    component only, which is all a component needs; the last round takes every pair that is left.
 4. Where a bucket still holds several components, all its pairs across components are tried as well, so that
-   no link is lost to the choice of leaders; a 216-bit sketch of the signatures screens them inside the join.
+   no link is lost to the choice of leaders. A bucket is cut into blocks of bounded size; a task compares the
+   signatures of two blocks in memory, each pair in the first band it shares, and hands on the members that have a pair left,
+   never the pairs; a second task verifies these on their sets and returns one link for each two components.
 
 Components come from rounds of minimum labels with pointer jumping over the contracted links.
 Everything is keyed by hashes and aggregated before it is shuffled; the hot keys, copies, are one class.
@@ -43,9 +45,10 @@ HASHES = BANDS * ROWS
 BATCH = 36
 #: Chance of pruning a pair that reaches the threshold.
 MISS = 1e-6
-#: Fewest equal bits of two sketches that are compared further: five standard deviations below what 0.8 gives.
-SKETCH_BITS = 172
 SALTS = 16
+#: Members, and shingles of members, of one block of a bucket.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 4_000_000
+CELL_ROWS = 1000
 BROADCAST_IDS = 500_000
 CACHE_WORDS = 300_000
 
@@ -60,8 +63,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-MULTIPLIERS = _mix(np.arange(1, HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
-OFFSETS = _mix(np.arange(1001, HASHES + 1001, dtype=U) * U(0x9E3779B97F4A7C15))
+#: One permutation of 32-bit values for each hash: exclusive or, then an odd factor.
+FACTORS = (_mix(np.arange(1, HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.uint32) | np.uint32(1)
+FLIPS = (_mix(np.arange(1001, HASHES + 1001, dtype=U) * U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.uint32)
 
 
 class WordHashes(dict):
@@ -94,15 +98,17 @@ def class_key(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, np.iinfo(U).max, U)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(shingles), 256):
-            np.minimum(low, (shingles[i : i + 256, None] * MULTIPLIERS + OFFSETS).min(axis=0), out=low)
+    top = (shingles >> U(32)).astype(np.uint32)[:, None]
+    low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(top), 512):
+        part = top[i : i + 512] ^ FLIPS
+        part *= FACTORS
+        np.minimum(low, part.min(axis=0), out=low)
     return low
 
 
-def band_hashes(low: np.ndarray) -> np.ndarray:
-    parts, out = low.reshape(BANDS, ROWS), np.arange(BANDS, dtype=U)
+def band_hashes(short: np.ndarray) -> np.ndarray:
+    parts, out = short.reshape(BANDS, ROWS).astype(U), np.arange(BANDS, dtype=U)
     for k in range(ROWS):
         out = _mix(out ^ parts[:, k])
         with np.errstate(over="ignore"):
@@ -110,30 +116,28 @@ def band_hashes(low: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-SIGNED = "id long, n long, k1 long, k2 long, sig binary, sketch array<long>, bands array<long>"
+SIGNED = "id long, n long, k1 long, k2 long, sig binary, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     hashes, seen = WordHashes(), set()
     for batch in batches:
-        cols: list[list] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in range(5)]
         for text in batch.column(1).to_pylist():
             s = shingle_set(text, words, hashes)
-            row = [len(s), None, None, None, None, None]
+            row = [len(s), None, None, None, None]
             if len(s):
                 row[1:3] = key = class_key(s)
                 if key not in seen:
                     if len(seen) >= CACHE_WORDS:
                         seen.clear()
                     seen.add(key)
-                    low = min_hashes(s)
-                    short = (_mix(low) >> U(48)).astype(np.uint16)
-                    sketch = np.packbits(short & 1, bitorder="little").tobytes().ljust(32, b"\0")
-                    row[3:] = short.tobytes(), np.frombuffer(sketch, np.int64), band_hashes(low)
+                    short = (_mix(min_hashes(s).astype(U)) >> U(48)).astype(np.uint16)
+                    row[3:] = short.tobytes(), band_hashes(short)
             for col, x in zip(cols, row, strict=True):
                 col.append(x)
-        kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "n", "k1", "k2", "sig", "sketch", "bands"])
+        kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "n", "k1", "k2", "sig", "bands"])
 
 
 def least_equal(threshold: float, miss: float = MISS) -> list[int]:
@@ -177,16 +181,88 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["k", "s"])
 
 
+def same(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets of hashes reach the similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def block_pairs(a: np.ndarray, b: np.ndarray, sig: np.ndarray, comp: np.ndarray, n: np.ndarray, band: int, least: list[int], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows ``a`` and ``b`` of two blocks of a bucket (or twice of one), the pairs across components that no
+    batch prunes and that share no band before this one, with their equal hashes."""
+    ok = (comp[a][:, None] != comp[b]) & (100 * np.minimum(n[a][:, None], n[b]) >= percent * np.maximum(n[a][:, None], n[b]))
+    if a is b:
+        ok &= a[:, None] < b
+    rows, cols = np.nonzero(ok)
+    out = [(np.zeros(0, np.int64),) * 3]
+    for begin in range(0, len(rows), 50_000):
+        x, y = a[rows[begin : begin + 50_000]], b[cols[begin : begin + 50_000]]
+        equal = np.zeros(len(x), np.int64)
+        for k, need in enumerate(least):
+            same_hash = sig[x, k * BATCH : (k + 1) * BATCH] == sig[y, k * BATCH : (k + 1) * BATCH]
+            equal = equal + same_hash.sum(axis=1)
+            alive = equal >= need
+            earlier = min(BATCH // ROWS, band - k * (BATCH // ROWS))
+            if earlier > 0:
+                alive &= ~same_hash[:, : earlier * ROWS].reshape(-1, earlier, ROWS).all(axis=2).any(axis=1)
+            x, y, equal = x[alive], y[alive], equal[alive]
+            if not len(x):
+                break
+        out.append((x, y, equal))
+    return tuple(np.concatenate(parts) for parts in zip(*out, strict=True))
+
+
+def _each_block_pair(rows, least: list[int], percent: int):
+    """The pairs of each block pair in a cell of them: (x, y, equal) as places in ``rows``, and the table's columns."""
+    rows = rows.sort_values(["bh", "bi", "bj"], kind="stable", ignore_index=True)
+    bh, bi, bj, block = (rows[c].to_numpy() for c in ("bh", "bi", "bj", "block"))
+    sig = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, HASHES)
+    comp, n, band = rows["c"].to_numpy(), rows["n"].to_numpy(), rows["band"].to_numpy()
+    edge = np.flatnonzero((bh[1:] != bh[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
+    pairs = []
+    for begin, end in zip([0, *edge], [*edge, len(rows)], strict=True):
+        at = np.arange(begin, end)
+        a = at[block[at] == bi[begin]]
+        b = a if bi[begin] == bj[begin] else at[block[at] == bj[begin]]
+        pairs.append(block_pairs(a, b, sig, comp, n, int(band[begin]), least, percent))
+    return rows, tuple(np.concatenate(p) for p in zip(*pairs, strict=True))
+
+
+def _open_members(rows, least: list[int], percent: int):
+    """The members of block pairs that have a pair left."""
+    rows, (x, y, _) = _each_block_pair(rows, least, percent)
+    return rows.iloc[np.union1d(x, y).astype(int)]
+
+
+def _block_links(rows, least: list[int], percent: int):
+    """One verified link (a, b) for each two components of a cell that have one; likeliest pairs first."""
+    import pandas as pd
+
+    rows, (x, y, equal) = _each_block_pair(rows, least, percent)
+    keys, comp = rows["k1"].to_numpy(), rows["c"].to_numpy()
+    sets = [np.frombuffer(s, U) for s in rows["s"]]
+    parent = {c: c for c in comp.tolist()}
+
+    def top(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    links = []
+    for i in np.argsort(-equal, kind="stable"):
+        p, q = top(int(comp[x[i]])), top(int(comp[y[i]]))
+        if p != q and same(sets[x[i]], sets[y[i]], percent):
+            parent[max(p, q)] = min(p, q)
+            links.append((keys[x[i]], keys[y[i]]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[at] == x).sum())
-            ok.append(100 * both >= percent * (len(x) + len(y) - both))
+        ok = [same(np.frombuffer(x, U), np.frombuffer(y, U), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -229,7 +305,7 @@ class _Linker:
         least = self.least
         alive = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _prune(it, least), "a long, b long, equal long")
         alive = keep(alive)
-        sets = self.full_sets(alive)
+        sets = self.full_sets(alive.select(F.explode(F.array("a", "b")).alias("k1")).distinct())
         for last in (False, False, True):
             cross = self.across(alive)
             if not last:
@@ -240,9 +316,8 @@ class _Linker:
             self.merge(self.verified(cross, sets))
         self.scratch.drop(sets, sig)
 
-    def full_sets(self, pairs: DataFrame) -> DataFrame:
-        """(k, s): the full set of each class in ``pairs``, made anew from one of its texts."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+    def full_sets(self, ends: DataFrame) -> DataFrame:
+        """(k, s): the full set of each class ``k1`` in ``ends``, made anew from one of its texts."""
         need = self.scratch.keep(self.classes.join(ends, "k1").select("k1", "rep"))
         need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
         words = self.words
@@ -254,6 +329,26 @@ class _Linker:
         percent = self.percent
         return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
 
+    def search_buckets(self, members: DataFrame) -> None:
+        """Try all pairs across components that share a bucket, block by block."""
+        least, percent = self.least, self.percent
+        labelled = members.join(self.comps.withColumnRenamed("x", "k1"), "k1")
+        per_bucket = labelled.groupBy("bh").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("lo < hi")
+        blocks = F.greatest(F.ceil(F.col("size") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+        rest = self.scratch.keep(labelled.join(per_bucket.select("bh", blocks.alias("blocks")), "bh").select("bh", "band", "k1", "n", "c", "blocks"))
+        sig = self.signed.filter("sig is not null").select("k1", "sig").join(rest.select("k1").distinct(), "k1", "left_semi").dropDuplicates(["k1"])
+        dealt = rest.join(sig, "k1").withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+        dealt = dealt.select("bh", "band", "bi", "bj", "block", "k1", "n", "c", "sig")
+        # Block pairs are dealt to cells of some thousand rows; a large one fills a cell by itself.
+        cells = 1 + rest.count() // CELL_ROWS
+        dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("bh", "bi", "bj"), F.lit(cells)))
+        left = self.scratch.keep(dealt.groupBy("cell").applyInPandas(lambda rows: _open_members(rows, least, percent), dealt.schema))
+        if left.limit(1).count():
+            sets = self.full_sets(left.select("k1").distinct())
+            with_sets = left.join(sets.withColumnRenamed("k", "k1"), "k1")
+            self.merge(with_sets.groupBy("cell").applyInPandas(lambda rows: _block_links(rows, least, percent), "a long, b long"))
+
     def merge(self, links: DataFrame) -> None:
         edges = self.across(links).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
         moved = contract(self.scratch, edges).select(F.col("x").alias("c"), F.col("c").alias("to"))
@@ -268,9 +363,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = keep(docs.mapInArrow(lambda it: _sign(it, words), SIGNED))
     classes = keep(signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min("n").alias("n")))
 
-    banded = signed.filter("bands is not null").select("k1", "n", F.explode("bands").alias("bh"))
+    banded = signed.filter("bands is not null").select("k1", "n", F.posexplode("bands").alias("band", "bh"))
     shared = banded.groupBy("bh").agg(F.min("k1").alias("lead"), F.max("k1").alias("other")).filter("lead < other").select("bh", "lead")
-    members = keep(banded.join(shared, "bh").groupBy("bh", "k1").agg(F.min("n").alias("n"), F.min("lead").alias("lead")))
+    members = keep(banded.join(shared, "bh").groupBy("bh", "k1").agg(F.min("n").alias("n"), F.min("band").alias("band"), F.min("lead").alias("lead")))
     comps = keep(members.select(F.col("k1").alias("x")).distinct().withColumn("c", F.col("x")))
     linker = _Linker(scratch, docs, signed, classes, comps, words, percent)
 
@@ -283,14 +378,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = leads.join(tops, "bh").filter((F.col("sub") != F.col("top")) & alike("sub_n", "top_n")).select(F.col("top").alias("a"), F.col("sub").alias("b"))
     linker.settle(first.union(second).distinct())
 
-    labelled = members.join(linker.comps.withColumnRenamed("x", "k1"), "k1")
-    mixed = labelled.groupBy("bh").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bh")
-    sketches = signed.filter("sketch is not null").select("k1", "sketch").dropDuplicates(["k1"])
-    rest = keep(labelled.join(mixed, "bh", "left_semi").join(sketches, "k1").select("bh", "k1", "n", "c", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(4)]))
-    x, y = rest.alias("x"), rest.alias("y")
-    apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(4)), F.lit(0))
-    fit = (F.col("x.bh") == F.col("y.bh")) & (F.col("x.k1") < F.col("y.k1")) & (F.col("x.c") != F.col("y.c")) & alike("x.n", "y.n") & (apart <= HASHES - SKETCH_BITS)
-    linker.settle(x.join(y, fit).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct())
+    linker.search_buckets(members)
 
     named = classes.join(linker.comps, classes["k1"] == linker.comps["x"], "left").withColumn("c", F.coalesce("c", "k1"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
