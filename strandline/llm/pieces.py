@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,10 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 1
 ZIPF_SHIFT = 2.7
-ALPHABET, FAST_LENGTH = 254, 32
-BATCH_CHARS = 3_000_000
+ALPHABET, FAST_LENGTH = 254, 64
+#: Factor per character that keeps the sums of words up to that length in range; it cancels, as all cuts of a word have its length.
+LIFT = 30.0
+BATCH_CHARS = 1_000_000
 MARK = "▁"
 WORD = re.compile(r"\n| *[^ \n]+| +")
 U = np.uint64
@@ -65,11 +68,15 @@ class Vocabulary:
         self.weight[ids] = weight
         self.byte_weight = float(weight.min())
         self.of = dict(pieces)
+        self.lifted = self.weight.copy()
+        for p, i in pieces:
+            self.lifted[i] *= LIFT ** len(p)
         self.longest = max(len(p) for p, _ in pieces)
         self._build_trie(pieces)
 
     def _build_trie(self, pieces: list[tuple[str, int]]) -> None:
         used = Counter(c for p, _ in pieces for c in set(p))
+        self.chars = set(used)
         common = sorted((c for c in used if c in self.of), key=lambda c: (ord(c) > 126, -used[c], c))[:ALPHABET]
         self.codes = np.zeros(0x110000, np.uint8)
         for i, c in enumerate(common, 1):
@@ -103,16 +110,27 @@ class Lattice:
         self.vocab = vocab
         self.length = np.fromiter(map(len, words), np.int64, len(words))
         self.base = np.concatenate([[0], np.cumsum(self.length + 1)])
-        self.bytes_of: list[list[int]] = []  # token sequences of characters without a piece
-        flat = vocab.codes[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        flat = vocab.codes[points]
+        odd = np.unique(points[flat == 0])  # not in the trie: pieces that hold them are found one word at a time
+        raw = [chr(c).encode() for c in odd.tolist()]
+        self.bytes_of = [[vocab.byte_ids[b] for b in r] for r in raw]  # token sequences of characters without a piece
+        self.odd_weight = np.array([vocab.byte_weight ** len(r) * LIFT for r in raw])
+        self.place_of = {chr(c): i for i, c in enumerate(odd.tolist())}
+        known = np.array([chr(c) in vocab.chars for c in odd.tolist()], bool)
+        which = np.zeros(len(flat), np.int32)
+        which[flat == 0] = np.searchsorted(odd, points[flat == 0]) + 1
         starts = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        fast = (self.length <= FAST_LENGTH) & (np.minimum.reduceat(flat, starts) > 0 if len(words) else False)
-        parts = [self._fast(np.flatnonzero(fast & (self.length > low) & (self.length <= high)), flat, starts) for low, high in ((0, 8), (8, 16), (16, FAST_LENGTH))]
+        slow = np.concatenate([[False], known])[which]
+        fast = (self.length <= FAST_LENGTH) & (~np.logical_or.reduceat(slow, starts) if len(words) else False)
+        self.which = which
+        parts = [self._fast(np.flatnonzero(fast & (self.length > low) & (self.length <= high)), flat, starts) for low, high in ((0, 8), (8, 16), (16, 32), (32, FAST_LENGTH))]
         parts += [self._slow(int(w), words[w]) for w in np.flatnonzero(~fast)]
         node, size, token, prob = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         order = np.argsort(node, kind="stable")
         self.size, self.token, self.prob = size[order], token[order], prob[order]
-        self.first = np.searchsorted(node[order], np.arange(self.base[-1] + 1))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=self.base[-1]))])
 
     def _fast(self, words: np.ndarray, flat: np.ndarray, starts: np.ndarray):
         v = self.vocab
@@ -122,12 +140,20 @@ class Lattice:
         row = np.repeat(np.arange(n), length)
         col = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
         codes[row, col] = flat[starts[words][row] + col]
+        odd = np.zeros((n, longest), np.int32)
+        odd[row, col] = self.which[starts[words][row] + col]
+        has_odd = odd.any(axis=0)
         total = np.zeros((n, longest + 1))
         total[:, 0] = 1
         edges = []
         for i in range(longest):
             rows = np.flatnonzero(length > i)
             at, reach = np.zeros(len(rows), np.int64), total[rows, i]
+            if has_odd[i]:
+                r = np.flatnonzero(odd[:, i])
+                w = total[r, i] * self.odd_weight[odd[r, i] - 1]
+                total[r, i + 1] += w
+                edges.append((r.astype(np.int32), np.full(len(r), i + 1, np.int32), np.ones(len(r), np.int16), -odd[r, i], w))
             for k in range(v.longest):
                 at = v.trie[at * v.width + codes[rows, i + k]].astype(np.int64)
                 alive = at > 0
@@ -137,13 +163,13 @@ class Lattice:
                 token = v.own[at]
                 hit = token >= 0
                 r, t = rows[hit], token[hit]
-                w = reach[hit] * v.weight[t]
+                w = reach[hit] * v.lifted[t]
                 total[r, i + k + 1] += w
-                edges.append((r, np.full(len(r), i + k + 1), np.full(len(r), k + 1), t, w))
+                edges.append((r.astype(np.int32), np.full(len(r), i + k + 1, np.int32), np.full(len(r), k + 1, np.int16), t, w))
         if not edges:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0, np.int16), np.zeros(0, np.int32), np.zeros(0)
         r, end, size, token, w = (np.concatenate(x) for x in zip(*edges, strict=True))
-        return self.base[words][r] + end, size, token.astype(np.int64), w / total[r, end]
+        return self.base[words][r] + end, size, token, w / total[r, end]
 
     def _slow(self, number: int, word: str):
         """One word of any length and any characters, with the sums kept near 1."""
@@ -158,15 +184,14 @@ class Lattice:
                 if token is not None:
                     found.append((k, token, v.weight[token]))
             if word[j - 1] not in v.of:
-                raw = word[j - 1].encode()
-                self.bytes_of.append([v.byte_ids[b] for b in raw])
-                found.append((1, -len(self.bytes_of), v.byte_weight ** len(raw)))
+                place = self.place_of[word[j - 1]]
+                found.append((1, -1 - place, v.byte_weight ** len(self.bytes_of[place])))
             top = max(scale[j - k] for k, _, _ in found)
             w = [total[j - k] * np.exp(max(scale[j - k] - top, -700)) * p for k, _, p in found]
             total[j], scale[j] = 1.0, top + float(np.log(sum(w)))
             out += [(self.base[number] + j, k, t, x / sum(w)) for (k, t, _), x in zip(found, w, strict=True)]
         node, size, token, prob = zip(*out, strict=True)
-        return np.array(node, np.int64), np.array(size, np.int64), np.array(token, np.int64), np.array(prob)
+        return np.array(node, np.int64), np.array(size, np.int16), np.array(token, np.int32), np.array(prob)
 
     def sample(self, words: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words in order, and how many each word has."""
@@ -223,22 +248,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
+class Numbers(dict):
+    """Numbers the words in the order in which they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def encode(vocab: Vocabulary, texts: list[str], keys: list, seed: int = SEED) -> list[np.ndarray]:
     """The sampled tokens of each text; ``keys`` are the row keys."""
-    index: dict[str, int] = {}
-    ids, counts = [], []
+    index, found, counts = Numbers(), [], []
     for text in texts:
-        found = WORD.findall(" " + text) if text else []
-        counts.append(len(found))
-        ids += [index.setdefault(w, len(index)) for w in found]
+        words = WORD.findall(" " + text) if text else []
+        counts.append(len(words))
+        found += words
+    ids = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
+    del found
     counts = np.array(counts, np.int64)
-    if not ids:
+    if not len(ids):
         return [np.zeros(0, np.int32) for _ in texts]
     own = np.array([xxhash.xxh3_64_intdigest("" if k is None else str(k), seed) for k in keys], U)
     number = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
     with np.errstate(over="ignore"):
         word_keys = _mix(np.repeat(own, counts) + number.astype(U) * U(0x9E3779B97F4A7C15))
-    tokens, per_word = Lattice(vocab, list(index)).sample(np.array(ids, np.int64), word_keys)
+    tokens, per_word = Lattice(vocab, list(index)).sample(ids, word_keys)
     ends = np.cumsum(per_word)[np.maximum(np.cumsum(counts) - 1, 0)]
     ends = np.where(np.cumsum(counts) > 0, ends, 0)
     return np.split(tokens, ends[:-1])
@@ -260,29 +294,36 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], vocab, key_at: int, text_at: int, seed: int) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], vocab, key_at: int, text_at: int, seed: int, proof: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(text_at).to_pylist()
-        for a, b in _slices([len(t or "") for t in texts], BATCH_CHARS):
-            found = encode(vocab.value, [t or "" for t in texts[a:b]], batch.column(key_at).slice(a, b - a).to_pylist(), seed)
+        sizes = pc.fill_null(pc.utf8_length(batch.column(text_at)), 0).to_pylist()
+        for a, b in _slices(sizes, BATCH_CHARS):
+            part = batch.slice(a, b - a)
+            texts = [t or "" for t in part.column(text_at).to_pylist()]
+            found = encode(vocab.value, texts, part.column(key_at).to_pylist(), seed)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], names=[*batch.schema.names, "token_ids"])
+            columns, names = [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], [*part.schema.names, "token_ids"]
+            if proof:
+                columns += [pa.array(np.diff(offsets)), pa.array([decode(vocab.value, x.tolist()) == t for x, t in zip(found, texts, strict=True)])]
+                names += ["n_tokens", "lossless"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """``docs`` with ``token_ids``."""
+def encode_texts(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, proof: bool = False) -> DataFrame:
+    """``docs`` with ``token_ids``; with ``proof`` also ``n_tokens`` and ``lossless``: the tokens decode to the text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
-    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+    added = [T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
+    if proof:
+        added += [T.StructField("n_tokens", T.IntegerType()), T.StructField("lossless", T.BooleanType())]
     key_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
-    return docs.mapInArrow(lambda it: _encoded(it, shared, key_at, text_at, seed), schema)
+    return docs.mapInArrow(lambda it: _encoded(it, shared, key_at, text_at, seed, proof), T.StructType([*docs.schema.fields, *added]))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], vocab, at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column(at)
-        sizes = [len(x) if x is not None else 0 for x in column]
-        for a, b in _slices(sizes, BATCH_CHARS):
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+        for a, b in _slices(sizes, BATCH_CHARS // 4):
             texts = [None if x is None else decode(vocab.value, x) for x in column.slice(a, b - a).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
@@ -296,11 +337,8 @@ def decode_tokens(tokens: DataFrame, vocab: Vocabulary, token_col: str = "token_
 
 
 def round_trip(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids``, ``n_tokens`` and ``lossless`` (the decoded tokens are the text)."""
-    vocab = Vocabulary(path)
-    back = decode_tokens(encode_texts(docs, vocab, id_col, text_col), vocab)
-    lossless = F.col("decoded") == F.coalesce(F.col(text_col), F.lit(""))
-    return back.select(*docs.columns, "token_ids", F.size("token_ids").alias("n_tokens"), lossless.alias("lossless"))
+    """``docs`` with ``token_ids``, ``n_tokens`` and ``lossless`` (the decoded tokens are the text), in one pass."""
+    return encode_texts(docs, Vocabulary(path), id_col, text_col, proof=True)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
