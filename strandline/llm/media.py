@@ -5,9 +5,10 @@ captions, numbered by position. Payloads live in a store of their own, one row p
 greyscale PNGs; a digest join resolves the references, so that captions, positions and decoded media
 stay aligned however often one payload is referred to.
 
-The store is written to the shared folder and read back. Equal payloads are dropped within each task and then
-by their digest, with partial aggregation, so that copies move once. The join moves references and
-features only, never payloads, and has a plain scan on both sides, so that AQE can split a digest with a third of all references.
+The store is written to the shared folder and read back; payloads never move otherwise. Each task stores a payload once, as
+far as its bounded memory of digests reaches, so that copies cost one row a task; what is read from
+them is reduced to one row a digest. The join moves references and features only, and has a plain
+scan on both sides, so that AQE can split a digest with a third of all references.
 
 Edge cases: a null or empty text is a payload of 64 zero bytes; repeated rows and null ids each give a row;
 a reference that the store lacks keeps its position and caption with null features; null pages have no segments; an empty table
@@ -239,14 +240,15 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """(digest, media): the written store of the texts' payloads, one row a digest."""
+    """(digest, media): the written store of the texts' payloads, at least one row a digest."""
     raw = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    return scratch.keep(raw.mapInArrow(_stored, "digest string, media binary").dropDuplicates(["digest"]))
+    return scratch.keep(raw.mapInArrow(_stored, "digest string, media binary"))
 
 
-def resolve(references: DataFrame, media: DataFrame) -> DataFrame:
+def resolve(references: DataFrame, media: DataFrame, scratch: Scratch) -> DataFrame:
     """Each reference (``digest``) with what its stored media holds; nulls if the store lacks it."""
-    return references.join(media.mapInArrow(_read_back, FEATURES), "digest", "left")
+    features = scratch.keep(media.mapInArrow(_read_back, FEATURES).dropDuplicates(["digest"]))
+    return references.join(features, "digest", "left")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,5 +256,6 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     refs = raw.mapInArrow(_references, f"id {kind}, n_bytes long, digest string, position int, caption string, n_segments int")
-    found = resolve(refs, store(docs, Scratch(spark)))
+    scratch = Scratch(spark)
+    found = resolve(refs, store(docs, scratch), scratch)
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_segments")
