@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import PathIndex
+from .search import visits_in
 from .stats import sampled
 
 
@@ -16,9 +17,11 @@ def try_locate(index: PathIndex, positions: DataFrame, interval: int) -> DataFra
 
 def next_sample(index: PathIndex, positions: DataFrame, interval: int) -> DataFrame:
     """(node, off, sample_off, seq_id): the first sample at or after each position of the same node."""
-    samples = sampled(index, interval).select("node", F.col("off").alias("sample_off"), "seq_id")
-    later = positions.join(samples, "node").filter("sample_off >= off")
-    return later.groupBy("node", "off").agg(F.min("sample_off").alias("sample_off"), F.min_by("seq_id", "sample_off").alias("seq_id"))
+    samples = sampled(index, interval).select("node", "off", F.col("off").alias("sample_off"), "seq_id", F.lit(0).alias("asks"))
+    rows = samples.unionByName(positions.select("node", "off", F.lit(1).alias("asks")), allowMissingColumns=True)
+    ahead = Window.partitionBy("node").orderBy("off", F.desc("asks")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = rows.select("node", "off", "asks", F.first("sample_off", ignorenulls=True).over(ahead).alias("sample_off"), F.first("seq_id", ignorenulls=True).over(ahead).alias("seq_id"))
+    return found.filter("asks = 1 and sample_off is not null").drop("asks")
 
 
 def locate_positions(index: PathIndex, positions: DataFrame) -> DataFrame:
@@ -42,8 +45,7 @@ def locate_by_walking(index: PathIndex, positions: DataFrame, interval: int) ->
 
 def locate_states(index: PathIndex, states: DataFrame) -> DataFrame:
     """(query_id, seq_id): the distinct sequences of each state (query_id, node, sp, ep)."""
-    hits = states.select("query_id", "node", "sp", "ep").join(index.visits.select("node", "off", "seq_id"), "node").filter(F.col("off").between(F.col("sp"), F.col("ep")))
-    return hits.select("query_id", "seq_id").distinct()
+    return visits_in(index, states.select("query_id", "node", "sp", "ep")).select("query_id", "seq_id").distinct()
 
 
 def locate_offsets(index: PathIndex, states: DataFrame) -> DataFrame:

@@ -65,10 +65,11 @@ def full_names(names: DataFrame, samples: DataFrame | None, contigs: DataFrame |
 
 def find_fragment(names: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, path_id): the path of the same chain with the largest count not above the query's; ties by path id, null if none."""
-    keys = ["sample_id", "contig_id", "phase"]
-    candidates = queries.withColumnRenamed("count", "at").join(names, keys).filter("count <= at")
-    found = candidates.groupBy("query_id").agg(F.max_by("path_id", F.struct("count", -F.col("path_id"))).alias("path_id"))
-    return queries.select("query_id").join(found, "query_id", "left")
+    own = names.select("sample_id", "contig_id", "phase", "count", "path_id", F.lit(0).alias("asks"))
+    rows = own.unionByName(queries.select("sample_id", "contig_id", "phase", "count", "query_id", F.lit(1).alias("asks")), allowMissingColumns=True)
+    # An as-of join by one sweep along each chain: of equal counts the smallest path id comes last, and queries after it.
+    along = Window.partitionBy("sample_id", "contig_id", "phase").orderBy("count", "asks", F.desc("path_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("path_id", F.last("path_id", ignorenulls=True).over(along)).filter("asks = 1").select("query_id", "path_id")
 
 
 def find_paths(names: DataFrame, sample: int | None = None, contig: int | None = None) -> DataFrame:

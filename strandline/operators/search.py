@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import PathIndex, flip, reverse_path
+from ..plans.tables import cut
 
 
 def find_nodes(index: PathIndex, nodes: DataFrame) -> DataFrame:
@@ -43,14 +44,14 @@ def find(index: PathIndex, patterns: DataFrame) -> DataFrame:
 
 
 def find_by_extension(index: PathIndex, patterns: DataFrame, longest: int) -> DataFrame:
-    """The same by extending node by node: ``longest`` range joins, each on shrinking states."""
+    """The same by extending node by node: ``longest`` sweeps, each on shrinking states that are checkpointed, so that plans stay flat."""
     first = patterns.filter(F.size("pattern") > 0)
     states = first.select("query_id", "pattern", F.element_at("pattern", 1).alias("node")).join(index.visits.groupBy("node").agg(F.min("off").alias("sp"), F.max("off").alias("ep")), "node")
     for k in range(2, longest + 1):
         rest = states.filter(F.size("pattern") >= k).withColumn("to", F.get("pattern", F.lit(k - 1)))
         done = states.filter(F.size("pattern") < k)
         moved = extend(index, rest.select("query_id", "node", "sp", "ep", "to")).select("query_id", "node", "sp", "ep")
-        states = done.unionByName(moved.join(first.select("query_id", "pattern"), "query_id"))
+        states = cut(done.unionByName(moved.join(first.select("query_id", "pattern"), "query_id")))
     return states.select("query_id", "node", "sp", "ep", (F.col("ep") - F.col("sp") + 1).alias("cnt"))
 
 
@@ -62,15 +63,63 @@ def prefix(index: PathIndex, patterns: DataFrame) -> DataFrame:
     return _states(_occurrences(index, patterns, from_start=True)).unionByName(empty)
 
 
-def _within(index: PathIndex, states: DataFrame) -> DataFrame:
-    """Each state (query_id, node, sp, ep, ...) with the visits in its range."""
-    return states.join(index.visits, "node").filter(F.col("off").between(F.col("sp"), F.col("ep")))
+#: Offsets per block of a range join.
+BLOCK = 1024
+
+
+def visits_in(index: PathIndex, states: DataFrame) -> DataFrame:
+    """Each state (query_id, node, sp, ep, ...) with the visits in its range.
+
+    Ranges are cut into blocks of offsets, so that the join is on equal (node, block) and a hot node's visits meet only the
+    states that reach their block.
+    """
+    blocks = states.withColumn("_block", F.explode(F.sequence(F.floor(F.col("sp") / BLOCK), F.floor(F.col("ep") / BLOCK))))
+    own = index.visits.withColumn("_block", F.floor(F.col("off") / BLOCK))
+    return blocks.join(own, ["node", "_block"]).filter(F.col("off").between(F.col("sp"), F.col("ep"))).drop("_block")
+
+
+def counts_before(index: PathIndex, points: DataFrame) -> DataFrame:
+    """Points (node, via, at, ...) with ``before``: the visits of ``node`` at smaller offsets than ``at`` that go to ``via``.
+
+    Points and visits are laid out by offset within (node, via) and swept once; nothing is paired.
+    """
+    cols = points.columns
+    wanted = points.select("node", "via").distinct()
+    steps = index.visits.select("node", F.col("next").alias("via"), F.col("off").alias("at")).join(wanted, ["node", "via"], "left_semi").withColumn("_step", F.lit(1))
+    rows = points.withColumn("_step", F.lit(0)).unionByName(steps, allowMissingColumns=True)
+    sweep = Window.partitionBy("node", "via").orderBy("at", "_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("before", F.sum("_step").over(sweep)).filter("_step = 0").select(*cols, "before")
+
+
+def _range_counts(index: PathIndex, states: DataFrame, key: list[str]) -> DataFrame:
+    """(query_id, *key, node, next, lo, cnt) of states with ``via``: visits toward it before, and within, the range."""
+    end = lambda at, n: F.struct(at.alias("at"), F.lit(n).alias("end"))
+    ends = states.select("query_id", *key, "node", "via", F.inline(F.array(end(F.col("sp"), 0), end(F.col("ep") + 1, 1))))
+    both = counts_before(index, ends).groupBy("query_id", *key, "node", "via").agg(*[F.max(F.when(F.col("end") == n, F.col("before"))).alias(name) for n, name in enumerate(("lo", "hi"))])
+    return both.select("query_id", *key, "node", F.col("via").alias("next"), "lo", (F.col("hi") - F.col("lo")).alias("cnt"))
+
+
+def successor_counts(index: PathIndex, states: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """The counts of every edge of each state's node."""
+    edges = index.edges.select(F.col("src").alias("node"), F.col("dst").alias("via"))
+    return _range_counts(index, states.select("query_id", *key, "node", "sp", "ep").join(edges, "node"), list(key))
+
+
+def _toward(index: PathIndex, states: DataFrame, *more: str) -> DataFrame:
+    """The counts of each state's one edge to ``to``."""
+    return _range_counts(index, states.select("query_id", *more, "node", "sp", "ep", F.col("to").alias("via")), list(more))
+
+
+def _moved(index: PathIndex, counts: DataFrame, *more: str) -> DataFrame:
+    """Counts of an edge (node -> next) as the state they lead to; the endmarker has a count but no range."""
+    start = index.edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "rank_off")
+    at = F.when(F.col("next") != 0, F.col("rank_off") + F.col("lo"))
+    return counts.filter("cnt > 0").join(start, ["node", "next"]).select("query_id", *more, F.col("node").alias("from"), F.col("next").alias("node"), at.alias("sp"), (at + F.col("cnt") - 1).alias("ep"), "cnt")
 
 
 def extend(index: PathIndex, states: DataFrame) -> DataFrame:
-    """(query_id, node, sp, ep, cnt) of (query_id, node, sp, ep, to); the endmarker has a count but no range."""
-    hits = _within(index, states).filter(F.col("next") == F.col("to"))
-    return hits.groupBy("query_id", F.col("to").alias("node")).agg(F.min("next_off").alias("sp"), F.max("next_off").alias("ep"), F.count(F.lit(1)).alias("cnt"))
+    """(query_id, node, sp, ep, cnt) of (query_id, node, sp, ep, to)."""
+    return _moved(index, _toward(index, states)).select("query_id", "node", "sp", "ep", "cnt")
 
 
 def lf(index: PathIndex, positions: DataFrame) -> DataFrame:
@@ -80,34 +129,41 @@ def lf(index: PathIndex, positions: DataFrame) -> DataFrame:
 
 def lf_to(index: PathIndex, positions: DataFrame) -> DataFrame:
     """(node, off, to, target): where a visit at (node, off) that went to ``to`` would stand; null without that edge."""
-    reach = index.edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), "rank_off")
-    sources = index.visits.select("node", F.col("off").alias("o"), "next")
-    joined = positions.join(reach, ["node", "to"], "left").join(sources, "node", "left")
-    before = F.count_if((F.col("o") < F.col("off")) & (F.col("next") == F.col("to")))
-    return joined.groupBy("node", "off", "to").agg(F.when(F.first("rank_off").isNotNull() & (F.col("to") != 0), F.first("rank_off") + before).alias("target"))
+    counted = counts_before(index, positions.select("node", F.col("off").alias("at"), F.col("to").alias("via"))).withColumnRenamed("via", "to")
+    reach = index.edges.filter("dst <> 0").select(F.col("src").alias("node"), F.col("dst").alias("to"), "rank_off")
+    return counted.join(reach, ["node", "to"], "left").select("node", F.col("at").alias("off"), "to", (F.col("rank_off") + F.col("before")).alias("target"))
 
 
 def full_lf(index: PathIndex, positions: DataFrame) -> DataFrame:
     """As ``lf_to``, but defined without the edge: visits of ``to`` from smaller sources; 0 for a missing node, null for the endmarker."""
     known = lf_to(index, positions)
-    incoming = index.edges.filter("dst <> 0").select(F.col("src"), F.col("dst").alias("to"), "cnt")
-    smaller = known.join(incoming, "to", "left").groupBy("node", "off", "to", "target").agg(F.coalesce(F.sum(F.when(F.col("src") < F.col("node"), F.col("cnt"))), F.lit(0)).alias("before"))
-    return smaller.select("node", "off", "to", F.when(F.col("to") != 0, F.coalesce("target", "before")).alias("target"))
+    pairs = known.filter("target is null").select("node", "to").distinct()
+    incoming = index.edges.filter("dst <> 0").select("src", F.col("dst").alias("to"), "cnt")
+    smaller = pairs.join(incoming, "to", "left").groupBy("node", "to").agg(F.coalesce(F.sum(F.when(F.col("src") < F.col("node"), F.col("cnt"))), F.lit(0)).alias("less"))
+    return known.join(smaller, ["node", "to"], "left").select("node", "off", "to", F.when(F.col("to") != 0, F.coalesce("target", "less")).alias("target"))
 
 
 def lf_range_first(index: PathIndex, states: DataFrame) -> DataFrame:
     """(query_id, node, sp, ep, starts_with_to, first_run): the range step with the first logical run that goes to ``to``."""
-    hits = _within(index, states).filter(F.col("next") == F.col("to"))
-    moved = hits.groupBy("query_id", F.col("node").alias("from"), F.col("to").alias("node"), F.col("sp").alias("from_sp")).agg(F.min("next_off").alias("sp"), F.max("next_off").alias("ep"), F.min("off").alias("first"))
-    runs = index.logical_runs.select(F.col("node").alias("from"), F.col("run_id").alias("first_run"), "start_off", "len")
-    with_run = moved.join(runs, "from").filter((F.col("first") >= F.col("start_off")) & (F.col("first") < F.col("start_off") + F.col("len")))
+    moved = _moved(index, _toward(index, states.withColumn("from_sp", F.col("sp")), "from_sp"), "from_sp").filter("node <> 0")
+    first = index.visits.select(F.col("next").alias("node"), F.col("next_off").alias("sp"), F.col("node").alias("from"), F.col("off").alias("first"))
+    runs = numbered(index, logical=True).select(F.col("node").alias("from"), F.col("off").alias("first"), F.col("run_id").alias("first_run"))
+    with_run = moved.join(first, ["node", "sp", "from"]).join(runs, ["from", "first"])
     return with_run.select("query_id", "node", "sp", "ep", (F.col("first") == F.col("from_sp")).alias("starts_with_to"), "first_run")
 
 
+def numbered(index: PathIndex, logical: bool = False) -> DataFrame:
+    """(node, off, run_id): the run of each visit."""
+    by_offset = Window.partitionBy("node").orderBy("off")
+    starts = F.coalesce(F.col("next") != F.lag("next").over(by_offset), F.lit(True))
+    starts = starts | (F.col("next") == 0) if logical else starts
+    return index.visits.withColumn("_new", starts.cast("long")).select("node", "off", (F.sum("_new").over(by_offset) - 1).alias("run_id"))
+
+
 def run_lf(index: PathIndex, positions: DataFrame) -> DataFrame:
     """(node, off, next, next_off, run_id, run_end): a step with the concrete run that covers the position."""
-    runs = index.runs.select("node", "run_id", "start_off", (F.col("start_off") + F.col("len") - 1).alias("run_end"))
-    return lf(index, positions).join(runs, "node").filter(F.col("off").between(F.col("start_off"), F.col("run_end"))).drop("start_off")
+    runs = index.runs.select("node", "run_id", (F.col("start_off") + F.col("len") - 1).alias("run_end"))
+    return lf(index, positions).join(numbered(index), ["node", "off"]).join(runs, ["node", "run_id"]).select("node", "off", "next", "next_off", "run_id", "run_end")
 
 
 def inverse_lf(index: PathIndex, positions: DataFrame) -> DataFrame:
@@ -129,8 +185,12 @@ def bd_find(index: PathIndex, nodes: DataFrame) -> DataFrame:
 
 def reverse_offset(index: PathIndex, states: DataFrame) -> DataFrame:
     """(query_id, to, reverse_offset): visits in range whose reversed successor precedes the reversed ``to``; ends count as smaller."""
-    smaller = (F.col("next") == 0) | (flip(F.col("next")) < flip(F.col("to")))
-    return _within(index, states).groupBy("query_id", "to").agg(F.count_if(smaller & (F.col("next") != F.col("to"))).alias("reverse_offset"))
+    counts = successor_counts(index, states, ("to",))
+    return counts.groupBy("query_id", "to").agg(F.sum(F.when(_smaller(), F.col("cnt")).otherwise(0)).alias("reverse_offset"))
+
+
+def _smaller() -> Column:
+    return (F.col("next") != F.col("to")) & ((F.col("next") == 0) | (flip(F.col("next")) < flip(F.col("to"))))
 
 
 BD_STATE = ("node", "sp", "ep", "back_node", "back_sp", "back_ep")
@@ -138,14 +198,12 @@ BD_STATE = ("node", "sp", "ep", "back_node", "back_sp", "back_ep")
 
 def bd_extend_forward(index: PathIndex, states: DataFrame) -> DataFrame:
     """Both states after appending ``to``; (query_id, *BD_STATE)."""
-    hits = _within(index, states)
-    smaller = (F.col("next") == 0) | (flip(F.col("next")) < flip(F.col("to")))
-    moved = hits.groupBy("query_id", "to", "back_node", F.col("back_sp").alias("bsp")).agg(
-        F.min(F.when(F.col("next") == F.col("to"), F.col("next_off"))).alias("sp"), F.max(F.when(F.col("next") == F.col("to"), F.col("next_off"))).alias("ep"),
-        F.count_if(F.col("next") == F.col("to")).alias("cnt"), F.count_if(smaller & (F.col("next") != F.col("to"))).alias("shift"),
-    ).filter("cnt > 0 and to <> 0")
-    start = F.col("bsp") + F.col("shift")
-    return moved.select("query_id", F.col("to").alias("node"), "sp", "ep", "back_node", start.alias("back_sp"), (start + F.col("cnt") - 1).alias("back_ep"))
+    key = ("to", "back_node", "back_sp")
+    counts = successor_counts(index, states, key)
+    shift = counts.groupBy("query_id", "to").agg(F.sum(F.when(_smaller(), F.col("cnt")).otherwise(0)).alias("shift"))
+    moved = _moved(index, counts.filter("next = to and next <> 0"), *key).join(shift, ["query_id", "to"])
+    start = F.col("back_sp") + F.col("shift")
+    return moved.select("query_id", "node", "sp", "ep", "back_node", start.alias("back_sp"), (start + F.col("cnt") - 1).alias("back_ep"))
 
 
 def bd_flip(states: DataFrame) -> DataFrame:
@@ -178,7 +236,7 @@ def _advance(index, states: DataFrame, due: DataFrame, at: Column, how, own: Dat
     """Extend the states of the patterns that are ``due``; keep the others."""
     moved = how(index, states.join(due.select("query_id", F.get("pattern", at).alias("to")), "query_id"))
     kept = states.join(due.select("query_id"), "query_id", "left_anti")
-    return kept.select("query_id", *BD_STATE).unionByName(moved.select("query_id", *BD_STATE))
+    return cut(kept.select("query_id", *BD_STATE).unionByName(moved.select("query_id", *BD_STATE)))
 
 
 def find_both(index: PathIndex, patterns: DataFrame) -> DataFrame:
@@ -206,8 +264,7 @@ def longest_common_suffix(index: PathIndex) -> DataFrame:
 
 def extend_all(index: PathIndex, states: DataFrame) -> DataFrame:
     """(query_id, node, sp, ep, cnt) for every successor of each state but the endmarker."""
-    hits = _within(index, states).filter("next <> 0")
-    return hits.groupBy("query_id", F.col("next").alias("to")).agg(F.min("next_off").alias("sp"), F.max("next_off").alias("ep"), F.count(F.lit(1)).alias("cnt")).withColumnRenamed("to", "node")
+    return _moved(index, successor_counts(index, states).filter("next <> 0")).select("query_id", "node", "sp", "ep", "cnt")
 
 
 def chain(index: PathIndex, step, states: DataFrame, nodes: list[int]) -> DataFrame:
