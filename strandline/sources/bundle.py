@@ -63,12 +63,17 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_text_paths(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of a text file, one a line, numbered in the file's order."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
-    parts = lines.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    starts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # one row a file split
-    numbered = lines.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(starts), "part")
-    return parse_lines(numbered.select((F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("line"), "value"))
+    """Paths of a text file, one a line, numbered in its order; of a folder, file after file by name.
+
+    Spark deals splits out by size, so a line's number is its place in its split plus the lines of the splits before it.
+    """
+    split = ["file_path", "file_block_start"]
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"), *[F.col(f"_metadata.{c}") for c in split])
+    parts = lines.groupBy(*split).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*split, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("shift"))  # a row for each split
+    numbered = lines.join(F.broadcast(starts), split)
+    return parse_lines(numbered.select((F.col("at") + F.col("shift")).alias("line"), "value"))
 
 
 def read_rows(spark: SparkSession, path: str, skip_empty: bool = False) -> DataFrame:
