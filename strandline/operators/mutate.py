@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,3 +104,15 @@ def partition_range(first: int, last: int, blocks: int) -> list[tuple[int, int]]
     blocks = max(1, min(blocks, length))
     bounds = [first + length * i // blocks for i in range(blocks + 1)]
     return [(a, b - 1) for a, b in zip(bounds, bounds[1:])] if length else []
+
+
+@dataclass
+class MergeParameters:
+    """Settings that the callers of merges pass along. Spark sizes its own buffers, so they are only kept within bounds."""
+
+    jobs: int = 4
+    buffer_mb: int = 64
+
+    def __post_init__(self):
+        self.jobs = min(max(self.jobs, 1), 64)
+        self.buffer_mb = min(max(self.buffer_mb, 1), 4096)

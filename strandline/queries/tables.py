@@ -72,3 +72,78 @@ def st01(spark, sf):
     builder = StreamingBuilder(spark, f"{at}-seqs")
     builder.run(stream, f"{at}-state").awaitTermination()
     return builder.finish().visits
+
+
+# Smaller operators -----------------------------------------------------------------------------------
+
+
+@query("c12_decompressed_records", O.sql("SELECT node, off, next, next_off FROM visits"))
+def c12(spark, sf):
+    """Every record unfolded from its runs: one row a visit, offsets at the successor from the edge's start and the rank among equals."""
+    from pyspark.sql import Window
+
+    idx = index(spark, sf)
+    start = idx.edges.select(F.col("src").alias("node"), F.col("dst").alias("successor"), "rank_off")
+    before = Window.partitionBy("node", "successor").orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)
+    runs = idx.runs.withColumn("seen", F.coalesce(F.sum("len").over(before), F.lit(0))).join(start, ["node", "successor"])
+    each = runs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)))
+    at = F.when(F.col("successor") != 0, F.col("rank_off") + F.col("seen") + F.col("i"))
+    return each.select("node", (F.col("start_off") + F.col("i")).alias("off"), F.col("successor").alias("next"), at.alias("next_off"))
+
+
+@query("c14_metadata_policy", "SELECT 'insert' AS kind, 2 * (SELECT count(*) FROM customer) AS samples, 25::BIGINT AS contigs UNION ALL SELECT 'disjoint', (SELECT count(*) FROM customer), 50::BIGINT")
+def c14(spark, sf):
+    from ..operators import metadata as M
+    from ..sources.corpus import read
+
+    n = read(spark, sf, "customer").count()
+    one = M.Metadata(n, n, 25)
+    rows = [(kind, *M.merge_policy(kind, one, False, one).counts()[::2]) for kind in ("insert", "disjoint")]
+    return spark.createDataFrame(rows, "kind string, samples long, contigs long")
+
+
+@query("s09_phasing_scan", "SELECT o_custkey % 3 AS file, o_orderkey AS site, row_number() OVER (PARTITION BY o_custkey % 3 ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_custkey % 3 = 1")
+def s09(spark, sf):
+    """One file's sites in order."""
+    from pyspark.sql import Window
+
+    from ..sources.corpus import read
+
+    at = place(spark)
+    bundle.append_phasings(read(spark, sf, "orders").select(F.col("o_orderkey").alias("site"), (F.col("o_custkey") % 3).alias("file")), at)
+    order = Window.partitionBy("file").orderBy("site")
+    return bundle.read_phasings(spark, at, [1]).select(F.col("file").cast("long").alias("file"), "site", (F.row_number().over(order) - 1).cast("long").alias("i"))
+
+
+@query("k06_metadata_written", "SELECT unnest(['contigs', 'header', 'path_names', 'samples', 'visits']) AS part")
+def k06(spark, sf):
+    from .names import meta
+
+    at = place(spark)
+    bundle.save(index(spark, sf), at, metadata=meta(spark, sf))
+    return bundle.sizes(spark, at).filter("bytes > 0").select("part")
+
+
+@query("k03_compression_helps", "SELECT true AS smaller")
+def k03(spark, sf):
+    """The sizes of both forms."""
+    at = place(spark)
+    for form in bundle.CODECS:
+        bundle.save(index(spark, sf), f"{at}-{form}", form)
+    total = lambda form: bundle.sizes(spark, f"{at}-{form}").agg(F.sum("bytes").alias(form))
+    return total("compressed").crossJoin(total("plain")).select((F.col("compressed") < F.col("plain")).alias("smaller"))  # one row each
+
+
+@query("i09_printed_states", O.sql("SELECT query_id, printf('(%d, [%d, %d])', node, sp, ep) AS state FROM found", O.patterns_sql(), O.FOUND))
+def i09(spark, sf):
+    from .navigate import states
+
+    return states(spark, sf).select("query_id", F.format_string("(%d, [%d, %d])", "node", "sp", "ep").alias("state"))
+
+
+@query("u17_merge_parameters", "SELECT 'clamped' AS name, 1::BIGINT AS jobs, 4096::BIGINT AS buffer_mb UNION ALL SELECT 'default', 4, 64")
+def u17(spark, sf):
+    from ..operators.mutate import MergeParameters
+
+    rows = [("default", MergeParameters()), ("clamped", MergeParameters(jobs=0, buffer_mb=1 << 20))]
+    return spark.createDataFrame([(n, p.jobs, p.buffer_mb) for n, p in rows], "name string, jobs long, buffer_mb long")
