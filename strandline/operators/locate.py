@@ -56,7 +56,7 @@ def locate_offsets(index: PathIndex, states: DataFrame) -> DataFrame:
 
 def extract(index: PathIndex, sequences: DataFrame) -> DataFrame:
     """(seq_id, path) of each sequence; an unknown one has an empty path."""
-    return sequences.join(index.paths, "seq_id", "left").select("seq_id", F.coalesce("path", F.array().cast("array<bigint>")).alias("path"))
+    return sequences.join(index.rebuilt_paths, "seq_id", "left").select("seq_id", F.coalesce("path", F.array().cast("array<bigint>")).alias("path"))
 
 
 def extract_from(index: PathIndex, positions: DataFrame, max_length: int | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ def locate_agrees(index: PathIndex, states: DataFrame) -> DataFrame:
 
 
 def extract_agrees(index: PathIndex, sequences: DataFrame) -> DataFrame:
-    return _both_ways(index.paths.select("seq_id", "path"), sequences.select("seq_id", "path"))
+    return _both_ways(index.rebuilt_paths.select("seq_id", "path"), sequences.select("seq_id", "path"))
 
 
 def inverse_agrees(index: PathIndex) -> DataFrame:

@@ -106,6 +106,7 @@ class PathIndex:
     bidirectional: bool = True
     tags: dict[str, str] = field(default_factory=lambda: {"source": "strandline"})
     metadata: object | None = None
+    stored_paths: DataFrame | None = None
 
     @classmethod
     def build(cls, paths: DataFrame, bidirectional: bool = False, method: str | None = None, **more) -> PathIndex:
@@ -124,7 +125,12 @@ class PathIndex:
 
     @cached_property
     def paths(self) -> DataFrame:
-        """(seq_id, path), rebuilt from the visits."""
+        """(seq_id, path), as stored beside the visits or rebuilt from them."""
+        return self.rebuilt_paths if self.stored_paths is None else self.stored_paths
+
+    @cached_property
+    def rebuilt_paths(self) -> DataFrame:
+        """(seq_id, path) from the visits alone."""
         ordered = F.array_sort(F.collect_list(F.struct("pos", "node")))
         rows = self.visits.groupBy("seq_id").agg(ordered.alias("v"))
         return rows.select("seq_id", F.transform(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), lambda x: x["node"]).alias("path"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.index import PathIndex
+from ..plans.index import PathIndex, both_orientations
 from ..plans.tables import cut, dense_ids, shared_dir
 
 _BUILT: dict[tuple, object] = {}
@@ -61,7 +61,12 @@ def paths(spark: SparkSession, sf_dir: str, corpus: str = "events") -> DataFrame
 def index(spark: SparkSession, sf_dir: str, corpus: str = "events") -> PathIndex:
     """The bidirectional index of a corpus."""
     shared_dir(spark)
-    return once(spark, ("index", sf_dir, corpus), lambda: PathIndex(cut(PathIndex.from_paths(paths(spark, sf_dir, corpus)).visits)))
+
+    def make() -> PathIndex:
+        own = paths(spark, sf_dir, corpus)
+        return PathIndex(cut(PathIndex.from_paths(own).visits), stored_paths=cut(both_orientations(own)))
+
+    return once(spark, ("index", sf_dir, corpus), make)
 
 
 def patterns(spark: SparkSession, sf_dir: str, corpus: str = "events", length: int = 4) -> DataFrame:
