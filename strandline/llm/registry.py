@@ -23,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filter": url_filter.OP3_SQL,
+        "op5_secrets": secrets.OP5_SQL,
         "op6_mixing": mixing.OP6_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op8_topk_codes": codes.OP8_SQL,

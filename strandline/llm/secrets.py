@@ -94,3 +94,35 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(docs).select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans")
     )
+
+
+def _sql() -> str:
+    """The same findings in DuckDB: gaps and matches give the places, range frames the neighbours."""
+    hits = []
+    for i, (name, pattern, group, least) in enumerate(KINDS):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        ok = "regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]')" if name == "token" else f"length(p) >= {least}"
+        lists = f"SELECT rid, regexp_extract_all(t, {quoted}, 0) AS ws, regexp_extract_all(t, {quoted}, {group}) AS ps, string_split_regex(t, {quoted}) AS gs FROM docs"
+        rows = f"SELECT rid, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w, unnest(ps) AS p, unnest(gs[1:len(ws)]) AS g FROM ({lists})"
+        hits.append(f"SELECT rid, {i} AS kind, '{name}' AS name, sum(length(g) + length(w)) OVER (PARTITION BY rid ORDER BY i) AS e, length(w) AS n, {ok} AS ok FROM ({rows})")
+    base = "kind < 3"
+    any_of = lambda cond: f"coalesce(bool_or({cond}) OVER near_, false)"
+    joined = lambda cond: f"coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (WHERE {cond}), '')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), hits AS ({" UNION ALL ".join(hits)}), parts AS (
+  SELECT rid, kind, name, (e - n)::BIGINT AS s, e::BIGINT AS e FROM hits WHERE ok
+), seen AS (
+  SELECT *, {any_of("kind = 1")} AS by_access, {any_of("kind = 3")} AS by_endpoint, {any_of("kind IN (0, 2)")} AS by_secret,
+         coalesce(max(CASE WHEN {base} THEN e END) OVER (PARTITION BY rid ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > s, false)
+           OR coalesce(min(CASE WHEN {base} THEN s END) OVER (PARTITION BY rid ORDER BY s RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) < e, false) AS inside
+  FROM parts WINDOW near_ AS (PARTITION BY rid ORDER BY s RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)
+), kept AS (
+  SELECT * FROM seen WHERE {base} OR NOT inside AND (kind = 4 AND (by_access OR by_endpoint) OR kind = 3 AND (by_access OR by_secret))
+)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+       sha256({joined(base)}) AS base_sha256, {joined("kind IS NOT NULL")} AS spans
+FROM docs LEFT JOIN kept USING (rid) GROUP BY rid
+"""
+
+
+OP5_SQL = _sql()
