@@ -44,7 +44,7 @@ def find(index: PathIndex, patterns: DataFrame) -> DataFrame:
 
 
 def find_by_extension(index: PathIndex, patterns: DataFrame, longest: int) -> DataFrame:
-    """The same by extending node by node: ``longest`` sweeps, each on shrinking states that are checkpointed, so that plans stay flat."""
+    """The same by extending node by node: ``longest`` sweeps, each on shrinking states that are written, so that plans stay flat."""
     first = patterns.filter(F.size("pattern") > 0)
     states = first.select("query_id", "pattern", F.element_at("pattern", 1).alias("node")).join(index.visits.groupBy("node").agg(F.min("off").alias("sp"), F.max("off").alias("ep")), "node")
     for k in range(2, longest + 1):

@@ -64,7 +64,7 @@ def index(spark: SparkSession, sf_dir: str, corpus: str = "events") -> PathIndex
 
     def make() -> PathIndex:
         own = paths(spark, sf_dir, corpus)
-        return PathIndex(cut(PathIndex.from_paths(own).visits), stored_paths=cut(both_orientations(own)))
+        return PathIndex(cut(PathIndex.from_paths(own).visits, "node", "off"), stored_paths=cut(both_orientations(own)))
 
     return once(spark, ("index", sf_dir, corpus), make)
 
