@@ -27,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.OP6_SQL,
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op8_topk_codes": codes.OP8_SQL,
+        "op10_near_dedup": near_dedup.OP10_SQL,
     }
