@@ -333,9 +333,12 @@ class _Linker:
         """Try all pairs across components that share a bucket, block by block."""
         least, percent = self.least, self.percent
         labelled = members.join(self.comps.withColumnRenamed("x", "k1"), "k1")
+        # Written, so that the join below has a plain scan on both sides and AQE can split a bucket with very many members.
+        labelled = self.scratch.keep(labelled)
         per_bucket = labelled.groupBy("bh").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("lo < hi")
         blocks = F.greatest(F.ceil(F.col("size") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-        rest = self.scratch.keep(labelled.join(per_bucket.select("bh", blocks.alias("blocks")), "bh").select("bh", "band", "k1", "n", "c", "blocks"))
+        sizes = self.scratch.keep(per_bucket.select("bh", blocks.alias("blocks")))
+        rest = self.scratch.keep(labelled.join(sizes, "bh").select("bh", "band", "k1", "n", "c", "blocks"))
         sig = self.signed.filter("sig is not null").select("k1", "sig").join(rest.select("k1").distinct(), "k1", "left_semi").dropDuplicates(["k1"])
         dealt = rest.join(sig, "k1").withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
