@@ -2,8 +2,8 @@
 
 ``reference_counts`` holds, for every line key, in how many documents it stands and the largest
 id among them; ``LineIndex`` keeps it as signed postings, so that deleting a document is the
-exact inverse of inserting it. The keys that reach ``MIN_DOCS`` are held by cuckoo filters, one a shard
-of the key space, which follow the table by insertions and deletions. A scan probes the filters and sends only lines they
+exact inverse of inserting it; ``dedup_lines`` takes its counts and filters, so a change needs no recount of all documents. The keys that reach ``MIN_DOCS`` are held by cuckoo filters, one a shard
+of the key space, which follow the table by insertions and deletions and are rebuilt from it where they overflow. A scan probes the filters and sends only lines they
 hold on to the exact join that decides; a filter's false positive costs a row, never a line.
 
 Filters are broadcast while they are below ``MAX_FILTER_BYTES`` together (counted before they are built);
@@ -167,24 +167,40 @@ def build_filters(keys: DataFrame, n_shards: int) -> DataFrame:
     return keys.select(F.pmod("h1", F.lit(n_shards)).alias("shard"), "h2").groupBy("shard").applyInPandas(build, "shard long, slots binary")
 
 
-def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, n_shards: int) -> DataFrame:
-    """Follow a change of the table: insert the keys that reached the threshold and delete those that fell below it."""
+def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, n_shards: int, keys: DataFrame | None = None) -> DataFrame:
+    """Follow a change of the table: insert the keys that reached the threshold and delete those that fell below it.
+
+    ``keys`` (h1, h2) are all keys that reach it after the change; a shard that its additions overflow is rebuilt from them.
+    Without them such a shard is an error, unless it had no filter: then its additions are all it holds.
+    """
+
+    strict = keys is None
 
     def follow(old, change):
         import pandas as pd
 
-        slots = np.frombuffer(old["slots"].iloc[0], np.uint16).reshape(-1, SLOTS).copy() if len(old) else np.zeros((4, SLOTS), np.uint16)
+        if not len(old):
+            new = change["h2"][change["sign"] > 0].to_numpy()
+            return pd.DataFrame({"shard": [change["shard"].iloc[0]], "slots": [CuckooFilter.build(new).slots.tobytes()]})
+        slots = np.frombuffer(old["slots"].iloc[0], np.uint16).reshape(-1, SLOTS).copy()
         out, fits = CuckooFilter(len(slots), slots), True
         for h2 in change["h2"][change["sign"] < 0]:
             out.delete(int(h2))
         for h2 in change["h2"][change["sign"] > 0]:
             fits = fits and out.insert(int(h2))
-        shard = old["shard"].iloc[0] if len(old) else change["shard"].iloc[0]
-        return pd.DataFrame({"shard": [shard], "slots": [out.slots.tobytes() if fits else None]})
+        if not fits and strict:
+            raise ValueError("a filter overflows; give the keys to rebuild it from")
+        return pd.DataFrame({"shard": [old["shard"].iloc[0]], "slots": [out.slots.tobytes() if fits else None]})
 
     sign = lambda df, s: df.select(F.pmod("h1", F.lit(n_shards)).alias("shard"), "h2", F.lit(s).alias("sign"))
     changes = sign(added, 1).union(sign(removed, -1))
-    return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(follow, "shard long, slots binary")
+    moved = filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(follow, "shard long, slots binary")
+    if keys is None:
+        return moved
+    moved = Scratch(filters.sparkSession).keep(moved)
+    full = moved.filter("slots is null").select("shard")
+    theirs = keys.withColumn("shard", F.pmod("h1", F.lit(n_shards))).join(full, "shard", "left_semi").select("h1", "h2")
+    return moved.filter("slots is not null").unionByName(build_filters(theirs, n_shards))
 
 
 class LineIndex:
@@ -227,17 +243,34 @@ def _without_lines(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([*own, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=names)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text_col``, and ``n_lines`` (before) and ``n_dropped``."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    counts = scratch.keep(reference_counts(hashed_lines(docs, id_col, text_col)))
+def _broadcast_filters(filters: DataFrame, n_shards: int):
+    """One set of all filters on every executor; their size was checked before."""
+    held = {r.shard: bytes(r.slots) for r in filters.collect()}
+    return filters.sparkSession.sparkContext.broadcast(FilterSet(held, n_shards))
+
+
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, max_filter_bytes: int = MAX_FILTER_BYTES,
+    counts: DataFrame | None = None, filters: tuple[DataFrame, int] | None = None,
+) -> DataFrame:
+    """``docs`` with repeated lines taken out of ``text_col``, and ``n_lines`` (before) and ``n_dropped``.
+
+    ``counts`` are those of a ``LineIndex`` that holds ``docs`` and maybe more, so that inserted documents are judged against
+    all of it without a recount; ``filters``, with their number of shards, hold at least its keys that reach ``min_docs``.
+    """
+    if filters is not None and counts is None:
+        raise ValueError("filters need the counts that they follow")
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.keep(reference_counts(hashed_lines(docs, id_col, text_col)) if counts is None else counts.select("h1", "h2", "n_docs", "last"))
     repeated = counts.filter(F.col("n_docs") >= min_docs)
-    n_keys = repeated.count()
-    filters = None
-    if n_keys * 2 * 2.5 <= max_filter_bytes:
-        n_shards = max(1, -(-n_keys // SHARD_KEYS))
-        built = {r.shard: bytes(r.slots) for r in build_filters(repeated, n_shards).collect()}  # its size was checked above
-        filters = spark.sparkContext.broadcast(FilterSet(built, n_shards))
+    if filters is not None:
+        built, n_shards = scratch.keep(filters[0]), filters[1]
+        fits = (built.agg(F.sum(F.length("slots"))).first()[0] or 0) <= max_filter_bytes
+    else:
+        n_keys = repeated.count()
+        n_shards, fits = max(1, -(-n_keys // SHARD_KEYS)), n_keys * 2 * 2.5 <= max_filter_bytes
+        built = build_filters(repeated, n_shards)
+    filters = _broadcast_filters(built, n_shards) if fits else None
     found = hashed_lines(docs, id_col, text_col, filters).join(repeated, ["h1", "h2"])
     drops = found.filter("last is not null and (_ld_id is null or _ld_id < last)").groupBy("_ld_id", "_ld_text").agg(F.collect_set(F.struct("h1", "h2")).alias("_ld_drop"))
     own = docs.withColumn("_ld_mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))

@@ -170,6 +170,43 @@ def test_index_is_reversible(spark, make):
         assert others is None or not (o := others.toPandas()).size or held.holds(o["h1"].to_numpy(), o["h2"].to_numpy()).mean() < 0.5
 
 
+def test_overflowing_filters_are_rebuilt(spark):
+    rng = np.random.default_rng(6)
+    frame = lambda k: spark.createDataFrame([(int(a), int(b)) for a, b in k], "h1 long, h2 long")
+    few, many = rng.integers(-(2**62), 2**62, (20, 2)) * 2, rng.integers(-(2**62), 2**62, (4000, 2)) * 2
+    many[2000:, 0] += 1  # two shards: one outgrows its filter, the other had none
+    none, filters = frame([]), line_dedup.build_filters(frame(few), 2)
+    whole = np.concatenate([few, many])
+    moved = line_dedup.update_filters(filters, frame(many), none, 2, frame(whole))
+    held = line_dedup.FilterSet({r["shard"]: bytes(r["slots"]) for r in moved.collect()}, 2)
+    assert held.holds(whole[:, 0], whole[:, 1]).all()
+    left = line_dedup.update_filters(moved, none, frame(many), 2, frame(few))
+    held = line_dedup.FilterSet({r["shard"]: bytes(r["slots"]) for r in left.collect()}, 2)
+    assert held.holds(few[:, 0], few[:, 1]).all() and held.holds(many[:, 0], many[:, 1]).mean() < 0.02
+    with pytest.raises(Exception, match="overflows"):
+        line_dedup.update_filters(filters, frame(many), none, 2).collect()
+
+
+@pytest.mark.parametrize("max_bytes", [line_dedup.MAX_FILTER_BYTES, 0])
+def test_inserted_and_deleted_documents(make, max_bytes):
+    rows = line_rows() + [(100 + k, "\n".join(f"a new line of the increment, number {k // 4 * 500 + j}" for j in range(500))) for k in range(12)]
+    docs = lambda part: make([(i, t, None) for i, t in part]).drop("h1")
+    hot = lambda x: x.counts().filter("n_docs >= 3").select("h1", "h2")
+    found = lambda part, x, filters: sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["text"]) for r in line_dedup.dedup_lines(docs(part), max_filter_bytes=max_bytes, counts=x.counts(), filters=filters).collect())
+    first, second = rows[:20], rows[20:]
+    index = line_dedup.LineIndex.of(docs(first))
+    grown = index.insert(docs(second))
+    before, after = hot(index), hot(grown)
+    moved = line_dedup.update_filters(line_dedup.build_filters(before, 2), after.exceptAll(before), before.exceptAll(after), 2, after)
+    whole = brute_lines(rows)
+    ids = {str(i) for i, _ in second} - {str(i) for i, _ in first}
+    got = found(second, grown, (moved, 2))
+    assert [r for r in got if r[0] in ids] == [r for r in whole if r[0] in ids]
+    assert found(rows, grown, (moved, 2)) == found(rows, grown, None) == whole
+    back = line_dedup.update_filters(moved, before.exceptAll(after), after.exceptAll(before), 2, before)
+    assert found(first, grown.delete(docs(second)), (back, 2)) == brute_lines(first)
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     keys = rng.integers(-(2**63), 2**63, 20_000)
