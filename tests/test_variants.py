@@ -54,3 +54,10 @@ def test_overlaps_of_adjacent_sites(spark):
     v, _ = inputs(spark, OVERLAP)
     rows = V.overlaps(v).orderBy("site").collect()
     assert [(r["site"], r["overlap"], r["resolved"] + r["unresolved"]) for r in rows] == [(1, 1, 12), (2, 2, 16)]
+
+
+def test_all_customers_are_indexed(spark):
+    from strandline import catalog
+
+    sf, queries = "/root/testdata/sf0.001", catalog.queries()
+    assert queries["h14_indexed_haplotypes"](spark, sf).first()["sequences"] == 2 * queries["h13_generate_haplotypes"](spark, sf).count()
