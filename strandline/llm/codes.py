@@ -12,8 +12,8 @@ segment, is complete as well. Rounds are joins on (segment, value) and grouped s
 query meets beyond its kth distance so far is dropped before it is shuffled.
 
 Edge cases: a null or empty vector, or one with null entries, has no code and is neither query nor answer;
-NaN and zero count as not positive; vectors of other lengths than the commonest one are left out of the index and of the queries
-alike; fewer than k other rows give as many as there are; a row is never its own answer, but a copy under another id is;
+NaN and zero count as not positive; a vector is compared with all vectors of its own length, by a search for each length that
+is asked for; fewer than k other rows give as many as there are; a row is never its own answer, but a copy under another id is;
 rows of a repeated id count once per code; an empty table gives no rows. Other columns are not read.
 """
 
@@ -81,11 +81,17 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
     """(id, rank, neighbor_id, distance): the k nearest other rows of each row that ``queries`` selects, ties by id."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), queries.alias("asks")).filter("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null)")
-    common = own.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
-        return spark.createDataFrame([], f"`{id_col}` long, rank int, neighbor_id long, distance int")
-    dim = common["dim"]
-    coded = scratch.keep(own.filter(F.size("v") == dim).select(F.col("id").cast("long").alias("id"), code_of(F.col("v"), dim).alias("code"), "asks").distinct())
+    dims = [r.dim for r in own.filter("asks").select(F.size("v").alias("dim")).distinct().orderBy("dim").collect()]  # lengths, not rows
+    out = spark.createDataFrame([], f"`{id_col}` long, rank int, neighbor_id long, distance int")
+    for dim in dims:
+        out = out.unionByName(_search_length(scratch, own.filter(F.size("v") == dim), dim, k, id_col))
+    return out
+
+
+def _search_length(scratch: Scratch, own: DataFrame, dim: int, k: int, id_col: str) -> DataFrame:
+    """The search among vectors (id, v, asks) of one length, some of which ask."""
+    spark = own.sparkSession
+    coded = scratch.keep(own.select(F.col("id").cast("long").alias("id"), code_of(F.col("v"), dim).alias("code"), "asks").distinct())
     n_codes, n_bits = coded.select("code").distinct().count(), dim
     m = max(1, round(n_bits / min(MAX_SEGMENT, max(1, round(math.log2(max(2, n_codes)))))))
 
@@ -120,8 +126,6 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
         closed = merged.join(active.select("q"), "q", "left_anti")
         done = closed if done is None else done.unionByName(closed)
         top, radius = merged, radius + 1
-    if done is None:
-        return spark.createDataFrame([], f"`{id_col}` long, rank int, neighbor_id long, distance int")
     asked = coded.filter("asks").select(F.col("id").alias("query"), F.xxhash64("code").alias("q"))
     answers = done.join(firsts, "c").select("q", "d", "other")
     per_code = answers.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k + 1).alias("near"))

@@ -247,6 +247,17 @@ def test_search_of_few_or_none(spark):
     assert codes.search(df, F.lit(False)).count() == 0
 
 
+def test_search_in_every_length(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=(4, 70, 9)[min(2, i % 5)]).round(3).tolist()) for i in range(70)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q, v in rows[::3]:
+        near = sorted((sum((x > 0) != (y > 0) for x, y in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(v) == len(w))[:5]
+        want += [(q, r + 1, i, d) for r, (d, i) in enumerate(near)]
+    assert sorted(tuple(r) for r in codes.search(df, F.col("vec_id") % 3 == 0, k=5).collect()) == sorted(want)
+
+
 # Near duplicates -------------------------------------------------------------------------------------
 
 
