@@ -8,8 +8,9 @@ one wins (the first language by name on a tie). A phrase end is folded into the
 lookup per character. Texts are parsed in blocks of ``BLOCK`` characters, so that long texts run beside
 short ones; every block counts.
 
-Letters are lower-cased, runs of other characters become one separator, letters not among the ``LETTERS`` most frequent ones are
-unknown: such a letter ends the current phrase and belongs to it.
+Letters are lower-cased, runs of other characters become one separator, letters that no learned text has are
+unknown: such a letter ends the current phrase and belongs to it. The ``LETTERS`` most frequent letters are columns of the table; the
+transitions of all others are sorted keys beside it, which gives the same phrases with a search for each such letter.
 
 Learning takes a bounded sample: about ``SAMPLE_ROWS`` rows a language by the hash of their ids,
 ``ROW_CHARS`` characters of each, and ``TOTAL_CHARS`` over all languages.
@@ -36,6 +37,8 @@ from .common import table
 SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS = 300, 1000, 160_000
 BLOCK = 512
 LETTERS = 62
+#: Entries of the table of frequent letters; where all automata have very many states, fewer letters are columns.
+TABLE_CELLS = 64_000_000
 UNKNOWN_LANGUAGE = "und"
 LETTER = re.compile(r"[^\W\d_]")
 GAP = re.compile(r"(?:[\W\d_])+")
@@ -82,27 +85,38 @@ class Parser:
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(k for k, v in texts.items() if v.strip())
         texts = {k: normalise(texts[k]) for k in self.names}
-        common = [c for c, _ in sorted(Counter("".join(texts.values())).items(), key=lambda x: (-x[1], x[0]))][: LETTERS + 1]
-        self.unknown, self.pad = len(common), len(common) + 1
-        self.width = len(common) + 2
-        self.codes = np.full(0x110000, self.unknown, np.uint8)
-        for i, c in enumerate(common):
-            self.codes[ord(c)] = i
-        tables, self.roots, start = [], [], 0
-        for name in self.names:
-            trans = suffix_automaton([int(x) for x in self.encode(texts[name]) if x != self.unknown])
-            root = np.full(self.width, start << 1 | 1, np.int64)
+        letters = [c for c, _ in sorted(Counter("".join(texts.values())).items(), key=lambda x: (-x[1], x[0]))]
+        codes = {c: i for i, c in enumerate(letters)}
+        automata = [suffix_automaton([codes[c] for c in texts[name]]) for name in self.names]
+        sizes = [len(trans) for trans in automata]
+        dense = min(len(letters), LETTERS + 1, max(1, TABLE_CELLS // max(1, sum(sizes)) - 2))
+        self.unknown, self.pad, self.width, self.rare = dense, dense + 1, dense + 2, len(letters) - dense
+        # Codes of rare letters follow those of the columns, the unknown letter and the filling.
+        self.codes = np.full(0x110000, self.unknown, np.min_scalar_type(self.width + self.rare))
+        for c, i in codes.items():
+            self.codes[ord(c)] = i if i < dense else i + 2
+        self.roots = [int(x) for x in np.cumsum([0, *sizes])[:-1]]
+        table = np.empty((sum(sizes), self.width), np.int32)
+        self.rare_root = np.repeat(np.array(self.roots, np.int32)[:, None] << 1 | 1, self.rare, axis=1)
+        rare = {}
+        for k, (start, trans) in enumerate(zip(self.roots, automata, strict=True)):
+            part = table[start : start + len(trans)]
+            part[:] = start << 1 | 1
             for c, to in trans[0].items():
-                root[c] = (start + to) << 1 | 1
-            part = np.tile(root, (len(trans), 1))
+                if c < dense:
+                    part[:, c] = (start + to) << 1 | 1
+                else:
+                    self.rare_root[k, c - dense] = (start + to) << 1 | 1
             for s, out in enumerate(trans):
                 for c, to in out.items():
-                    part[s, c] = (start + to) << 1
+                    if c < dense:
+                        part[s, c] = (start + to) << 1
+                    else:
+                        rare[(start + s) * self.rare + c - dense] = (start + to) << 1
             part[:, self.pad] = np.arange(start, start + len(trans)) << 1
-            tables.append(part)
-            self.roots.append(start)
-            start += len(trans)
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+        self.table = table.ravel()
+        self.rare_keys = np.array(sorted(rare), np.int64)
+        self.rare_steps = np.array([rare[k] for k in self.rare_keys.tolist()], np.int32)
         self.bits = np.array([math.log2(max(2, len(texts[k]))) for k in self.names])
 
     def encode(self, text: str) -> np.ndarray:
@@ -112,7 +126,7 @@ class Parser:
         """(texts, languages): the number of phrases of each normalised text."""
         coded = [self.encode(t) for t in texts]
         blocks = np.array([-(-len(c) // BLOCK) for c in coded], np.int64)
-        grid = np.full((int(blocks.sum()), BLOCK), self.pad, np.uint8)
+        grid = np.full((int(blocks.sum()), BLOCK), self.pad, self.codes.dtype)
         flat, at = grid.reshape(-1), 0
         for c, n in zip(coded, blocks, strict=True):
             flat[at : at + len(c)] = c
@@ -122,7 +136,11 @@ class Parser:
         state = np.repeat(roots, grid.shape[1], axis=1)
         count = np.zeros(state.shape, np.int32)
         for column in grid:
-            step = self.table[state * self.width + column]
+            if self.rare and (at := np.flatnonzero(column >= self.width)).size:
+                step = self.table[state * self.width + np.where(column < self.width, column, self.unknown)]
+                step[:, at] = self.rare_step(state[:, at], column[at].astype(np.int64) - self.width)
+            else:
+                step = self.table[state * self.width + column]
             count += step & 1
             state = step >> 1
         count += state != roots
@@ -130,6 +148,12 @@ class Parser:
         np.add.at(out, np.repeat(np.arange(len(texts)), blocks), count.T)
         return out
 
+    def rare_step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """(languages, blocks): what the table would hold for letters that are not among its columns."""
+        keys = state.astype(np.int64) * self.rare + letter
+        at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+        return np.where(self.rare_keys[at] == keys, self.rare_steps[at], self.rare_root[:, letter])
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN_LANGUAGE] * len(texts), [0.0] * len(texts)
         judged = [i for i, t in enumerate(texts) if t is not None and self.names and LETTER.search(t)]
@@ -176,7 +200,7 @@ def _predict(batches: Iterator[pa.RecordBatch], parser) -> Iterator[pa.RecordBat
 
 def identify(docs: DataFrame, parser: Parser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by TOTAL_CHARS and LETTERS
+    shared = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by TOTAL_CHARS and TABLE_CELLS
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(lambda it: _predict(it, shared), f"`{id_col}` {kind}, lang_pred string, score double")
 

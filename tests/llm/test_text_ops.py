@@ -88,6 +88,18 @@ def test_phrases_match_brute_force():
     assert parser.phrases(texts).tolist() == want
 
 
+@pytest.mark.parametrize("cells", [langid.TABLE_CELLS, 20_000])
+def test_rare_letters_count(monkeypatch, cells):
+    monkeypatch.setattr(langid, "TABLE_CELLS", cells)
+    rng = random.Random(5)
+    shared, first, second = ("".join(map(chr, range(0x4E00 + a, 0x4E00 + b))) for a, b in ((0, 70), (100, 130), (400, 800)))
+    labelled = {k: "".join(rng.choice(shared if rng.random() < 0.9 else own) for _ in range(1500)) for k, own in {"aa": first, "bb": second}.items()}
+    parser = langid.Parser(labelled)
+    texts = ["".join(rng.choice(shared + first + second + "xyz ") for _ in range(n)) for n in (1, 7, 300, 1500)]
+    want = [[cross_parse(t, labelled[k], set("".join(labelled.values()))) for k in parser.names] for t in texts]
+    assert parser.phrases(texts).tolist() == want
+
+
 def test_language_accuracy_and_odd_texts(spark, make, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.op9_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
