@@ -5,7 +5,8 @@ kept, and all but the last return the columns of documents. ``n_chars`` follows
 
 1. toxicity: documents that the classifier rejects go.
 2. line_dedup: repeated lines go from the texts; every document stays.
-3. near_dedup: of each group of near duplicates the document of the smallest id stays.
+3. near_dedup: of each group of near duplicates one document stays, of the smallest id (nulls last). Rows are judged, not ids: of
+   rows that repeat an id, those of other groups stay, and of copies under one id or under null ids one stays.
 4. mixing: documents are replicated to the sources' target weights and shuffled.
 5. sentencepiece: sampled tokens, with the proof that they decode to the text.
 
@@ -35,9 +36,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = near_dedup.near_components(docs)
-    gone = judged.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    keyed = Scratch(spark).keep(docs.withColumn("_nd_row", F.monotonically_increasing_id()))  # written, so that the keys stay
+    gone = near_dedup.near_components(keyed, row_col="_nd_row").filter("not chosen").select("_nd_row")
+    return keyed.join(gone, "_nd_row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,8 +136,9 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
                     row[3:] = short.tobytes(), band_hashes(short)
             for col, x in zip(cols, row, strict=True):
                 col.append(x)
+        keys = batch.columns[2:]
         kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "n", "k1", "k2", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *keys], names=["id", "n", "k1", "k2", "sig", "bands", *batch.schema.names[2:]])
 
 
 def least_equal(threshold: float, miss: float = MISS) -> list[int]:
@@ -358,13 +359,19 @@ class _Linker:
         self.comps = self.scratch.keep(self.comps.join(moved, "c", "left").select("x", F.coalesce("to", "c").alias("c")))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: (id, n_shingles, component_id, kept)."""
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY, row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: (id, n_shingles, component_id, kept).
+
+    With ``row_col``, a long that is unique to each row, also that column and ``chosen``: true for one row of each component, of its
+    smallest id (nulls last) and then of the smallest ``row_col``, and for each row with an empty set.
+    """
     scratch = Scratch(docs.sparkSession)
     keep = scratch.keep
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    signed = keep(docs.mapInArrow(lambda it: _sign(it, words), SIGNED))
-    classes = keep(signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min("n").alias("n")))
+    key = [] if row_col is None else [F.col(row_col).alias("row")]
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *key)
+    signed = keep(docs.mapInArrow(lambda it: _sign(it, words), SIGNED + ", row long" * len(key)))
+    first = [F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")] * len(key)
+    classes = keep(signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), *first))
 
     banded = signed.filter("bands is not null").select("k1", "n", F.posexplode("bands").alias("band", "bh"))
     shared = banded.groupBy("bh").agg(F.min("k1").alias("lead"), F.max("k1").alias("other")).filter("lead < other").select("bh", "lead")
@@ -377,18 +384,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leads = salted.groupBy("bh", "salt").agg(F.min(F.struct("k1", "n")).alias("sub"), F.min("lead").alias("lead"))
     leads = keep(leads.select("bh", "salt", F.col("sub.k1").alias("sub"), F.col("sub.n").alias("sub_n"), "lead"))
     tops = leads.filter("sub = lead").select("bh", F.col("sub").alias("top"), F.col("sub_n").alias("top_n"))
-    first = salted.join(leads.drop("lead"), ["bh", "salt"]).filter((F.col("k1") != F.col("sub")) & alike("n", "sub_n")).select(F.col("sub").alias("a"), F.col("k1").alias("b"))
-    second = leads.join(tops, "bh").filter((F.col("sub") != F.col("top")) & alike("sub_n", "top_n")).select(F.col("top").alias("a"), F.col("sub").alias("b"))
-    linker.settle(first.union(second).distinct())
+    lower = salted.join(leads.drop("lead"), ["bh", "salt"]).filter((F.col("k1") != F.col("sub")) & alike("n", "sub_n")).select(F.col("sub").alias("a"), F.col("k1").alias("b"))
+    upper = leads.join(tops, "bh").filter((F.col("sub") != F.col("top")) & alike("sub_n", "top_n")).select(F.col("top").alias("a"), F.col("sub").alias("b"))
+    linker.settle(lower.union(upper).distinct())
 
     linker.search_buckets(members)
 
     named = classes.join(linker.comps, classes["k1"] == linker.comps["x"], "left").withColumn("c", F.coalesce("c", "k1"))
-    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = keep(named.join(least, "c").select("k1", "k2", "component_id"))
-    out = signed.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"), *[F.min("first").alias("first") for _ in key])
+    named = keep(named.select("k1", "k2", "c").join(least, "c").select("k1", "k2", "component_id", *[F.col("first.row").alias("first_row") for _ in key]))
+    out = signed.select("id", "n", "k1", "k2", *["row" for _ in key]).join(named, ["k1", "k2"], "left")
     component = F.when(F.col("k1").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    own = [F.col("row").alias(row_col), (F.col("k1").isNull() | (F.col("row") == F.col("first_row"))).alias("chosen")] if key else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), *own)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

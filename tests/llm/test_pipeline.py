@@ -43,6 +43,18 @@ def test_lines_and_near_copies(stages):
     assert {str(r["doc_id"]) for r in stages[2][2].collect()} == want
 
 
+def test_near_copies_are_rows_not_ids(spark):
+    from pyspark.sql import functions as F
+
+    copy, other = (" ".join(f"{p}{k}" for k in range(60)) for p in "ab")
+    near = copy + " and a little more"
+    rows = [(1, copy), (2, near), (2, other), (3, copy), (5, "x y z q r s t"), (5, "x y z q r s t"), (None, copy), (None, "only nulls hold this text of some words")]
+    rows += [(None, "only nulls hold this text of some words"), (6, None), (6, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    got = sorted(map(str, [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()]))
+    assert got == sorted(map(str, [rows[0], rows[2], rows[4], rows[7], *rows[9:]]))
+
+
 def test_mixing_and_tokens(stages):
     _, before, after = stages[3]
     own = {r["doc_id"]: r for r in before.collect()}
