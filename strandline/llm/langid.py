@@ -12,8 +12,8 @@ Letters are lower-cased, runs of other characters become one separator, letters
 unknown: such a letter ends the current phrase and belongs to it. The ``LETTERS`` most frequent letters are columns of the table; the
 transitions of all others are sorted keys beside it, which gives the same phrases with a search for each such letter.
 
-Learning takes a bounded sample: about ``SAMPLE_ROWS`` rows a language by the hash of their ids,
-``ROW_CHARS`` characters of each, and ``TOTAL_CHARS`` over all languages.
+Learning takes a bounded sample: about ``SAMPLE_ROWS`` rows a language by the hash of their ids, of each a window at a hashed place
+of up to ``ROW_CHARS`` characters, all shortened alike so that a language has at most ``LANG_CHARS``.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows without a language, or with a null id, are not learned
 from; without any labelled row all is ``und``; repeated rows are judged alike; an empty table gives no
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SAMPLE_ROWS, ROW_CHARS, TOTAL_CHARS = 300, 1000, 160_000
+SAMPLE_ROWS, ROW_CHARS, LANG_CHARS = 300, 1000, 40_000
 BLOCK = 512
 LETTERS = 62
 #: Entries of the table of frequent letters; where all automata have very many states, fewer letters are columns.
@@ -177,6 +177,16 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def shortened(parts: list[str], budget: int) -> list[str]:
+    """All parts, the longest ones cut to one length, so that they and the ends between them fit the budget."""
+    left, sizes = budget, sorted(len(x) + 1 for x in parts)
+    for i, size in enumerate(sizes):
+        if size * (len(sizes) - i) > left:
+            return [x[: max(0, left // (len(sizes) - i) - 1)] for x in parts]
+        left -= size
+    return parts
+
+
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Parser:
     """The automata from the labelled rows that are not held out."""
     rows = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
@@ -185,11 +195,13 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Parser:
         return Parser({})
     shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1_000_000, 1_500_000 * sample_rows // n))])
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = rows.filter(at < F.element_at(shares, F.col("lang"))).select("lang", at.alias("at"), F.substring("text", 1, ROW_CHARS).alias("text"))
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.length("text") - ROW_CHARS + 1, F.lit(1))).cast("int")
+    window = F.substring(F.col("text"), begin + 1, F.lit(ROW_CHARS))
+    chosen = rows.filter(at < F.element_at(shares, F.col("lang"))).select("lang", at.alias("at"), window.alias("text"))
     texts: dict[str, list[str]] = {lang: [] for lang in counts}
     for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.at, r.text)):  # at most about 1.5 sample_rows a language
         texts[r.lang].append(r.text)
-    return Parser({lang: "\n".join(parts)[: TOTAL_CHARS // len(texts)] for lang, parts in texts.items()})
+    return Parser({lang: "\n".join(shortened(parts, LANG_CHARS)) for lang, parts in texts.items()})
 
 
 def _predict(batches: Iterator[pa.RecordBatch], parser) -> Iterator[pa.RecordBatch]:
@@ -200,7 +212,7 @@ def _predict(batches: Iterator[pa.RecordBatch], parser) -> Iterator[pa.RecordBat
 
 def identify(docs: DataFrame, parser: Parser, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by TOTAL_CHARS and TABLE_CELLS
+    shared = docs.sparkSession.sparkContext.broadcast(parser)  # bounded by LANG_CHARS a language and TABLE_CELLS
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(lambda it: _predict(it, shared), f"`{id_col}` {kind}, lang_pred string, score double")
 

@@ -100,6 +100,17 @@ def test_rare_letters_count(monkeypatch, cells):
     assert parser.phrases(texts).tolist() == want
 
 
+def test_sample_takes_every_language_and_place(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "Parser", seen.update)
+    start = "shared license passage " * 60
+    rows = [(i, start + f"{'abcdefgh'[i % 8]} " * 3000, "abcdefgh"[i % 8]) for i in range(320)]
+    langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(seen) == list("abcdefgh")
+    for lang, text in seen.items():
+        assert 20_000 < len(text) <= langid.LANG_CHARS and text.count(f"{lang} ") > 5000 and len(text.split("\n")) > 20
+
+
 def test_language_accuracy_and_odd_texts(spark, make, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.op9_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
