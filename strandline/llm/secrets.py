@@ -1,11 +1,15 @@
 """Secret scans with multipart credential linking (built-in functions only).
 
 Base findings are three regular patterns. Weak candidates - bare mixed tokens and endpoints - are
-noise on their own; they are reported only when a complementary part stands within ``SCOPE``
-code points: a token beside an access identifier or an endpoint, an endpoint beside an access
-identifier or a secret. All parts of a text are laid out by their start, and the interval join
-of each candidate with its complements is a range frame over that order: it sweeps once over
-the parts and never lists pairs.
+noise on their own; they are reported only when a complementary part ends or begins within ``SCOPE``
+code points of them: a token beside an access identifier or an endpoint, an endpoint beside an access
+identifier or a secret. The distance is the gap between the two intervals, whatever their lengths, and parts that overlap are
+no complements of each other. A token that overlaps an endpoint or a base finding is a piece of that and no
+candidate, nor is an endpoint that overlaps a base finding; every part found counts as a complement.
+
+Each part is laid out twice, where it begins and where it ends, and the interval join of each
+candidate with its complements is a range frame over that order: the ends before a beginning, the
+beginnings after an end. It sweeps once over the parts and never lists pairs.
 
 Only the parts travel, keyed by the row they come from, so one source or one line in a third of
 all texts is no hot key. Offsets are code points, end exclusive.
@@ -59,21 +63,38 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return placed.select("row", "id", F.when(F.col("ok"), F.col("kind")).alias("kind"), F.when(F.col("ok"), F.col("start")).alias("start"), F.when(F.col("ok"), F.col("end")).alias("end"))
 
 
+def _is(*names: str) -> Column:
+    return F.coalesce(F.col("kind").isin([i for i, k in enumerate(KINDS) if k[0] in names]), F.lit(False))
+
+
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Keep base parts, and weak ones only beside their complements. Adds ``base``."""
-    order = Window.partitionBy("row").orderBy("start")
-    near = order.rangeBetween(-scope, scope)
-    is_kind = lambda *names: F.coalesce(F.col("kind").isin([i for i, k in enumerate(KINDS) if k[0] in names]), F.lit(False))
-    base = is_kind("assign", "access", "hex")
-    some = lambda cond: F.max(F.when(cond, 1).otherwise(0)).over(near) == 1
-    before = F.max(F.when(base, F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min(F.when(base, F.col("start"))).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    seen = parts.select(
-        "*", base.alias("base"), some(is_kind("access")).alias("by_access"), some(is_kind("endpoint")).alias("by_endpoint"), some(is_kind("assign", "hex")).alias("by_secret"),
-        (F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))).alias("inside"),
+    base = _is("assign", "access", "hex")
+    order = Window.partitionBy("row").orderBy("at")
+    ends_before, begins_after = order.rangeBetween(-scope, 0), order.rangeBetween(0, scope)
+    edges = parts.select("*", base.alias("base"), F.explode(F.array(F.lit(True), F.lit(False))).alias("begins"))
+    edges = edges.withColumn("at", F.when(F.col("begins"), F.col("start")).otherwise(F.col("end")))
+
+    def beside(kind: Column) -> Column:
+        """Whether a part of the kind ends near before a beginning, or begins near after an end."""
+        some = lambda edge, frame: F.max(F.when(kind & edge, 1).otherwise(0)).over(frame) == 1
+        return F.when(F.col("begins"), some(~F.col("begins"), ends_before)).otherwise(some(F.col("begins"), begins_after))
+
+    def overlaps(kind: Column) -> Column:
+        """At a beginning: whether a part of the kind begins no later and ends after it, or begins no earlier and before the end."""
+        last = F.max(F.when(kind & F.col("begins"), F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
+        first = F.min(F.when(kind & F.col("begins"), F.col("start"))).over(order.rangeBetween(0, Window.unboundedFollowing))
+        return F.coalesce(F.col("begins") & ((last > F.col("start")) | (first < F.col("end"))), F.lit(False))
+
+    weak = edges.select(
+        "*", beside(_is("access")).alias("by_access"), beside(_is("endpoint")).alias("by_endpoint"), beside(_is("assign", "hex")).alias("by_secret"),
+        overlaps(base).alias("in_base"), overlaps(_is("endpoint")).alias("in_endpoint"),
     )
-    free = ~F.col("inside")
-    keep = F.col("base") | (free & is_kind("token") & (F.col("by_access") | F.col("by_endpoint"))) | (free & is_kind("endpoint") & (F.col("by_access") | F.col("by_secret")))
+    flags = ["by_access", "by_endpoint", "by_secret", "in_base", "in_endpoint"]
+    seen = weak.groupBy("row", "id", "kind", "start", "end", "base").agg(*[F.bool_or(x).alias(x) for x in flags])
+    token = _is("token") & ~F.col("in_endpoint") & (F.col("by_access") | F.col("by_endpoint"))
+    endpoint = _is("endpoint") & (F.col("by_access") | F.col("by_secret"))
+    keep = F.col("base") | (~F.col("in_base") & (token | endpoint))
     gone = lambda c: F.when(keep, F.col(c)).alias(c)
     return seen.select("row", "id", gone("kind"), gone("start"), gone("end"), "base")
 
@@ -106,18 +127,21 @@ def _sql() -> str:
         rows = f"SELECT rid, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w, unnest(ps) AS p, unnest(gs[1:len(ws)]) AS g FROM ({lists})"
         hits.append(f"SELECT rid, {i} AS kind, '{name}' AS name, sum(length(g) + length(w)) OVER (PARTITION BY rid ORDER BY i) AS e, length(w) AS n, {ok} AS ok FROM ({rows})")
     base = "kind < 3"
-    any_of = lambda cond: f"coalesce(bool_or({cond}) OVER near_, false)"
     joined = lambda cond: f"coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (WHERE {cond}), '')"
+    beside = lambda cond: f"CASE WHEN begins THEN bool_or(({cond}) AND NOT begins) OVER back_ ELSE bool_or(({cond}) AND begins) OVER ahead_ END"
+    over = lambda cond: f"begins AND (coalesce(max(CASE WHEN ({cond}) AND begins THEN e END) OVER all_back_ > s, false) OR coalesce(min(CASE WHEN ({cond}) AND begins THEN s END) OVER all_ahead_ < e, false))"
+    frame = lambda name, range_: f"{name} AS (PARTITION BY rid ORDER BY at_ RANGE BETWEEN {range_})"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), hits AS ({" UNION ALL ".join(hits)}), parts AS (
   SELECT rid, kind, name, (e - n)::BIGINT AS s, e::BIGINT AS e FROM hits WHERE ok
+), edges AS (SELECT *, s AS at_, true AS begins FROM parts UNION ALL SELECT *, e, false FROM parts), flagged AS (
+  SELECT rid, kind, name, s, e, {beside("kind = 1")} AS by_access, {beside("kind = 3")} AS by_endpoint, {beside("kind IN (0, 2)")} AS by_secret, {over(base)} AS in_base, {over("kind = 3")} AS in_endpoint
+  FROM edges WINDOW {frame("back_", f"{SCOPE} PRECEDING AND CURRENT ROW")}, {frame("ahead_", f"CURRENT ROW AND {SCOPE} FOLLOWING")},
+    {frame("all_back_", "UNBOUNDED PRECEDING AND CURRENT ROW")}, {frame("all_ahead_", "CURRENT ROW AND UNBOUNDED FOLLOWING")}
 ), seen AS (
-  SELECT *, {any_of("kind = 1")} AS by_access, {any_of("kind = 3")} AS by_endpoint, {any_of("kind IN (0, 2)")} AS by_secret,
-         coalesce(max(CASE WHEN {base} THEN e END) OVER (PARTITION BY rid ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > s, false)
-           OR coalesce(min(CASE WHEN {base} THEN s END) OVER (PARTITION BY rid ORDER BY s RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) < e, false) AS inside
-  FROM parts WINDOW near_ AS (PARTITION BY rid ORDER BY s RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)
+  SELECT rid, kind, name, s, e, bool_or(by_access) AS by_access, bool_or(by_endpoint) AS by_endpoint, bool_or(by_secret) AS by_secret, bool_or(in_base) AS in_base, bool_or(in_endpoint) AS in_endpoint FROM flagged GROUP BY ALL
 ), kept AS (
-  SELECT * FROM seen WHERE {base} OR NOT inside AND (kind = 4 AND (by_access OR by_endpoint) OR kind = 3 AND (by_access OR by_secret))
+  SELECT * FROM seen WHERE {base} OR NOT in_base AND (kind = 4 AND NOT in_endpoint AND (by_access OR by_endpoint) OR kind = 3 AND (by_access OR by_secret))
 )
 SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
        sha256({joined(base)}) AS base_sha256, {joined("kind IS NOT NULL")} AS spans

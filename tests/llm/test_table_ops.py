@@ -58,6 +58,39 @@ def base_spans(text):
     return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
 
 
+def all_spans(text):
+    """Base findings and the weak ones beside a complement, pair by pair."""
+    base = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    base += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    base += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    ends = [(m.start(), m.end(), "endpoint") for m in re.finditer(r"https?://[A-Za-z0-9._:/-]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}", text)]
+    tokens = [(m.start(), m.end(), "token") for m in re.finditer("[A-Za-z0-9+/_-]{16,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    meet = lambda p, others: any(p[0] < o[1] and o[0] < p[1] for o in others)
+    near = lambda p, kinds: any(0 <= max(o[0] - p[1], p[0] - o[1]) <= secrets.SCOPE for o in base + ends if o[2] in kinds)
+    weak = [t for t in tokens if not meet(t, base + ends) and near(t, ("access", "endpoint"))]
+    weak += [e for e in ends if not meet(e, base) and near(e, ("access", "assign", "hex"))]
+    rank = ["assign", "access", "hex", "endpoint", "token"].index
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(base + weak, key=lambda x: (x[0], rank(x[2]))))
+
+
+def test_links_by_gap(spark, make, tmp_path):
+    """Spans against pairwise linking, in Spark and in SQL, for random mixtures of parts and fillers."""
+    import duckdb
+
+    rng = random.Random(5)
+    part = lambda: rng.choice([KEY, "q1W2e3R4t5Y6u7I8", "https://cdn1/abcdefgh12345678", "10.0.0.1", "0a" * 13, "token=abcdef1", "x1" * rng.randint(8, 200), "secret: https://h/" + "a1" * 10, "token=" + "y2" * 130])
+    filler = lambda: rng.choice([" ", " . ", "é " * rng.randint(1, 60), " - " * rng.randint(20, 80), ""])
+    texts = ["see https://cdn1/abcdefgh12345678 end", KEY + " " * 190 + "q1W2e3R4t5Y6u7I8", KEY + " " * 201 + "q1W2e3R4t5Y6u7I8", "q1" * 200 + " " + KEY, "token=" + "z9" * 150 + " https://h.x/y"]
+    texts += ["".join(part() + filler() for _ in range(rng.randint(1, 9))) for _ in range(200)]
+    make(list((i, t, None) for i, t in enumerate(texts))).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: all_spans(t) for i, t in enumerate(texts)}
+    assert want[0] == "" and "token" in want[1] and "token" not in want[2] and "token" in want[3] and "endpoint" in want[4]
+    assert {r["doc_id"]: r["spans"] for r in secrets.op5_secrets(spark, str(tmp_path)).collect()} == want
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(con.sql(f"SELECT doc_id, spans FROM ({secrets.OP5_SQL})").fetchall()) == want
+
+
 KEY = "AKIA" + "ABCDEFGHIJKLMNOP"
 TEXTS = [
     None, "", "token=abc", "token=abcdef", f"PassWord: 'hunter22' 🙂 {KEY} and " + "0a" * 12, 'secret:token"=abcdefgh', "api_key = x apikey==========" , "AKIA" + "A" * 15, "é" * 500 + f" passwd=123456 {KEY}{KEY}",
@@ -78,6 +111,8 @@ def test_secret_spans(spark, make, tmp_path):
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == counts
         assert set(filter(None, want.split(","))) <= set(r["spans"].split(","))
     by = {r["doc_id"]: r["spans"] for r in rows}
+    for i, text in enumerate(TEXTS):
+        assert by[i] == all_spans(text or ""), (i, text)
     assert "token:21:37" in by[13] and "endpoint:38:56" in by[13]
     assert by[14] == by[15] == by[16] == "" and by[17].startswith("endpoint:0:8,assign")
     empty = secrets.scan_secrets(make([(1, "x", None)]).limit(0))
