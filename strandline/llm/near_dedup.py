@@ -13,16 +13,19 @@
    no link is lost to the choice of leaders. A bucket is cut into blocks of bounded size; a task compares the
    signatures of two blocks in memory, each pair in the first band it shares, and hands on the members that have a pair left,
    never the pairs; a second task verifies these on their sets and returns one link for each two components.
+   The members of a large bucket's main component never meet each other: they are dealt to the blocks of the rest only.
 
 Components come from rounds of minimum labels with pointer jumping over the contracted links.
 Everything is keyed by hashes and aggregated before it is shuffled; the hot keys, copies, are one class.
 
 With bands of 6 in 216 hashes a pair at the threshold 0.8 misses all bands with a probability of 2e-5, and
-one above it less. Sets are compared as 64-bit hashes, classes as 128-bit ones.
+one above it less. Sets are compared as 64-bit hashes of shingles. A class is told apart by a 128-bit hash of its set and
+named by half of it; where classes share a name, all but one of them are renamed before anything is joined by it.
 
 Edge cases: a null or empty text, or one without words, has an empty set, links with nothing and is kept.
 Rows of repeated ids are documents of their own in the comparison; one id may so stand in several
-components. A null id can't name a component: a component of null ids only is named null and keeps all its rows.
+components. Ids may be of any type that has an order. A null id can't name a component: a component of null ids only is named null
+and keeps all its rows.
 An empty table gives no rows. Columns other than the id and the text are not read.
 """
 
@@ -92,8 +95,10 @@ def shingle_set(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def class_key(shingles: np.ndarray) -> tuple[int, int]:
+def class_key(shingles: np.ndarray, name_bits: int = 64) -> tuple[int, int]:
+    """The name of a set's class and what tells it from others of that name."""
     a, b = divmod(xxhash.xxh3_128_intdigest(shingles.tobytes()), 1 << 64)
+    a >>= 64 - name_bits
     return a - (a >> 63 << 64), b - (b >> 63 << 64)
 
 
@@ -116,10 +121,10 @@ def band_hashes(short: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-SIGNED = "id long, n long, k1 long, k2 long, sig binary, bands array<long>"
+SIGNED = "n long, k1 long, k2 long, sig binary, bands array<long>"
 
 
-def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], words: int, name_bits: int) -> Iterator[pa.RecordBatch]:
     hashes, seen = WordHashes(), set()
     for batch in batches:
         cols: list[list] = [[] for _ in range(5)]
@@ -127,7 +132,7 @@ def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             s = shingle_set(text, words, hashes)
             row = [len(s), None, None, None, None]
             if len(s):
-                row[1:3] = key = class_key(s)
+                row[1:3] = key = class_key(s, name_bits)
                 if key not in seen:
                     if len(seen) >= CACHE_WORDS:
                         seen.clear()
@@ -170,13 +175,13 @@ def _prune(batches: Iterator[pa.RecordBatch], least: list[int]) -> Iterator[pa.R
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(class, text) -> (class, its set), if the text is of that class."""
+    """(class, the second half of its hash, text) -> (class, its set), if the text is of that class."""
     hashes = WordHashes()
     for batch in batches:
         ids, sets = [], []
-        for k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for k, rest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             s = shingle_set(text, words, hashes)
-            if len(s) and class_key(s)[0] == k:
+            if len(s) and class_key(s)[1] == rest:
                 ids.append(k)
                 sets.append(s.tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["k", "s"])
@@ -282,6 +287,47 @@ def contract(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def bucket_blocks(labelled: DataFrame) -> DataFrame:
+    """(bh, top, main_blocks, rest_blocks, dealt): how the buckets of ``labelled`` (bh, k1, n, c) that hold several components are cut.
+
+    A bucket that fits one block is one (``top`` is null then); of a larger one the main component ``top`` and the rest have blocks
+    of their own. ``dealt`` counts the rows that ``deal_blocks`` makes of it: in proportion to the bucket for each block of the rest.
+    """
+    parts = labelled.groupBy("bh", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    buckets = parts.groupBy("bh").agg(F.count(F.lit(1)).alias("components"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"), F.max(F.struct("size", "c", "shingles")).alias("main")).filter("components > 1")
+    blocks = lambda size, shingles: F.greatest(F.ceil(size / BLOCK_MEMBERS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    whole = blocks(F.col("size"), F.col("shingles")) == 1
+    main, rest = blocks(F.col("main.size"), F.col("main.shingles")), blocks(F.col("size") - F.col("main.size"), F.col("shingles") - F.col("main.shingles"))
+    cut = buckets.select(
+        "bh", "size", F.when(~whole, F.col("main.c")).alias("top"), F.when(~whole, F.col("main.size")).otherwise(0).alias("main_size"),
+        F.when(whole, 0).otherwise(main).alias("main_blocks"), F.when(whole, 1).otherwise(rest).alias("rest_blocks"),
+    )
+    dealt = F.col("main_size") * F.col("rest_blocks") + (F.col("size") - F.col("main_size")) * (F.col("main_blocks") + F.col("rest_blocks"))
+    return cut.select("bh", "top", "main_blocks", "rest_blocks", dealt.alias("dealt"))
+
+
+def deal_blocks(members: DataFrame) -> DataFrame:
+    """A row for each pair of blocks (bi, bj) that a member takes part in; blocks of the rest are numbered first."""
+    key, top = F.xxhash64("k1"), F.coalesce(F.col("c") == F.col("top"), F.lit(False))
+    members = members.withColumn("block", F.when(top, F.col("rest_blocks") + F.pmod(key, F.col("main_blocks"))).otherwise(F.pmod(key, F.col("rest_blocks"))).cast("int"))
+    others = F.when(top, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks"))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    dealt = dealt.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+    return dealt.select("bh", "band", "bi", "bj", "block", "k1", "n", "c", "sig")
+
+
+def one_name_each(signed: DataFrame, scratch: Scratch, first: list) -> tuple[DataFrame, DataFrame]:
+    """``signed`` and its classes (k1, k2, rep, n), with a ``k1`` that no two classes share."""
+    while True:
+        grouped = signed.filter("k1 is not null").groupBy("k1")
+        classes = scratch.keep(grouped.agg(F.min("k2").alias("k2"), F.max("k2").alias("k2_last"), F.min("id").alias("rep"), F.min("n").alias("n"), *first))
+        shared = classes.filter("k2 <> k2_last").select("k1", F.col("k2").alias("owner"))
+        if not shared.limit(1).count():
+            return signed, classes
+        renamed = signed.join(shared, "k1", "left").withColumn("k1", F.when(F.col("k2") != F.col("owner"), F.xxhash64("k1", "k2")).otherwise(F.col("k1")))
+        signed = scratch.keep(renamed.select(*signed.columns))
+
+
 class _Linker:
     """Candidates in, verified links merged into components of the classes."""
 
@@ -319,10 +365,10 @@ class _Linker:
 
     def full_sets(self, ends: DataFrame) -> DataFrame:
         """(k, s): the full set of each class ``k1`` in ``ends``, made anew from one of its texts."""
-        need = self.scratch.keep(self.classes.join(ends, "k1").select("k1", "rep"))
+        need = self.scratch.keep(self.classes.join(ends, "k1").select("k1", "k2", "rep"))
         need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
         words = self.words
-        texts = self.docs.join(need, self.docs["id"].eqNullSafe(need["rep"])).select("k1", "text")
+        texts = self.docs.join(need, self.docs["id"].eqNullSafe(need["rep"])).select("k1", "k2", "text")
         return self.scratch.keep(texts.mapInArrow(lambda it: _sets(it, words), "k long, s binary").dropDuplicates(["k"]))
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -336,17 +382,13 @@ class _Linker:
         labelled = members.join(self.comps.withColumnRenamed("x", "k1"), "k1")
         # Written, so that the join below has a plain scan on both sides and AQE can split a bucket with very many members.
         labelled = self.scratch.keep(labelled)
-        per_bucket = labelled.groupBy("bh").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("lo < hi")
-        blocks = F.greatest(F.ceil(F.col("size") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-        sizes = self.scratch.keep(per_bucket.select("bh", blocks.alias("blocks")))
-        rest = self.scratch.keep(labelled.join(sizes, "bh").select("bh", "band", "k1", "n", "c", "blocks"))
+        sizes = self.scratch.keep(bucket_blocks(labelled))
+        total = sizes.agg(F.sum("dealt")).first()[0] or 0
+        rest = self.scratch.keep(labelled.join(sizes.drop("dealt"), "bh"))
         sig = self.signed.filter("sig is not null").select("k1", "sig").join(rest.select("k1").distinct(), "k1", "left_semi").dropDuplicates(["k1"])
-        dealt = rest.join(sig, "k1").withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-        dealt = dealt.select("bh", "band", "bi", "bj", "block", "k1", "n", "c", "sig")
+        dealt = deal_blocks(rest.join(sig, "k1"))
         # Block pairs are dealt to cells of some thousand rows; a large one fills a cell by itself.
-        cells = 1 + rest.count() // CELL_ROWS
-        dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("bh", "bi", "bj"), F.lit(cells)))
+        dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("bh", "bi", "bj"), F.lit(1 + total // CELL_ROWS)))
         left = self.scratch.keep(dealt.groupBy("cell").applyInPandas(lambda rows: _open_members(rows, least, percent), dealt.schema))
         if left.limit(1).count():
             sets = self.full_sets(left.select("k1").distinct())
@@ -359,19 +401,23 @@ class _Linker:
         self.comps = self.scratch.keep(self.comps.join(moved, "c", "left").select("x", F.coalesce("to", "c").alias("c")))
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY, row_col: str | None = None) -> DataFrame:
+def near_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = SIMILARITY, row_col: str | None = None, name_bits: int = 64
+) -> DataFrame:
     """One row per row of ``docs``: (id, n_shingles, component_id, kept).
 
     With ``row_col``, a long that is unique to each row, also that column and ``chosen``: true for one row of each component, of its
-    smallest id (nulls last) and then of the smallest ``row_col``, and for each row with an empty set.
+    smallest id (nulls last) and then of the smallest ``row_col``, and for each row with an empty set. ``name_bits`` is the width of
+    the hashes that name classes at first.
     """
     scratch = Scratch(docs.sparkSession)
     keep = scratch.keep
+    kind = docs.schema[id_col].dataType.simpleString()
     key = [] if row_col is None else [F.col(row_col).alias("row")]
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *key)
-    signed = keep(docs.mapInArrow(lambda it: _sign(it, words), SIGNED + ", row long" * len(key)))
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *key)
+    signed = keep(docs.mapInArrow(lambda it: _sign(it, words, name_bits), f"id {kind}, {SIGNED}" + ", row long" * len(key)))
     first = [F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")] * len(key)
-    classes = keep(signed.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), *first))
+    signed, classes = one_name_each(signed, scratch, first)
 
     banded = signed.filter("bands is not null").select("k1", "n", F.posexplode("bands").alias("band", "bh"))
     shared = banded.groupBy("bh").agg(F.min("k1").alias("lead"), F.max("k1").alias("other")).filter("lead < other").select("bh", "lead")
@@ -392,8 +438,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = classes.join(linker.comps, classes["k1"] == linker.comps["x"], "left").withColumn("c", F.coalesce("c", "k1"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"), *[F.min("first").alias("first") for _ in key])
-    named = keep(named.select("k1", "k2", "c").join(least, "c").select("k1", "k2", "component_id", *[F.col("first.row").alias("first_row") for _ in key]))
-    out = signed.select("id", "n", "k1", "k2", *["row" for _ in key]).join(named, ["k1", "k2"], "left")
+    named = keep(named.select("k1", "c").join(least, "c").select("k1", "component_id", *[F.col("first.row").alias("first_row") for _ in key]))
+    out = signed.select("id", "n", "k1", *["row" for _ in key]).join(named, "k1", "left")
     component = F.when(F.col("k1").isNull(), F.col("id")).otherwise(F.col("component_id"))
     own = [F.col("row").alias(row_col), (F.col("k1").isNull() | (F.col("row") == F.col("first_row"))).alias("chosen")] if key else []
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), *own)

@@ -361,3 +361,53 @@ def test_min_hashes_estimate_similarity():
     x = rng.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2)
     equal = [(near_dedup.min_hashes(near_dedup._mix(x[:300] + np.uint64(k))) == near_dedup.min_hashes(near_dedup._mix(x[100:] + np.uint64(k)))).mean() for k in range(40)]
     assert abs(np.mean(equal) - 0.5) < 0.02
+
+
+def test_classes_that_share_a_name(make):
+    """Names of 4 bits clash all the time; the result is that of brute force."""
+    rows = near_rows()
+    got = near_dedup.near_components(make([(i, t, None) for i, t in rows]), words=4, name_bits=4).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows, 4, 80)
+
+
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([("d-2", "one and the same few words"), ("d-1", "one and the same few words"), ("e", "something else altogether, my dear")], "doc_id string, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_dedup.near_components(df).collect()}
+    assert got == {"d-1": ("d-1", True), "d-2": ("d-1", False), "e": ("e", True)}
+
+
+def test_alike_members_are_dealt_once(spark):
+    """One stray class among many of one component costs a row a member, not one for each block."""
+    n = 20_000
+    labelled = spark.range(n + 1).select(F.lit(7).cast("long").alias("bh"), F.lit(0).alias("band"), F.col("id").alias("k1"), F.lit(30).cast("long").alias("n"), F.when(F.col("id") == n, 1).otherwise(0).cast("long").alias("c"), F.lit(None).cast("binary").alias("sig"))
+    sizes = near_dedup.bucket_blocks(labelled)
+    (r,) = sizes.collect()
+    dealt = near_dedup.deal_blocks(labelled.join(sizes.drop("dealt"), "bh"))
+    assert (r["rest_blocks"], r["main_blocks"]) == (1, 20) and dealt.count() == r["dealt"] == n + 21
+    met = dealt.filter("k1 = 20000").select("bi", "bj").distinct().count()
+    assert met == 21 and dealt.filter("bi > 0").count() == 0
+    small = labelled.filter(F.col("k1") > n - 500)
+    sizes = near_dedup.bucket_blocks(small)
+    assert near_dedup.deal_blocks(small.join(sizes.drop("dealt"), "bh")).count() == sizes.first()["dealt"] == 500
+    assert near_dedup.bucket_blocks(labelled.filter("c = 0")).count() == 0
+
+
+def test_bucket_of_several_blocks(make, monkeypatch):
+    """Blocks of few members, so that main and rest are cut: the components are those of brute force."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(near_dedup, "SALTS", 64)
+    rows = near_rows()
+    got = near_dedup.near_components(make([(i, t, None) for i, t in rows]), words=4).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute_components(rows, 4, 80)
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    """Pairs of similarity 0.8 exactly, through the real hashes: none is missed by the bands, none pruned."""
+    rng = np.random.default_rng(4)
+    least, missed = near_dedup.least_equal(0.8), 0
+    for _ in range(600):
+        x = rng.integers(0, 2**63, 100).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        short = [(near_dedup._mix(near_dedup.min_hashes(s).astype(np.uint64)) >> np.uint64(48)).astype(np.uint16) for s in (x[:90], x[10:])]
+        ends = (short[0] == short[1]).cumsum()[np.arange(1, len(least) + 1) * near_dedup.BATCH - 1]
+        missed += not (near_dedup.band_hashes(short[0]) == near_dedup.band_hashes(short[1])).any() or (ends < least).any()
+    assert missed == 0
