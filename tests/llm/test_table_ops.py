@@ -275,6 +275,24 @@ def test_search_matches_brute_force(spark, dim, n):
     assert got == sorted(want)
 
 
+def test_search_of_common_segments(spark, monkeypatch):
+    """Codes that share segment values, with an index that is not broadcast and whose common values are cut into blocks."""
+    monkeypatch.setattr(codes, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(codes, "BLOCK_CODES", 16)
+    monkeypatch.setattr(codes, "LANDMARKS", 3)
+    monkeypatch.setattr(codes, "PROBES_A_TASK", 500)
+    rng = np.random.default_rng(11)
+    vecs = rng.choice([-1.0, 1.0], size=(260, 24))
+    vecs[:200, :16] = 1.0
+    rows = [(f"v{i:03}", v.tolist(), i % 5 == 0) for i, v in enumerate(vecs)] + [("v000", vecs[0].tolist(), False)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>, asks boolean")
+    want = []
+    for q in range(0, 260, 5):
+        near = sorted((int((vecs[q] != vecs[i]).sum()), f"v{i:03}") for i in range(260) if i != q)[:7]
+        want += [(f"v{q:03}", r + 1, i, d) for r, (d, i) in enumerate(near)]
+    assert sorted(tuple(r) for r in codes.search(df, F.col("asks"), k=7).collect()) == sorted(want)
+
+
 def test_search_of_few_or_none(spark):
     df = spark.createDataFrame([(0, [1.0, -1.0]), (50, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted(tuple(r) for r in codes.search(df, F.col("vec_id") % 50 == 0).collect()) == [(0, 1, 50, 1), (50, 1, 0, 1)]
