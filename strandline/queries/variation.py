@@ -115,17 +115,90 @@ def phasings(spark, sf):
     return rows.select((F.col("sample") % 2).alias("file"), "site", "sample", (x % 3).alias("first"), (F.floor(x / 3) % 3).alias("second"), (F.floor(F.col("site") / 10 + F.col("sample")) % 4 != 3).alias("diploid"), (x % 11 != 0).alias("phased"))
 
 
-@query("h13_generate_haplotypes")
+#: How many leading nodes two lists have in common.
+ALIKE = "coalesce(nullif(list_position(list_transform(list_zip({x}[1:least(len({x}), len({y}))], {y}[1:least(len({x}), len({y}))]), lambda p: p[1] = p[2]), false), 0) - 1, least(len({x}), len({y})))"
+
+
+def alike(x: str, y: str) -> str:
+    return ALIKE.format(x=x, y=y)
+
+
+@query("h06_fill_reference", f"""WITH {VP}, until_ AS (SELECT site, ref_end, coalesce(lead(ref_start) OVER (ORDER BY site), (SELECT count(*) FROM reference)) AS until FROM sites)
+SELECT site, allele, array_to_string(list_concat(path, coalesce((SELECT list(node ORDER BY pos) FROM reference WHERE pos >= ref_end AND pos < until), [])), ',') AS path FROM every_ JOIN until_ USING (site)""")
+def h06(spark, sf):
+    return V.filled_alleles(vp(spark, sf)).select("site", "allele", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+@query("h07_append_variant", f"""WITH {VP}, ref_ AS (SELECT list(node ORDER BY pos) AS r FROM reference), near_ AS (
+  SELECT s.site, a.allele AS before, b.allele, a.path AS t, b.path AS h, t.ref_end AS e, s.ref_start AS b FROM sites s JOIN sites t ON t.site = s.site - 1 JOIN alleles a ON a.site = t.site JOIN alleles b ON b.site = s.site
+), met_ AS (SELECT *, r[b + 1 : e] AS x, r[e + 1 : b] AS gap, list_reverse(t) AS rt, list_reverse(r[b + 1 : e]) AS rx FROM near_, ref_), both_ AS (SELECT *, {alike("rt", "rx")} AS s, {alike("h", "x")} AS p FROM met_)
+SELECT site, before, allele, CASE WHEN s + p >= len(x) THEN s END AS cut, CASE WHEN s + p >= len(x) THEN array_to_string(list_concat(list_concat(t[1 : len(t) - s], gap), h[len(x) - s + 1 :]), ',') END AS path FROM both_""")
+def h07(spark, sf):
+    return V.joined_alleles(vp(spark, sf)).select("site", "before", "allele", "cut", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
+#: The genotypes of ``phasings``, and one step of a recursion for each site: a walk (file, sample, phase) with its nodes, and what ends in the step.
+PHASINGS = """phasings AS (
+  SELECT c_custkey % 2 AS file, site, c_custkey AS sample, x % 3 AS first, (x // 3) % 3 AS second, (site // 10 + c_custkey) % 4 <> 3 AS diploid, x % 11 <> 0 AS phased
+  FROM (SELECT *, c_custkey * 31 + site * 17 AS x FROM customer, sites)
+)"""
+
+
+def _generated(tail: str, skip: bool, files: str = "true") -> str:
+    """``made``: (file, sample, phase, ends, k, path) in the order of the sites, and the query over it."""
+    return f"""WITH RECURSIVE {VP}, {PHASINGS}, ref_ AS (SELECT list(node ORDER BY pos) AS r, count(*) AS size FROM reference), bounds_ AS (
+  SELECT site, ref_start AS b, ref_end AS e, coalesce(lag(ref_end) OVER (ORDER BY site), 0) AS prev_end, coalesce(lead(ref_start) OVER (ORDER BY site), (SELECT size FROM ref_)) AS next_b FROM sites
+), steps AS (
+  SELECT p.*, phase, b, e, prev_end, next_b, a.path AS allele FROM phasings p JOIN bounds_ USING (site), (VALUES (0), (1)) f(phase)
+  LEFT JOIN alleles a ON a.site = p.site AND a.allele = CASE WHEN phase = 0 THEN p.first ELSE p.second END WHERE {files}
+), walk AS (
+  SELECT file, sample, phase, -1::BIGINT AS site, false AS alive, false AS dip, []::BIGINT[] AS nodes, 0::BIGINT AS at_, []::STRUCT(ends BIGINT, path BIGINT[])[] AS ended FROM (SELECT DISTINCT file, sample, phase FROM steps)
+  UNION ALL
+  SELECT file, sample, phase, site, on_ AND phased, dip, CASE WHEN NOT on_ THEN []::BIGINT[] ELSE grown END, stop_,
+         list_concat(list_concat(CASE WHEN broken THEN [{{'ends': site, 'path': closing}}] ELSE [] END, CASE WHEN torn THEN [{{'ends': site, 'path': nodes}}] ELSE [] END),
+                     CASE WHEN on_ AND NOT phased THEN [{{'ends': site, 'path': list_concat(grown, r[stop_ + 1 : next_b])}}] ELSE [] END)
+  FROM (
+    SELECT *, CASE WHEN allele IS NULL OR clash AND NOT torn THEN nodes WHEN torn THEN allele ELSE list_concat(list_concat(nodes[1 : len(nodes) - s], r[at_ + 1 : b]), allele[len(x) - s + 1 :]) END AS grown,
+           CASE WHEN allele IS NULL OR clash AND NOT torn THEN at_ ELSE e END AS stop_
+    FROM (
+      SELECT *, on_ AND allele IS NOT NULL AND s + p < len(x) AS clash, on_ AND allele IS NOT NULL AND s + p < len(x) AND NOT {str(skip).lower()} AS torn
+      FROM (
+        SELECT *, {alike("rn", "rx")} AS s, {alike("allele", "x")} AS p
+        FROM (SELECT *, list_reverse(nodes) AS rn, list_reverse(x) AS rx FROM (SELECT *, r[b + 1 : at_] AS x FROM (
+          SELECT file, sample, phase, site, broken, closing, phased, b, e, next_b, allele, r, phase = 0 OR diploid AS on_,
+                 CASE WHEN broken OR NOT alive THEN []::BIGINT[] ELSE nodes END AS nodes, CASE WHEN broken OR NOT alive THEN prev_end ELSE at_ END AS at_, CASE WHEN broken OR NOT alive THEN diploid ELSE dip END AS dip
+          FROM (
+            SELECT w.nodes, w.at_, w.alive, w.dip, t.*, r, w.alive AND (NOT t.phased OR CASE WHEN t.phase = 0 THEN w.dip <> t.diploid ELSE NOT t.diploid END) AS broken, list_concat(w.nodes, r[w.at_ + 1 : t.b]) AS closing
+            FROM walk w JOIN steps t ON t.file = w.file AND t.sample = w.sample AND t.phase = w.phase AND t.site = w.site + 1, ref_
+          ))))
+      )
+    )
+  )
+), sites_n AS (SELECT count(*) AS n FROM sites), parts AS (
+  SELECT file, sample, phase, site, i, ended[i].ends AS ends, ended[i].path AS path FROM (SELECT *, unnest(range(1, len(ended) + 1)) AS i FROM walk)
+  UNION ALL SELECT file, sample, phase, n, 1, n, list_concat(nodes, r[at_ + 1 : size]) FROM walk, ref_, sites_n WHERE site = n - 1 AND alive
+), counted AS (
+  SELECT *, row_number() OVER (PARTITION BY file, sample, phase ORDER BY site, i) - 1 AS k FROM parts
+), made AS (
+  SELECT dense_rank() OVER (ORDER BY file, ends, sample, phase, k) - 1 AS seq_id, file, sample, phase, k AS count, path FROM counted
+) {tail}"""
+
+
+PRINTED = "SELECT seq_id, file, sample, phase, count, array_to_string(path, ',') AS path FROM made"
+
+
+@query("h13_generate_haplotypes", _generated(PRINTED, skip=False))
 def h13(spark, sf):
     return V.generate_haplotypes(vp(spark, sf), phasings(spark, sf)).select("seq_id", "file", "sample", "phase", "count", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
-@query("h13_generate_skipping")
+@query("h13_generate_skipping", _generated(PRINTED, skip=True, files="p.file = 1"))
 def h13_skip(spark, sf):
     return V.generate_haplotypes(vp(spark, sf), phasings(spark, sf), skip=True, files=[1]).select("seq_id", "file", "sample", "phase", "count", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
-@query("h14_indexed_haplotypes")
+@query("h14_indexed_haplotypes", _generated("""SELECT sequences, size, least_ - 1 AS offset, top + 1 AS alphabet_size, top + 2 - least_ AS effective, true AS bidirectional FROM (
+  SELECT 2 * count(*) AS sequences, (2 * sum(len(path) + 1))::BIGINT AS size, min(2 * list_min(path)) AS least_, max(2 * list_max(path)) + 1 AS top FROM made)""", skip=False))
 def h14(spark, sf):
     """Generated, named, indexed in both orientations, and described."""
     from ..tools import build_from_variants

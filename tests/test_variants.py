@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import variants as V
 
+# The inputs and expected haplotypes of FIXTURES.md, F4a (BASIC), F4b (OVERLAP) and F4c (SKIP). The order of `want` counts.
 BASIC = dict(
     sites=[(2, 4), (6, 7), (8, 9)], alleles=[[[11, 12]], [[13], [14, 15]], [[16], []]],
     genotypes=[["1|0", "1|1", "0"], ["0", "1/2", "2|0"], ["2|1", "1|0", "0|1"]], skip=False, first=10,
@@ -12,7 +13,7 @@ BASIC = dict(
 )
 OVERLAP = dict(
     sites=[(2, 4), (3, 6), (4, 7)], alleles=[[[3, 11], [12, 4]], [[4, 13, 6], [14, 5, 15], [14, 5, 6]], [[5, 16, 7], [17, 6, 7], [5, 6, 18]]],
-    genotypes=[list("2100000"), list("2112132"), list("0021123")], skip=False, first=0,
+    genotypes=[["2", "1", "0", "0", "0", "0", "0"], ["2", "1", "1", "2", "1", "3", "2"], ["0", "0", "2", "1", "1", "2", "3"]], skip=False, first=0,
     want=[[1, 2, 3, 4, 13, 6], [1, 2, 3, 14, 5, 15], [1, 2, 12, 14, 5, 15, 7, 8, 9, 10], [1, 2, 3, 11, 13, 6, 7, 8, 9, 10], [17, 6, 7, 8, 9, 10], [5, 16, 7, 8, 9, 10], [1, 2, 3, 4, 13, 16, 7, 8, 9, 10], [1, 2, 3, 14, 17, 6, 7, 8, 9, 10], [1, 2, 3, 14, 5, 15, 18, 8, 9, 10]],
 )
 SKIP = OVERLAP | dict(
