@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.index import PathIndex
+from ..plans.tables import places_within
 
 
 def write_varint(out: bytearray, value: int) -> None:
@@ -60,38 +61,46 @@ class RunCode:
         return value, length, at
 
 
-@F.pandas_udf(T.BinaryType())
-def varint(values: pd.Series) -> pd.Series:
-    """A bigint as a varint."""
+#: Shifts of the groups of a varint; a 64-bit number has at most ten of them.
+_GROUPS = np.arange(0, 70, 7, dtype=np.uint64)
 
-    def one(v):
-        out = bytearray()
-        write_varint(out, int(v))
-        return bytes(out)
 
-    return values.map(one)
+@F.pandas_udf(T.BinaryType())
+def varint(values: pd.Series) -> pd.Series:
+    """A bigint as a varint, group by group for all values at once; negative numbers as their unsigned view."""
+    rest = values.to_numpy(np.int64).view(np.uint64)[:, None] >> np.minimum(_GROUPS, np.uint64(63))
+    length = np.maximum((rest[:, :9] > 0).sum(axis=1) + (rest[:, 9] > 0), 1)
+    place = np.arange(len(_GROUPS))
+    groups = (rest & np.uint64(127)).astype(np.uint8) | np.where(place < length[:, None] - 1, 128, 0).astype(np.uint8)
+    flat = groups[place < length[:, None]].tobytes()
+    ends = np.cumsum(length).tolist()
+    return pd.Series([flat[a:b] for a, b in zip([0, *ends], ends)], dtype=object)
 
 
 @F.pandas_udf(T.LongType())
 def from_varint(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: read_varint(b, 0)[0])
-
-
-#: The shifts of the hash, step by step: (kind, shifts). Fixed values.
-_WANG = (("sum", (21,)), ("xor", (24,)), ("add", (3, 8)), ("xor", (14,)), ("add", (2, 4)), ("xor", (28,)), ("add", (31,)))
+    lengths = data.map(len).to_numpy(np.int64)
+    if not len(lengths):
+        return pd.Series([], dtype="int64")
+    starts = np.cumsum(lengths) - lengths
+    flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64) & np.uint64(127)
+    place = np.arange(len(flat)) - np.repeat(starts, lengths)
+    return pd.Series(np.add.reduceat(flat << _GROUPS[place], starts).view(np.int64))
 
 
 @F.pandas_udf(T.LongType())
 def wang_hash(values: pd.Series) -> pd.Series:
-    """Thomas Wang's 64-bit integer hash; unsigned arithmetic wraps, so the result is the signed view."""
-    x = values.to_numpy(np.int64).view(np.uint64).copy()
+    """Thomas Wang's 64-bit integer hash; unsigned arithmetic wraps, so the result is the signed view. Its shifts are fixed values."""
+    u = np.uint64
+    x = values.to_numpy(np.int64).view(np.uint64)
     with np.errstate(over="ignore"):
-        for kind, shifts in _WANG:
-            parts = [x >> np.uint64(s) if kind == "xor" else x << np.uint64(s) for s in shifts]
-            if kind == "xor":
-                x = x ^ parts[0]
-            else:
-                x = (~x if kind == "sum" else x) + sum(parts[1:], parts[0])
+        x = ~x + (x << u(21))
+        x = x ^ (x >> u(24))
+        x = x + (x << u(3)) + (x << u(8))
+        x = x ^ (x >> u(14))
+        x = x + (x << u(2)) + (x << u(4))
+        x = x ^ (x >> u(28))
+        x = x + (x << u(31))
     return pd.Series(x.view(np.int64))
 
 
@@ -189,11 +198,10 @@ def unzstd(data: bytes) -> bytes:
 
 
 def gaps(values: DataFrame) -> DataFrame:
-    """(node, i, gap): sorted offsets of each node as differences to the one before."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("node").orderBy("off")
-    return values.select("node", (F.row_number().over(order) - 1).cast("long").alias("i"), (F.col("off") - F.coalesce(F.lag("off").over(order), F.lit(0))).alias("gap"))
+    """(node, i, gap): sorted offsets of each node as differences to the one before; a node of any size is spread."""
+    own = places_within(values.select("node", "off"), "node", ["off"], "i")
+    before = own.select("node", (F.col("i") + 1).alias("i"), F.col("off").alias("before"))
+    return own.join(before, ["node", "i"], "left").select("node", "i", (F.col("off") - F.coalesce("before", F.lit(0))).alias("gap"))
 
 
 def sorted_distinct(values: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import PathIndex
+from ..plans.tables import BLOCK, cut
 from .search import visits_in
 from .stats import sampled
 
@@ -17,11 +18,17 @@ def try_locate(index: PathIndex, positions: DataFrame, interval: int) -> DataFra
 
 def next_sample(index: PathIndex, positions: DataFrame, interval: int) -> DataFrame:
     """(node, off, sample_off, seq_id): the first sample at or after each position of the same node."""
-    samples = sampled(index, interval).select("node", "off", F.col("off").alias("sample_off"), "seq_id", F.lit(0).alias("asks"))
-    rows = samples.unionByName(positions.select("node", "off", F.lit(1).alias("asks")), allowMissingColumns=True)
-    ahead = Window.partitionBy("node").orderBy("off", F.desc("asks")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = rows.select("node", "off", "asks", F.first("sample_off", ignorenulls=True).over(ahead).alias("sample_off"), F.first("seq_id", ignorenulls=True).over(ahead).alias("seq_id"))
-    return found.filter("asks = 1 and sample_off is not null").drop("asks")
+    block = F.floor(F.col("off") / BLOCK).alias("block")
+    samples = sampled(index, interval).select("node", block, "off", F.col("off").alias("sample_off"), "seq_id", F.lit(0).alias("asks"))
+    # Within a block of offsets by a sweep, beyond it from the first sample of a later block: a row for each block with samples.
+    firsts = samples.groupBy("node", "block").agg(F.min(F.struct("sample_off", "seq_id")).alias("own"))
+    rows = samples.unionByName(positions.select("node", block, "off", F.lit(1).alias("asks")), allowMissingColumns=True)
+    later = Window.partitionBy("node").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    blocks = rows.select("node", "block").distinct().join(firsts, ["node", "block"], "left").select("node", "block", F.first("own", ignorenulls=True).over(later).alias("then"))
+    ahead = Window.partitionBy("node", "block").orderBy("off", F.desc("asks")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    own = F.first(F.when(F.col("asks") == 0, F.struct("sample_off", "seq_id")), ignorenulls=True).over(ahead)
+    found = rows.withColumn("near", own).filter("asks = 1").join(blocks, ["node", "block"]).withColumn("near", F.coalesce("near", "then"))
+    return found.filter("near is not null").select("node", "off", "near.sample_off", "near.seq_id")
 
 
 def locate_positions(index: PathIndex, positions: DataFrame) -> DataFrame:
@@ -30,7 +37,7 @@ def locate_positions(index: PathIndex, positions: DataFrame) -> DataFrame:
 
 
 def locate_by_walking(index: PathIndex, positions: DataFrame, interval: int) -> DataFrame:
-    """The same with samples only: step along the path until a sample is met."""
+    """The same with samples only: step along the path until a sample is met. What has met none is written after each step."""
     samples, steps = sampled(index, interval), index.visits.select("node", "off", "next", "next_off")
     open_ = positions.select("node", "off", F.col("node").alias("n"), F.col("off").alias("o"))
     found = None
@@ -39,7 +46,9 @@ def locate_by_walking(index: PathIndex, positions: DataFrame, interval: int) ->
         hit = open_.join(at(samples), ["n", "o"]).select("node", "off", "seq_id")
         found = hit if found is None else found.unionByName(hit)
         missed = open_.join(at(samples), ["n", "o"], "left_anti")
-        open_ = missed.join(at(steps), ["n", "o"]).select("node", "off", F.col("next").alias("n"), F.col("next_off").alias("o"))
+        open_ = cut(missed.join(at(steps), ["n", "o"]).select("node", "off", F.col("next").alias("n"), F.col("next_off").alias("o")))
+        if not open_.limit(1).count():
+            break
     return found
 
 
@@ -101,5 +110,17 @@ def find_with_first(index: PathIndex, states: DataFrame) -> DataFrame:
 
 def locate_next(index: PathIndex) -> DataFrame:
     """(node, packed, next_packed): the successor function of the packed values within each node."""
-    following = F.lead("packed").over(Window.partitionBy("node").orderBy("off"))
-    return suffix_array(index).select("node", "packed", following.alias("next_packed")).filter("next_packed is not null")
+    sa = suffix_array(index).select("node", "off", "packed")
+    following = sa.select("node", (F.col("off") - 1).alias("off"), F.col("packed").alias("next_packed"))
+    return sa.join(following, ["node", "off"]).select("node", "packed", "next_packed")
+
+
+def locate_by_successors(index: PathIndex, found: DataFrame) -> DataFrame:
+    """(query_id, seq_id) of states with their first packed value (``find_with_first``): the first one's sequence and those of the
+    values that follow it in the range, block by block of offsets."""
+    first = found.select("query_id", "node", "sp", "ep", "first")
+    after = suffix_array(index).select("node", F.col("off"), "packed", "max_length")
+    states = first.withColumn("_block", F.explode(F.sequence(F.floor(F.col("sp") / BLOCK), F.floor(F.col("ep") / BLOCK))))
+    met = states.join(after.withColumn("_block", F.floor(F.col("off") / BLOCK)), ["node", "_block"]).filter(F.col("off").between(F.col("sp"), F.col("ep")))
+    seq = unpack(F.when(F.col("off") == F.col("sp"), F.col("first")).otherwise(F.col("packed")), F.col("max_length"))[0]
+    return met.select("query_id", seq.alias("seq_id")).distinct()

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import dense_ids
+from ..plans.tables import dense_ids, places_within
 from . import dictionary as D
 
 PATH_NAME = ("sample_id", "contig_id", "phase", "count")
@@ -162,11 +162,10 @@ def merge_policy(kind: str, own: Metadata | None, own_empty: bool, source: Metad
 def split(names: DataFrame, mapping: DataFrame) -> DataFrame:
     """(subgraph, path_id, sample_id, contig_id, phase, count, old ids): ids anew, by first appearance in each subgraph."""
     own = names.join(mapping, "path_id")
-    new_path = (F.row_number().over(Window.partitionBy("subgraph").orderBy("path_id")) - 1).cast("long")
-    out = own.withColumn("new_path", new_path)
+    out = places_within(own, "subgraph", ["path_id"], "new_path")
     for column in ("sample_id", "contig_id"):
         first = own.groupBy("subgraph", column).agg(F.min("path_id").alias("first"))
-        ids = first.withColumn(f"new_{column}", (F.dense_rank().over(Window.partitionBy("subgraph").orderBy("first")) - 1).cast("long")).drop("first")
+        ids = places_within(first, "subgraph", ["first"], f"new_{column}", ["subgraph", column])
         out = out.join(ids, ["subgraph", column])
     return out.select("subgraph", F.col("new_path").alias("path_id"), F.col("new_sample_id").alias("sample_id"), F.col("new_contig_id").alias("contig_id"), "phase", "count", F.col("sample_id").alias("old_sample"), F.col("contig_id").alias("old_contig"))
 

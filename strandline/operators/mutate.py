@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import PathIndex, both_orientations
-from ..plans.tables import dense_ids
+from ..plans.tables import dense_ids, places_within
 
 
 def insert(index: PathIndex, paths: DataFrame, both: bool | None = None) -> PathIndex:
@@ -18,29 +19,28 @@ def insert(index: PathIndex, paths: DataFrame, both: bool | None = None) -> Path
     return _append(index, new, index.bidirectional and both)
 
 
-def _append(index: PathIndex, new: DataFrame, bidirectional: bool) -> PathIndex:
+def _append(index: PathIndex, new: DataFrame, bidirectional: bool, method: str | None = None) -> PathIndex:
     shift = index.visits.agg(F.count_if(F.col("pos") == 0).alias("n"))
     moved = new.crossJoin(F.broadcast(shift)).select((F.col("seq_id") + F.col("n")).alias("seq_id"), "path")  # one row
-    return PathIndex.build(index.paths.unionByName(moved), bidirectional, tags=index.tags, metadata=index.metadata)
+    return PathIndex.build(index.paths.unionByName(moved), bidirectional, method, tags=index.tags, metadata=index.metadata)
 
 
-def merge(index: PathIndex, other: PathIndex) -> PathIndex:
+def merge(index: PathIndex, other: PathIndex, method: str | None = None) -> PathIndex:
     """Append all sequences of another index; ranks change only where nodes are shared, but all are made anew."""
-    return _append(index, other.paths, index.bidirectional and other.bidirectional)
+    return _append(index, other.paths, index.bidirectional and other.bidirectional, method)
 
 
 def shared_nodes(one: PathIndex, other: PathIndex) -> DataFrame:
     """Real nodes that both indexes visit."""
-    nodes = lambda i: i.visits.filter("node <> 0").select("node").distinct()
+    nodes = lambda i: i.node_sizes.filter("node <> 0").select("node")
     return nodes(one).join(nodes(other), "node", "left_semi")
 
 
 def merge_disjoint(indexes: list[PathIndex]) -> PathIndex:
-    """Merge indexes without common nodes: ranks stay, only sequence ids and start rows move. Tags are dropped."""
-    for i, one in enumerate(indexes):
-        for other in indexes[i + 1 :]:
-            if shared_nodes(one, other).limit(1).count():
-                raise ValueError("the indexes share nodes")
+    """Merge indexes without common nodes, which is counted once over all of them: ranks stay, only sequence ids and start rows move. Tags are dropped."""
+    nodes = reduce(DataFrame.unionAll, [one.node_sizes.filter("node <> 0").select("node") for one in indexes])
+    if nodes.groupBy("node").count().filter("count > 1").limit(1).count():
+        raise ValueError("the indexes share nodes")
     out, shift = None, 0
     for one in indexes:
         moved = one.visits.select(
@@ -56,8 +56,8 @@ def _renumbered(visits: DataFrame, ids: DataFrame) -> DataFrame:
     """Survivors (seq_id -> new_id) with their new ids and offsets; they keep their order, so nothing is re-ranked by prefix."""
     kept = visits.join(ids, "seq_id")
     order = F.when(F.col("node") == 0, F.col("new_id")).otherwise(F.col("off"))
-    off = (F.row_number().over(Window.partitionBy("node").orderBy(order)) - 1).cast("long")
-    ranked = kept.select(F.col("new_id").alias("seq_id"), "pos", "node", F.when(F.col("node") == 0, F.col("new_id")).otherwise(off).alias("off"), "next", "prev")
+    kept = places_within(kept.select(F.col("new_id").alias("seq_id"), "pos", "node", "next", "prev", order.alias("_order")), "node", ["_order"], "_off")
+    ranked = kept.select("seq_id", "pos", "node", F.when(F.col("node") == 0, F.col("seq_id")).otherwise(F.col("_off")).alias("off"), "next", "prev")
     along = Window.partitionBy("seq_id").orderBy("pos")
     return ranked.select("node", "off", "seq_id", "pos", "next", F.lead("off").over(along).alias("next_off"), "prev", F.lag("off").over(along).alias("prev_off"))
 
@@ -87,7 +87,7 @@ def split(index: PathIndex, mapping: DataFrame) -> DataFrame:
     must keep connected nodes together; then the offsets of real nodes stay as they are.
     """
     first = index.visits.filter("pos = 0 and next <> 0").select("seq_id", F.shiftright("next", 1).alias("node_id")).join(mapping, "node_id").select("seq_id", "subgraph")
-    ids = first.withColumn("new_id", (F.row_number().over(Window.partitionBy("subgraph").orderBy("seq_id")) - 1).cast("long"))
+    ids = places_within(first, "subgraph", ["seq_id"], "new_id")
     kept = index.visits.join(ids, "seq_id")
     start = lambda node, off: F.when(F.col(node) == 0, F.col("new_id")).otherwise(F.col(off)).alias(off)
     return kept.select("subgraph", "node", start("node", "off"), F.col("new_id").alias("seq_id"), "pos", "next", "next_off", "prev", start("prev", "prev_off"))

@@ -8,30 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import PathIndex, flip, reverse_path
-from ..plans.tables import cut
+from ..plans.tables import BLOCK, cut, sums_within
 
 
 def find_nodes(index: PathIndex, nodes: DataFrame) -> DataFrame:
     """(node, sp, ep, cnt) of each node that is visited."""
-    return index.visits.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("off").alias("sp"), F.max("off").alias("ep"), F.count(F.lit(1)).alias("cnt"))
+    own = index.node_sizes.join(nodes.select("node").distinct(), "node", "left_semi")
+    return own.select("node", F.lit(0).cast("long").alias("sp"), (F.col("size") - 1).alias("ep"), F.col("size").alias("cnt"))
 
 
 def _occurrences(index: PathIndex, patterns: DataFrame, from_start: bool = False) -> DataFrame:
     """(query_id, node, off, seq_id): visits that complete a pattern.
 
-    A pattern is sought at its rarest node: the visits of that node, and not of the last one, are joined with
-    the paths, which keeps hot labels out of the join as far as the patterns allow.
+    A pattern is sought at its rarest node, not at its last one, which keeps hot labels out as far as the patterns allow. Each visit of
+    that node then looks up the pattern's other places by (sequence, position); paths as a whole don't move.
     """
-    sizes = index.visits.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
     spread = patterns.filter(F.size("pattern") > 0).select("query_id", "pattern", F.posexplode("pattern").alias("at", "node"))
-    rare = spread.join(sizes, "node").groupBy("query_id", "pattern").agg(F.min_by(F.struct("node", "at"), F.struct("size", "at")).alias("pick"), F.count(F.lit(1)).alias("known"))
+    rare = spread.join(index.node_sizes, "node").groupBy("query_id", "pattern").agg(F.min_by(F.struct("node", "at"), F.struct("size", "at")).alias("pick"), F.count(F.lit(1)).alias("known"))
     rare = rare.filter(F.col("known") == F.size("pattern")).select("query_id", "pattern", F.col("pick.node").alias("node"), F.col("pick.at").alias("at"))
     hits = index.visits.select("node", "seq_id", "pos").join(rare, "node").withColumn("start", F.col("pos") - F.col("at"))
     hits = hits.filter("start = 1" if from_start else "start >= 1")
-    size = F.size("pattern")
-    whole = hits.join(index.paths, "seq_id").filter((F.col("start") + size - 1 <= F.size("path")) & (F.slice("path", F.greatest(F.col("start"), F.lit(1)).cast("int"), size) == F.col("pattern")))
-    ends = whole.select("query_id", "seq_id", (F.col("start") + size - 1).alias("pos"))
-    return ends.join(index.visits.select("seq_id", "pos", "node", "off"), ["seq_id", "pos"]).select("query_id", "node", "off", "seq_id")
+    places = hits.select("query_id", "seq_id", "start", F.size("pattern").alias("size"), F.posexplode("pattern").alias("at", "node"))
+    places = places.withColumn("pos", F.col("start") + F.col("at"))
+    met = places.join(index.visits.select("seq_id", "pos", "node", "off"), ["seq_id", "pos", "node"])
+    last = F.col("at") == F.col("size") - 1
+    whole = met.groupBy("query_id", "seq_id", "start", "size").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(last, F.col(c))).alias(c) for c in ("node", "off")])
+    return whole.filter("n = size").select("query_id", "node", "off", "seq_id")
 
 
 def _states(hits: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def find(index: PathIndex, patterns: DataFrame) -> DataFrame:
 def find_by_extension(index: PathIndex, patterns: DataFrame, longest: int) -> DataFrame:
     """The same by extending node by node: ``longest`` sweeps, each on shrinking states that are written, so that plans stay flat."""
     first = patterns.filter(F.size("pattern") > 0)
-    states = first.select("query_id", "pattern", F.element_at("pattern", 1).alias("node")).join(index.visits.groupBy("node").agg(F.min("off").alias("sp"), F.max("off").alias("ep")), "node")
+    states = first.select("query_id", "pattern", F.element_at("pattern", 1).alias("node")).join(index.node_sizes.select("node", F.lit(0).cast("long").alias("sp"), (F.col("size") - 1).alias("ep")), "node")
     for k in range(2, longest + 1):
         rest = states.filter(F.size("pattern") >= k).withColumn("to", F.get("pattern", F.lit(k - 1)))
         done = states.filter(F.size("pattern") < k)
@@ -64,7 +66,7 @@ def prefix(index: PathIndex, patterns: DataFrame) -> DataFrame:
 
 
 #: Offsets per block of a range join.
-BLOCK = 1024
+RANGE_BLOCK = 1024
 
 
 def visits_in(index: PathIndex, states: DataFrame) -> DataFrame:
@@ -73,22 +75,21 @@ def visits_in(index: PathIndex, states: DataFrame) -> DataFrame:
     Ranges are cut into blocks of offsets, so that the join is on equal (node, block) and a hot node's visits meet only the
     states that reach their block.
     """
-    blocks = states.withColumn("_block", F.explode(F.sequence(F.floor(F.col("sp") / BLOCK), F.floor(F.col("ep") / BLOCK))))
-    own = index.visits.withColumn("_block", F.floor(F.col("off") / BLOCK))
+    blocks = states.withColumn("_block", F.explode(F.sequence(F.floor(F.col("sp") / RANGE_BLOCK), F.floor(F.col("ep") / RANGE_BLOCK))))
+    own = index.visits.withColumn("_block", F.floor(F.col("off") / RANGE_BLOCK))
     return blocks.join(own, ["node", "_block"]).filter(F.col("off").between(F.col("sp"), F.col("ep"))).drop("_block")
 
 
 def counts_before(index: PathIndex, points: DataFrame) -> DataFrame:
     """Points (node, via, at, ...) with ``before``: the visits of ``node`` at smaller offsets than ``at`` that go to ``via``.
 
-    Points and visits are laid out by offset within (node, via) and swept once; nothing is paired.
+    Points and visits are laid out by offset within (node, via) and swept once, block by block; nothing is paired.
     """
     cols = points.columns
     wanted = points.select("node", "via").distinct()
     steps = index.visits.select("node", F.col("next").alias("via"), F.col("off").alias("at")).join(wanted, ["node", "via"], "left_semi").withColumn("_step", F.lit(1))
     rows = points.withColumn("_step", F.lit(0)).unionByName(steps, allowMissingColumns=True)
-    sweep = Window.partitionBy("node", "via").orderBy("at", "_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("before", F.sum("_step").over(sweep)).filter("_step = 0").select(*cols, "before")
+    return sums_within(rows, ["node", "via"], "at", ["_step"], F.col("_step"), "before").filter("_step = 0").select(*cols, "before")
 
 
 def _range_counts(index: PathIndex, states: DataFrame, key: list[str]) -> DataFrame:
@@ -154,10 +155,7 @@ def lf_range_first(index: PathIndex, states: DataFrame) -> DataFrame:
 
 def numbered(index: PathIndex, logical: bool = False) -> DataFrame:
     """(node, off, run_id): the run of each visit."""
-    by_offset = Window.partitionBy("node").orderBy("off")
-    starts = F.coalesce(F.col("next") != F.lag("next").over(by_offset), F.lit(True))
-    starts = starts | (F.col("next") == 0) if logical else starts
-    return index.visits.withColumn("_new", starts.cast("long")).select("node", "off", (F.sum("_new").over(by_offset) - 1).alias("run_id"))
+    return index.run_of_visits(logical).select("node", "off", "run_id")
 
 
 def run_lf(index: PathIndex, positions: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def has_edge(index: PathIndex, pairs: DataFrame) -> DataFrame:
 
 
 def node_sizes(index: PathIndex) -> DataFrame:
-    return index.visits.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
+    return index.node_sizes
 
 
 def degrees(index: PathIndex) -> DataFrame:

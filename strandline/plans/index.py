@@ -13,7 +13,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import BLOCK, cut, forget, places_within, sums_within
+from .tables import dense_ids as numbers_of
 
 #: Longest path for which the prefix arrays are built; their size is quadratic in it.
 PREFIX_LIMIT = 128
@@ -59,24 +60,26 @@ def symbols(paths: DataFrame) -> DataFrame:
 
 
 def offsets_by_prefix(rows: DataFrame) -> DataFrame:
-    """Offsets by one window over the reversed prefixes; for short paths."""
+    """Offsets by the order of the reversed prefixes; for short paths."""
     before = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     prefix = F.reverse(F.collect_list("node").over(before))  # ends with the start row's 0
-    order = Window.partitionBy("node").orderBy("prefix", "seq_id")
-    ranked = rows.withColumn("prefix", prefix).withColumn("off", (F.row_number().over(order) - 1).cast("long"))
-    return ranked.select("seq_id", "pos", "node", "off")
+    return places_within(rows.withColumn("prefix", prefix), "node", ["prefix", "seq_id"], "off", ["seq_id", "pos", "node"])
 
 
 def offsets_by_doubling(rows: DataFrame, longest: int) -> DataFrame:
-    """Offsets by doubling: after each round visits are ranked within their node by twice as long a prefix."""
+    """Offsets by doubling: after each round visits are ranked by their node and twice as long a prefix, until no rank is split any more."""
     ranked = cut(rows.withColumn("r", F.when(F.col("node") == 0, F.col("seq_id")).otherwise(0).cast("long")))
-    along, step = Window.partitionBy("seq_id").orderBy("pos"), 1
+    along, step, known = Window.partitionBy("seq_id").orderBy("pos"), 1, 0
     while step <= longest:
         shifted = ranked.withColumn("pn", F.coalesce(F.lag("node", step).over(along), F.lit(-1))).withColumn("pr", F.coalesce(F.lag("r", step).over(along), F.lit(-1)))
-        ranked = cut(shifted.withColumn("r", (F.dense_rank().over(Window.partitionBy("node").orderBy("r", "pn", "pr")) - 1).cast("long")).select("seq_id", "pos", "node", "r"))
-        step *= 2
-    order = Window.partitionBy("node").orderBy("r", "seq_id")
-    return ranked.select("seq_id", "pos", "node", (F.row_number().over(order) - 1).cast("long").alias("off"))
+        shifted, keys = cut(shifted), ["node", "r", "pn", "pr"]
+        ids = numbers_of(shifted, keys, "_rank")
+        closer = cut(shifted.join(ids, keys).select("seq_id", "pos", "node", F.col("_rank").alias("r")))
+        forget(ranked, shifted)
+        ranked, step = closer, 2 * step
+        if known == (known := ranked.agg(F.max("r")).first()[0]):
+            break
+    return places_within(ranked, "node", ["r", "seq_id"], "off", ["seq_id", "pos", "node"])
 
 
 def link_visits(ranked: DataFrame) -> DataFrame:
@@ -88,14 +91,11 @@ def link_visits(ranked: DataFrame) -> DataFrame:
 
 def build_visits(paths: DataFrame, method: str | None = None) -> DataFrame:
     """``visits`` of (seq_id, path); the method follows the longest path unless it is given."""
-    rows = symbols(paths)
+    rows = cut(symbols(paths))
+    longest = rows.agg(F.max("pos")).first()[0] or 0
     if method is None:
-        longest = paths.agg(F.max(F.size("path"))).first()[0] or 0
         method = "prefix" if longest <= PREFIX_LIMIT else "doubling"
-    if method == "prefix":
-        return link_visits(offsets_by_prefix(rows))
-    longest = paths.agg(F.max(F.size("path"))).first()[0] or 0
-    return link_visits(offsets_by_doubling(rows, longest))
+    return link_visits(offsets_by_prefix(rows) if method == "prefix" else offsets_by_doubling(rows, longest))
 
 
 @dataclass
@@ -137,21 +137,37 @@ class PathIndex:
 
     @cached_property
     def edges(self) -> DataFrame:
-        """(src, dst, cnt, rank_off): rank_off is where this source's visits begin at the target; 0 at the endmarker."""
+        """(src, dst, cnt, rank_off): rank_off is where this source's visits begin at the target; 0 at the endmarker. Written when it is first asked for."""
         counts = self.visits.groupBy(F.col("node").alias("src"), F.col("next").alias("dst")).agg(F.count(F.lit(1)).alias("cnt"))
         before = Window.partitionBy("dst").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
         start = F.when(F.col("dst") == 0, 0).otherwise(F.coalesce(F.sum("cnt").over(before), F.lit(0)))
-        return counts.withColumn("rank_off", start.cast("long"))
+        return cut(counts.withColumn("rank_off", start.cast("long")))
+
+    @cached_property
+    def node_sizes(self) -> DataFrame:
+        """(node, size), from the edges."""
+        return self.edges.groupBy(F.col("src").alias("node")).agg(F.sum("cnt").alias("size"))
 
     @cached_property
     def runs(self) -> DataFrame:
         """(node, run_id, start_off, len, successor): maximal runs of one successor."""
-        return _runs(self.visits, F.col("next") != F.lag("next").over(_by_offset()))
+        return _runs(self.run_of_visits())
 
     @cached_property
     def logical_runs(self) -> DataFrame:
         """As ``runs``, but each endmarker is a run of its own."""
-        return _runs(self.visits, (F.col("next") != F.lag("next").over(_by_offset())) | (F.col("next") == 0))
+        return _runs(self.run_of_visits(logical=True))
+
+    def run_of_visits(self, logical: bool = False) -> DataFrame:
+        """(node, off, next, run_id): the run of each visit; offsets are compared and counted by blocks, so that a node of any size is spread."""
+        own = self.visits.select("node", "off", "next").withColumn("_b", F.floor(F.col("off") / BLOCK))
+        border = own.filter(F.col("off") % BLOCK == BLOCK - 1).select("node", (F.col("_b") + 1).alias("_b"), F.col("next").alias("_border"))
+        before = F.lag("next").over(Window.partitionBy("node", "_b").orderBy("off"))
+        own = own.withColumn("_before", before).join(border, ["node", "_b"], "left").withColumn("_before", F.coalesce("_before", "_border"))
+        starts = F.coalesce(F.col("next") != F.col("_before"), F.lit(True))
+        starts = starts | (F.col("next") == 0) if logical else starts
+        numbered = sums_within(own.drop("_b", "_border"), ["node"], "off", [], starts, "run_id")
+        return numbered.select("node", "off", "next", (F.col("run_id") - 1).alias("run_id"))
 
     @cached_property
     def header(self) -> DataFrame:
@@ -162,11 +178,5 @@ class PathIndex:
         return stats.withColumn("effective", F.col("alphabet_size") - F.col("offset")).withColumn("bidirectional", F.lit(self.bidirectional))
 
 
-def _by_offset() -> Window:
-    return Window.partitionBy("node").orderBy("off")
-
-
-def _runs(visits: DataFrame, starts: Column) -> DataFrame:
-    marked = visits.withColumn("new", F.coalesce(starts, F.lit(True)).cast("long"))
-    numbered = marked.withColumn("run_id", F.sum("new").over(_by_offset()) - 1)
+def _runs(numbered: DataFrame) -> DataFrame:
     return numbered.groupBy("node", "run_id").agg(F.min("off").alias("start_off"), F.count(F.lit(1)).alias("len"), F.first("next").alias("successor"))

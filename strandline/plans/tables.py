@@ -1,46 +1,92 @@
-"""Cutting lineage and numbering rows without a global window."""
+"""Cutting lineage, and numbering and counting rows without a task that holds a whole group."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Positions per block of a group's order.
+BLOCK = 1 << 16
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where the session has none."""
+    """The folder all executors share: ``spark.checkpoint.dir`` or the context's; a local master may do with a temporary one."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="strandline-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder by whatever file system it is in."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame, *cluster: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later reads survive lost executors, don't recompute, and
     keep column pruning, filter pushdown and statistics, which a checkpointed RDD would lose.
 
-    ``cluster`` sorts it globally, so that row groups can be skipped by those columns.
+    ``cluster`` sorts it globally, so that row groups can be skipped by those columns. ``forget`` deletes the table.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     laid = df.repartitionByRange(*cluster).sortWithinPartitions(*cluster) if cluster else df
     laid.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
 
 
-def dense_ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Number the distinct ``keys`` from 0 in their order, without sorting them in one task.
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more."""
+    for df in tables:
+        delete_path(df.sparkSession, df.cut_path)
 
-    Keys are range-partitioned and sorted within each range; a row's number is its place there plus the
+
+def placed(df: DataFrame, keys: list[str], name: str, keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with each row's place in the order of ``keys``, without sorting the rows in one task; ties in any order.
+
+    Rows are range-partitioned and sorted within each range; a row's number is its place there plus the
     sizes of the ranges before it, of which there are as many as partitions.
     """
-    rows = df.select(*keys).distinct()
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    rows = cut(rows.select(*keys, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
+    cols = keep or df.columns
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = cut(rows.select(*cols, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))  # one row a partition
-    return rows.join(F.broadcast(starts), "_part").select(*keys, (F.col("_start") + F.col("_at")).alias(name))
+    return rows.join(F.broadcast(starts), "_part").select(*cols, (F.col("_start") + F.col("_at")).alias(name))
+
+
+def dense_ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Number the distinct ``keys`` from 0 in their order."""
+    return placed(df.select(*keys).distinct(), keys, name)
+
+
+def places_within(df: DataFrame, group: str, order: list[str], name: str, keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with each row's place within its group; a group of any size is spread over the ranges of the order."""
+    cols = keep or df.columns
+    rows = placed(df, [group, *order], "_place", cols)
+    first = rows.groupBy(group).agg(F.min("_place").alias("_first"))
+    return rows.join(first, group).select(*cols, (F.col("_place") - F.col("_first")).alias(name))
+
+
+def sums_within(df: DataFrame, group: list[str], at: str, ties: list, value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over its group's rows up to and including each, by ``at`` (a whole number) and ``ties``.
+
+    Sums run within blocks of ``at``; a window over the blocks, not the rows, of a group adds the blocks before.
+    """
+    block = F.floor(F.col(at) / BLOCK)
+    rows = df.withColumn("_block", block).withColumn("_value", value.cast("long"))
+    totals = rows.groupBy(*group, "_block").agg(F.sum("_value").alias("_total"))
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*group, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*group, "_block").orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_inside", F.sum("_value").over(inside)).join(bases, [*group, "_block"]).select(*df.columns, (F.col("_base") + F.col("_inside")).alias(name))

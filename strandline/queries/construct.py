@@ -41,18 +41,14 @@ def c00_conversations(spark, sf):
 @query("c01_insert", _from(SAME))
 def c01(spark, sf):
     """The first half, then the second half."""
-    own = paths(spark, sf)
-    n = own.count()
-    later = own.filter(F.col("path_id") >= n // 2).withColumn("path_id", F.col("path_id") - n // 2)
-    return mutate.insert(PathIndex.from_paths(own.filter(F.col("path_id") < n // 2)), later).visits
+    first, second = halves(spark, sf)
+    return mutate.insert(PathIndex.from_paths(first), second).visits
 
 
-@query("c01_insert_forward", _from("SELECT CASE WHEN path_id < c // 2 THEN path_id ELSE path_id END AS path_id, p, node FROM base_, (SELECT max(path_id) + 1 AS c FROM base_)", both=False))
+@query("c01_insert_forward", _from(SAME, both=False))
 def c01_forward(spark, sf):
-    own = paths(spark, sf)
-    n = own.count()
-    later = own.filter(F.col("path_id") >= n // 2).withColumn("path_id", F.col("path_id") - n // 2)
-    return mutate.insert(PathIndex.from_paths(own.filter(F.col("path_id") < n // 2), both=False), later, both=False).visits
+    first, second = halves(spark, sf)
+    return mutate.insert(PathIndex.from_paths(first, both=False), second, both=False).visits
 
 
 @query("c02_insert_integers", _from(SAME, both=False))
@@ -100,21 +96,29 @@ def c06_invalid(spark, sf):
     return removed.crossJoin(left.visits.agg(F.count(F.lit(1)).alias("size")))  # one row each
 
 
-SHIFTED = "SELECT * FROM base_ UNION ALL SELECT path_id + c, p, node FROM base_, (SELECT max(path_id) + 1 AS c FROM base_) WHERE path_id < 10"
+#: The paths in the order of a merge of their second half with their first.
+SHIFTED = "SELECT CASE WHEN path_id < c // 2 THEN path_id + c - c // 2 ELSE path_id - c // 2 END AS path_id, p, node FROM base_, (SELECT max(path_id) + 1 AS c FROM base_)"
+
+
+def halves(spark, sf):
+    """(first, second) half of the paths, both numbered from 0."""
+    own = paths(spark, sf)
+    middle = own.count() // 2
+    return own.filter(F.col("path_id") < middle), own.filter(F.col("path_id") >= middle).withColumn("path_id", F.col("path_id") - middle)
 
 
 @query("c07_merge", _from(SHIFTED))
 def c07(spark, sf):
-    few = PathIndex.from_paths(paths(spark, sf).filter("path_id < 10"))
-    return mutate.merge(index(spark, sf), few).visits
+    """The second half of the paths with the first half appended."""
+    first, second = halves(spark, sf)
+    return mutate.merge(PathIndex.from_paths(second), PathIndex.from_paths(first)).visits
 
 
 @query("c08_merge_parallel", _from(SHIFTED))
 def c08(spark, sf):
     """The same by prefix doubling, whose rounds are range- and hash-partitioned sorts."""
-    own = index(spark, sf)
-    few = paths(spark, sf).filter("path_id < 10").withColumn("path_id", F.col("path_id") + F.lit(paths(spark, sf).count()))
-    return PathIndex.build(own.paths.unionByName(both_orientations(few)), True, method="doubling").visits
+    first, second = halves(spark, sf)
+    return mutate.merge(PathIndex.from_paths(second), PathIndex.from_paths(first), method="doubling").visits
 
 
 DISJOINT = "SELECT * FROM base_ UNION ALL SELECT path_id + c, p, node + 1000 FROM base_, (SELECT max(path_id) + 1 AS c FROM base_)"

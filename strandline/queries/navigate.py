@@ -13,12 +13,11 @@ from .base import query
 
 SQL = O.sql
 P, FD, E, R = O.patterns_sql(), O.FOUND, O.EDGES, O.RUNS
-#: A tenth of all visits, as positions.
-SOME = "seq_id % 10 < 2"
 
 
-def some(idx: PathIndex):
-    return idx.visits.filter(SOME).select("node", "off").distinct()
+def positions(idx: PathIndex):
+    """All positions (node, off)."""
+    return idx.visits.select("node", "off")
 
 
 def states(spark, sf):
@@ -28,12 +27,11 @@ def states(spark, sf):
 def nexts(spark, sf):
     """The states of the patterns with every real node as the next one."""
     idx = index(spark, sf)
-    nodes = idx.visits.filter("node <> 0").select(F.col("node").alias("to")).distinct()
+    nodes = idx.node_sizes.filter("node <> 0").select(F.col("node").alias("to"))
     return states(spark, sf).crossJoin(F.broadcast(nodes))  # the labels of the events
 
 
 NEXTS = "nexts AS (SELECT f.*, t.to FROM found f, (SELECT DISTINCT node AS to FROM visits WHERE node <> 0) t)"
-POS = f"some_ AS (SELECT DISTINCT node, off FROM visits WHERE {SOME})"
 
 # Statistics ------------------------------------------------------------------------------------------
 
@@ -87,10 +85,11 @@ def t07(spark, sf):
     return stats.contains_node(index(spark, sf), spark.range(16).withColumnRenamed("id", "node"))
 
 
-@query("t07_contains_position", SQL("SELECT DISTINCT node, off FROM visits WHERE off % 50 = 0"))
+@query("t07_contains_position", SQL("SELECT node, off FROM visits"))
 def t07_position(spark, sf):
     idx = index(spark, sf)
-    wanted = idx.visits.filter("off % 50 = 0").select("node", "off").distinct()
+    """Every position, and as many that no record has."""
+    wanted = positions(idx)
     return stats.contains_position(idx, wanted.unionAll(wanted.withColumn("off", -F.col("off") - 1)))
 
 
@@ -125,10 +124,10 @@ def t13(spark, sf):
     return stats.edge_ranks(index(spark, sf))
 
 
-@query("t14_bwt_access", SQL("SELECT node, off + d AS off, CASE WHEN d = 0 THEN v.next ELSE 0 END AS symbol FROM visits v, (VALUES (0), (1000000)) x(d) WHERE seq_id % 10 < 2"))
+@query("t14_bwt_access", SQL("SELECT node, off + d AS off, CASE WHEN d = 0 THEN v.next ELSE 0 END AS symbol FROM visits v, (VALUES (0), (1000000)) x(d)"))
 def t14(spark, sf):
     idx = index(spark, sf)
-    at = idx.visits.filter(SOME).select("node", "off")
+    at = positions(idx)
     return stats.bwt_at(idx, at.unionAll(at.withColumn("off", F.col("off") + 1_000_000)))
 
 
@@ -199,10 +198,10 @@ def q02_extension(spark, sf):
 
 
 @query("q03_prefix_pattern", SQL("""SELECT query_id, v.node, min(off) AS sp, max(off) AS ep, count(*) AS cnt FROM heads q JOIN visits v ON v.node = q.pattern[-1] AND v.pos = len(q.pattern) JOIN seqs s USING (seq_id)
-  WHERE s.path[1:len(q.pattern)] = q.pattern GROUP BY query_id, v.node UNION ALL SELECT -1, 0, 0, count(*) - 1, count(*) FROM seqs""", "heads AS (SELECT seq_id AS query_id, path[1:3] AS pattern FROM seqs WHERE seq_id % 5 = 0 AND len(path) >= 3)"))
+  WHERE s.path[1:len(q.pattern)] = q.pattern GROUP BY query_id, v.node UNION ALL SELECT -1, 0, 0, count(*) - 1, count(*) FROM seqs""", "heads AS (SELECT seq_id AS query_id, path[1:3] AS pattern FROM seqs WHERE len(path) >= 3)"))
 def q03(spark, sf):
     idx = index(spark, sf)
-    heads = idx.paths.filter("seq_id % 5 = 0 and size(path) >= 3").select(F.col("seq_id").alias("query_id"), F.slice("path", 1, 3).alias("pattern"))
+    heads = idx.paths.filter("size(path) >= 3").select(F.col("seq_id").alias("query_id"), F.slice("path", 1, 3).alias("pattern"))
     empty = spark.range(1).select(F.lit(-1).cast("long").alias("query_id"), F.array().cast("array<bigint>").alias("pattern"))
     return search.prefix(idx, heads.unionByName(empty))
 
@@ -212,30 +211,35 @@ def q04(spark, sf):
     return search.extend(index(spark, sf), nexts(spark, sf))
 
 
-@query("q05_lf", SQL("SELECT node, off, next, next_off FROM visits WHERE (node, off) IN (SELECT node, off FROM some_)", POS))
+@query("q05_lf", SQL("SELECT node, off, next, next_off FROM visits"))
 def q05(spark, sf):
     idx = index(spark, sf)
-    return search.lf(idx, some(idx))
+    return search.lf(idx, positions(idx))
 
 
-LFTO = "pairs_ AS (SELECT node, off, t.to FROM (SELECT DISTINCT node, off FROM visits WHERE seq_id % 40 < 2 AND node <> 0), (SELECT DISTINCT node AS to FROM visits) t)"
+#: Every position with every node: how many visits before it go there.
+LFTO = """pairs_ AS (
+  SELECT v.node, v.off, t.to, sum(CASE WHEN v.next = t.to THEN 1 ELSE 0 END) OVER (PARTITION BY v.node, t.to ORDER BY v.off) - CASE WHEN v.next = t.to THEN 1 ELSE 0 END AS before
+  FROM visits v, (SELECT DISTINCT node AS to FROM visits) t WHERE v.node <> 0
+)"""
 
 
 def targets(idx):
-    nodes = idx.visits.select(F.col("node").alias("to")).distinct()
-    return idx.visits.filter("seq_id % 40 < 2 and node <> 0").select("node", "off").distinct().crossJoin(F.broadcast(nodes))  # the labels of the events
+    nodes = idx.node_sizes.select(F.col("node").alias("to"))
+    return idx.visits.filter("node <> 0").select("node", "off").crossJoin(F.broadcast(nodes))  # the labels of the events
 
 
-@query("q06_lf_to", SQL("""SELECT p.node, p.off, p.to, CASE WHEN p.to <> 0 AND any_value(rank_off) IS NOT NULL THEN any_value(rank_off) + count(*) FILTER (v.off < p.off AND v.next = p.to) END AS target
-  FROM pairs_ p LEFT JOIN edges e ON e.src = p.node AND e.dst = p.to JOIN visits v ON v.node = p.node GROUP BY p.node, p.off, p.to""", E, LFTO))
+@query("q06_lf_to", SQL("SELECT p.node, p.off, p.to, CASE WHEN p.to <> 0 THEN rank_off + before END::BIGINT AS target FROM pairs_ p LEFT JOIN edges e ON e.src = p.node AND e.dst = p.to", E, LFTO))
 def q06(spark, sf):
     idx = index(spark, sf)
     return search.lf_to(idx, targets(idx))
 
 
-@query("q07_lf_range", SQL("SELECT query_id, x.to AS node, min(next_off) AS sp, max(next_off) AS ep, count(*) AS cnt FROM nexts x JOIN visits v ON v.node = x.node AND off BETWEEN sp AND ep AND next = x.to WHERE query_id % 4 = 0 GROUP BY query_id, x.to", P, FD, NEXTS))
+@query("q07_lf_range", SQL("SELECT query_id, x.to AS node, min(next_off) AS sp, max(next_off) AS ep, count(*) AS cnt FROM nexts x JOIN visits v ON v.node = x.node AND off BETWEEN sp AND (sp + ep) // 2 AND next = x.to GROUP BY query_id, x.to", P, FD, NEXTS))
 def q07(spark, sf):
-    return search.extend(index(spark, sf), nexts(spark, sf).filter("query_id % 4 = 0"))
+    """Ranges that are no whole states: the first half of each."""
+    half = F.floor((F.col("sp") + F.col("ep")) / 2).cast("long")
+    return search.extend(index(spark, sf), nexts(spark, sf).withColumn("ep", half))
 
 
 @query("q08_lf_range_first_run", SQL("""SELECT query_id, h.to AS node, h.nsp AS sp, h.nep AS ep, h.first = h.sp AS starts_with_to, l.run_id AS first_run FROM (
@@ -245,31 +249,31 @@ def q08(spark, sf):
     return search.lf_range_first(index(spark, sf), nexts(spark, sf))
 
 
-@query("q09_run_lf", SQL("SELECT node, off, v.next, v.next_off, r.run_id, r.start_off + r.len - 1 AS run_end FROM visits v JOIN runs r USING (node) WHERE off BETWEEN r.start_off AND r.start_off + r.len - 1 AND (node, off) IN (SELECT node, off FROM some_)", R, POS))
+@query("q09_run_lf", SQL("SELECT node, off, v.next, v.next_off, r.run_id, r.start_off + r.len - 1 AS run_end FROM visits v JOIN runs r USING (node) WHERE off BETWEEN r.start_off AND r.start_off + r.len - 1 ", R))
 def q09(spark, sf):
     idx = index(spark, sf)
-    return search.run_lf(idx, some(idx))
+    return search.run_lf(idx, positions(idx))
 
 
-@query("q10_full_lf", SQL("""SELECT p.node, p.off, p.to, CASE WHEN p.to <> 0 THEN
-    CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.src = p.node AND e.dst = p.to) THEN (SELECT rank_off FROM edges e WHERE e.src = p.node AND e.dst = p.to) + (SELECT count(*) FROM visits v WHERE v.node = p.node AND v.off < p.off AND v.next = p.to)
-         ELSE coalesce((SELECT sum(cnt)::BIGINT FROM edges e WHERE e.dst = p.to AND e.src < p.node), 0) END END AS target FROM more_ p""", E, LFTO, "more_ AS (SELECT * FROM pairs_ UNION ALL SELECT node, off, 1001 FROM (SELECT DISTINCT node, off FROM pairs_))"))
+@query("q10_full_lf", SQL("""SELECT p.node, p.off, p.to, CASE WHEN p.to <> 0 THEN coalesce(rank_off + before, (SELECT sum(cnt) FROM edges l WHERE l.dst = p.to AND l.src < p.node), 0) END::BIGINT AS target
+  FROM (SELECT * FROM pairs_ UNION ALL SELECT node, off, 1001, 0 FROM visits WHERE node <> 0) p LEFT JOIN edges e ON e.src = p.node AND e.dst = p.to""", E, LFTO))
 def q10(spark, sf):
     idx = index(spark, sf)
-    own = targets(idx)
-    return search.full_lf(idx, own.unionByName(own.select("node", "off").distinct().withColumn("to", F.lit(1001).cast("long"))))
+    """A node that the index lacks is among the targets."""
+    missing = positions(idx).filter("node <> 0").withColumn("to", F.lit(1001).cast("long"))
+    return search.full_lf(idx, targets(idx).unionByName(missing))
 
 
-@query("q11_inverse_lf", SQL("SELECT node, off, prev, prev_off FROM visits WHERE node <> 0 AND (node, off) IN (SELECT node, off FROM some_)", POS))
+@query("q11_inverse_lf", SQL("SELECT node, off, prev, prev_off FROM visits WHERE node <> 0 "))
 def q11(spark, sf):
     idx = index(spark, sf)
-    return search.inverse_lf(idx, some(idx))
+    return search.inverse_lf(idx, positions(idx))
 
 
-@query("q12_offset_to", SQL("SELECT next AS to, next_off AS i, node, off FROM visits WHERE next <> 0 AND (next, next_off) IN (SELECT node, off FROM some_)", POS))
+@query("q12_offset_to", SQL("SELECT next AS to, next_off AS i, node, off FROM visits WHERE next <> 0"))
 def q12(spark, sf):
     idx = index(spark, sf)
-    return search.offset_to(idx, some(idx).filter("node <> 0").select(F.col("node").alias("to"), F.col("off").alias("i")))
+    return search.offset_to(idx, positions(idx).filter("node <> 0").select(F.col("node").alias("to"), F.col("off").alias("i")))
 
 
 @query("q13_bd_find", SQL("SELECT node, min(off) AS sp, max(off) AS ep, xor(node, 1) AS back_node, min(off) AS back_sp, max(off) AS back_ep FROM visits WHERE node <> 0 GROUP BY node"))
@@ -347,28 +351,28 @@ def q21(spark, sf):
 # Locate and extract ----------------------------------------------------------------------------------
 
 
-@query("l01_try_locate", SQL("SELECT node, off, CASE WHEN next = 0 OR (pos + 1) % 8 = 0 THEN seq_id END AS seq_id FROM visits WHERE (node, off) IN (SELECT node, off FROM some_)", POS))
+@query("l01_try_locate", SQL("SELECT node, off, CASE WHEN next = 0 OR (pos + 1) % 8 = 0 THEN seq_id END AS seq_id FROM visits"))
 def l01(spark, sf):
     idx = index(spark, sf)
-    return locate.try_locate(idx, some(idx), 8)
+    return locate.try_locate(idx, positions(idx), 8)
 
 
-@query("l02_next_sample", SQL("SELECT p.node, p.off, min(s.off) AS sample_off, arg_min(s.seq_id, s.off) AS seq_id FROM some_ p JOIN visits s ON s.node = p.node AND s.off >= p.off WHERE s.next = 0 OR (s.pos + 1) % 8 = 0 GROUP BY p.node, p.off", POS))
+@query("l02_next_sample", SQL("SELECT p.node, p.off, min(s.off) AS sample_off, arg_min(s.seq_id, s.off) AS seq_id FROM visits p JOIN visits s ON s.node = p.node AND s.off >= p.off WHERE s.next = 0 OR (s.pos + 1) % 8 = 0 GROUP BY p.node, p.off"))
 def l02(spark, sf):
     idx = index(spark, sf)
-    return locate.next_sample(idx, some(idx), 8)
+    return locate.next_sample(idx, positions(idx), 8)
 
 
-@query("l03_locate_positions", SQL("SELECT node, off, seq_id FROM visits WHERE (node, off) IN (SELECT node, off FROM some_)", POS))
+@query("l03_locate_positions", SQL("SELECT node, off, seq_id FROM visits"))
 def l03(spark, sf):
     idx = index(spark, sf)
-    return locate.locate_positions(idx, some(idx))
+    return locate.locate_positions(idx, positions(idx))
 
 
-@query("l03_locate_by_walking", SQL("SELECT node, off, seq_id FROM visits WHERE (node, off) IN (SELECT node, off FROM some_)", POS))
+@query("l03_locate_by_walking", SQL("SELECT node, off, seq_id FROM visits"))
 def l03_walk(spark, sf):
     idx = index(spark, sf)
-    return locate.locate_by_walking(idx, some(idx), 4)
+    return locate.locate_by_walking(idx, positions(idx), 4)
 
 
 LOCATED = SQL("SELECT DISTINCT query_id, seq_id FROM found f JOIN visits v ON v.node = f.node AND off BETWEEN sp AND ep", P, FD)
@@ -391,10 +395,10 @@ def l06(spark, sf):
     return locate.extract(idx, wanted).select("seq_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
-@query("l07_extract_from", SQL("SELECT v.node, v.off, CASE WHEN v.pos = 0 THEN '' ELSE array_to_string(s.path[v.pos : v.pos + 4], ',') END AS path FROM visits v JOIN seqs s USING (seq_id) WHERE (v.node, v.off) IN (SELECT node, off FROM some_)", POS))
+@query("l07_extract_from", SQL("SELECT v.node, v.off, CASE WHEN v.pos = 0 THEN '' ELSE array_to_string(s.path[v.pos : v.pos + 4], ',') END AS path FROM visits v JOIN seqs s USING (seq_id)"))
 def l07(spark, sf):
     idx = index(spark, sf)
-    return locate.extract_from(idx, some(idx), 5).select("node", "off", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+    return locate.extract_from(idx, positions(idx), 5).select("node", "off", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 @query("l08_resample", SQL("SELECT node, off, seq_id FROM visits WHERE next = 0 OR (pos + 1) % 10 = 0"))
@@ -422,12 +426,8 @@ def l11(spark, sf):
 
 @query("l12_locate_by_successors", LOCATED)
 def l12(spark, sf):
-    """From the first packed value of each state, the following ones in the order of offsets."""
     idx = index(spark, sf)
-    found = locate.find_with_first(idx, states(spark, sf))
-    sa = locate.suffix_array(idx).select("node", "off", "packed", "max_length")
-    seq = locate.unpack(F.col("packed"), F.col("max_length"))[0]
-    return found.join(sa, "node").filter("off between sp and ep").select("query_id", seq.alias("seq_id")).distinct()
+    return locate.locate_by_successors(idx, locate.find_with_first(idx, states(spark, sf)))
 
 
 @query("l13_suffix_array", SQL("SELECT * FROM sa", SA))

@@ -212,16 +212,18 @@ def u03(spark, sf):
     return codecs.decode_records(codecs.encode_records(index(spark, sf)))
 
 
-@query("u06_gaps", O.sql("SELECT node, row_number() OVER w - 1 AS i, off - coalesce(lag(off) OVER w, 0) AS gap FROM visits WHERE seq_id % 3 = 0 WINDOW w AS (PARTITION BY node ORDER BY off)"))
+@query("u06_gaps", O.sql("SELECT node, row_number() OVER w - 1 AS i, off - coalesce(lag(off) OVER w, 0) AS gap FROM (SELECT node, start_off AS off FROM runs) WINDOW w AS (PARTITION BY node ORDER BY off)", O.RUNS))
 def u06(spark, sf):
-    return codecs.gaps(index(spark, sf).visits.filter("seq_id % 3 = 0"))
+    """Where the runs start."""
+    return codecs.gaps(index(spark, sf).runs.select("node", F.col("start_off").alias("off")))
 
 
 @query("u07_merged_ranks", O.sql("SELECT node, off FROM visits"))
 def u07(spark, sf):
     """Two sorted runs of positions, merged by a range-partitioned sort."""
     v = index(spark, sf).visits.select("node", "off", "seq_id")
-    return v.filter("seq_id % 2 = 0").unionByName(v.filter("seq_id % 2 = 1")).repartitionByRange("node", "off").sortWithinPartitions("node", "off").select("node", "off")
+    forward = F.col("seq_id") % 2 == 0
+    return v.filter(forward).unionByName(v.filter(~forward)).repartitionByRange("node", "off").sortWithinPartitions("node", "off").select("node", "off")
 
 
 def _wang_sql() -> str:

@@ -10,7 +10,7 @@ from ..sources import bundle
 from ..sources.corpus import index, paths
 from ..streaming.builder import StreamingBuilder
 from .base import query
-from .construct import SHIFTED, _from
+from .construct import SHIFTED, _from, halves
 from .scan import joined, place
 
 
@@ -32,8 +32,9 @@ def e02(spark, sf):
 @query("e03_merge_tool", _from(SHIFTED))
 def e03(spark, sf):
     at = place(spark)
-    tools.build(spark, f"{at}-a", paths=paths(spark, sf))
-    tools.build(spark, f"{at}-b", paths=paths(spark, sf).filter("path_id < 10"))
+    first, second = halves(spark, sf)
+    tools.build(spark, f"{at}-a", paths=second)
+    tools.build(spark, f"{at}-b", paths=first)
     return tools.merge(spark, f"{at}-c", [f"{at}-a", f"{at}-b"]).visits
 
 
