@@ -43,7 +43,7 @@ RUNS = """marks_ AS (
   SELECT node, lr::BIGINT AS run_id, min(off) AS start_off, count(*) AS len, any_value(next) AS successor FROM ids_ GROUP BY node, lr
 )"""
 PATTERNS = """own_ AS (SELECT path_id, list(node ORDER BY p) AS path FROM rows_ GROUP BY path_id), cut_ AS (
-  SELECT path_id, path[3:{stop}] AS pattern FROM own_ WHERE path_id % 7 = 0 AND len(path) >= {least}
+  SELECT path_id, path[3:{stop}] AS pattern FROM own_ WHERE len(path) >= {least}
 ), patterns AS (
   SELECT 2 * path_id AS query_id, pattern FROM cut_
   UNION ALL SELECT 2 * path_id + 1, list_append(pattern[1:{short}], pattern[{length}] + 2) FROM cut_

@@ -70,7 +70,7 @@ def index(spark: SparkSession, sf_dir: str, corpus: str = "events") -> PathIndex
 
 
 def patterns(spark: SparkSession, sf_dir: str, corpus: str = "events", length: int = 4) -> DataFrame:
-    """(query_id, pattern): subpaths from every seventh path, and for each one a variant that mostly misses."""
-    own = paths(spark, sf_dir, corpus).filter((F.col("path_id") % 7 == 0) & (F.size("path") >= length + 2)).select("path_id", F.slice("path", 3, length).alias("pattern"))
+    """(query_id, pattern): a subpath from every path that is long enough, and for each one a variant that mostly misses."""
+    own = paths(spark, sf_dir, corpus).filter(F.size("path") >= length + 2).select("path_id", F.slice("path", 3, length).alias("pattern"))
     missing = own.select((F.col("path_id") * 2 + 1).alias("query_id"), F.concat(F.slice("pattern", 1, length - 1), F.array(F.element_at("pattern", -1) + 2)).alias("pattern"))
     return own.select((F.col("path_id") * 2).alias("query_id"), "pattern").unionByName(missing)
