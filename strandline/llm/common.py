@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.tables import delete_path, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where the session has none."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="strandline-")
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 class Scratch:
     """Intermediate tables in the shared folder: they cut lineage and outlive lost executors."""
 
@@ -42,9 +33,4 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in frames:
-            self._delete(df.scratch_path)
-
-    def _delete(self, path: str) -> None:
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            delete_path(self.spark, df.scratch_path)
