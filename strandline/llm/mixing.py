@@ -12,8 +12,8 @@ and joined with the help of AQE's skew handling otherwise.
 
 Edge cases: a null source is a source of its own; a null or empty text counts one character; a
 null key hashes as the empty string; repeated rows draw the same count each; a document whose count is 0
-is left out, which is what a rate means; an empty table gives no rows. Extra columns are carried along, but
-``_lambda``, ``_cdf``, ``_parts``, ``_at`` and the name given to ``copy_col`` are reserved.
+is left out, which is what a rate means; an empty table gives no rows. Extra columns of any name are carried along; one that has
+the name given to ``copy_col`` is replaced by the number of the copy.
 """
 
 from __future__ import annotations
@@ -74,18 +74,19 @@ def mix(docs: DataFrame, rate: DataFrame, seed: int = SEED, id_col: str = "doc_i
     rate = Scratch(docs.sparkSession).keep(rate)
     n_sources = rate.count()
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_MEAN)).cast("int")
-    draws = rate.select(F.col("source").alias("_source"), parts.alias("_parts"), poisson_table(F.col("rate") / parts).alias("_cdf"))
+    draws = rate.select("source", parts.alias("parts"), poisson_table(F.col("rate") / parts).alias("cdf"))
     draws = F.broadcast(draws) if n_sources <= MAX_SOURCES else draws
 
     def draw(part: Column) -> Column:
-        u = uniform(F.lit(seed), F.col(id_col), part)
-        return F.size(F.filter("_cdf", lambda p: p <= u))
-
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, part: n + draw(part))
-    joined = docs.join(draws, docs[source_col].eqNullSafe(draws["_source"]))
-    copies = joined.withColumn("_n", count).filter("_n > 0").withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    dealt = copies.withColumn("_at", uniform(F.lit(seed), F.col(id_col), F.lit("copy"), F.col(copy_col)))
-    return dealt.repartition("_at").sortWithinPartitions("_at").select(*docs.columns, copy_col)
+        u = uniform(F.lit(seed), F.col("key"), part)
+        return F.size(F.filter("cdf", lambda p: p <= u))
+
+    # The row travels as one column, so that its names can't meet those used here.
+    own = docs.select(F.col(id_col).cast("string").alias("key"), F.col(source_col).alias("of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != copy_col]).alias("row"))
+    count = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + draw(part))
+    copies = own.join(draws, own["of"].eqNullSafe(draws["source"])).select("key", "row", F.explode(F.sequence(F.lit(1), F.when(count > 0, count))).alias("copy"))
+    dealt = copies.withColumn("at", uniform(F.lit(seed), F.col("key"), F.lit("copy"), F.col("copy")))
+    return dealt.repartition("at").sortWithinPartitions("at").select("row.*", F.col("copy").alias(copy_col))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
