@@ -1,19 +1,20 @@
 """Reversible line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
-``reference_counts`` holds, for every line key, in how many documents it stands and the largest
-id among them; ``LineIndex`` keeps it as signed postings, so that deleting a document is the
-exact inverse of inserting it; ``dedup_lines`` takes its counts and filters, so a change needs no recount of all documents. The keys that reach ``MIN_DOCS`` are held by cuckoo filters, one a shard
-of the key space, which follow the table by insertions and deletions and are rebuilt from it where they overflow. A scan probes the filters and sends only lines they
-hold on to the exact join that decides; a filter's false positive costs a row, never a line.
+``LineIndex`` holds signed postings of every line, so that deleting a document is the exact inverse of inserting it; its counts say,
+for every line key, in how many documents it stands and the largest id among them. The keys that reach ``MIN_DOCS`` are held by cuckoo
+filters, one a shard of the key space, which follow the counts by insertions and deletions and are rebuilt from them where they
+overflow. A scan probes the filters shard by shard and sends only lines they hold on to the exact join that decides; a filter's false
+positive costs a row, never a line.
 
-Filters are broadcast while they are below ``MAX_FILTER_BYTES`` together (counted before they are built);
-beyond that every line goes to the exact join. A key in a third of all documents is counted
-with partial sums, and its join with the one row of the table can be split by AQE.
+Lines are dealt to their shard, and the lines of a shard in groups of about ``GROUP_LINES``, each of which meets a copy of the shard's
+filter; so a key in a third of all documents is spread, filters are never collected, and a task holds one filter and one group.
+Keys are counted with partial sums, and the join with the one row of the table can be split by AQE.
 
 Edge cases: a null or empty text is one empty line; every row counts as a document, also if ids
-repeat, and rows of the largest id all keep the line; a null id sorts below every other and a key that only
-stands under null ids stays; an empty table gives no rows. Other columns are carried along by
-name; ``n_lines``, ``n_dropped`` and names beginning with ``_ld_`` are reserved.
+repeat, and rows of the largest id all keep the line; ids may be of any type that has an order; a null id sorts below every other and a
+key that only stands under null ids stays; deleting what an index does not hold, or holds fewer times, takes away what it holds; an
+empty table gives no rows. Other columns are carried along by name; ``n_lines``, ``n_dropped`` and names beginning with ``_ld_`` are
+reserved.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 from .common import Scratch, table
 
 MIN_DOCS, MIN_CHARS = 3, 20
-MAX_FILTER_BYTES = 32 << 20
-SHARD_KEYS = 32_768
+#: Keys of a shard, and lines that are probed together.
+SHARD_KEYS, GROUP_LINES = 8192, 10_000
 SLOTS, MAX_KICKS = 4, 500
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -104,6 +105,16 @@ class CuckooFilter:
                 return True
         return False
 
+    def holds(self, h2: np.ndarray) -> np.ndarray:
+        """Whether each key may be in the filter."""
+        mark, a, b = self.places(h2.view(np.uint64), len(self.slots))
+        return ((self.slots[a] == mark[:, None]) | (self.slots[b] == mark[:, None])).any(axis=1)
+
+    @classmethod
+    def read(cls, slots: bytes) -> CuckooFilter:
+        held = np.frombuffer(slots, np.uint16).reshape(-1, SLOTS)
+        return cls(len(held), held)
+
     @classmethod
     def build(cls, h2s: np.ndarray) -> CuckooFilter:
         out = cls.for_keys(len(h2s))
@@ -112,48 +123,24 @@ class CuckooFilter:
         return out
 
 
-class FilterSet:
-    """The filters of all shards, for probing many keys at once."""
-
-    def __init__(self, shards: dict[int, bytes], n_shards: int):
-        empty = np.zeros((4, SLOTS), np.uint16)
-        parts = [np.frombuffer(shards[i], np.uint16).reshape(-1, SLOTS) if i in shards else empty for i in range(n_shards)]
-        self.n_shards, self.sizes = n_shards, np.array([len(p) for p in parts], np.uint64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.uint64)
-        self.slots = np.concatenate(parts)
-
-    def holds(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        shard = np.mod(h1, self.n_shards)
-        mark, a, b = CuckooFilter.places(h2.view(np.uint64), self.sizes[shard])
-        start = self.starts[shard]
-        return ((self.slots[start + a] == mark[:, None]) | (self.slots[start + b] == mark[:, None])).any(axis=1)
-
-
-LINES = "_ld_id long, _ld_text long, h1 long, h2 long"
-
-
-def _hashed_lines(batches: Iterator[pa.RecordBatch], filters=None) -> Iterator[pa.RecordBatch]:
-    """Each distinct counting line of each text, or those that ``filters`` hold."""
+def _hashed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, hash of the text, text as bytes) -> each distinct counting line of each text."""
     for batch in batches:
-        ids, marks, h1, h2 = [], [], [], []
-        for doc, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        sizes, hashes = [], []
+        for text in batch.column(2).to_pylist():
             keys = {k for k in map(line_key, text.split(b"\n")) if k is not None}
-            for a, b in map(key_hash, keys):
-                h1.append(a)
-                h2.append(b)
-            ids += [doc] * len(keys)
-            marks += [mark] * len(keys)
-        out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["_ld_id", "_ld_text", "h1", "h2"])
-        if filters is not None and out.num_rows:
-            out = out.filter(pa.array(filters.value.holds(out.column(2).to_numpy(), out.column(3).to_numpy())))
-        yield out
-
-
-def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filters=None) -> DataFrame:
+            sizes.append(len(keys))
+            hashes += map(key_hash, keys)
+        of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        h1, h2 = zip(*hashes, strict=True) if hashes else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["_ld_id", "_ld_text", "h1", "h2"])
+
+
+def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, hash of the text, h1, h2) for the distinct counting lines of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("_ld_id"), F.xxhash64(text).alias("_ld_text"), text.cast("binary").alias("_ld_bytes"))
-    return rows.mapInArrow(lambda it: _hashed_lines(it, filters), LINES)
+    rows = docs.select(F.col(id_col).alias("_ld_id"), F.xxhash64(text).alias("_ld_text"), text.cast("binary").alias("_ld_bytes"))
+    return rows.mapInArrow(_hashed_lines, f"_ld_id {docs.schema[id_col].dataType.simpleString()}, _ld_text long, h1 long, h2 long")
 
 
 def reference_counts(lines: DataFrame) -> DataFrame:
@@ -206,22 +193,52 @@ def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, n_s
 class LineIndex:
     """An incremental index: signed postings of every line, from which the counts follow exactly."""
 
-    def __init__(self, postings: DataFrame):
-        self.postings = postings
+    def __init__(self, postings: DataFrame, grows: bool = True):
+        self.postings, self.grows = postings, grows
 
     @classmethod
-    def of(cls, docs: DataFrame, **cols) -> LineIndex:
-        return cls(hashed_lines(docs, **cols).withColumn("sign", F.lit(1)))
+    def of(cls, docs: DataFrame, *cols: str) -> LineIndex:
+        return cls(hashed_lines(docs, *cols).withColumn("sign", F.lit(1)))
+
+    def insert(self, docs: DataFrame, *cols: str) -> LineIndex:
+        return LineIndex(self.postings.unionByName(LineIndex.of(docs, *cols).postings), self.grows)
 
-    def insert(self, docs: DataFrame, **cols) -> LineIndex:
-        return LineIndex(self.postings.union(hashed_lines(docs, **cols).withColumn("sign", F.lit(1))))
+    def delete(self, docs: DataFrame, *cols: str) -> LineIndex:
+        """Take away what the index holds of ``docs``; a row that was not inserted changes nothing."""
+        gone = hashed_lines(docs, *cols).groupBy("h1", "h2", F.col("_ld_id").alias("gone_id")).agg(F.count(F.lit(1)).alias("gone"))
+        held = self.held().join(gone.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("_ld_id").eqNullSafe(F.col("gone_id")))
+        minus = held.select("_ld_id", F.lit(None).cast("long").alias("_ld_text"), "h1", "h2", (-F.least("n", "gone")).cast("int").alias("sign"))
+        return LineIndex(self.postings.unionByName(minus), False)
 
-    def delete(self, docs: DataFrame, **cols) -> LineIndex:
-        return LineIndex(self.postings.union(hashed_lines(docs, **cols).withColumn("sign", F.lit(-1))))
+    def held(self) -> DataFrame:
+        """(h1, h2, _ld_id, n): how often each document id holds each key."""
+        return self.postings.groupBy("h1", "h2", "_ld_id").agg(F.sum("sign").alias("n")).filter("n > 0")
 
     def counts(self) -> DataFrame:
-        held = self.postings.groupBy("h1", "h2", "_ld_id").agg(F.sum("sign").alias("n")).filter("n > 0")
-        return held.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.max("_ld_id").alias("last"))
+        """(h1, h2, n_docs, last); while nothing was deleted, the largest id needs no count by id."""
+        if self.grows:
+            return reference_counts(self.postings)
+        return self.held().groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.max("_ld_id").alias("last"))
+
+
+def _probe(lines: pa.Table, filters: pa.Table) -> pa.Table:
+    """The lines of a group that the filter of their shard holds."""
+    own = lines.select(["_ld_id", "_ld_text", "h1", "h2"])
+    if not filters.num_rows or not own.num_rows:
+        return own.slice(0, 0)
+    return own.filter(pa.array(CuckooFilter.read(filters.column("slots")[0].as_py()).holds(own.column("h2").to_numpy())))
+
+
+def held_lines(lines: DataFrame, counts: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
+    """The rows of ``lines`` whose key a filter (shard, slots) holds; ``counts`` say how many lines a shard has to deal out."""
+    shard = F.pmod("h1", F.lit(n_shards)).alias("_ld_shard")
+    sizes = counts.groupBy(shard).agg(F.ceil(F.sum("n_docs") / GROUP_LINES).cast("int").alias("_ld_groups"))
+    dealt = lines.withColumn("_ld_shard", shard).join(sizes, "_ld_shard")
+    dealt = dealt.withColumn("_ld_group", F.pmod(F.xxhash64("_ld_id", "_ld_text", "h2"), F.col("_ld_groups"))).drop("_ld_groups")
+    copies = filters.select(F.col("shard").alias("_ld_shard"), "slots").join(sizes, "_ld_shard")
+    copies = copies.select("_ld_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_ld_groups").cast("long") - 1)).alias("_ld_group"), "slots")
+    key = ["_ld_shard", "_ld_group"]
+    return dealt.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(_probe, lines.schema)
 
 
 def _without_lines(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
@@ -243,38 +260,27 @@ def _without_lines(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([*own, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=names)
 
 
-def _broadcast_filters(filters: DataFrame, n_shards: int):
-    """One set of all filters on every executor; their size was checked before."""
-    held = {r.shard: bytes(r.slots) for r in filters.collect()}
-    return filters.sparkSession.sparkContext.broadcast(FilterSet(held, n_shards))
-
-
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, max_filter_bytes: int = MAX_FILTER_BYTES,
-    counts: DataFrame | None = None, filters: tuple[DataFrame, int] | None = None,
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, index: LineIndex | None = None, filters: tuple[DataFrame, int] | None = None
+) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text_col``, and ``n_lines`` (before) and ``n_dropped``.
 
-    ``counts`` are those of a ``LineIndex`` that holds ``docs`` and maybe more, so that inserted documents are judged against
-    all of it without a recount; ``filters``, with their number of shards, hold at least its keys that reach ``min_docs``.
+    ``index`` holds ``docs`` and maybe more, so that inserted documents are judged against all of it without a recount; without it one
+    is made of ``docs``. ``filters``, with their number of shards, hold at least the index's keys that reach ``min_docs``.
     """
-    if filters is not None and counts is None:
-        raise ValueError("filters need the counts that they follow")
+    if filters is not None and index is None:
+        raise ValueError("filters need the index that they follow")
     scratch = Scratch(docs.sparkSession)
-    counts = scratch.keep(reference_counts(hashed_lines(docs, id_col, text_col)) if counts is None else counts.select("h1", "h2", "n_docs", "last"))
+    index = LineIndex.of(docs, id_col, text_col) if index is None else index
+    counts = scratch.keep(index.counts())
     repeated = counts.filter(F.col("n_docs") >= min_docs)
-    if filters is not None:
-        built, n_shards = scratch.keep(filters[0]), filters[1]
-        fits = (built.agg(F.sum(F.length("slots"))).first()[0] or 0) <= max_filter_bytes
-    else:
-        n_keys = repeated.count()
-        n_shards, fits = max(1, -(-n_keys // SHARD_KEYS)), n_keys * 2 * 2.5 <= max_filter_bytes
-        built = build_filters(repeated, n_shards)
-    filters = _broadcast_filters(built, n_shards) if fits else None
-    found = hashed_lines(docs, id_col, text_col, filters).join(repeated, ["h1", "h2"])
+    if filters is None:
+        n_shards = max(1, -(-repeated.count() // SHARD_KEYS))
+        filters = build_filters(repeated, n_shards), n_shards
+    found = held_lines(hashed_lines(docs, id_col, text_col), counts, *filters).join(repeated, ["h1", "h2"])
     drops = found.filter("last is not null and (_ld_id is null or _ld_id < last)").groupBy("_ld_id", "_ld_text").agg(F.collect_set(F.struct("h1", "h2")).alias("_ld_drop"))
     own = docs.withColumn("_ld_mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = own.join(drops, own[id_col].cast("long").eqNullSafe(drops["_ld_id"]) & (own["_ld_mark"] == drops["_ld_text"]), "left").select(*docs.columns, "_ld_drop")
+    joined = own.join(drops, own[id_col].eqNullSafe(drops["_ld_id"]) & (own["_ld_mark"] == drops["_ld_text"]), "left").select(*docs.columns, "_ld_drop")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at = docs.columns.index(text_col)
     return joined.mapInArrow(lambda it: _without_lines(it, at), schema)
