@@ -2,14 +2,15 @@
 
 For each language a suffix automaton of its labelled text accepts exactly the substrings of
 that text. A new text is parsed greedily into the longest phrases that each automaton accepts; the
-number of phrases times the logarithm of the labelled text's length, per character, estimates the cross entropy, and the lowest
-one wins (the first language by name on a tie). A phrase end is folded into the transition table
+number of phrases, each weighted with the logarithm of the labelled text's length, or with the bits of a code point if it is a letter
+that this text lacks, per character, estimates the cross entropy, and the lowest one wins (the first language by name on a tie). A phrase end is folded into the transition table
 (a missing transition becomes the root's, marked), so the parse of thousands of texts in all languages at once is one table
 lookup per character. Texts are parsed in blocks of ``BLOCK`` characters, so that long texts run beside
-short ones; every block counts.
+short ones. A block first runs from the root; then it is run again from the states that the block before it ends in, up to where both
+runs meet, so that the phrases are those of the whole text.
 
-Letters are lower-cased, runs of other characters become one separator, letters that no learned text has are
-unknown: such a letter ends the current phrase and belongs to it. The ``LETTERS`` most frequent letters are columns of the table; the
+Letters are lower-cased and runs of other characters become one separator. A letter that a language's text lacks ends the current
+phrase and is one by itself. The ``LETTERS`` most frequent letters are columns of the table; the
 transitions of all others are sorted keys beside it, which gives the same phrases with a search for each such letter.
 
 Learning takes a bounded sample: about ``SAMPLE_ROWS`` rows a language by the hash of their ids, of each a window at a hashed place
@@ -35,10 +36,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 SAMPLE_ROWS, ROW_CHARS, LANG_CHARS = 300, 1000, 40_000
-BLOCK = 512
+BLOCK = 4096
 LETTERS = 62
 #: Entries of the table of frequent letters; where all automata have very many states, fewer letters are columns.
 TABLE_CELLS = 64_000_000
+#: Bits of a letter that is spelled out, as no phrase of the labelled text can stand for it.
+LETTER_BITS = math.log2(0x110000)
 UNKNOWN_LANGUAGE = "und"
 LETTER = re.compile(r"[^\W\d_]")
 GAP = re.compile(r"(?:[\W\d_])+")
@@ -80,7 +83,7 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Parser:
-    """The languages' automata as one table of (next state, phrase ended)."""
+    """The languages' automata as one table of (next state, phrases ended: the one before, and a letter that the text lacks)."""
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(k for k, v in texts.items() if v.strip())
@@ -90,31 +93,33 @@ class Parser:
         automata = [suffix_automaton([codes[c] for c in texts[name]]) for name in self.names]
         sizes = [len(trans) for trans in automata]
         dense = min(len(letters), LETTERS + 1, max(1, TABLE_CELLS // max(1, sum(sizes)) - 2))
-        self.unknown, self.pad, self.width, self.rare = dense, dense + 1, dense + 2, len(letters) - dense
-        # Codes of rare letters follow those of the columns, the unknown letter and the filling.
+        self.unknown, self.width, self.rare = dense, dense + 1, len(letters) - dense
+        # Codes of rare letters follow those of the columns and the unknown letter.
         self.codes = np.full(0x110000, self.unknown, np.min_scalar_type(self.width + self.rare))
         for c, i in codes.items():
-            self.codes[ord(c)] = i if i < dense else i + 2
+            self.codes[ord(c)] = i if i < dense else i + 1
         self.roots = [int(x) for x in np.cumsum([0, *sizes])[:-1]]
         table = np.empty((sum(sizes), self.width), np.int32)
-        self.rare_root = np.repeat(np.array(self.roots, np.int32)[:, None] << 1 | 1, self.rare, axis=1)
+        self.rare_root = np.repeat(np.array(self.roots, np.int32)[:, None] << 2 | 2, self.rare, axis=1)
         rare = {}
         for k, (start, trans) in enumerate(zip(self.roots, automata, strict=True)):
             part = table[start : start + len(trans)]
-            part[:] = start << 1 | 1
+            part[0], part[1:] = start << 2 | 1, start << 2 | 2
             for c, to in trans[0].items():
                 if c < dense:
-                    part[:, c] = (start + to) << 1 | 1
+                    part[:, c] = (start + to) << 2 | 1
                 else:
-                    self.rare_root[k, c - dense] = (start + to) << 1 | 1
+                    self.rare_root[k, c - dense] = (start + to) << 2 | 1
             for s, out in enumerate(trans):
                 for c, to in out.items():
                     if c < dense:
-                        part[s, c] = (start + to) << 1
+                        part[s, c] = (start + to) << 2
                     else:
-                        rare[(start + s) * self.rare + c - dense] = (start + to) << 1
-            part[:, self.pad] = np.arange(start, start + len(trans)) << 1
+                        rare[(start + s) * self.rare + c - dense] = (start + to) << 2
         self.table = table.ravel()
+        self.lacks = np.ones((len(self.names), self.width + self.rare), np.uint8)
+        for k, name in enumerate(self.names):
+            self.lacks[k, [self.codes[ord(c)] for c in set(texts[name])]] = 0
         self.rare_keys = np.array(sorted(rare), np.int64)
         self.rare_steps = np.array([rare[k] for k in self.rare_keys.tolist()], np.int32)
         self.bits = np.array([math.log2(max(2, len(texts[k]))) for k in self.names])
@@ -122,37 +127,84 @@ class Parser:
     def encode(self, text: str) -> np.ndarray:
         return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
-    def phrases(self, texts: list[str]) -> np.ndarray:
-        """(texts, languages): the number of phrases of each normalised text."""
+    def costs(self, texts: list[str]) -> np.ndarray:
+        """(texts, languages): the bits that each normalised text takes."""
         coded = [self.encode(t) for t in texts]
-        blocks = np.array([-(-len(c) // BLOCK) for c in coded], np.int64)
-        grid = np.full((int(blocks.sum()), BLOCK), self.pad, self.codes.dtype)
-        flat, at = grid.reshape(-1), 0
-        for c, n in zip(coded, blocks, strict=True):
-            flat[at : at + len(c)] = c
-            at += int(n) * BLOCK
-        grid = np.ascontiguousarray(grid.T)
+        sums = np.cumsum(self.lacks[:, np.concatenate([np.zeros(1, self.codes.dtype), *coded])], axis=1, dtype=np.int64)
+        stops = np.cumsum([0, *map(len, coded)])
+        lacking = (sums[:, stops[1:]] - sums[:, stops[:-1]]).T
+        return (self.phrases(coded) - lacking) * self.bits + lacking * LETTER_BITS
+
+    def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
+        """(texts, languages): the number of phrases of each encoded text."""
+        sizes = np.array([len(c) for c in coded], np.int64)
+        blocks = np.maximum(1, -(-sizes // BLOCK))
+        number = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        flat = np.concatenate([np.zeros(0, self.codes.dtype), *coded])
+        starts = np.repeat(np.cumsum(sizes) - sizes, blocks) + number * BLOCK
+        lengths = np.minimum(BLOCK, np.repeat(sizes, blocks) - number * BLOCK)
         roots = np.array(self.roots, np.int32)[:, None]
-        state = np.repeat(roots, grid.shape[1], axis=1)
-        count = np.zeros(state.shape, np.int32)
-        for column in grid:
-            if self.rare and (at := np.flatnonzero(column >= self.width)).size:
-                step = self.table[state * self.width + np.where(column < self.width, column, self.unknown)]
-                step[:, at] = self.rare_step(state[:, at], column[at].astype(np.int64) - self.width)
-            else:
-                step = self.table[state * self.width + column]
-            count += step & 1
-            state = step >> 1
-        count += state != roots
-        out = np.zeros((len(texts), len(self.names)))
-        np.add.at(out, np.repeat(np.arange(len(texts)), blocks), count.T)
+        entry = np.repeat(roots, len(starts), axis=1)
+        ends, count = self.run(flat, starts, lengths, entry)
+        pending = np.flatnonzero(number > 0)
+        while pending.size:
+            pending = pending[(ends[:, pending - 1] != entry[:, pending]).any(axis=0)]
+            before = ends[:, pending - 1]
+            more, after = self.rejoin(flat, starts[pending], lengths[pending], entry[:, pending], before, ends[:, pending])
+            moved = (after != ends[:, pending]).any(axis=0)
+            count[:, pending] += more
+            entry[:, pending], ends[:, pending] = before, after
+            pending = pending[moved] + 1
+            pending = pending[pending < len(number)]
+            pending = pending[number[pending] > 0]
+        last = np.cumsum(blocks) - 1
+        count[:, last] += ends[:, last] != roots
+        out = np.zeros((len(coded), len(self.names)))
+        np.add.at(out, np.repeat(np.arange(len(coded)), blocks), count.T)
         return out
 
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """(languages, blocks): the next states, shifted, with the number of phrases that end."""
+        if self.rare and (at := np.flatnonzero(column >= self.width)).size:
+            step = self.table[state * self.width + np.where(column < self.width, column, self.unknown)]
+            step[:, at] = self.rare_step(state[:, at], column[at].astype(np.int64) - self.width)
+            return step
+        return self.table[state * self.width + column]
+
+    def run(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states that blocks end in and the phrases that end in them; the longest first, so that those still running are a slice."""
+        order = np.argsort(-lengths, kind="stable")
+        begin, left = starts[order], -lengths[order]
+        state, count = entry[:, order], np.zeros(entry.shape, np.int32)
+        for t in range(int(lengths.max(initial=0))):
+            m = int(np.searchsorted(left, -t))
+            step = self.step(state[:, :m], flat[begin[:m] + t])
+            count[:, :m] += step & 3
+            state[:, :m] = step >> 2
+        back = np.argsort(order, kind="stable")
+        return state[:, back], count[:, back]
+
+    def rejoin(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, old: np.ndarray, new: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many more phrases end in blocks that begin in states ``new`` instead of ``old``, and the states they end in instead of ``ends``."""
+        more, after = np.zeros(old.shape, np.int32), ends.copy()
+        live, t = np.arange(len(starts)), 0
+        while live.size:
+            over = lengths[live] <= t
+            after[:, live[over]] = new[:, over]
+            live, old, new = live[~over], old[:, ~over], new[:, ~over]
+            column = flat[starts[live] + t]
+            was, now = self.step(old, column), self.step(new, column)
+            more[:, live] += (now & 3) - (was & 3)
+            apart = (was != now).any(axis=0)
+            live, old, new, t = live[apart], was[:, apart] >> 2, now[:, apart] >> 2, t + 1
+        return more, after
+
     def rare_step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """(languages, blocks): what the table would hold for letters that are not among its columns."""
         keys = state.astype(np.int64) * self.rare + letter
         at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
-        return np.where(self.rare_keys[at] == keys, self.rare_steps[at], self.rare_root[:, letter])
+        step = np.where(self.rare_keys[at] == keys, self.rare_steps[at], self.rare_root[:, letter])
+        return step - (((step & 3) == 2) & (state == np.array(self.roots)[:, None]))  # at the root no phrase is under way
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN_LANGUAGE] * len(texts), [0.0] * len(texts)
@@ -164,7 +216,7 @@ class Parser:
                 size += len(texts[judged[end]])
                 end += 1
             part = judged[begin:end]
-            cost = self.phrases([normalise(texts[i]) for i in part]) * self.bits
+            cost = self.costs([normalise(texts[i]) for i in part])
             for i, row in zip(part, cost, strict=True):
                 best = int(row.argmin())
                 rest = np.delete(row, best)
