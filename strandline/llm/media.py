@@ -11,8 +11,8 @@ them is reduced to one row a digest. The join moves references and features only
 scan on both sides, so that AQE can split a digest with a third of all references.
 
 Edge cases: a null or empty text is a payload of 64 zero bytes; repeated rows and null ids each give a row;
-a reference that the store lacks keeps its position and caption with null features; null pages have no segments; an empty table
-gives no rows. Other columns are not read.
+a reference that the store lacks keeps its position and caption with null features; null pages have no segments; bytes that are no
+UTF-8 are kept in a payload and replaced in its page; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -184,25 +184,29 @@ def sequences(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
 
 
 def page_of(text: str, ref: str) -> str:
-    """A document as a page: its lines as paragraphs, with its payload as a captioned figure after the first one."""
+    """A document as a page: its lines as paragraphs, with its payload as a captioned figure after the first one and as a described image at the end."""
     first, *rest = text.split("\n")
-    caption = html.escape(f"{len(text)} characters")
     paragraphs = "".join(f"<p>{html.escape(x, quote=False)}</p>" for x in rest)
-    return f'<p>{html.escape(first, quote=False)}</p><figure><img src="{ref}"><figcaption>{caption}</figcaption></figure>{paragraphs}'
+    figure = f'<figure><img src="{ref}"><figcaption>{len(text)} characters</figcaption></figure>'
+    return f'<p>{html.escape(first, quote=False)}</p>{figure}{paragraphs}<img src="{ref}" alt="{len(rest) + 1} lines">'
+
+
+#: A segment without its text, which stays in the documents: the number of its characters instead.
+PLACED = "struct<position:int,kind:string,chars:int,ref:string,caption:string>"
 
 
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text as bytes) -> a row for each media reference of the text's page."""
+    """(id, text as bytes) -> (id, size, digest of the payload, the segments of the text's page)."""
+    placed = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("chars", pa.int32()), ("ref", pa.string()), ("caption", pa.string())]))
     for batch in batches:
-        rows: list[tuple] = []
+        sizes, digests, segments = [], [], []
         for raw in batch.column(1).to_pylist():
-            ref = SCHEME + hashlib.sha256(padded(raw)).hexdigest()
-            segments = parse_page(page_of(raw.decode(), ref))
-            (position, (_, _, found, caption)), = ((i, s) for i, s in enumerate(segments) if s[0] == "media")
-            rows.append((len(raw), found.removeprefix(SCHEME), position, caption, len(segments)))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32()
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["id", "n_bytes", "digest", "position", "caption", "n_segments"])
+            digests.append(hashlib.sha256(padded(raw)).hexdigest())
+            sizes.append(len(raw))
+            found = parse_page(page_of(raw.decode(errors="replace"), SCHEME + digests[-1]))
+            segments.append([dict(position=i, kind=k, chars=len(t or ""), ref=r, caption=c) for i, (k, t, r, c) in enumerate(found)])
+        cols = pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(segments, placed)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", "n_bytes", "digest", "segments"])
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,11 +255,26 @@ def resolve(references: DataFrame, media: DataFrame, scratch: Scratch) -> DataFr
     return references.join(features, "digest", "left")
 
 
+def interleaved(pages: DataFrame, media: DataFrame, scratch: Scratch, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, segments) of every page, each media segment with ``media_sha256`` and ``feature`` of its payload in the store; nulls if it lacks it.
+
+    References travel to the store and come back by row and position, so that a page's segments stay in order.
+    """
+    rows = scratch.keep(sequences(pages, id_col, html_col).withColumn("row", F.monotonically_increasing_id()))  # written, so that the numbers stay
+    each = rows.select("row", F.inline("segments")).filter(F.col("ref").startswith(SCHEME))
+    found = resolve(each.select("row", "position", F.substring("ref", len(SCHEME) + 1, 64).alias("digest")), media, scratch)
+    of_row = found.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("position", F.struct("media_sha256", "feature")))).alias("of"))  # a page's references at most
+    joined = rows.join(of_row, "row", "left")
+    at = lambda s, name: F.element_at("of", s["position"])[name].alias(name)
+    own = lambda s: [s[c].alias(c) for c in ("position", "kind", "text", "ref", "caption")]
+    return joined.select(id_col, F.transform("segments", lambda s: F.struct(*own(s), at(s, "media_sha256"), at(s, "feature"))).alias("segments"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     raw = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    refs = raw.mapInArrow(_references, f"id {kind}, n_bytes long, digest string, position int, caption string, n_segments int")
+    refs = raw.mapInArrow(_references, f"id {kind}, n_bytes long, digest string, segments array<{PLACED}>")
     scratch = Scratch(spark)
     found = resolve(refs, store(docs, scratch), scratch)
-    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_segments")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "segments")
