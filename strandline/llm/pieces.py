@@ -12,7 +12,7 @@ Weights are Zipf's law over the vocabulary's ranks to the power ``alpha``: large
 Nothing is normalised: blanks are pieces' word marks, a blank is put in front and taken away by decoding, and characters
 without a piece (the word mark itself among them) are written as byte pieces. Decoding is therefore exact.
 
-Edge cases: a null or empty text has no tokens and decodes to null or the empty text; a null row key
+Edge cases: an empty text has no tokens and decodes to the empty text; a null one has null tokens and decodes to null; a null row key
 hashes as the empty string; repeated rows get equal tokens; texts of any length are cut into words, and a word of any
 length is handled; an empty table gives no rows. Other columns are carried along by name; the names of the added columns are reserved.
 """
@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from .common import table
 
+#: The vocabulary file where neither a call nor the session setting ``strandline.pieces.model`` names one.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 1.0, 1
 ZIPF_SHIFT = 2.7
@@ -302,9 +303,12 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocab, key_at: int, text_at: int
             texts = [t or "" for t in part.column(text_at).to_pylist()]
             found = encode(vocab.value, texts, part.column(key_at).to_pylist(), seed)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            columns, names = [*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], [*part.schema.names, "token_ids"]
+            absent = pc.is_null(part.column(text_at))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)), mask=absent)
+            columns, names = [*part.columns, lists], [*part.schema.names, "token_ids"]
             if proof:
-                columns += [pa.array(np.diff(offsets)), pa.array([decode(vocab.value, x.tolist()) == t for x, t in zip(found, texts, strict=True)])]
+                sizes_of = pa.array(np.diff(offsets), mask=absent.to_numpy(zero_copy_only=False))
+                columns += [sizes_of, pa.array([decode(vocab.value, x.tolist()) == t for x, t in zip(found, texts, strict=True)])]
                 names += ["n_tokens", "lossless"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -336,8 +340,9 @@ def decode_tokens(tokens: DataFrame, vocab: Vocabulary, token_col: str = "token_
     return tokens.mapInArrow(lambda it: _decoded(it, shared, at), schema)
 
 
-def round_trip(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``token_ids``, ``n_tokens`` and ``lossless`` (the decoded tokens are the text), in one pass."""
+    path = path or docs.sparkSession.conf.get("strandline.pieces.model", MODEL)
     return encode_texts(docs, Vocabulary(path), id_col, text_col, proof=True)
 
 
