@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import Scratch, table
 
 THRESHOLD = 0.7
 MAX_SAMPLE, MAX_SAMPLE_CHARS = 4000, 16_000_000
@@ -216,11 +216,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_SAMPLE
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     chosen = F.broadcast(chosen) if n * share <= 4 * max_rows else chosen
     rows = docs.select("doc_id", "text", "lang", F.length("text").alias("size")).join(chosen, "doc_id")
-    kept = rows.orderBy(F.xxhash64("doc_id"), "text").limit(max_rows).filter(F.col("size").isNotNull())
-    mean = kept.agg(F.sum("size")).first()[0] or 0
-    if mean > max_chars:  # an unusually long sample: fewer rows
-        kept = rows.orderBy(F.xxhash64("doc_id"), "text").limit(int(max_rows * max_chars / mean)).filter(F.col("size").isNotNull())
-    return [(r.doc_id, r.text, r.toxic, r.lang) for r in kept.collect()]
+    order = [F.xxhash64("doc_id"), "text"]
+    kept = Scratch(docs.sparkSession).keep(rows.orderBy(*order).limit(max_rows))
+    chars = kept.agg(F.sum("size")).first()[0] or 0
+    most = max_rows if chars <= max_chars else int(max_rows * max_chars / chars)  # an unusually long sample: fewer rows
+    return [(r.doc_id, r.text, r.toxic, r.lang) for r in kept.orderBy(*order).limit(most).filter(F.col("size").isNotNull()).collect()]
 
 
 def held_out(doc_id):
