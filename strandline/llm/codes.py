@@ -35,7 +35,7 @@ WORD = 63  # bits per long, so that no sign is involved
 MAX_SEGMENT = 20
 #: Index rows (some 60 bytes each) that may be broadcast; above that the probes are shuffled to the index.
 BROADCAST_ROWS = 500_000
-PROBES_A_TASK = 8192
+PROBES_A_TASK = 65_536
 #: Codes of one segment value that first limit a query's distances, and codes of one block of such a value.
 LANDMARKS, BLOCK_CODES = 32, 65_536
 
