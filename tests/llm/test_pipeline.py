@@ -64,14 +64,50 @@ def test_mixing_and_tokens(stages):
     assert all(re.search(r"\S", r["text"]) is None or r["n_tokens"] for r in rows)
 
 
-def test_odd_rows_pass(spark, make, odd, tmp_path):
+def test_copies_are_cut_by_draws_of_their_own(spark):
+    text = "an invented sentence of rather many words that can be cut in many ways, " * 6
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, text), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.encode(spark, docs, SF).collect()
+    cuts = {tuple(r["token_ids"]) for r in found if r["text"]}
+    assert len(found) == 7 and len(cuts) == 5 and all(r["lossless"] for r in found)
+    assert sorted(map(str, corpus_pipeline.encode(spark, docs, SF).collect())) == sorted(map(str, found))
+
+
+def test_odd_rows_pass_all_stages(spark, make, odd, tmp_path):
+    """Nulls, empty and long texts, ties and repeated rows through every stage, each against brute force on its own input."""
     from pyspark.sql import functions as F
+    from test_table_ops import brute_lines
 
     docs = make(odd, extra=False).select("doc_id", "text", "lang", F.lit(None).cast("string").alias("source"), F.length("text").cast("long").alias("n_chars"))
-    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
-    for given in (docs, docs.limit(0)):
-        out = given
-        for name, stage in corpus_pipeline.STAGES:
-            if name in ("toxicity", "mixing", "line_dedup"):
-                out = stage(spark, out, str(tmp_path))
-        assert out.count() >= 0
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, given: _written(stages[name](spark, given, str(tmp_path)), tmp_path / name)
+    clean = run("toxicity", docs)
+    model = toxicity.train(docs, labels)
+    want = [(r["doc_id"], r["text"]) for r in toxicity.with_score(docs, model).collect() if r["score"] < 0.7]
+    assert _rows(clean) == sorted(map(str, want)) and len(want) >= len(odd) - 1
+    lines = run("line_dedup", clean)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in lines.collect()) == [(i, t) for i, _, _, t in brute_lines(want)]
+    apart = run("near_dedup", lines)
+    texts = [(r["doc_id"], r["text"]) for r in lines.collect()]
+    fox = [i for i, t in texts if t.startswith("the quick")]
+    assert _rows(apart) == sorted(map(str, [x for x in texts if not x[1].startswith("the quick")] + [(min(i for i in fox if i is not None), next(t for i, t in texts if i == 6))]))
+    mixed = run("mixing", apart)
+    assert set(_rows(mixed)) <= set(_rows(apart)) and mixed.columns == list(corpus_pipeline.COLUMNS)
+    coded = run("sentencepiece", mixed)
+    assert coded.count() == mixed.count() and coded.filter("not lossless").count() == 0
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+    assert none.count() == 0
+
+
+def _written(df, path):
+    df.write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
+
+
+def _rows(df):
+    return sorted(map(str, [(r["doc_id"], r["text"]) for r in df.collect()]))
