@@ -8,7 +8,7 @@ kept, and all but the last return the columns of documents. ``n_chars`` follows
 3. near_dedup: of each group of near duplicates one document stays, of the smallest id (nulls last). Rows are judged, not ids: of
    rows that repeat an id, those of other groups stay, and of copies under one id or under null ids one stays.
 4. mixing: documents are replicated to the sources' target weights and shuffled.
-5. sentencepiece: sampled tokens, with the proof that they decode to the text.
+5. sentencepiece: sampled tokens, with the proof that they decode to the text; the copies of a document are cut by draws of their own.
 
 Edge cases are those of the operators; a stage keeps rows with null ids, null texts and empty texts unless its decision names
 them, and an empty table passes all stages.
@@ -16,7 +16,7 @@ them, and an empty table passes all stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import line_dedup, mixing, near_dedup, pieces, toxicity
@@ -46,7 +46,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.round_trip(docs)
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    keyed = docs.withColumn("_copy", F.row_number().over(again)).withColumn("_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("_copy") > 1, F.col("_copy"))))
+    return pieces.round_trip(keyed, id_col="_key").drop("_copy", "_key")
 
 
 STAGES = [
