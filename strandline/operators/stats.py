@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import PathIndex
+from ..plans.tables import agreement
 
 
 def to_comp(node: Column, offset: Column | int) -> Column:
@@ -105,7 +106,7 @@ def distribution(index: PathIndex, quantiles: tuple[float, ...] = (0.9, 0.99, 0.
 
 
 def differences(one: PathIndex, other: PathIndex) -> DataFrame:
-    """(part, n): rows of each table that only one of two indexes has; all zero if they are equal."""
+    """(part, compared, differing): the rows of each table, and those that only one of two indexes has."""
     parts = {"visits": (one.visits, other.visits), "edges": (one.edges, other.edges), "header": (one.header, other.header)}
-    rows = [a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, (a, b) in parts.items()]
+    rows = [agreement(a, b).select(F.lit(name).alias("part"), "compared", "differing") for name, (a, b) in parts.items()]
     return rows[0].unionAll(rows[1]).unionAll(rows[2])

@@ -90,3 +90,10 @@ def sums_within(df: DataFrame, group: list[str], at: str, ties: list, value: Col
     bases = totals.select(*group, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*group, "_block").orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("_inside", F.sum("_value").over(inside)).join(bases, [*group, "_block"]).select(*df.columns, (F.col("_base") + F.col("_inside")).alias(name))
+
+
+def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (compared, differing): the rows of ``a``, and the distinct rows that one of two tables has more often."""
+    rows = a.withColumn("_one", F.lit(1)).unionAll(b.select(*a.columns).withColumn("_one", F.lit(-1)))
+    sums = rows.groupBy(*a.columns).agg(F.count_if(F.col("_one") == 1).alias("n"), F.sum("_one").alias("more"))
+    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"), F.count_if(F.col("more") != 0).alias("differing"))

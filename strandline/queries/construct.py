@@ -161,6 +161,10 @@ def c16(spark, sf):
     return spark.createDataFrame(rows, "block long, first long, last long")
 
 
-@query("c17_source_tag", "SELECT 'source' AS key, 'strandline' AS value")
+@query("c17_source_tag", O.sql("SELECT unnest(['built', 'inserted', 'removed', 'merged']) AS kind, 'strandline' AS source, count(*) FILTER (pos = 0) > 0 AS filled FROM visits"))
 def c17(spark, sf):
-    return spark.createDataFrame(list(index(spark, sf).tags.items()), "key string, value string")
+    """The tag of every index, however it was made."""
+    own, (first, second) = index(spark, sf), halves(spark, sf)
+    made = {"built": own, "inserted": mutate.insert(PathIndex.from_paths(first), second), "removed": _removed(spark, sf)[0], "merged": mutate.merge(PathIndex.from_paths(first), PathIndex.from_paths(second))}
+    rows = [i.visits.agg((F.count_if(F.col("pos") == 0) > 0).alias("filled")).select(F.lit(kind).alias("kind"), F.lit(i.tags.get("source")).alias("source"), "filled") for kind, i in made.items()]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).unionAll(rows[3])

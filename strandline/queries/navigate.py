@@ -74,10 +74,19 @@ def t05(spark, sf):
     return stats.sampled(index(spark, sf), 16).agg(F.count(F.lit(1)).alias("samples"))
 
 
-@query("t06_flags", "SELECT true AS bidirectional, false AS has_metadata")
+@query("t06_flags", SQL("""SELECT 'both' AS kind, NOT EXISTS (SELECT 1 FROM seqs a LEFT JOIN seqs b ON b.seq_id = xor(a.seq_id, 1) WHERE b.path IS DISTINCT FROM list_transform(list_reverse(a.path), lambda x: xor(x, 1))) AS bidirectional, count(*) > 0 AS has_metadata FROM orders
+  UNION ALL SELECT 'forward', bool_or(node % 2 = 1), false FROM rows_"""))
 def t06(spark, sf):
-    idx = index(spark, sf)
-    return idx.header.select("bidirectional", F.lit(idx.metadata is not None).alias("has_metadata"))
+    """Of an index in both orientations that was saved with metadata, and of one of forward paths alone."""
+    from ..sources import bundle
+    from .names import meta
+    from .scan import place
+
+    at = place(spark)
+    bundle.save(index(spark, sf), at, metadata=meta(spark, sf))
+    named, forward = bundle.load(spark, at)[0], PathIndex.from_paths(paths(spark, sf), both=False)
+    flags = lambda kind, idx: idx.header.select(F.lit(kind).alias("kind"), "bidirectional", F.lit(idx.metadata is not None).alias("has_metadata"))
+    return flags("both", named).unionAll(flags("forward", forward))
 
 
 @query("t07_contains_node", SQL("SELECT n AS node, n = 0 OR (n > o AND n < m) AS contained FROM (SELECT unnest(generate_series(0, 15)) AS n), (SELECT min(node) FILTER (node > 0) - 1 AS o, max(node) + 1 AS m FROM visits)"))
@@ -151,7 +160,7 @@ def t17(spark, sf):
     return stats.distribution(index(spark, sf))
 
 
-@query("t18_compare", "SELECT * FROM (VALUES ('visits', 0::BIGINT), ('edges', 0::BIGINT), ('header', 0::BIGINT)) t(part, n)")
+@query("t18_compare", SQL("SELECT 'visits' AS part, count(*) AS compared, 0::BIGINT AS differing FROM visits UNION ALL SELECT 'edges', count(*), 0 FROM edges UNION ALL SELECT 'header', count(DISTINCT 1), 0 FROM visits", E))
 def t18(spark, sf):
     idx = index(spark, sf)
     return stats.differences(idx, PathIndex.from_paths(paths(spark, sf), method="doubling"))
@@ -446,55 +455,56 @@ def l15(spark, sf):
     return locate.locate_next(index(spark, sf))
 
 
-# Invariants: no rows ---------------------------------------------------------------------------------
+# Invariants: what was compared, and that nothing differs ----------------------------------------------
+
 
-NO_STATE = "SELECT 0::BIGINT AS query_id, 0::BIGINT AS node, 0::BIGINT AS sp, 0::BIGINT AS ep, 0::BIGINT AS cnt WHERE false"
-NO_POSITION = "SELECT 0::BIGINT AS node, 0::BIGINT AS off WHERE false"
+def agrees(table: str, *parts: str) -> str:
+    return SQL(f"SELECT count(*) AS compared, 0::BIGINT AS differing FROM {table}", *parts)
 
 
-@query("v01_find_agrees", NO_STATE)
+@query("v01_find_agrees", agrees("found", P, FD))
 def v01(spark, sf):
     return verify.find_agrees(index(spark, sf), patterns(spark, sf), 4)
 
 
-@query("v02_bidirectional_agrees", "SELECT 0::BIGINT AS query_id, 0::BIGINT AS node, 0::BIGINT AS sp, 0::BIGINT AS ep, 0::BIGINT AS back_node, 0::BIGINT AS back_sp, 0::BIGINT AS back_ep WHERE false")
+@query("v02_bidirectional_agrees", f"SELECT count(*) AS compared, 0::BIGINT AS differing FROM ({BOTH})")
 def v02(spark, sf):
     return verify.bidirectional_agrees(index(spark, sf), patterns(spark, sf), 4)
 
 
-@query("v03_locate_agrees", "SELECT 0::BIGINT AS query_id, 0::BIGINT AS seq_id WHERE false")
+@query("v03_locate_agrees", f"SELECT count(*) AS compared, 0::BIGINT AS differing FROM ({LOCATED})")
 def v03(spark, sf):
     return verify.locate_agrees(index(spark, sf), states(spark, sf))
 
 
-@query("v04_extract_agrees", "SELECT 0::BIGINT AS seq_id, '' AS path WHERE false")
+@query("v04_extract_agrees", agrees("seqs"))
 def v04(spark, sf):
     from ..plans.index import both_orientations
 
-    return verify.extract_agrees(index(spark, sf), both_orientations(paths(spark, sf))).select("seq_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+    return verify.extract_agrees(index(spark, sf), both_orientations(paths(spark, sf)))
 
 
-@query("v05_inverse_agrees", NO_POSITION)
+@query("v05_inverse_agrees", agrees("visits WHERE next <> 0"))
 def v05(spark, sf):
     return verify.inverse_agrees(index(spark, sf))
 
 
-@query("v06_samples_agree", "SELECT 0::BIGINT AS node, 0::BIGINT AS off, 0::BIGINT AS seq_id WHERE false")
+@query("v06_samples_agree", agrees("visits WHERE next = 0 OR (pos + 1) % 16 = 0"))
 def v06(spark, sf):
     return verify.samples_agree(index(spark, sf), 16)
 
 
-@query("v07_run_heads_agree", NO_POSITION)
+@query("v07_run_heads_agree", agrees("visits"))
 def v07(spark, sf):
     return verify.run_head_agrees(index(spark, sf))
 
 
-@query("v08_lf_equation", NO_POSITION)
+@query("v08_lf_equation", agrees("visits WHERE next <> 0"))
 def v08(spark, sf):
     return verify.lf_equation(index(spark, sf))
 
 
-@query("i05_well_formed", "SELECT '' AS \"check\", 0::BIGINT AS n WHERE false")
+@query("i05_well_formed", SQL("SELECT 'offsets' AS \"check\", count(DISTINCT node) AS compared, 0::BIGINT AS differing FROM visits UNION ALL SELECT unnest(['starts', 'positions']), count(DISTINCT seq_id), 0 FROM visits"))
 def i05(spark, sf):
     return verify.well_formed(index(spark, sf))
 

@@ -165,11 +165,13 @@ def s17(spark, sf):
     return bundle.read_rows(spark, at, skip_empty=True)
 
 
-@query("s18_file_sizes", "SELECT unnest(['header', 'visits']) AS part, true AS written")
+@query("s18_file_sizes", O.sql("SELECT 'header' AS part, 1::BIGINT AS n, true AS written UNION ALL SELECT 'visits', count(*), true FROM visits"))
 def s18(spark, sf):
+    """The parts of a bundle with their rows, and that they take bytes."""
     at = place(spark)
     bundle.save(index(spark, sf), at)
-    return bundle.sizes(spark, at).select("part", (F.col("bytes") > 0).alias("written"))
+    rows = lambda part: spark.read.parquet(f"{at}/{part}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(part).alias("part"), "n")
+    return bundle.sizes(spark, at).join(rows("header").unionAll(rows("visits")), "part").select("part", "n", (F.col("bytes") > 0).alias("written"))
 
 
 @query("s19_generated_queries", O.sql("SELECT seq_id * 100 + pos AS query_id, array_to_string(path[pos : pos + 5], ',') AS pattern FROM (SELECT seq_id, path, unnest([1, 1 + (seq_id * 7919) % (len(path) - 5)]) AS pos FROM seqs WHERE len(path) >= 8) GROUP BY ALL"))

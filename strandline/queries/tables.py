@@ -12,6 +12,8 @@ from ..streaming.builder import StreamingBuilder
 from .base import query
 from .construct import SHIFTED, _from, halves
 from .scan import joined, place
+from .names import PN
+from .strings import NAMES, NATIONS
 
 
 @query("e01_build_tool", O.sql("SELECT * FROM visits"))
@@ -46,21 +48,30 @@ def e04(spark, sf):
     return bundle.load(spark, f"{at}-out")[0].visits
 
 
-@query("e05_metadata_tool", "SELECT 'source' AS key, 'strandline' AS value")
+@query("e05_metadata_tool", f"WITH {PN}, {NAMES}, {NATIONS} SELECT 'samples' AS what, id, string AS name FROM names UNION ALL SELECT 'contigs', id, string FROM nations UNION ALL SELECT 'paths', path_id, printf('(%s, %s, %d, %d)', n.string, t.string, phase, count) FROM pn JOIN names n ON n.id = sample_id JOIN nations t ON t.id = contig_id")
 def e05(spark, sf):
+    """All that the tool lists by name; the same bundle without its metadata has nothing to list."""
+    from .names import meta
+
     at = place(spark)
-    bundle.save(index(spark, sf), at)
-    return spark.createDataFrame(list(tools.describe(spark, at)["tags"].items()), "key string, value string")
+    bundle.save(index(spark, sf), at, metadata=meta(spark, sf))
+    assert tools.clear_metadata(spark, at, f"{at}-bare").metadata is None
+    listed = [tools.list_metadata(spark, at, what).select(F.lit(what).alias("what"), "id", "name") for what in ("samples", "contigs", "paths")]
+    return listed[0].unionAll(listed[1]).unionAll(listed[2])
 
 
-@query("e06_benchmark_tool", "SELECT unnest(['bidirectional', 'extract', 'find', 'find_by_extension', 'lcs', 'locate']) AS work, true AS ran")
+RESULTS = "SELECT unnest(['bidirectional', 'find', 'find_by_extension']) AS work, count(*) AS results FROM found UNION ALL SELECT unnest(['locate', 'locate_by_run_heads']), count(*) FROM (SELECT DISTINCT query_id, seq_id FROM found f JOIN visits v ON v.node = f.node AND off BETWEEN sp AND ep) UNION ALL SELECT 'extract', count(*) FROM seqs UNION ALL SELECT 'lcs', count(*) - count(DISTINCT node) FROM visits WHERE node <> 0"
+
+
+@query("e06_benchmark_tool", O.sql(RESULTS, O.patterns_sql(), O.FOUND))
 def e06(spark, sf):
+    """How many results each of the timed searches has."""
     from ..sources.corpus import patterns
 
     at = place(spark)
     bundle.save(index(spark, sf), at)
-    rows = [(k, v > 0) for k, v in tools.benchmark(spark, at, patterns(spark, sf), 4).items()]
-    return spark.createDataFrame(rows, "work string, ran boolean")
+    rows = [(name, results) for name, (_, results) in tools.benchmark(spark, at, patterns(spark, sf), 4).items()]
+    return spark.createDataFrame(rows, "work string, results long")
 
 
 @query("st01_streaming_builder", O.sql("SELECT * FROM visits"))
@@ -116,23 +127,28 @@ def s09(spark, sf):
     return bundle.read_phasings(spark, at, [1]).select(F.col("file").cast("long").alias("file"), "site", (F.row_number().over(order) - 1).cast("long").alias("i"))
 
 
-@query("k06_metadata_written", "SELECT unnest(['contigs', 'header', 'path_names', 'samples', 'visits']) AS part")
+@query("k06_metadata_written", f"WITH {PN}, {NAMES}, {NATIONS} SELECT 'path_names' AS part, count(*) AS n, true AS written FROM pn UNION ALL SELECT 'samples', count(*), true FROM names UNION ALL SELECT 'contigs', count(*), true FROM nations")
 def k06(spark, sf):
+    """The rows of each part of the metadata as read back, and that it takes bytes."""
     from .names import meta
 
     at = place(spark)
     bundle.save(index(spark, sf), at, metadata=meta(spark, sf))
-    return bundle.sizes(spark, at).filter("bytes > 0").select("part")
+    back = bundle.load(spark, at)[1]
+    rows = lambda name, df: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+    parts = rows("path_names", back.path_names).unionAll(rows("samples", back.samples)).unionAll(rows("contigs", back.contigs))
+    return parts.join(bundle.sizes(spark, at), "part").select("part", "n", (F.col("bytes") > 0).alias("written"))
 
 
-@query("k03_compression_helps", "SELECT true AS smaller")
+@query("k03_compression_helps", O.sql("SELECT unnest(['compressed', 'plain']) AS form, count(*) AS n, sum(off)::BIGINT AS offsets, true AS smaller FROM visits"))
 def k03(spark, sf):
-    """The sizes of both forms."""
+    """Both forms hold the same visits, and the compressed one is smaller."""
     at = place(spark)
     for form in bundle.CODECS:
         bundle.save(index(spark, sf), f"{at}-{form}", form)
-    total = lambda form: bundle.sizes(spark, f"{at}-{form}").agg(F.sum("bytes").alias(form))
-    return total("compressed").crossJoin(total("plain")).select((F.col("compressed") < F.col("plain")).alias("smaller"))  # one row each
+    total = {form: bundle.sizes(spark, f"{at}-{form}").agg(F.sum("bytes")).first()[0] for form in bundle.CODECS}
+    held = lambda form: bundle.load(spark, f"{at}-{form}")[0].visits.agg(F.count(F.lit(1)).alias("n"), F.sum("off").alias("offsets"))
+    return held("compressed").withColumn("form", F.lit("compressed")).unionAll(held("plain").withColumn("form", F.lit("plain"))).select("form", "n", "offsets", F.lit(total["compressed"] < total["plain"]).alias("smaller"))
 
 
 @query("i09_printed_states", O.sql("SELECT query_id, printf('(%d, [%d, %d])', node, sp, ep) AS state FROM found", O.patterns_sql(), O.FOUND))
@@ -142,9 +158,12 @@ def i09(spark, sf):
     return states(spark, sf).select("query_id", F.format_string("(%d, [%d, %d])", "node", "sp", "ep").alias("state"))
 
 
-@query("u17_merge_parameters", "SELECT 'clamped' AS name, 1::BIGINT AS jobs, 4096::BIGINT AS buffer_mb UNION ALL SELECT 'default', 4, 64")
+@query("u17_merge_parameters", "SELECT n_nationkey::BIGINT AS id, greatest(1, least(64, n_nationkey * 5 - 20))::BIGINT AS jobs, greatest(1, least(4096, n_nationkey * 300 - 900))::BIGINT AS buffer_mb FROM nation UNION ALL SELECT -1, 4, 64")
 def u17(spark, sf):
+    """What is asked for, clamped; -1 are the defaults."""
     from ..operators.mutate import MergeParameters
+    from ..sources.corpus import read
 
-    rows = [("default", MergeParameters()), ("clamped", MergeParameters(jobs=0, buffer_mb=1 << 20))]
-    return spark.createDataFrame([(n, p.jobs, p.buffer_mb) for n, p in rows], "name string, jobs long, buffer_mb long")
+    keys = [r[0] for r in read(spark, sf, "nation").select("n_nationkey").collect()]  # 25 rows
+    asked = [(-1, MergeParameters())] + [(k, MergeParameters(jobs=k * 5 - 20, buffer_mb=k * 300 - 900)) for k in keys]
+    return spark.createDataFrame([(k, p.jobs, p.buffer_mb) for k, p in asked], "id long, jobs long, buffer_mb long")

@@ -1,4 +1,4 @@
-"""Command line: build, merge, remove, metadata, benchmark and run-head tables over bundles.
+"""Command line over bundles: build, merge, remove, describe, metadata, benchmark, run-heads, check.
 
     python -m strandline.tools build --text paths.txt --out bundle [--forward]
 """
@@ -16,12 +16,17 @@ from .plans.index import PathIndex
 from .sources import bundle
 
 
-def build(spark: SparkSession, out: str, text: str | None = None, paths: DataFrame | None = None, base: str | None = None, forward: bool = False, form: str = "compressed") -> PathIndex:
-    """Build a bundle from a text file or a table (path_id, path); ``base`` is a bundle to append to."""
+def build(
+    spark: SparkSession, out: str, text: str | None = None, paths: DataFrame | None = None, base: str | None = None, forward: bool = False, form: str = "compressed", interval: int | None = None
+) -> PathIndex:
+    """Build a bundle from a text file or a table (path_id, path); ``base`` is a bundle to append to, ``interval`` that of the samples written beside it."""
     rows = bundle.read_text_paths(spark, text) if text else paths
     index = PathIndex.from_paths(rows, both=not forward) if base is None else mutate.insert(bundle.load(spark, base)[0], rows, both=not forward)
     bundle.save(index, out, form, index.metadata)
-    return bundle.load(spark, out)[0]
+    index = bundle.load(spark, out)[0]
+    if interval is not None:
+        stats.sampled(index, interval).write.mode("overwrite").option("compression", bundle.CODECS[form]).parquet(f"{out}/samples_{interval}")
+    return index
 
 
 def build_from_variants(spark: SparkSession, out: str, v: variants.VariantPaths, phasings: DataFrame, skip: bool = False, samples: DataFrame | None = None) -> PathIndex:
@@ -84,25 +89,54 @@ def describe(spark: SparkSession, source: str) -> dict:
     return {"statistics": stats.summary(index).first().asDict(), "tags": index.tags, "metadata": None if meta is None else metadata.describe(meta)}
 
 
-def benchmark(spark: SparkSession, source: str, patterns: DataFrame, longest: int) -> dict[str, float]:
-    """Seconds of the search shapes over a bundle."""
+def list_metadata(spark: SparkSession, source: str, what: str) -> DataFrame:
+    """(id, name) of a bundle's samples, contigs, paths or tags; an error where it has none of them. A path is named by its four parts."""
+    index, meta = bundle.load(spark, source)
+    if what == "tags":
+        return spark.createDataFrame([(i, f"{k} = {v}") for i, (k, v) in enumerate(sorted(index.tags.items()))], "id long, name string")
+    named = None if meta is None else {"samples": meta.samples, "contigs": meta.contigs, "paths": meta.path_names}[what]
+    if named is None:
+        raise ValueError(f"the bundle has no names of {what}")
+    if what != "paths":
+        return named.select("id", F.col("string").alias("name"))
+    full = metadata.full_names(named, meta.samples, meta.contigs)
+    return full.select(F.col("path_id").alias("id"), F.format_string("(%s, %s, %d, %d)", "sample", "contig", "phase", "count").alias("name"))
+
+
+def clear_metadata(spark: SparkSession, source: str, out: str) -> PathIndex:
+    """Write a bundle again without its metadata."""
+    index, _ = bundle.load(spark, source)
+    bundle.save(PathIndex(index.visits, index.bidirectional, index.tags), out)
+    return bundle.load(spark, out)[0]
+
+
+def benchmark(spark: SparkSession, source: str, patterns: DataFrame, longest: int) -> dict[str, tuple[float, int]]:
+    """(seconds, results) of each search shape over a bundle."""
     index, _ = bundle.load(spark, source)
     found = search.find(index, patterns)
     work = {
         "find": lambda: found, "find_by_extension": lambda: search.find_by_extension(index, patterns, longest), "bidirectional": lambda: search.bd_search(index, patterns, longest),
-        "locate": lambda: locate.locate_states(index, found), "extract": lambda: locate.extract(index, index.visits.filter("pos = 0").select("seq_id")), "lcs": lambda: search.longest_common_suffix(index),
+        "locate": lambda: locate.locate_states(index, found), "locate_by_run_heads": lambda: locate.locate_by_successors(index, locate.find_with_first(index, found)),
+        "extract": lambda: locate.extract(index, index.visits.filter("pos = 0").select("seq_id")), "lcs": lambda: search.longest_common_suffix(index),
     }
     out = {}
     for name, make in work.items():
         began = time.time()
-        make().write.format("noop").mode("overwrite").save()
-        out[name] = time.time() - began
+        rows = make()
+        results = rows.agg(F.count(F.lit(1)).alias("n"), *[F.max(F.hash(c)) for c in rows.columns]).first()["n"]  # every column is made
+        out[name] = time.time() - began, results
     return out
 
 
+def parse_ids(text: str) -> list[int]:
+    """Ids and closed ranges of them: ``3,7-9``."""
+    parts = [x.split("-") for x in text.split(",")]
+    return sorted({i for p in parts for i in range(int(p[0]), int(p[-1]) + 1)})
+
+
 def check(index: PathIndex) -> bool:
     """Whether the structural invariants hold."""
-    return not any(q.limit(1).count() for q in (verify.well_formed(index), verify.lf_equation(index), verify.run_head_agrees(index)))
+    return not any(q.filter("differing > 0").limit(1).count() for q in (verify.well_formed(index), verify.lf_equation(index), verify.run_head_agrees(index)))
 
 
 def main(args: list[str] | None = None) -> None:
@@ -114,6 +148,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--base")
     p.add_argument("--forward", action="store_true")
     p.add_argument("--form", choices=sorted(bundle.CODECS), default="compressed")
+    p.add_argument("--interval", type=int, help="write samples at this interval beside the bundle")
     p = sub.add_parser("merge")
     p.add_argument("--out", required=True)
     p.add_argument("--disjoint", action="store_true")
@@ -121,21 +156,38 @@ def main(args: list[str] | None = None) -> None:
     p = sub.add_parser("remove")
     p.add_argument("source")
     p.add_argument("--out", required=True)
-    p.add_argument("--ids", type=lambda s: [int(x) for x in s.split(",")])
+    p.add_argument("--ids", type=parse_ids, help="ids and ranges, as in 3,7-9")
     p.add_argument("--sample", type=int)
     p.add_argument("--contig", type=int)
+    p = sub.add_parser("metadata")
+    p.add_argument("source")
+    p.add_argument("--list", choices=("samples", "contigs", "paths", "tags"))
+    p.add_argument("--clear", metavar="OUT", help="write the bundle there without its metadata")
+    p = sub.add_parser("benchmark")
+    p.add_argument("source")
+    p.add_argument("--length", type=int, default=4, help="nodes of a pattern; one is taken from each path that has as many")
     for name in ("describe", "run-heads", "check"):
         sub.add_parser(name).add_argument("source")
     got = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     if got.tool == "build":
-        build(spark, got.out, got.text, base=got.base, forward=got.forward, form=got.form)
+        build(spark, got.out, got.text, base=got.base, forward=got.forward, form=got.form, interval=got.interval)
     elif got.tool == "merge":
         merge(spark, got.out, got.sources, got.disjoint)
     elif got.tool == "remove":
         print(remove(spark, got.source, got.out, got.ids, got.sample, got.contig), "visits removed")
     elif got.tool == "describe":
         print(describe(spark, got.source))
+    elif got.tool == "metadata":
+        if got.list:
+            for row in list_metadata(spark, got.source, got.list).orderBy("id").toLocalIterator():
+                print(row["name"])
+        if got.clear:
+            clear_metadata(spark, got.source, got.clear)
+    elif got.tool == "benchmark":
+        own = bundle.load(spark, got.source)[0].paths.filter(F.size("path") >= got.length).select(F.col("seq_id").alias("query_id"), F.slice("path", 1, got.length).alias("pattern"))
+        for name, (seconds, results) in benchmark(spark, got.source, own, got.length).items():
+            print(f"{name}: {seconds:.2f} s, {results} results")
     elif got.tool == "run-heads":
         print(build_run_heads(spark, got.source).count(), "runs")
     else:

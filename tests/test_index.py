@@ -109,7 +109,18 @@ def test_only_empty_paths(spark):
 
 def test_invariants(spark, f1b):
     for query in (verify.lf_equation(f1b), verify.inverse_agrees(f1b), verify.samples_agree(f1b, 3), verify.run_head_agrees(f1b), verify.well_formed(f1b)):
-        assert query.count() == 0
+        assert all(r["compared"] > 0 and r["differing"] == 0 for r in query.collect())
+
+
+def test_broken_links_are_found(f1b):
+    """Two exchanged offsets break the rules that name them."""
+    from pyspark.sql import functions as F
+
+    here = (F.col("node") == 18) & F.col("off").isin(0, 1)
+    swapped = PathIndex(f1b.visits.withColumn("off", F.when(here, 1 - F.col("off")).otherwise(F.col("off"))), True)
+    assert verify.inverse_agrees(swapped).first()["differing"] > 0 and verify.extract_agrees(swapped, f1b.paths).first()["differing"] == 0
+    doubled = PathIndex(f1b.visits.withColumn("off", F.when(here, 0).otherwise(F.col("off"))), True)
+    assert {r["check"]: r["differing"] for r in verify.well_formed(doubled).collect()} == {"offsets": 1, "starts": 0, "positions": 0}
 
 
 A = [[11, 13, 14, 15, 17], [11, 12, 14, 15, 17], [11, 13, 14, 16, 17]]
