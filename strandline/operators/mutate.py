@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.index import PathIndex, both_orientations
-from ..plans.tables import dense_ids, places_within
+from ..plans.index import PathIndex, both_orientations, build_visits, link_visits
+from ..plans.tables import cut, dense_ids, places_within, sums_within
+from .search import full_lf
 
 
 def insert(index: PathIndex, paths: DataFrame, both: bool | None = None) -> PathIndex:
@@ -25,6 +26,45 @@ def _append(index: PathIndex, new: DataFrame, bidirectional: bool, method: str |
     return PathIndex.build(index.paths.unionByName(moved), bidirectional, method, tags=index.tags, metadata=index.metadata)
 
 
+def insertion_points(index: PathIndex, new: DataFrame) -> DataFrame:
+    """(seq_id, pos, node, at) of new sequences (seq_id, path): how many visits of the node that the index has come before each new one.
+
+    All sequences step along their paths together: from the place among a node's visits follows the place among its successor's
+    (``full_lf``), so there are as many steps as the longest path has nodes. Nothing that the index has is ranked again.
+    """
+    n = index.visits.filter("pos = 0").count()
+    new = cut(new.select("seq_id", "path"))
+    now = cut(new.select("seq_id", F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("node"), F.lit(n).cast("long").alias("at")))
+    out, pos = now, 0
+    while True:
+        step = now.join(new, "seq_id").filter(F.size("path") > pos).select("seq_id", "node", F.col("at").alias("off"), F.get("path", F.lit(pos)).alias("to"))
+        moved = full_lf(index, step.select("node", "off", "to").distinct())
+        now = cut(step.join(moved, ["node", "off", "to"]).select("seq_id", F.lit(pos + 1).cast("long").alias("pos"), F.col("to").alias("node"), F.col("target").alias("at")))
+        if not now.limit(1).count():
+            return out
+        out, pos = out.unionByName(now), pos + 1
+
+
+def insert_by_steps(index: PathIndex, paths: DataFrame, both: bool | None = None) -> PathIndex:
+    """As ``insert``, for few and short paths: old visits keep their order and only move up by the new ones before them.
+
+    The new sequences are ranked among themselves; a new visit stands behind the old ones at its insertion point and the new
+    ones that are smaller, an old one behind the new ones inserted no later.
+    """
+    both = index.bidirectional if both is None else both
+    new = both_orientations(paths) if both else paths.select(F.col("path_id").alias("seq_id"), "path")
+    first = index.visits.filter("pos = 0").count()
+    new = new.select((F.col("seq_id") + first).alias("seq_id"), "path")
+    points = cut(insertion_points(index, new))
+    own = build_visits(new.select((F.col("seq_id") - first).alias("seq_id"), "path")).select((F.col("seq_id") + first).alias("seq_id"), "pos", "node", F.col("off").alias("rank"))
+    late = points.join(own, ["seq_id", "pos", "node"]).select("seq_id", "pos", "node", F.when(F.col("node") == 0, F.col("seq_id")).otherwise(F.col("at") + F.col("rank")).alias("off"))
+    old = index.visits.select("seq_id", "pos", "node", F.col("off").alias("at"), F.lit(1).alias("_old"))
+    rows = old.unionByName(points.select("seq_id", "pos", "node", "at", F.lit(0).alias("_old")))
+    moved = sums_within(rows, ["node"], "at", ["_old"], 1 - F.col("_old"), "before").filter("_old = 1")
+    early = moved.select("seq_id", "pos", "node", F.when(F.col("node") == 0, F.col("at")).otherwise(F.col("at") + F.col("before")).alias("off"))
+    return PathIndex(link_visits(cut(early.unionByName(late))), index.bidirectional and both, index.tags, index.metadata)
+
+
 def merge(index: PathIndex, other: PathIndex, method: str | None = None) -> PathIndex:
     """Append all sequences of another index; ranks change only where nodes are shared, but all are made anew."""
     return _append(index, other.paths, index.bidirectional and other.bidirectional, method)

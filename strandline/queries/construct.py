@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import mutate
 from ..plans import oracle as O
 from ..plans.index import PathIndex, both_orientations
+from ..plans.tables import cut
 from ..sources.corpus import index, paths
 from .base import query
 
@@ -20,6 +21,17 @@ def _from(rows: str, both: bool = True, corpus: str = "events", tail: str = ALL,
     return "WITH " + ",\n".join([base, f"rows_ AS ({rows})", seqs, O.RANKED, *parts]) + "\n" + tail
 
 
+#: The paths in the order of a merge of their second half with their first.
+SHIFTED = "SELECT CASE WHEN path_id < c // 2 THEN path_id + c - c // 2 ELSE path_id - c // 2 END AS path_id, p, node FROM base_, (SELECT max(path_id) + 1 AS c FROM base_)"
+
+
+def halves(spark, sf, corpus="events"):
+    """(first, second) half of the paths, both numbered from 0."""
+    own = paths(spark, sf, corpus)
+    middle = own.count() // 2
+    return own.filter(F.col("path_id") < middle), own.filter(F.col("path_id") >= middle).withColumn("path_id", F.col("path_id") - middle)
+
+
 SAME = "SELECT * FROM base_"
 
 
@@ -70,6 +82,13 @@ def c04(spark, sf):
     return PathIndex.from_paths(paths(spark, sf), method="doubling").visits
 
 
+@query("c04_insert_by_steps", _from(SAME, corpus="conversations"))
+def c04_steps(spark, sf):
+    """The second half stepped into the index of the first, whose visits keep their order."""
+    first, second = halves(spark, sf, "conversations")
+    return mutate.insert_by_steps(PathIndex(cut(PathIndex.from_paths(first).visits)), second).visits
+
+
 @query("c05_edges_after_removal", _from("SELECT path_id - (path_id // 3) - 1 AS path_id, p, node FROM base_ WHERE path_id % 3 <> 0", True, "events", "SELECT * FROM edges", O.EDGES))
 def c05(spark, sf):
     return _removed(spark, sf)[0].edges
@@ -96,17 +115,6 @@ def c06_invalid(spark, sf):
     return removed.crossJoin(left.visits.agg(F.count(F.lit(1)).alias("size")))  # one row each
 
 
-#: The paths in the order of a merge of their second half with their first.
-SHIFTED = "SELECT CASE WHEN path_id < c // 2 THEN path_id + c - c // 2 ELSE path_id - c // 2 END AS path_id, p, node FROM base_, (SELECT max(path_id) + 1 AS c FROM base_)"
-
-
-def halves(spark, sf):
-    """(first, second) half of the paths, both numbered from 0."""
-    own = paths(spark, sf)
-    middle = own.count() // 2
-    return own.filter(F.col("path_id") < middle), own.filter(F.col("path_id") >= middle).withColumn("path_id", F.col("path_id") - middle)
-
-
 @query("c07_merge", _from(SHIFTED))
 def c07(spark, sf):
     """The second half of the paths with the first half appended."""

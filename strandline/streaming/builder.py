@@ -12,21 +12,20 @@ from ..plans.tables import dense_ids
 class StreamingBuilder:
     """Each micro-batch becomes a folder of sequences named after its batch id, with ids from the number of sequences in earlier batches.
 
-    Writing a batch again after a failure replaces its folder, so a retried batch neither repeats nor skips ids.
+    Beside it a one-row table holds the number that the batch ends at, so that no batch counts the earlier ones again. Writing a batch
+    again after a failure replaces its folders, so a retried batch neither repeats nor skips ids.
     """
 
     def __init__(self, spark: SparkSession, path: str, both: bool = True):
         self.spark, self.path, self.both = spark, path, both
+        self.totals = f"{path.rstrip('/')}-totals"
 
     def _before(self, batch: int) -> int:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(where):
+        """Where the last earlier batch ends."""
+        if batch == 0:
             return 0
-        names = [f.getPath().getName() for f in fs.listStatus(where)]
-        earlier = [n for n in names if n.startswith("batch=") and int(n[6:]) < batch]
-        return sum(self.spark.read.parquet(f"{self.path}/{n}").count() for n in earlier)
+        ends = self.spark.read.schema("upto long, batch long").parquet(self.totals).filter(F.col("batch") < batch)
+        return ends.agg(F.max("upto")).first()[0] or 0
 
     def add(self, rows: DataFrame, batch: int) -> None:
         """Append one batch (key, path), ids in the order of its keys."""
@@ -34,7 +33,10 @@ class StreamingBuilder:
         own = rows.join(ids, "key").select("path_id", "path")
         seqs = both_orientations(own) if self.both else own.select(F.col("path_id").alias("seq_id"), "path")
         start = self._before(batch)
-        seqs.select((F.col("seq_id") + start).alias("seq_id"), "path").write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        here = f"{self.path}/batch={batch}"
+        seqs.select((F.col("seq_id") + start).alias("seq_id"), "path").write.mode("overwrite").parquet(here)
+        upto = self.spark.read.parquet(here).agg((F.count(F.lit(1)) + start).alias("upto"))
+        upto.write.mode("overwrite").parquet(f"{self.totals}/batch={batch}")
 
     def run(self, stream: DataFrame, checkpoint: str):
         """Start the query: ``stream`` has (key, path)."""
