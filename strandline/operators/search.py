@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.index import PathIndex, flip, reverse_path
+from ..plans.index import PREFIX_LIMIT, PathIndex, doubled_ranks, flip, reverse_path
 from ..plans.tables import BLOCK, cut, sums_within
 
 
@@ -249,17 +249,41 @@ def start(index: PathIndex, sequences: DataFrame) -> DataFrame:
     return sequences.join(index.visits.filter("pos = 0").select("seq_id", F.col("next").alias("node"), F.col("next_off").alias("off")), "seq_id")
 
 
-def longest_common_suffix(index: PathIndex) -> DataFrame:
-    """(node, off, lcs): how many nodes back, itself included, the visits ``off`` and ``off + 1`` agree."""
-    paths = index.paths
-    back = index.visits.filter("node <> 0").join(paths, "seq_id").select("node", "off", F.reverse(F.slice("path", 1, F.greatest(F.col("pos") - 1, F.lit(0)).cast("int"))).alias("back"))
-    pairs = back.withColumn("other", F.lead("back").over(Window.partitionBy("node").orderBy("off"))).filter("other is not null")
+def longest_common_suffix(index: PathIndex, method: str | None = None) -> DataFrame:
+    """(node, off, lcs): how many nodes back, itself included, the visits ``off`` and ``off + 1`` agree.
+
+    Short paths are compared as arrays of their preceding nodes, long ones by ranks of doubled lengths.
+    """
+    if method is None:
+        longest = index.visits.agg(F.max("pos")).first()[0] or 0
+        method = "prefix" if longest <= PREFIX_LIMIT else "doubling"
+    own = index.visits.filter("node <> 0").select("node", "off", "seq_id", "pos")
+    if method == "doubling":
+        return _lcs_by_doubling(index, own)
+    back = own.join(index.paths, "seq_id").select("node", "off", F.reverse(F.slice("path", 1, F.greatest(F.col("pos") - 1, F.lit(0)).cast("int"))).alias("back"))
+    pairs = back.join(back.select("node", (F.col("off") - 1).alias("off"), F.col("back").alias("other")), ["node", "off"])
     same = F.zip_with("back", "other", lambda a, b: F.coalesce(a == b, F.lit(False)))
     differs = F.array_position(same, F.lit(False))
     common = F.when(differs > 0, differs - 1).otherwise(F.least(F.size("back"), F.size("other")))
     return pairs.select("node", "off", (common + 1).cast("long").alias("lcs"))
 
 
+def _lcs_by_doubling(index: PathIndex, own: DataFrame) -> DataFrame:
+    """Both visits of a pair go back by the largest length whose ranks agree, then by smaller ones; start rows never agree."""
+    rows = cut(index.visits.select("seq_id", "pos", "node"))
+    longest = rows.agg(F.max("pos")).first()[0] or 0
+    levels = [(1, rows.select("seq_id", "pos", F.when(F.col("node") == 0, -1 - F.col("seq_id")).otherwise(F.col("node")).alias("r")))]
+    levels += [(n, ranks.select("seq_id", "pos", "r")) for n, ranks in doubled_ranks(rows, longest)]
+    after = own.select("node", (F.col("off") - 1).alias("off"), F.col("seq_id").alias("seq_b"), F.col("pos").alias("pos_b"))
+    pairs = own.withColumnsRenamed({"seq_id": "seq_a", "pos": "pos_a"}).join(after, ["node", "off"]).withColumn("lcs", F.lit(0).cast("long"))
+    for n, ranks in reversed(levels):
+        of = lambda x: ranks.select(F.col("seq_id").alias(f"seq_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("r").alias(f"r_{x}"))  # noqa: E731, B023
+        met = pairs.join(of("a"), ["seq_a", "pos_a"]).join(of("b"), ["seq_b", "pos_b"])
+        step = F.when(F.col("r_a") == F.col("r_b"), n).otherwise(0)
+        pairs = cut(met.select("node", "off", "seq_a", (F.col("pos_a") - step).alias("pos_a"), "seq_b", (F.col("pos_b") - step).alias("pos_b"), (F.col("lcs") + step).alias("lcs")))
+    return pairs.select("node", "off", "lcs")
+
+
 def extend_all(index: PathIndex, states: DataFrame) -> DataFrame:
     """(query_id, node, sp, ep, cnt) for every successor of each state but the endmarker."""
     return _moved(index, successor_counts(index, states).filter("next <> 0")).select("query_id", "node", "sp", "ep", "cnt")

@@ -90,6 +90,18 @@ def sampled(index: PathIndex, interval: int) -> DataFrame:
     return index.visits.filter(due).select("node", "off", "seq_id")
 
 
+def sample_ranges(index: PathIndex, interval: int) -> DataFrame:
+    """(node, samples, first_off, last_off): where the samples of each sampled node lie."""
+    own = sampled(index, interval)
+    return own.groupBy("node").agg(F.count(F.lit(1)).alias("samples"), F.min("off").alias("first_off"), F.max("off").alias("last_off"))
+
+
+def printed_header(index: PathIndex) -> DataFrame:
+    """One row (text): the header as a line."""
+    kind = F.when(F.col("bidirectional"), "bidirectional").otherwise("forward")
+    return index.header.select(F.format_string("%s index: %d sequences, %d visits, nodes above %d and below %d", kind, "sequences", "size", "offset", "alphabet_size").alias("text"))
+
+
 def distribution(index: PathIndex, quantiles: tuple[float, ...] = (0.9, 0.99, 0.999)) -> DataFrame:
     """(statistic, total, average, q0.., largest) of runs and outdegrees over the records, empty ones included, without the endmarker's."""
     per_node = records(index).filter("node <> 0")

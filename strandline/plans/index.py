@@ -7,6 +7,7 @@ visit's rank is its offset. Every search, navigation and mutation is then a join
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -66,20 +67,32 @@ def offsets_by_prefix(rows: DataFrame) -> DataFrame:
     return places_within(rows.withColumn("prefix", prefix), "node", ["prefix", "seq_id"], "off", ["seq_id", "pos", "node"])
 
 
-def offsets_by_doubling(rows: DataFrame, longest: int) -> DataFrame:
-    """Offsets by doubling: after each round visits are ranked by their node and twice as long a prefix, until no rank is split any more."""
+def doubled_ranks(rows: DataFrame, longest: int) -> Iterator[tuple[int, DataFrame]]:
+    """(length, ranks (seq_id, pos, node, r)) for lengths 2, 4, 8, ...: visits ranked by their last ``length`` nodes, start rows by their
+    sequence, until no rank is split any more. The caller may ``forget`` a table once it has the next one."""
     ranked = cut(rows.withColumn("r", F.when(F.col("node") == 0, F.col("seq_id")).otherwise(0).cast("long")))
-    along, step, known = Window.partitionBy("seq_id").orderBy("pos"), 1, 0
+    along, step, known, keys = Window.partitionBy("seq_id").orderBy("pos"), 1, 0, ["node", "r", "pn", "pr"]
     while step <= longest:
-        shifted = ranked.withColumn("pn", F.coalesce(F.lag("node", step).over(along), F.lit(-1))).withColumn("pr", F.coalesce(F.lag("r", step).over(along), F.lit(-1)))
-        shifted, keys = cut(shifted), ["node", "r", "pn", "pr"]
+        shifted = cut(ranked.withColumn("pn", F.coalesce(F.lag("node", step).over(along), F.lit(-1))).withColumn("pr", F.coalesce(F.lag("r", step).over(along), F.lit(-1))))
         ids = numbers_of(shifted, keys, "_rank")
         closer = cut(shifted.join(ids, keys).select("seq_id", "pos", "node", F.col("_rank").alias("r")))
-        forget(ranked, shifted)
+        forget(shifted)
         ranked, step = closer, 2 * step
+        yield step, ranked
         if known == (known := ranked.agg(F.max("r")).first()[0]):
             break
-    return places_within(ranked, "node", ["r", "seq_id"], "off", ["seq_id", "pos", "node"])
+
+
+def offsets_by_doubling(rows: DataFrame, longest: int) -> DataFrame:
+    """Offsets by doubling, the last ranks with ties by sequence."""
+    last = None
+    for _, ranked in doubled_ranks(rows, longest):
+        if last is not None:
+            forget(last)
+        last = ranked
+    if last is None:  # start rows only
+        return rows.select("seq_id", "pos", "node", F.col("seq_id").alias("off"))
+    return places_within(last, "node", ["r", "seq_id"], "off", ["seq_id", "pos", "node"])
 
 
 def link_visits(ranked: DataFrame) -> DataFrame:

@@ -337,11 +337,19 @@ def q18(spark, sf):
     return search.start(idx, idx.visits.filter("pos = 0").select("seq_id"))
 
 
-@query("q19_longest_common_suffix", SQL("SELECT node, off, 1 + coalesce(list_position(list_transform(list_zip(prefix[1:least(len(prefix), len(o))], o[1:least(len(prefix), len(o))]), lambda p: p[1] = p[2] AND p[1] <> 0), false), least(len(prefix), len(o)) + 1) - 1 AS lcs FROM (SELECT r.node, r.off, prefix, lead(prefix) OVER (PARTITION BY r.node ORDER BY r.off) AS o FROM rank_ r JOIN pref_ p USING (seq_id, pos) WHERE r.pos > 0) WHERE o IS NOT NULL"))
+LCS = SQL("SELECT node, off, 1 + coalesce(list_position(list_transform(list_zip(prefix[1:least(len(prefix), len(o))], o[1:least(len(prefix), len(o))]), lambda p: p[1] = p[2] AND p[1] <> 0), false), least(len(prefix), len(o)) + 1) - 1 AS lcs FROM (SELECT r.node, r.off, prefix, lead(prefix) OVER (PARTITION BY r.node ORDER BY r.off) AS o FROM rank_ r JOIN pref_ p USING (seq_id, pos) WHERE r.pos > 0) WHERE o IS NOT NULL")
+
+
+@query("q19_longest_common_suffix", LCS)
 def q19(spark, sf):
     return search.longest_common_suffix(index(spark, sf))
 
 
+@query("q19_lcs_by_doubling", LCS)
+def q19_doubling(spark, sf):
+    return search.longest_common_suffix(index(spark, sf), "doubling")
+
+
 @query("q20_extend_all", SQL("SELECT query_id, next AS node, min(next_off) AS sp, max(next_off) AS ep, count(*) AS cnt FROM found f JOIN visits v ON v.node = f.node AND off BETWEEN sp AND ep WHERE next <> 0 GROUP BY query_id, next", P, FD))
 def q20(spark, sf):
     return search.extend_all(index(spark, sf), states(spark, sf))

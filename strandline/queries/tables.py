@@ -142,6 +142,41 @@ def k06(spark, sf):
     return parts.join(bundle.sizes(spark, at), "part").select("part", "n", (F.col("bytes") > 0).alias("written"))
 
 
+@query("k10_printed_header", O.sql("SELECT printf('bidirectional index: %d sequences, %d visits, nodes above %d and below %d', count(*) FILTER (pos = 0), count(*), min(node) FILTER (node > 0) - 1, max(node) + 1) AS text FROM visits"))
+def k10(spark, sf):
+    from ..operators import stats
+
+    return stats.printed_header(index(spark, sf))
+
+
+@query("k12_temporary_tables", O.sql("SELECT count(*) AS rows_before, true AS gone FROM visits"))
+def k12(spark, sf):
+    """A table that was cut and forgotten: its rows while it was there, and that its folder holds nothing any more."""
+    from ..plans.tables import cut, forget, shared_dir
+
+    table = cut(index(spark, sf).visits.select("node"))
+    rows = table.count()
+    forget(table)
+    left = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(shared_dir(spark)).select("path").filter(F.col("path").contains(table.cut_path.rpartition("/")[2]))
+    return spark.createDataFrame([(rows, left.limit(1).count() == 0)], "rows_before long, gone boolean")
+
+
+@query("c11_converted_forms", O.sql("SELECT node, off, seq_id, pos, next, next_off, prev, prev_off FROM visits"))
+def c11(spark, sf):
+    """Written plain, read, written compressed, read: the same visits."""
+    at = place(spark)
+    bundle.save(index(spark, sf), f"{at}-plain", "plain")
+    bundle.save(bundle.load(spark, f"{at}-plain")[0], f"{at}-compressed", "compressed")
+    return bundle.load(spark, f"{at}-compressed")[0].visits
+
+
+@query("u05_sample_ranges", O.sql("SELECT node, count(*) AS samples, min(off) AS first_off, max(off) AS last_off FROM visits WHERE next = 0 OR (pos + 1) % 8 = 0 GROUP BY node"))
+def u05(spark, sf):
+    from ..operators import stats
+
+    return stats.sample_ranges(index(spark, sf), 8)
+
+
 @query("k03_compression_helps", O.sql("SELECT unnest(['compressed', 'plain']) AS form, count(*) AS n, sum(off)::BIGINT AS offsets, true AS smaller FROM visits"))
 def k03(spark, sf):
     """Both forms hold the same visits, and the compressed one is smaller."""

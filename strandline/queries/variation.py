@@ -85,6 +85,26 @@ def h08(spark, sf):
     return V.overlaps(vp(spark, sf))
 
 
+@query("k08_saved_variants", f"""WITH {VP} SELECT 'alleles' AS part, count(*) AS n, sum(list_sum(path))::BIGINT AS nodes FROM alleles UNION ALL SELECT 'reference', count(*), sum(node)::BIGINT FROM reference
+  UNION ALL SELECT 'sites', count(*), sum(ref_end - ref_start)::BIGINT FROM sites""")
+def k08(spark, sf):
+    """A contig as written and read back with its checks."""
+    from ..sources import bundle
+    from .scan import place
+
+    at = place(spark)
+    bundle.save_variants(vp(spark, sf), at)
+    v = bundle.load_variants(spark, at)
+    total = lambda name, df, value: df.agg(F.count(F.lit(1)).alias("n"), F.sum(value).cast("long").alias("nodes")).select(F.lit(name).alias("part"), "n", "nodes")
+    sums = F.aggregate("path", F.lit(0).cast("long"), lambda a, x: a + x)
+    return total("alleles", v.alleles, sums).unionAll(total("reference", v.reference, F.col("node"))).unionAll(total("sites", v.sites, F.col("ref_end") - F.col("ref_start")))
+
+
+@query("i08_node_ids", f"WITH {VP} SELECT site, allele, array_to_string(list_transform(path, lambda x: x // 2), ',') AS path FROM every_")
+def i08(spark, sf):
+    return V.node_ids(V.all_alleles(vp(spark, sf))).select("site", "allele", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+
+
 @query("h09_parse_genotypes", f"WITH {GENOTYPES}, {PARSED} SELECT * FROM typed")
 def h09(spark, sf):
     return genotypes(spark, sf).select("id", "g.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dictionary
 from ..operators.metadata import Metadata
+from ..operators.variants import VariantPaths
 from ..plans.index import VISIT_COLUMNS, PathIndex
 
 VERSION = 1
@@ -112,6 +113,25 @@ def read_strings(spark: SparkSession, path: str, duplicate=None) -> DataFrame:
     return out if duplicate is None else dictionary.duplicated(out, duplicate)
 
 
+def save_variants(v: VariantPaths, path: str, phasings: DataFrame | None = None, form: str = "compressed") -> None:
+    """Write the tables of a contig, and phasings as a table partitioned by file."""
+    for name in ("reference", "sites", "alleles"):
+        getattr(v, name).write.mode("overwrite").option("compression", CODECS[form]).parquet(f"{path}/{name}")
+    if phasings is not None:
+        append_phasings(phasings, f"{path}/phasings")
+
+
+def load_variants(spark: SparkSession, path: str) -> VariantPaths:
+    """Read the tables of a contig; sites that are out of order or beyond the reference, and alleles of no site, are an error."""
+    v = VariantPaths(*(spark.read.parquet(f"{path}/{name}") for name in ("reference", "sites", "alleles")))
+    size = v.reference.count()
+    late = v.sites.select((F.col("site") + 1).alias("site"), F.col("ref_start").alias("before"))
+    wrong = v.sites.join(late, "site", "left").filter((F.col("ref_start") > F.col("ref_end")) | (F.col("ref_end") > size) | (F.col("before") > F.col("ref_start")))
+    if wrong.limit(1).count() or v.alleles.join(v.sites, "site", "left_anti").limit(1).count():
+        raise ValueError("the variants contradict their reference")
+    return v
+
+
 def append_phasings(phasings: DataFrame, path: str) -> None:
     """Append to a table partitioned by file, so that reading a subset of files prunes."""
     phasings.write.mode("append").partitionBy("file").parquet(path)
