@@ -8,6 +8,8 @@ the universe, with a few bits a key and without a join.
 The filters travel as constants of the plan. Their size is computed from counts before they
 are built; above ``MAX_BITS`` in total the listed keys are joined instead, which gives the same answer.
 
+Listed hosts that the corpus lacks take no part, as its keys are all that is ever asked for.
+
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
 judged by its (empty) key. Null page ids and repeated rows pass through, one row out per row
 in. An empty table gives no rows. Columns other than the id and the url are not read, so
@@ -111,12 +113,17 @@ def carries_label(host: Column, names=LISTED_SITES) -> Column:
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, listed=carries_label, max_bits: int = MAX_BITS) -> DataFrame:
     """Judge every url: (id, host, path, rule, verdict, listed).
 
-    ``listed`` maps the host column to a boolean: which hosts of the corpus the list holds.
+    ``listed`` is the list: a table whose first column holds its hosts, of any size, or a function from the host column to a boolean.
     """
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     scratch = Scratch(pages.sparkSession)
-    universe = scratch.keep(urls.groupBy(F.col("host").alias("key")).agg(F.first(listed(F.col("host"))).alias("listed")))
+    hosts = urls.select(F.col("host").alias("key")).distinct()
+    if isinstance(listed, DataFrame):
+        keys = listed.select(F.col(f"`{listed.columns[0]}`").alias("key")).distinct().withColumn("listed", F.lit(True))
+        universe = scratch.keep(hosts.join(keys, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")))
+    else:
+        universe = scratch.keep(hosts.withColumn("listed", listed(F.col("key"))))
     levels = cascade(universe, max_bits)
     if levels is None:
         keys = universe.filter("listed").select(F.col("key").alias("host"), F.lit(True).alias("listed"))

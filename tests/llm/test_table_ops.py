@@ -46,6 +46,33 @@ def test_url_verdicts(spark, max_bits):
     assert url_filter.filter_urls(pages.limit(0), max_bits=max_bits).count() == 0
 
 
+def test_listed_hosts_as_a_table(spark):
+    """A list of hosts, with some that no page has, repeated and null ones: as many levels as it takes, the same answer by filters and by join."""
+    pages = spark.createDataFrame([(i, f"http://h{i % 700}.x/{i}") for i in range(2100)] + [(5000, None)], "page_id long, url string")
+    hosts = spark.createDataFrame([(f"h{k}.x",) for k in range(0, 1400, 3)] * 2 + [(None,), ("",)], "name string")
+    for bits in (url_filter.MAX_BITS, 0):
+        rows = url_filter.filter_urls(pages, rules=(), listed=hosts, max_bits=bits).collect()
+        assert len(rows) == 2101 and all((r["verdict"] == "block") == (r["page_id"] == 5000 or r["page_id"] % 700 % 3 == 0) for r in rows)
+
+
+def test_registered_queries_agree_with_their_sql(spark):
+    """Every query of the subpackage that has SQL, on the smallest tables."""
+    import duckdb
+
+    from strandline.llm import registry
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("documents", "pages", "embeddings"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    for name, sql in registry.oracle_sql().items():
+        found = registry.queries()[name](spark, sf)
+        want = con.sql(sql)
+        columns = sorted(found.columns)
+        assert columns == sorted(want.columns), name
+        order = [want.columns.index(c) for c in columns]
+        assert Counter(tuple(r[c] for c in columns) for r in found.collect()) == Counter(tuple(r[i] for i in order) for r in want.fetchall()), name
+
+
 # Secrets ---------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
