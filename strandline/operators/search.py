@@ -87,6 +87,7 @@ def counts_before(index: PathIndex, points: DataFrame) -> DataFrame:
     """
     cols = points.columns
     wanted = points.select("node", "via").distinct()
+    points = points.withColumn("at", F.col("at").cast("long"))
     steps = index.visits.select("node", F.col("next").alias("via"), F.col("off").alias("at")).join(wanted, ["node", "via"], "left_semi").withColumn("_step", F.lit(1))
     rows = points.withColumn("_step", F.lit(0)).unionByName(steps, allowMissingColumns=True)
     return sums_within(rows, ["node", "via"], "at", ["_step"], F.col("_step"), "before").filter("_step = 0").select(*cols, "before")
@@ -197,9 +198,12 @@ BD_STATE = ("node", "sp", "ep", "back_node", "back_sp", "back_ep")
 def bd_extend_forward(index: PathIndex, states: DataFrame) -> DataFrame:
     """Both states after appending ``to``; (query_id, *BD_STATE)."""
     key = ("to", "back_node", "back_sp")
-    counts = successor_counts(index, states, key)
-    shift = counts.groupBy("query_id", "to").agg(F.sum(F.when(_smaller(), F.col("cnt")).otherwise(0)).alias("shift"))
-    moved = _moved(index, counts.filter("next = to and next <> 0"), *key).join(shift, ["query_id", "to"])
+    toward = F.col("next") == F.col("to")
+    of = lambda c: F.max(F.when(toward, F.col(c))).alias(c)
+    shift = F.sum(F.when(_smaller(), F.col("cnt")).otherwise(0)).alias("shift")
+    # One pass over the counts of all edges gives both ends of the reversed range and the edge that is taken.
+    taken = successor_counts(index, states, key).groupBy("query_id", *key, "node").agg(shift, of("lo"), of("cnt")).withColumn("next", F.col("to"))
+    moved = _moved(index, taken.filter("next <> 0 and cnt > 0"), *key, "shift")
     start = F.col("back_sp") + F.col("shift")
     return moved.select("query_id", "node", "sp", "ep", "back_node", start.alias("back_sp"), (start + F.col("cnt") - 1).alias("back_ep"))
 
