@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import tools
+from ..operators import stats
 from ..plans import oracle as O
 from ..sources import bundle
 from ..sources.corpus import index, paths
@@ -94,15 +95,7 @@ def st01(spark, sf):
 @query("c12_decompressed_records", O.sql("SELECT node, off, next, next_off FROM visits"))
 def c12(spark, sf):
     """Every record unfolded from its runs: one row a visit, offsets at the successor from the edge's start and the rank among equals."""
-    from pyspark.sql import Window
-
-    idx = index(spark, sf)
-    start = idx.edges.select(F.col("src").alias("node"), F.col("dst").alias("successor"), "rank_off")
-    before = Window.partitionBy("node", "successor").orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)
-    runs = idx.runs.withColumn("seen", F.coalesce(F.sum("len").over(before), F.lit(0))).join(start, ["node", "successor"])
-    each = runs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)))
-    at = F.when(F.col("successor") != 0, F.col("rank_off") + F.col("seen") + F.col("i"))
-    return each.select("node", (F.col("start_off") + F.col("i")).alias("off"), F.col("successor").alias("next"), at.alias("next_off"))
+    return stats.unfolded(index(spark, sf))
 
 
 @query("c14_metadata_policy", "SELECT 'insert' AS kind, 2 * (SELECT count(*) FROM customer) AS samples, 25::BIGINT AS contigs UNION ALL SELECT 'disjoint', (SELECT count(*) FROM customer), 50::BIGINT")
@@ -144,8 +137,6 @@ def k06(spark, sf):
 
 @query("k10_printed_header", O.sql("SELECT printf('bidirectional index: %d sequences, %d visits, nodes above %d and below %d', count(*) FILTER (pos = 0), count(*), min(node) FILTER (node > 0) - 1, max(node) + 1) AS text FROM visits"))
 def k10(spark, sf):
-    from ..operators import stats
-
     return stats.printed_header(index(spark, sf))
 
 
@@ -172,8 +163,6 @@ def c11(spark, sf):
 
 @query("u05_sample_ranges", O.sql("SELECT node, count(*) AS samples, min(off) AS first_off, max(off) AS last_off FROM visits WHERE next = 0 OR (pos + 1) % 8 = 0 GROUP BY node"))
 def u05(spark, sf):
-    from ..operators import stats
-
     return stats.sample_ranges(index(spark, sf), 8)
 
 

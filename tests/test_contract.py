@@ -47,8 +47,30 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+ALONE = """
+import sys; sys.path.insert(0, {repo!r})
+import importlib.abc
+class No(importlib.abc.MetaPathFinder):
+    def find_spec(self, name, path=None, target=None):
+        if name in ("strandline.llm", "corpus_pipeline"): raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, No())
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+q = e.queries()
+assert "pipeline" not in q and not any(k.startswith("op") for k in q) and set(e.oracle_sql()) <= set(q)
+assert q["u14_ranges"](spark, {data!r}).count() == 25
+"""
+
+
 def test_the_rest_works_alone(tmp_path):
-    """Without the llm folders and the pipeline, everything else imports."""
+    """Without the llm folders and the pipeline, everything else imports and runs."""
+    repo = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", ALONE.format(repo=str(repo), data=str(DATA))], check=True, cwd=tmp_path)
+
+
+def test_broken_dependencies_are_not_hidden(tmp_path):
+    """A module that the optional part needs and that is missing is an error."""
     repo = Path(__file__).resolve().parents[1]
-    code = "import sys; sys.path.insert(0, %r)\nimport importlib.abc\nclass No(importlib.abc.MetaPathFinder):\n  def find_spec(self, name, path=None, target=None):\n    if name.startswith('strandline.llm') or name == 'corpus_pipeline': raise ImportError(name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nq = e.queries()\nassert 'q02_find_pattern' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q)" % str(repo)
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+    code = ALONE.format(repo=str(repo), data=str(DATA)).split("from pyspark")[0].replace('("strandline.llm", "corpus_pipeline")', '("xxhash",)')
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True).returncode != 0
