@@ -18,31 +18,44 @@ def find_nodes(index: PathIndex, nodes: DataFrame) -> DataFrame:
 
 
 def _occurrences(index: PathIndex, patterns: DataFrame, from_start: bool = False) -> DataFrame:
-    """(query_id, node, off, seq_id): visits that complete a pattern.
+    """(pattern, node, off): visits that complete one of the distinct patterns of two nodes at least.
 
-    A pattern is sought at its rarest node, not at its last one, which keeps hot labels out as far as the patterns allow. Each visit of
-    that node then looks up the pattern's other places by (sequence, position); paths as a whole don't move.
+    A pattern is sought at its rarest edge, not at its last node: the edges' counts keep hot labels out as far as the patterns allow. Each
+    visit of that edge then looks up the pattern's other places by (sequence, position); paths as a whole don't move.
     """
-    spread = patterns.filter(F.size("pattern") > 0).select("query_id", "pattern", F.posexplode("pattern").alias("at", "node"))
-    rare = spread.join(index.node_sizes, "node").groupBy("query_id", "pattern").agg(F.min_by(F.struct("node", "at"), F.struct("size", "at")).alias("pick"), F.count(F.lit(1)).alias("known"))
-    rare = rare.filter(F.col("known") == F.size("pattern")).select("query_id", "pattern", F.col("pick.node").alias("node"), F.col("pick.at").alias("at"))
-    hits = index.visits.select("node", "seq_id", "pos").join(rare, "node").withColumn("start", F.col("pos") - F.col("at"))
+    size = F.size("pattern")
+    pairs = F.arrays_zip(F.slice("pattern", 1, size - 1).alias("node"), F.slice("pattern", 2, size - 1).alias("next"))
+    spread = patterns.select("pattern").distinct().filter(size > 1).select("pattern", F.posexplode(pairs).alias("at", "pair")).select("pattern", "at", "pair.*")
+    counted = spread.join(index.edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "cnt"), ["node", "next"])
+    rare = counted.groupBy("pattern").agg(F.min_by(F.struct("node", "next", "at"), F.struct("cnt", "at")).alias("pick"), F.count(F.lit(1)).alias("known"))
+    rare = rare.filter(F.col("known") == size - 1).select("pattern", "pick.*")
+    hits = index.visits.select("node", "next", "next_off", "seq_id", "pos").join(rare, ["node", "next"]).withColumn("start", F.col("pos") - F.col("at"))
     hits = hits.filter("start = 1" if from_start else "start >= 1")
-    places = hits.select("query_id", "seq_id", "start", F.size("pattern").alias("size"), F.posexplode("pattern").alias("at", "node"))
-    places = places.withColumn("pos", F.col("start") + F.col("at"))
-    met = places.join(index.visits.select("seq_id", "pos", "node", "off"), ["seq_id", "pos", "node"])
-    last = F.col("at") == F.col("size") - 1
-    whole = met.groupBy("query_id", "seq_id", "start", "size").agg(F.count(F.lit(1)).alias("n"), *[F.max(F.when(last, F.col(c))).alias(c) for c in ("node", "off")])
-    return whole.filter("n = size").select("query_id", "node", "off", "seq_id")
+    pairs_only = hits.filter(size == 2).select("pattern", F.col("next").alias("node"), F.col("next_off").alias("off"))
+    longer = hits.filter(size > 2).select("pattern", "seq_id", "start", "at", "next", "next_off", F.posexplode("pattern").alias("i", "node"))
+    others = longer.filter("i <> at and i <> at + 1").withColumn("pos", F.col("start") + F.col("i"))
+    met = others.join(index.visits.select("seq_id", "pos", "node", "off"), ["seq_id", "pos", "node"])
+    last = F.when(F.col("i") == size - 1, F.col("off"))
+    whole = met.groupBy("pattern", "seq_id", "start").agg(F.count(F.lit(1)).alias("n"), F.max(last).alias("off"), F.max("next_off").alias("next_off"))
+    whole = whole.filter(F.col("n") == size - 2).select("pattern", F.element_at("pattern", -1).alias("node"), F.coalesce("off", "next_off").alias("off"))
+    return pairs_only.unionAll(whole)
 
 
 def _states(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("query_id", "node").agg(F.min("off").alias("sp"), F.max("off").alias("ep"), F.count(F.lit(1)).alias("cnt"))
+    return hits.groupBy("pattern", "node").agg(F.min("off").alias("sp"), F.max("off").alias("ep"), F.count(F.lit(1)).alias("cnt"))
+
+
+def _answers(patterns: DataFrame, single: DataFrame, states: DataFrame) -> DataFrame:
+    """States of the patterns of one node (node, sp, ep, cnt) and of longer ones (pattern, ...), for each query."""
+    longer = patterns.join(states, "pattern").select("query_id", "node", "sp", "ep", "cnt")
+    short = patterns.filter(F.size("pattern") == 1).select("query_id", F.get("pattern", F.lit(0)).alias("node"))
+    return longer.unionAll(short.join(single, "node").select("query_id", "node", "sp", "ep", "cnt"))
 
 
 def find(index: PathIndex, patterns: DataFrame) -> DataFrame:
     """(query_id, node, sp, ep, cnt) of each pattern (query_id, pattern) that occurs; an empty pattern doesn't."""
-    return _states(_occurrences(index, patterns))
+    single = index.node_sizes.select("node", F.lit(0).cast("long").alias("sp"), (F.col("size") - 1).alias("ep"), F.col("size").alias("cnt"))
+    return _answers(patterns, single, _states(_occurrences(index, patterns)))
 
 
 def find_by_extension(index: PathIndex, patterns: DataFrame, longest: int) -> DataFrame:
@@ -62,7 +75,8 @@ def prefix(index: PathIndex, patterns: DataFrame) -> DataFrame:
     all_seqs = index.visits.filter("pos = 0").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 0")
     empty = patterns.filter(F.size("pattern") == 0).select("query_id").crossJoin(F.broadcast(all_seqs))  # one row
     empty = empty.select("query_id", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("sp"), (F.col("cnt") - 1).alias("ep"), "cnt")
-    return _states(_occurrences(index, patterns, from_start=True)).unionByName(empty)
+    first = index.visits.filter("pos = 1").groupBy("node").agg(F.min("off").alias("sp"), F.max("off").alias("ep"), F.count(F.lit(1)).alias("cnt"))
+    return _answers(patterns, first, _states(_occurrences(index, patterns, from_start=True))).unionByName(empty)
 
 
 #: Offsets per block of a range join.
@@ -225,7 +239,7 @@ def bd_search(index: PathIndex, patterns: DataFrame, longest: int) -> DataFrame:
     own = patterns.filter(F.size("pattern") > 0).withColumn("mid", middle)
     nodes = own.select(F.get("pattern", F.col("mid")).alias("node"))
     states = own.select("query_id", F.get("pattern", F.col("mid")).alias("node")).join(bd_find(index, nodes), "node").select("query_id", *BD_STATE)
-    for step in range(1, longest // 2 + 1):
+    for step in range(1, (longest - 1) // 2 + 1):
         at = F.col("mid") + step
         states = _advance(index, states, own.filter(at < F.size("pattern")), at, bd_extend_forward, own)
     for step in range(1, longest // 2 + 1):
