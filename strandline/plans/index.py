@@ -14,8 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import BLOCK, cut, forget, places_within, sums_within
-from .tables import dense_ids as numbers_of
+from .tables import BLOCK, cut, dense_ids, forget, places_within, sums_within
 
 #: Longest path for which the prefix arrays are built; their size is quadratic in it.
 PREFIX_LIMIT = 128
@@ -74,7 +73,7 @@ def doubled_ranks(rows: DataFrame, longest: int) -> Iterator[tuple[int, DataFram
     along, step, known, keys = Window.partitionBy("seq_id").orderBy("pos"), 1, 0, ["node", "r", "pn", "pr"]
     while step <= longest:
         shifted = cut(ranked.withColumn("pn", F.coalesce(F.lag("node", step).over(along), F.lit(-1))).withColumn("pr", F.coalesce(F.lag("r", step).over(along), F.lit(-1))))
-        ids = numbers_of(shifted, keys, "_rank")
+        ids = dense_ids(shifted, keys, "_rank")
         closer = cut(shifted.join(ids, keys).select("seq_id", "pos", "node", F.col("_rank").alias("r")))
         forget(shifted)
         ranked, step = closer, 2 * step
