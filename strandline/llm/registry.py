@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, langid, line_dedup, media, mixing, near_dedup, pieces, secrets, toxicity, url_filter
+from . import codes, langid, line_dedup, media, mixing, near_dedup, pieces, secrets, talks, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_topk_codes": codes.op8_topk_codes,
         "op9_language_id": langid.op9_language_id,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "op11_conversation_repair": talks.op11_conversation_repair,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": line_dedup.OP7_SQL,
         "op8_topk_codes": codes.OP8_SQL,
         "op10_near_dedup": near_dedup.OP10_SQL,
+        "op11_conversation_repair": talks.OP11_SQL,
     }

@@ -62,7 +62,7 @@ def test_registered_queries_agree_with_their_sql(spark):
     from strandline.llm import registry
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for name in ("documents", "pages", "embeddings"):
+    for name in ("documents", "pages", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     for name, sql in registry.oracle_sql().items():
         found = registry.queries()[name](spark, sf)
