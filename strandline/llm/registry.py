@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, langid, line_dedup, media, mixing, near_dedup, pieces, secrets, talks, toxicity, url_filter
+from . import codes, langid, line_dedup, media, mixing, near_dedup, pieces, prefix_join, secrets, talks, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_language_id": langid.op9_language_id,
         "op10_near_dedup": near_dedup.op10_near_dedup,
         "op11_conversation_repair": talks.op11_conversation_repair,
+        "op12_ngram_join": prefix_join.op12_ngram_join,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_topk_codes": codes.OP8_SQL,
         "op10_near_dedup": near_dedup.OP10_SQL,
         "op11_conversation_repair": talks.OP11_SQL,
+        "op12_ngram_join": prefix_join.OP12_SQL,
     }
