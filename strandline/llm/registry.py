@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, langid, line_dedup, media, mixing, near_dedup, pieces, prefix_join, secrets, talks, toxicity, url_filter
+from . import codes, langid, line_dedup, media, mixing, near_dedup, pieces, prefix_join, secrets, spelling, talks, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_near_dedup": near_dedup.op10_near_dedup,
         "op11_conversation_repair": talks.op11_conversation_repair,
         "op12_ngram_join": prefix_join.op12_ngram_join,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_near_dedup": near_dedup.OP10_SQL,
         "op11_conversation_repair": talks.OP11_SQL,
         "op12_ngram_join": prefix_join.OP12_SQL,
+        "op13_spelling_variants": spelling.OP13_SQL,
     }
