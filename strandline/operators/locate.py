@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.index import PathIndex
-from ..plans.tables import BLOCK, cut
+from ..plans.tables import as_of, cut, sums_within
 from .search import visits_in
 from .stats import sampled
 
@@ -17,18 +17,18 @@ def try_locate(index: PathIndex, positions: DataFrame, interval: int) -> DataFra
 
 
 def next_sample(index: PathIndex, positions: DataFrame, interval: int) -> DataFrame:
-    """(node, off, sample_off, seq_id): the first sample at or after each position of the same node."""
-    block = F.floor(F.col("off") / BLOCK).alias("block")
-    samples = sampled(index, interval).select("node", block, "off", F.col("off").alias("sample_off"), "seq_id", F.lit(0).alias("asks"))
-    # Within a block of offsets by a sweep, beyond it from the first sample of a later block: a row for each block with samples.
-    firsts = samples.groupBy("node", "block").agg(F.min(F.struct("sample_off", "seq_id")).alias("own"))
-    rows = samples.unionByName(positions.select("node", block, "off", F.lit(1).alias("asks")), allowMissingColumns=True)
-    later = Window.partitionBy("node").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
-    blocks = rows.select("node", "block").distinct().join(firsts, ["node", "block"], "left").select("node", "block", F.first("own", ignorenulls=True).over(later).alias("then"))
-    ahead = Window.partitionBy("node", "block").orderBy("off", F.desc("asks")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    own = F.first(F.when(F.col("asks") == 0, F.struct("sample_off", "seq_id")), ignorenulls=True).over(ahead)
-    found = rows.withColumn("near", own).filter("asks = 1").join(blocks, ["node", "block"]).withColumn("near", F.coalesce("near", "then"))
-    return found.filter("near is not null").select("node", "off", "near.sample_off", "near.seq_id")
+    """(node, off, sample_off, seq_id): the first sample at or after each position of a node with samples.
+
+    The order runs over all nodes that have samples, one after the other: behind a node's last sample comes the first of a later node,
+    and ``sample_off`` counts on from the position's own node. Positions behind the last sample of all have no row.
+    """
+    samples = sampled(index, interval)
+    nodes = samples.select("node").distinct().join(index.node_sizes, "node")
+    upto = sums_within(nodes, [], "node", [], F.col("size"), "upto")
+    starts = cut(upto.select("node", (F.col("upto") - F.col("size")).alias("start")))
+    back = lambda df: df.join(starts, "node").withColumn("g", -(F.col("start") + F.col("off")))
+    found = as_of(back(positions.select("node", "off")), back(samples).select("g", "seq_id"), [], "g", ["seq_id"])
+    return found.filter("met is not null").select("node", "off", (-F.col("met.at") - F.col("start")).alias("sample_off"), "met.seq_id")
 
 
 def locate_positions(index: PathIndex, positions: DataFrame) -> DataFrame:
@@ -104,23 +104,68 @@ def run_samples(index: PathIndex) -> DataFrame:
 
 
 def find_with_first(index: PathIndex, states: DataFrame) -> DataFrame:
-    """(query_id, node, sp, ep, first): each state with the packed value at its start."""
-    return states.select("query_id", "node", "sp", "ep").join(suffix_array(index).select("node", F.col("off").alias("sp"), F.col("packed").alias("first")), ["node", "sp"]).select("query_id", "node", "sp", "ep", "first")
-
-
-def locate_next(index: PathIndex) -> DataFrame:
-    """(node, packed, next_packed): the successor function of the packed values within each node."""
-    sa = suffix_array(index).select("node", "off", "packed")
-    following = sa.select("node", (F.col("off") - 1).alias("off"), F.col("packed").alias("next_packed"))
-    return sa.join(following, ["node", "off"]).select("node", "packed", "next_packed")
-
-
-def locate_by_successors(index: PathIndex, found: DataFrame) -> DataFrame:
-    """(query_id, seq_id) of states with their first packed value (``find_with_first``): the first one's sequence and those of the
-    values that follow it in the range, block by block of offsets."""
-    first = found.select("query_id", "node", "sp", "ep", "first")
-    after = suffix_array(index).select("node", F.col("off"), "packed", "max_length")
-    states = first.withColumn("_block", F.explode(F.sequence(F.floor(F.col("sp") / BLOCK), F.floor(F.col("ep") / BLOCK))))
-    met = states.join(after.withColumn("_block", F.floor(F.col("off") / BLOCK)), ["node", "_block"]).filter(F.col("off").between(F.col("sp"), F.col("ep")))
-    seq = unpack(F.when(F.col("off") == F.col("sp"), F.col("first")).otherwise(F.col("packed")), F.col("max_length"))[0]
-    return met.select("query_id", seq.alias("seq_id")).distinct()
+    """(query_id, node, sp, ep, first, max_length): each state with the packed value at its start."""
+    at = suffix_array(index).select("node", F.col("off").alias("sp"), F.col("packed").alias("first"), "max_length")
+    return states.select("query_id", "node", "sp", "ep").join(at, ["node", "sp"]).select("query_id", "node", "sp", "ep", "first", "max_length")
+
+
+def successors(index: PathIndex) -> DataFrame:
+    """(seq, off, to_seq, to_off) of each logical run's tail: the visit that follows it in its node, the head of the next run; null at the node's end.
+
+    Both are given as (sequence, distance to the path's end). A visit that is no tail steps on in one run with the visit that
+    follows it, so the two keep their distance until the first one reaches a tail: these rows define the follower of every visit.
+    """
+    runs = run_samples(index)
+    heads = runs.select("node", (F.col("run_id") - 1).alias("run_id"), F.col("head_seq").alias("to_seq"), F.col("head_offset").alias("to_off"))
+    return runs.join(heads, ["node", "run_id"], "left").select(F.col("tail_seq").alias("seq"), F.col("tail_offset").alias("off"), "to_seq", "to_off")
+
+
+def followed(points: DataFrame, jumps: DataFrame) -> DataFrame:
+    """``points`` (seq, off, ...) with the visit (next_seq, next_off) that jumps (seq, off, to_seq, to_off) lead to: by the last jump not beyond each."""
+    met = as_of(points, jumps, ["seq"], "off", ["to_seq", "to_off"])
+    return met.select(*points.columns, F.col("met.to_seq").alias("next_seq"), (F.col("met.to_off") + F.col("off") - F.col("met.at")).alias("next_off"))
+
+
+def doubled_jumps(jumps: DataFrame) -> DataFrame:
+    """The jumps that go twice as far.
+
+    An interval of visits that jump together is cut where its image meets the beginning of another one. Images don't overlap, so an as-of
+    look-up finds the interval that a beginning is the image of; each gives one cut at most, and there are never more jumps than visits.
+    """
+    images = jumps.filter("to_seq is not null").select(F.col("to_seq").alias("seq"), F.col("to_off").alias("off"), F.col("seq").alias("from_seq"), F.col("off").alias("from_off"))
+    met = as_of(jumps.select("seq", "off"), images, ["seq"], "off", ["from_seq", "from_off"]).filter("met is not null")
+    cuts = met.select(F.col("met.from_seq").alias("seq"), (F.col("met.from_off") + F.col("off") - F.col("met.at")).alias("off"), F.col("seq").alias("mid_seq"), F.col("off").alias("mid_off"))
+    # An image that ends before the beginning does not hold it: jumping from the cut leads elsewhere then.
+    cuts = followed(cuts, jumps).filter("next_seq = mid_seq and next_off = mid_off").select("seq", "off", "mid_seq", "mid_off")
+    starts = jumps.select("seq", "off", F.col("to_seq").alias("mid_seq"), F.col("to_off").alias("mid_off")).unionByName(cuts).dropDuplicates(["seq", "off"])
+    far = followed(starts.filter("mid_seq is not null").select(F.col("mid_seq").alias("seq"), F.col("mid_off").alias("off"), F.col("seq").alias("own_seq"), F.col("off").alias("own_off")), jumps)
+    ended = starts.filter("mid_seq is null").select("seq", "off", F.col("mid_seq").alias("to_seq"), F.col("mid_off").alias("to_off"))
+    return far.select(F.col("own_seq").alias("seq"), F.col("own_off").alias("off"), F.col("next_seq").alias("to_seq"), F.col("next_off").alias("to_off")).unionByName(ended)
+
+
+def locate_next(index: PathIndex, values: DataFrame, jumps: DataFrame | None = None) -> DataFrame:
+    """(packed, next_packed) of packed values (packed, max_length): the value that follows each in its node, from the run samples alone."""
+    jumps = successors(index) if jumps is None else jumps
+    seq, off = unpack(F.col("packed"), F.col("max_length"))
+    met = followed(values.select("packed", "max_length", seq.alias("seq"), off.alias("off")), jumps).filter("next_seq is not null")
+    return met.select("packed", pack(F.col("next_seq"), F.col("next_off"), F.col("max_length")).alias("next_packed"))
+
+
+def locate_by_successors(index: PathIndex, found: DataFrame, jumps: DataFrame | None = None) -> DataFrame:
+    """(query_id, seq_id) of states with the first visit of each (``find_with_first``), from the run samples alone.
+
+    From the values known to be 0 .. 2^k - 1 places behind the first one, a jump of 2^k places gives as many again; the jumps are doubled
+    alongside. So a range of any length takes as many rounds as its length has binary digits, each a sweep over jumps and values.
+    """
+    jumps = cut(successors(index) if jumps is None else jumps)
+    seq, off = unpack(F.col("first"), F.col("max_length"))
+    known = cut(found.select("query_id", (F.col("ep") - F.col("sp") + 1).alias("cnt"), F.lit(0).cast("long").alias("place"), seq.alias("seq"), off.alias("off")))
+    longest = known.agg(F.max("cnt")).first()[0] or 0
+    step, out = 1, known
+    while step < longest:
+        moved = followed(out.filter(F.col("place") + step < F.col("cnt")), jumps)
+        out = cut(out.unionByName(moved.select("query_id", "cnt", (F.col("place") + step).alias("place"), F.col("next_seq").alias("seq"), F.col("next_off").alias("off"))))
+        step *= 2
+        if step < longest:
+            jumps = cut(doubled_jumps(jumps))
+    return out.select("query_id", F.col("seq").alias("seq_id")).distinct()

@@ -5,25 +5,93 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import PathIndex, both_orientations, build_visits, link_visits
 from ..plans.tables import cut, dense_ids, places_within, sums_within
-from .search import full_lf
+from .search import WORD, before_source, full_lf, named
 
 
 def insert(index: PathIndex, paths: DataFrame, both: bool | None = None) -> PathIndex:
-    """Append (path_id, path), whose ids are dense from 0; forward-only paths make the index one-directional for good."""
+    """Append (path_id, path), whose ids are dense from 0; forward-only paths make the index one-directional for good.
+
+    The new paths are indexed by themselves and merged by ranks: the index's own visits keep their order.
+    """
     both = index.bidirectional if both is None else both
-    new = both_orientations(paths) if both else paths.select(F.col("path_id").alias("seq_id"), "path")
-    return _append(index, new, index.bidirectional and both)
+    return merge(index, PathIndex(cut(PathIndex.from_paths(paths, both).visits), index.bidirectional and both))
+
+
+def rank_array(index: PathIndex, other: PathIndex) -> DataFrame:
+    """(seq_id, pos, node, off, at) of the visits of ``other``: how many visits that ``index`` has of the node come before each.
+
+    Where a visit of node u stands at i, its successor v stands behind all visits of v from smaller nodes than u and those from u below i.
+    So along a word that follows u the place is c + (visits of u below i that are followed by the word), where c is the place that
+    i = 0 leads to; without the word in ``index``, c alone. Words are doubled: c of a double word is the place that the first
+    half's c leads to along the second half, and places known for the first 2^k positions give those of the next 2^k. That is
+    one sweep a doubling over the visits of ``index`` that are followed by a word which ``other`` has; nothing is ranked again.
+    """
+    n = index.visits.filter("pos = 0").count()
+    own = other.visits.select("seq_id", "pos", "node", "off", "next")
+    longest = own.agg(F.max("pos")).first()[0] or 0
+    ranks = cut(own.filter("pos = 0").select("seq_id", "pos", F.lit(n).cast("long").alias("at")))
+    if longest:
+        word = named(F.col("next"))
+        steps = own.filter("next <> 0")
+        bases = before_source(index, steps.select(F.col("node").alias("src"), F.col("next").alias("dst")).distinct())
+        words = cut(steps.join(bases.withColumnsRenamed({"src": "node", "dst": "next"}), ["node", "next"]).select("seq_id", "pos", "node", *word, F.col("less").alias("c")))
+        met = index.visits.filter("next <> 0").select("seq_id", "pos", "node", "off", *word)
+        met = cut(met.join(words.select("node", *WORD).distinct(), ["node", *WORD], "left_semi"))
+    step = 1
+    while step <= longest:
+        onward = ranks.join(words, ["seq_id", "pos"]).select("seq_id", F.lit(0).alias("level"), (F.col("pos") + step).alias("pos"), "node", *WORD, F.lit(None).cast("long").alias("v1"), F.lit(None).cast("long").alias("v2"), "at", F.col("c"), F.lit(None).cast("long").alias("u"))
+        second = words.select("seq_id", (F.col("pos") - step).alias("pos"), F.col("node").alias("m"), F.col("w1").alias("m1"), F.col("w2").alias("m2"), F.col("c").alias("mc"))
+        double = words.join(second, ["seq_id", "pos"]).select("seq_id", F.lit(1).alias("level"), "pos", F.col("m").alias("node"), F.col("m1").alias("w1"), F.col("m2").alias("w2"), *_renamed(named(F.col("w1"), F.col("w2"), F.col("m1"), F.col("m2"))), F.col("c").alias("at"), F.col("mc").alias("c"), F.col("node").alias("u"))
+        points = onward.unionByName(double)
+        seen = met.select("node", *WORD, F.col("off").alias("at"), F.lit(1).alias("seen"))
+        swept = sums_within(points.withColumn("seen", F.lit(0)).unionByName(seen, allowMissingColumns=True), ["node", *WORD], "at", ["seen"], F.col("seen"), "below").filter("seen = 0")
+        swept = cut(swept.select("seq_id", "pos", "level", F.col("u").alias("node"), F.col("v1").alias("w1"), F.col("v2").alias("w2"), (F.col("c") + F.col("below")).alias("to")))
+        known = swept.filter("level = 0").select("seq_id", "pos", F.col("to").alias("at"))
+        ranks = ranks.unionAll(known)
+        words = swept.filter("level = 1").select("seq_id", "pos", "node", *WORD, F.col("to").alias("c"))
+        step *= 2
+        if step <= longest:
+            half = step // 2
+            behind = met.select("seq_id", (F.col("pos") - half).alias("pos"), F.col("w1").alias("m1"), F.col("w2").alias("m2"))
+            doubled = met.join(behind, ["seq_id", "pos"]).select("seq_id", "pos", "node", "off", *named(F.col("w1"), F.col("w2"), F.col("m1"), F.col("m2")))
+            met = cut(doubled.join(words.select("node", *WORD).distinct(), ["node", *WORD], "left_semi"))
+    return own.join(ranks, ["seq_id", "pos"]).select("seq_id", "pos", "node", "off", "at")
+
+
+def _renamed(names: list[Column]) -> list[Column]:
+    return [c.alias(f"v{i + 1}") for i, c in enumerate(names)]
+
+
+def _interleaved(index: PathIndex, points: DataFrame, n: int) -> DataFrame:
+    """(seq_id, pos, node, off) of both indexes, by the rank array ``points`` of the second one, whose sequences follow the ``n`` of the first.
+
+    A visit of the first one moves up by the new ones before it, one of the second stands behind its own predecessors and the old ones.
+    """
+    late = points.select((F.col("seq_id") + n).alias("seq_id"), "pos", "node", F.when(F.col("node") == 0, F.col("off") + n).otherwise(F.col("at") + F.col("off")).alias("off"))
+    old = index.visits.select("seq_id", "pos", "node", F.col("off").alias("at"), F.lit(1).alias("_old"))
+    rows = old.unionByName(points.filter("node <> 0").select("seq_id", "pos", "node", "at", F.lit(0).alias("_old")))
+    moved = sums_within(rows, ["node"], "at", ["_old"], 1 - F.col("_old"), "before").filter("_old = 1")
+    return moved.select("seq_id", "pos", "node", (F.col("at") + F.col("before")).alias("off")).unionByName(late)
+
+
+def merge(index: PathIndex, other: PathIndex) -> PathIndex:
+    """Append all sequences of another index by its rank array: the visits of both keep their order and are interleaved once."""
+    n = index.visits.filter("pos = 0").count()
+    points = cut(rank_array(index, other))
+    return PathIndex(link_visits(cut(_interleaved(index, points, n))), index.bidirectional and other.bidirectional, index.tags, index.metadata)
 
 
-def _append(index: PathIndex, new: DataFrame, bidirectional: bool, method: str | None = None) -> PathIndex:
-    shift = index.visits.agg(F.count_if(F.col("pos") == 0).alias("n"))
-    moved = new.crossJoin(F.broadcast(shift)).select((F.col("seq_id") + F.col("n")).alias("seq_id"), "path")  # one row
-    return PathIndex.build(index.paths.unionByName(moved), bidirectional, method, tags=index.tags, metadata=index.metadata)
+def merge_all(indexes: list[PathIndex]) -> PathIndex:
+    """Append the sequences of all indexes in their order, pair by pair, so that each visit is moved as often as the list can be halved."""
+    while len(indexes) > 1:
+        pairs = [indexes[i : i + 2] for i in range(0, len(indexes), 2)]
+        indexes = [PathIndex(cut((joined := merge(*p)).visits), joined.bidirectional, joined.tags, joined.metadata) if len(p) == 2 else p[0] for p in pairs]
+    return indexes[0]
 
 
 def insertion_points(index: PathIndex, new: DataFrame) -> DataFrame:
@@ -54,20 +122,10 @@ def insert_by_steps(index: PathIndex, paths: DataFrame, both: bool | None = None
     both = index.bidirectional if both is None else both
     new = both_orientations(paths) if both else paths.select(F.col("path_id").alias("seq_id"), "path")
     first = index.visits.filter("pos = 0").count()
-    new = new.select((F.col("seq_id") + first).alias("seq_id"), "path")
-    points = cut(insertion_points(index, new))
-    own = build_visits(new.select((F.col("seq_id") - first).alias("seq_id"), "path")).select((F.col("seq_id") + first).alias("seq_id"), "pos", "node", F.col("off").alias("rank"))
-    late = points.join(own, ["seq_id", "pos", "node"]).select("seq_id", "pos", "node", F.when(F.col("node") == 0, F.col("seq_id")).otherwise(F.col("at") + F.col("rank")).alias("off"))
-    old = index.visits.select("seq_id", "pos", "node", F.col("off").alias("at"), F.lit(1).alias("_old"))
-    rows = old.unionByName(points.select("seq_id", "pos", "node", "at", F.lit(0).alias("_old")))
-    moved = sums_within(rows, ["node"], "at", ["_old"], 1 - F.col("_old"), "before").filter("_old = 1")
-    early = moved.select("seq_id", "pos", "node", F.when(F.col("node") == 0, F.col("at")).otherwise(F.col("at") + F.col("before")).alias("off"))
-    return PathIndex(link_visits(cut(early.unionByName(late))), index.bidirectional and both, index.tags, index.metadata)
-
-
-def merge(index: PathIndex, other: PathIndex, method: str | None = None) -> PathIndex:
-    """Append all sequences of another index; ranks change only where nodes are shared, but all are made anew."""
-    return _append(index, other.paths, index.bidirectional and other.bidirectional, method)
+    points = cut(insertion_points(index, new.select((F.col("seq_id") + first).alias("seq_id"), "path")).withColumn("seq_id", F.col("seq_id") - first))
+    own = build_visits(new).select("seq_id", "pos", "node", "off")
+    points = cut(points.join(own, ["seq_id", "pos", "node"]).select("seq_id", "pos", "node", "off", "at"))
+    return PathIndex(link_visits(cut(_interleaved(index, points, first))), index.bidirectional and both, index.tags, index.metadata)
 
 
 def shared_nodes(one: PathIndex, other: PathIndex) -> DataFrame:

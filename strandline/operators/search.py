@@ -17,32 +17,54 @@ def find_nodes(index: PathIndex, nodes: DataFrame) -> DataFrame:
     return own.select("node", F.lit(0).cast("long").alias("sp"), (F.col("size") - 1).alias("ep"), F.col("size").alias("cnt"))
 
 
-def _occurrences(index: PathIndex, patterns: DataFrame, from_start: bool = False) -> DataFrame:
-    """(pattern, node, off): visits that complete one of the distinct patterns of two nodes at least.
+#: The two hashes that name a word of several nodes: 128 bits, so that equal names are taken for equal words.
+WORD = ("w1", "w2")
 
-    A pattern is sought at its rarest edge, not at its last node: the edges' counts keep hot labels out as far as the patterns allow. Each
-    visit of that edge then looks up the pattern's other places by (sequence, position); paths as a whole don't move.
-    """
+
+def named(*parts: Column) -> list[Column]:
+    """The name of a word from its two nodes, or from the names of its halves."""
+    return [F.xxhash64(F.lit(salt), *parts).alias(name) for salt, name in enumerate(WORD)]
+
+
+def _pattern_words(patterns: DataFrame, half: int | None) -> DataFrame:
+    """``patterns`` (pattern, names) with the names of all their words of twice ``half`` nodes; of two nodes to begin with."""
     size = F.size("pattern")
-    pairs = F.arrays_zip(F.slice("pattern", 1, size - 1).alias("node"), F.slice("pattern", 2, size - 1).alias("next"))
-    spread = patterns.select("pattern").distinct().filter(size > 1).select("pattern", F.posexplode(pairs).alias("at", "pair")).select("pattern", "at", "pair.*")
-    counted = spread.join(index.edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "cnt"), ["node", "next"])
-    rare = counted.groupBy("pattern").agg(F.min_by(F.struct("node", "next", "at"), F.struct("cnt", "at")).alias("pick"), F.count(F.lit(1)).alias("known"))
-    rare = rare.filter(F.col("known") == size - 1).select("pattern", "pick.*")
-    hits = index.visits.select("node", "next", "next_off", "seq_id", "pos").join(rare, ["node", "next"]).withColumn("start", F.col("pos") - F.col("at"))
-    hits = hits.filter("start = 1" if from_start else "start >= 1")
-    pairs_only = hits.filter(size == 2).select("pattern", F.col("next").alias("node"), F.col("next_off").alias("off"))
-    longer = hits.filter(size > 2).select("pattern", "seq_id", "start", "at", "next", "next_off", F.posexplode("pattern").alias("i", "node"))
-    others = longer.filter("i <> at and i <> at + 1").withColumn("pos", F.col("start") + F.col("i"))
-    met = others.join(index.visits.select("seq_id", "pos", "node", "off"), ["seq_id", "pos", "node"])
-    last = F.when(F.col("i") == size - 1, F.col("off"))
-    whole = met.groupBy("pattern", "seq_id", "start").agg(F.count(F.lit(1)).alias("n"), F.max(last).alias("off"), F.max("next_off").alias("next_off"))
-    whole = whole.filter(F.col("n") == size - 2).select("pattern", F.element_at("pattern", -1).alias("node"), F.coalesce("off", "next_off").alias("off"))
-    return pairs_only.unionAll(whole)
-
-
-def _states(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("pattern", "node").agg(F.min("off").alias("sp"), F.max("off").alias("ep"), F.count(F.lit(1)).alias("cnt"))
+    both = lambda a, b: F.struct(*named(*([a, b] if half is None else [a["w1"], a["w2"], b["w1"], b["w2"]])))
+    shift, items = (1, F.col("pattern")) if half is None else (half, F.col("names"))
+    n = F.size(items) - shift
+    return patterns.filter(size >= 2 * (half or 1)).select("pattern", F.zip_with(F.slice(items, 1, n), F.slice(items, F.lit(1 + shift), n), both).alias("names"))
+
+
+def _found(index: PathIndex, patterns: DataFrame, from_start: bool = False) -> DataFrame:
+    """(pattern, node, sp, ep, cnt) of the distinct patterns of two nodes at least that occur.
+
+    Visits and patterns name their words of 2, 4, 8, ... nodes alike. A pattern is its first and its last word of the largest length that
+    fits, so that a visit's two words are all that is compared: visits are counted by them first, and patterns are looked up
+    in the counts. Words of two nodes stand in the visits; each doubling is one equi-join of the visits whose word some pattern has.
+    """
+    rest = _pattern_words(patterns.select("pattern").distinct().filter(F.size("pattern") > 1), None)
+    longest = patterns.agg(F.max(F.size("pattern"))).first()[0] or 0
+    visits = index.visits.filter("pos > 0 and next <> 0").select("seq_id", "pos", F.col("next_off").alias("end"), *named(F.col("node"), F.col("next")))
+    out, length = None, 2
+    while out is None or length <= longest:
+        rest = cut(rest)
+        words = visits.join(rest.select(F.explode("names").alias("w")).select("w.*").distinct(), list(WORD), "left_semi")
+        words = cut(words) if 2 * length <= longest else words
+        due = rest.filter(F.size("pattern") < 2 * length).select("pattern", F.size("pattern").alias("m"), F.get("names", F.lit(0)).alias("f"), F.element_at("names", -1).alias("l")).select("pattern", "m", "f.*", F.col("l.w1").alias("l1"), F.col("l.w2").alias("l2"))
+        begin = words.filter("pos = 1") if from_start else words
+        met = begin.join(due.select(*WORD, "m").distinct(), list(WORD))
+        whole = met.filter(F.col("m") == length).select(*WORD, "m", F.col("w1").alias("l1"), F.col("w2").alias("l2"), "end")
+        last = words.select("seq_id", F.col("pos").alias("last"), F.col("w1").alias("l1"), F.col("w2").alias("l2"), "end")
+        longer = met.filter(F.col("m") > length).drop("end").withColumn("last", F.col("pos") + F.col("m") - length).join(last, ["seq_id", "last"]).select(*WORD, "m", "l1", "l2", "end")
+        counts = whole.unionByName(longer).groupBy(*WORD, "l1", "l2", "m").agg(F.min("end").alias("sp"), F.max("end").alias("ep"), F.count(F.lit(1)).alias("cnt"))
+        states = due.join(counts, [*WORD, "l1", "l2", "m"]).select("pattern", F.element_at("pattern", -1).alias("node"), "sp", "ep", "cnt")
+        out = states if out is None else out.unionByName(states)
+        if 2 * length <= longest:
+            after = words.select("seq_id", (F.col("pos") - length).alias("pos"), F.col("w1").alias("l1"), F.col("w2").alias("l2"), F.col("end").alias("far"))
+            visits = words.join(after, ["seq_id", "pos"]).select("seq_id", "pos", F.col("far").alias("end"), *named(F.col("w1"), F.col("w2"), F.col("l1"), F.col("l2")))
+            rest = _pattern_words(rest, length)
+        length *= 2
+    return out
 
 
 def _answers(patterns: DataFrame, single: DataFrame, states: DataFrame) -> DataFrame:
@@ -55,7 +77,7 @@ def _answers(patterns: DataFrame, single: DataFrame, states: DataFrame) -> DataF
 def find(index: PathIndex, patterns: DataFrame) -> DataFrame:
     """(query_id, node, sp, ep, cnt) of each pattern (query_id, pattern) that occurs; an empty pattern doesn't."""
     single = index.node_sizes.select("node", F.lit(0).cast("long").alias("sp"), (F.col("size") - 1).alias("ep"), F.col("size").alias("cnt"))
-    return _answers(patterns, single, _states(_occurrences(index, patterns)))
+    return _answers(patterns, single, _found(index, patterns))
 
 
 def find_by_extension(index: PathIndex, patterns: DataFrame, longest: int) -> DataFrame:
@@ -76,7 +98,7 @@ def prefix(index: PathIndex, patterns: DataFrame) -> DataFrame:
     empty = patterns.filter(F.size("pattern") == 0).select("query_id").crossJoin(F.broadcast(all_seqs))  # one row
     empty = empty.select("query_id", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("sp"), (F.col("cnt") - 1).alias("ep"), "cnt")
     first = index.visits.filter("pos = 1").groupBy("node").agg(F.min("off").alias("sp"), F.max("off").alias("ep"), F.count(F.lit(1)).alias("cnt"))
-    return _answers(patterns, first, _states(_occurrences(index, patterns, from_start=True))).unionByName(empty)
+    return _answers(patterns, first, _found(index, patterns, from_start=True)).unionByName(empty)
 
 
 #: Offsets per block of a range join.
@@ -150,13 +172,21 @@ def lf_to(index: PathIndex, positions: DataFrame) -> DataFrame:
     return counted.join(reach, ["node", "to"], "left").select("node", F.col("at").alias("off"), "to", (F.col("rank_off") + F.col("before")).alias("target"))
 
 
+def before_source(index: PathIndex, pairs: DataFrame) -> DataFrame:
+    """(src, dst, less) of distinct pairs (src, dst): the visits of ``dst`` from smaller sources than ``src``, whether there is such an edge or not.
+
+    Sources are looked up in the running sums of the target's incoming edges by one sweep, so that rows are as many as edges and pairs.
+    """
+    rows = pairs.select("src", "dst", F.lit(0).cast("long").alias("cnt"), F.lit(0).alias("_edge"))
+    rows = rows.unionByName(index.edges.filter("dst <> 0").select("src", "dst", "cnt", F.lit(1).alias("_edge")))
+    return sums_within(rows, ["dst"], "src", ["_edge"], F.col("cnt"), "less").filter("_edge = 0").select("src", "dst", "less")
+
+
 def full_lf(index: PathIndex, positions: DataFrame) -> DataFrame:
     """As ``lf_to``, but defined without the edge: visits of ``to`` from smaller sources; 0 for a missing node, null for the endmarker."""
-    known = lf_to(index, positions)
-    pairs = known.filter("target is null").select("node", "to").distinct()
-    incoming = index.edges.filter("dst <> 0").select("src", F.col("dst").alias("to"), "cnt")
-    smaller = pairs.join(incoming, "to", "left").groupBy("node", "to").agg(F.coalesce(F.sum(F.when(F.col("src") < F.col("node"), F.col("cnt"))), F.lit(0)).alias("less"))
-    return known.join(smaller, ["node", "to"], "left").select("node", "off", "to", F.when(F.col("to") != 0, F.coalesce("target", "less")).alias("target"))
+    counted = counts_before(index, positions.select("node", F.col("off").alias("at"), F.col("to").alias("via"))).withColumnRenamed("via", "to")
+    less = before_source(index, positions.select(F.col("node").alias("src"), F.col("to").alias("dst")).distinct()).withColumnsRenamed({"src": "node", "dst": "to"})
+    return counted.join(less, ["node", "to"]).select("node", F.col("at").alias("off"), "to", F.when(F.col("to") != 0, F.col("less") + F.col("before")).alias("target"))
 
 
 def lf_range_first(index: PathIndex, states: DataFrame) -> DataFrame:

@@ -50,8 +50,7 @@ def samples_agree(index: PathIndex, interval: int) -> DataFrame:
 def run_head_agrees(index: PathIndex) -> DataFrame:
     """The successor function of the packed values, and the values at the following offsets."""
     sa = locate.suffix_array(index).select("node", "off", "packed", "max_length")
-    follow = locate.locate_next(index)
-    joined = sa.join(follow, ["node", "packed"], "left")
+    joined = sa.join(locate.locate_next(index, sa.select("packed", "max_length")), "packed", "left")
     after = sa.select("node", (F.col("off") - 1).alias("off"), F.col("packed").alias("expected"))
     return _broken(joined.join(after, ["node", "off"], "left"), F.col("next_packed").eqNullSafe(F.col("expected")))
 

@@ -92,6 +92,25 @@ def sums_within(df: DataFrame, group: list[str], at: str, ties: list, value: Col
     return rows.withColumn("_inside", F.sum("_value").over(inside)).join(bases, [*group, "_block"]).select(*df.columns, (F.col("_base") + F.col("_inside")).alias(name))
 
 
+def as_of(points: DataFrame, samples: DataFrame, group: list[str], at: str, values: list[str], name: str = "met") -> DataFrame:
+    """``points`` with the struct ``name`` (at, *values) of their group's last sample at or before them; null without one.
+
+    One sweep in blocks of ``at`` (a whole number), and a window over the blocks, not the rows, of a group for what lies further back.
+    """
+    value = F.struct(F.col(at).alias("at"), *values)
+    block = F.floor(F.col(at) / BLOCK).alias("_block")
+    told = samples.select(*group, at, block, value.alias("_value"), F.lit(0).alias("_asks"))
+    asks = points.select("*", block, F.lit(1).alias("_asks"))
+    rows = asks.unionByName(told, allowMissingColumns=True)
+    lasts = told.groupBy(*group, "_block").agg(F.max_by("_value", at).alias("_last"))
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.select(*group, "_block").distinct().join(lasts, [*group, "_block"], "left").select(*group, "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_base"))
+    bases = bases.filter("_base is not null")
+    inside = Window.partitionBy(*group, "_block").orderBy(at, "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.withColumn("_near", F.last("_value", ignorenulls=True).over(inside)).filter("_asks = 1")
+    return swept.join(bases, [*group, "_block"], "left").select(*points.columns, F.coalesce("_near", "_base").alias(name))
+
+
 def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row (compared, differing): the rows of ``a``, and the distinct rows that one of two tables has more often."""
     rows = a.withColumn("_one", F.lit(1)).unionAll(b.select(*a.columns).withColumn("_one", F.lit(-1)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import mutate
 from ..plans import oracle as O
 from ..plans.index import PathIndex, both_orientations
-from ..plans.tables import cut
+from ..plans.tables import cut, placed
 from ..sources.corpus import index, paths
 from .base import query
 
@@ -32,6 +32,11 @@ def halves(spark, sf, corpus="events"):
     return own.filter(F.col("path_id") < middle), own.filter(F.col("path_id") >= middle).withColumn("path_id", F.col("path_id") - middle)
 
 
+def _written(own) -> PathIndex:
+    """An index of its own, as one that is merged would be read."""
+    return PathIndex(cut(PathIndex.from_paths(own).visits))
+
+
 SAME = "SELECT * FROM base_"
 
 
@@ -69,7 +74,7 @@ def c02(spark, sf):
     from ..sources.bundle import split_integers
 
     flat = paths(spark, sf).select(F.col("path_id"), F.posexplode(F.concat("path", F.array(F.lit(0).cast("long")))).alias("p", "node"))
-    return PathIndex.from_paths(split_integers(flat.select((F.col("path_id") * 1000 + F.col("p")).alias("i"), "node")), both=False).visits
+    return PathIndex.from_paths(split_integers(placed(flat, ["path_id", "p"], "i", ["node"])), both=False).visits
 
 
 @query("c03_builder_orientations", O.sql("SELECT seq_id, array_to_string(path, ',') AS path FROM seqs"))
@@ -119,28 +124,46 @@ def c06_invalid(spark, sf):
 def c07(spark, sf):
     """The second half of the paths with the first half appended."""
     first, second = halves(spark, sf)
-    return mutate.merge(PathIndex.from_paths(second), PathIndex.from_paths(first)).visits
+    return mutate.merge(_written(second), _written(first)).visits
+
+
+@query("c07_merge_orders", _from(SHIFTED, corpus="orders"))
+def c07_orders(spark, sf):
+    first, second = halves(spark, sf, "orders")
+    return mutate.merge(_written(second), _written(first)).visits
 
 
 @query("c08_merge_parallel", _from(SHIFTED))
 def c08(spark, sf):
-    """The same by prefix doubling, whose rounds are range- and hash-partitioned sorts."""
+    """The same from the halves of both halves, merged pair by pair."""
+    parts = []
+    for half in reversed(halves(spark, sf)):
+        middle = half.count() // 2
+        parts += [half.filter(F.col("path_id") < middle), half.filter(F.col("path_id") >= middle).withColumn("path_id", F.col("path_id") - middle)]
+    return mutate.merge_all([_written(part) for part in parts]).visits
+
+
+@query("c08_rank_array", O.sql("""SELECT b.seq_id - n AS seq_id, b.pos, b.node, count(a.off) AS at FROM (SELECT *, (SELECT count(*) FROM seqs) // 4 * 2 AS n FROM visits) b LEFT JOIN visits a ON a.node = b.node AND a.off < b.off AND a.seq_id < b.n
+  WHERE b.seq_id >= b.n GROUP BY ALL"""))
+def c08_ranks(spark, sf):
+    """How many visits of the first half come before each of the second half's."""
     first, second = halves(spark, sf)
-    return mutate.merge(PathIndex.from_paths(second), PathIndex.from_paths(first), method="doubling").visits
+    return mutate.rank_array(_written(first), _written(second)).select("seq_id", "pos", "node", "at")
 
 
-DISJOINT = "SELECT * FROM base_ UNION ALL SELECT path_id + c, p, node + 1000 FROM base_, (SELECT max(path_id) + 1 AS c FROM base_)"
+DISJOINT = "SELECT * FROM base_ UNION ALL SELECT path_id + c, p, node + d FROM base_, (SELECT max(path_id) + 1 AS c, max(node) + 2 AS d FROM base_)"
 
 
 def _disjoint(spark, sf):
+    """The paths, the paths again on nodes behind all of theirs, and how far those were moved."""
     own = paths(spark, sf)
-    moved = own.select("path_id", F.transform("path", lambda x: x + 1000).alias("path"))
-    return [PathIndex.from_paths(own), PathIndex.from_paths(moved)]
+    shift = own.select(F.max(F.array_max("path"))).first()[0] + 2
+    return [_written(own), _written(own.select("path_id", F.transform("path", lambda x: x + shift).alias("path")))], shift
 
 
 @query("c09_merge_disjoint", _from(DISJOINT))
 def c09(spark, sf):
-    return mutate.merge_disjoint(_disjoint(spark, sf)).visits
+    return mutate.merge_disjoint(_disjoint(spark, sf)[0]).visits
 
 
 @query("c09_shared_nodes", O.sql("SELECT DISTINCT node FROM visits WHERE node <> 0"))
@@ -149,13 +172,16 @@ def c09_shared(spark, sf):
     return mutate.shared_nodes(own, own)
 
 
-@query("c10_split", _from("SELECT * FROM base_", True, "events", "SELECT 0 AS subgraph, * FROM visits UNION ALL SELECT 1, * FROM visits").replace("SELECT 1, * FROM visits", "SELECT 1, CASE WHEN node = 0 THEN 0 ELSE node + 1000 END, off, seq_id, pos, CASE WHEN next = 0 THEN 0 ELSE next + 1000 END, next_off, CASE WHEN prev = 0 THEN 0 ELSE prev + 1000 END, prev_off FROM visits"))
+_MOVED = "SELECT 1, CASE WHEN node = 0 THEN 0 ELSE node + d END, off, seq_id, pos, CASE WHEN next = 0 THEN 0 ELSE next + d END, next_off, CASE WHEN prev = 0 THEN 0 ELSE prev + d END, prev_off FROM visits, (SELECT max(node) + 2 AS d FROM rows_)"
+
+
+@query("c10_split", _from(SAME, True, "events", f"SELECT 0 AS subgraph, * FROM visits UNION ALL {_MOVED}"))
 def c10(spark, sf):
     """The disjoint merge taken apart again."""
-    both = mutate.merge_disjoint(_disjoint(spark, sf))
+    parts, shift = _disjoint(spark, sf)
+    both = PathIndex(cut(mutate.merge_disjoint(parts).visits))
     nodes = both.visits.filter("node <> 0").select(F.shiftright("node", 1).alias("node_id")).distinct()
-    mapping = nodes.select("node_id", F.when(F.col("node_id") > 500, 1).otherwise(0).alias("subgraph"))
-    return mutate.split(both, mapping)
+    return mutate.split(both, nodes.select("node_id", (F.col("node_id") * 2 >= shift).cast("int").alias("subgraph")))
 
 
 @query("c13_runs_merged", O.sql("SELECT node, count(*) AS runs, sum(len)::BIGINT AS visits FROM runs GROUP BY node", O.RUNS))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import locate, search, stats, verify
 from ..plans import oracle as O
-from ..plans.tables import cut
+from ..plans.tables import cut, dense_ids
 from ..plans.index import PathIndex, flip, is_reverse, node_id, reverse_path
 from ..sources.corpus import index, paths, patterns
 from .base import query
@@ -24,14 +24,19 @@ def states(spark, sf):
     return search.find(index(spark, sf), patterns(spark, sf))
 
 
+def absent(idx):
+    """One row: a node that the index lacks."""
+    return idx.node_sizes.agg((F.max("node") + 2).alias("to"))
+
+
 def nexts(spark, sf):
-    """The states of the patterns with every real node as the next one."""
-    idx = index(spark, sf)
-    nodes = idx.node_sizes.filter("node <> 0").select(F.col("node").alias("to"))
-    return states(spark, sf).crossJoin(F.broadcast(nodes))  # the labels of the events
+    """The states of the patterns with every successor of their node, and with a node that the index lacks."""
+    idx, own = index(spark, sf), states(spark, sf)
+    along = own.join(idx.edges.filter("dst <> 0").select(F.col("src").alias("node"), F.col("dst").alias("to")), "node")
+    return along.unionByName(own.crossJoin(F.broadcast(absent(idx))))  # one row
 
 
-NEXTS = "nexts AS (SELECT f.*, t.to FROM found f, (SELECT DISTINCT node AS to FROM visits WHERE node <> 0) t)"
+NEXTS = "nexts AS (SELECT f.*, t.to FROM found f JOIN (SELECT DISTINCT node, next AS to FROM visits WHERE next <> 0) t USING (node) UNION ALL SELECT *, (SELECT max(node) + 2 FROM visits) FROM found)"
 
 # Statistics ------------------------------------------------------------------------------------------
 
@@ -133,11 +138,13 @@ def t13(spark, sf):
     return stats.edge_ranks(index(spark, sf))
 
 
-@query("t14_bwt_access", SQL("SELECT node, off + d AS off, CASE WHEN d = 0 THEN v.next ELSE 0 END AS symbol FROM visits v, (VALUES (0), (1000000)) x(d)"))
+@query("t14_bwt_access", SQL("SELECT node, off, next AS symbol FROM visits UNION ALL SELECT node, off + n, 0 FROM visits JOIN (SELECT node, count(*) AS n FROM visits GROUP BY node) USING (node)"))
 def t14(spark, sf):
     idx = index(spark, sf)
+    """Every position, and as many behind the end of its node."""
     at = positions(idx)
-    return stats.bwt_at(idx, at.unionAll(at.withColumn("off", F.col("off") + 1_000_000)))
+    beyond = at.join(idx.node_sizes, "node").select("node", (F.col("off") + F.col("size")).alias("off"))
+    return stats.bwt_at(idx, at.unionAll(beyond))
 
 
 @query("t15_records", SQL("SELECT node, sum(len)::BIGINT AS visits, count(*) AS runs, count(DISTINCT successor) AS outdegree FROM runs GROUP BY node", R))
@@ -226,16 +233,17 @@ def q05(spark, sf):
     return search.lf(idx, positions(idx))
 
 
-#: Every position with every node: how many visits before it go there.
-LFTO = """pairs_ AS (
-  SELECT v.node, v.off, t.to, sum(CASE WHEN v.next = t.to THEN 1 ELSE 0 END) OVER (PARTITION BY v.node, t.to ORDER BY v.off) - CASE WHEN v.next = t.to THEN 1 ELSE 0 END AS before
-  FROM visits v, (SELECT DISTINCT node AS to FROM visits) t WHERE v.node <> 0
-)"""
+#: Every position with its own successor, the node's smallest one, the last node of all and one that is absent: how many visits before it go there.
+LFTO = """least_ AS (SELECT node, min(next) AS least FROM visits GROUP BY node), asked_ AS (
+  SELECT DISTINCT node, off, unnest([next, least, (SELECT max(node) FROM visits), (SELECT max(node) + 2 FROM visits)]) AS to FROM visits JOIN least_ USING (node) WHERE node <> 0
+), pairs_ AS (SELECT a.node, a.off, a.to, count(v.off) AS before FROM asked_ a LEFT JOIN visits v ON v.node = a.node AND v.next = a.to AND v.off < a.off GROUP BY ALL)"""
 
 
 def targets(idx):
-    nodes = idx.node_sizes.select(F.col("node").alias("to"))
-    return idx.visits.filter("node <> 0").select("node", "off").crossJoin(F.broadcast(nodes))  # the labels of the events
+    least = idx.edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
+    last = absent(idx).select(F.col("to").alias("absent"))
+    own = idx.visits.filter("node <> 0").select("node", "off", "next").join(least, "node").crossJoin(F.broadcast(last))  # one row
+    return own.select("node", "off", F.explode(F.array("next", "least", F.col("absent") - 2, "absent")).alias("to")).distinct()
 
 
 @query("q06_lf_to", SQL("SELECT p.node, p.off, p.to, CASE WHEN p.to <> 0 THEN rank_off + before END::BIGINT AS target FROM pairs_ p LEFT JOIN edges e ON e.src = p.node AND e.dst = p.to", E, LFTO))
@@ -265,12 +273,10 @@ def q09(spark, sf):
 
 
 @query("q10_full_lf", SQL("""SELECT p.node, p.off, p.to, CASE WHEN p.to <> 0 THEN coalesce(rank_off + before, (SELECT sum(cnt) FROM edges l WHERE l.dst = p.to AND l.src < p.node), 0) END::BIGINT AS target
-  FROM (SELECT * FROM pairs_ UNION ALL SELECT node, off, 1001, 0 FROM visits WHERE node <> 0) p LEFT JOIN edges e ON e.src = p.node AND e.dst = p.to""", E, LFTO))
+  FROM pairs_ p LEFT JOIN edges e ON e.src = p.node AND e.dst = p.to""", E, LFTO))
 def q10(spark, sf):
     idx = index(spark, sf)
-    """A node that the index lacks is among the targets."""
-    missing = positions(idx).filter("node <> 0").withColumn("to", F.lit(1001).cast("long"))
-    return search.full_lf(idx, targets(idx).unionByName(missing))
+    return search.full_lf(idx, targets(idx))
 
 
 @query("q11_inverse_lf", SQL("SELECT node, off, prev, prev_off FROM visits WHERE node <> 0 "))
@@ -291,26 +297,30 @@ def q13(spark, sf):
     return search.bd_find(idx, idx.visits.filter("node <> 0").select("node"))
 
 
+#: Edges both ways round, so that some pairs are none in the direction that is asked.
+PAIRS = "edge_ AS (SELECT DISTINCT node AS a, next AS b FROM visits WHERE node <> 0 AND next <> 0), pair_ AS (SELECT a, b FROM edge_ UNION SELECT b, a FROM edge_), number_ AS (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS i FROM pair_)"
+
+
 def _bd_oracle(order: str) -> str:
-    pairs = f"two_ AS (SELECT a.node * 1000 + b.node AS query_id, {order} AS pattern FROM (SELECT DISTINCT node FROM visits WHERE node <> 0) a, (SELECT DISTINCT node FROM visits WHERE node <> 0) b)"
-    both = "patterns AS (SELECT query_id * 2 AS query_id, pattern FROM two_ UNION ALL SELECT query_id * 2 + 1, list_transform(list_reverse(pattern), lambda x: xor(x, 1)) FROM two_)"
-    return SQL("SELECT f.query_id // 2 AS query_id, f.node, f.sp, f.ep, b.node AS back_node, b.sp AS back_sp, b.ep AS back_ep FROM found f JOIN found b ON b.query_id = f.query_id + 1 WHERE f.query_id % 2 = 0", pairs, both, FD)
+    both = f"patterns AS (SELECT i * 2 AS query_id, {order} AS pattern FROM number_ UNION ALL SELECT i * 2 + 1, list_transform(list_reverse({order}), lambda x: xor(x, 1)) FROM number_)"
+    return SQL("SELECT a AS start, b AS to, f.node, f.sp, f.ep, b.node AS back_node, b.sp AS back_sp, b.ep AS back_ep FROM found f JOIN found b ON b.query_id = f.query_id + 1 JOIN number_ ON f.query_id = i * 2".replace("SELECT a AS start, b AS to", "SELECT number_.a AS start, number_.b AS to"), PAIRS, both, FD)
 
 
 def _bd_step(spark, sf, how):
     idx = index(spark, sf)
-    nodes = idx.visits.filter("node <> 0").select("node").distinct()
-    to = nodes.select(F.col("node").alias("to"))
-    start = search.bd_find(idx, nodes).crossJoin(F.broadcast(to)).withColumn("query_id", F.col("node") * 1000 + F.col("to"))  # the labels of the events
-    return how(idx, start).select("query_id", *search.BD_STATE)
+    edges = idx.edges.filter("src <> 0 and dst <> 0")
+    pairs = edges.select(F.col("src").alias("node"), F.col("dst").alias("to")).union(edges.select("dst", "src")).distinct()
+    pairs = cut(dense_ids(pairs, ["node", "to"], "query_id"))
+    moved = how(idx, search.bd_find(idx, pairs.select("node").distinct()).join(pairs, "node"))
+    return pairs.select("query_id", F.col("node").alias("start"), "to").join(moved.select("query_id", *search.BD_STATE), "query_id").drop("query_id")
 
 
-@query("q14_bd_extend_forward", _bd_oracle("[a.node, b.node]"))
+@query("q14_bd_extend_forward", _bd_oracle("[a, b]"))
 def q14(spark, sf):
     return _bd_step(spark, sf, search.bd_extend_forward)
 
 
-@query("q15_bd_extend_backward", _bd_oracle("[b.node, a.node]"))
+@query("q15_bd_extend_backward", _bd_oracle("[b, a]"))
 def q15(spark, sf):
     return _bd_step(spark, sf, search.bd_extend_backward)
 
@@ -374,7 +384,9 @@ def l01(spark, sf):
     return locate.try_locate(idx, positions(idx), 8)
 
 
-@query("l02_next_sample", SQL("SELECT p.node, p.off, min(s.off) AS sample_off, arg_min(s.seq_id, s.off) AS seq_id FROM visits p JOIN visits s ON s.node = p.node AND s.off >= p.off WHERE s.next = 0 OR (s.pos + 1) % 8 = 0 GROUP BY p.node, p.off"))
+@query("l02_next_sample", SQL("SELECT p.node, p.off, s.g - p.start AS sample_off, s.seq_id FROM global_ p ASOF JOIN (SELECT * FROM global_ WHERE due) s ON p.g <= s.g", """due_ AS (SELECT *, next = 0 OR (pos + 1) % 8 = 0 AS due FROM visits), starts_ AS (
+  SELECT node, (sum(n) OVER (ORDER BY node) - n)::BIGINT AS start FROM (SELECT node, count(*) AS n, bool_or(due) AS has FROM due_ GROUP BY node) WHERE has
+), global_ AS (SELECT *, start + off AS g FROM due_ JOIN starts_ USING (node))"""))
 def l02(spark, sf):
     idx = index(spark, sf)
     return locate.next_sample(idx, positions(idx), 8)
@@ -436,7 +448,7 @@ def l10(spark, sf):
     return locate.run_samples(index(spark, sf))
 
 
-@query("l11_find_with_first", SQL("SELECT query_id, f.node, sp, ep, packed AS first FROM found f JOIN sa ON sa.node = f.node AND sa.off = f.sp", P, FD, SA))
+@query("l11_find_with_first", SQL("SELECT query_id, f.node, sp, ep, packed AS first, max_length FROM found f JOIN sa ON sa.node = f.node AND sa.off = f.sp", P, FD, SA))
 def l11(spark, sf):
     return locate.find_with_first(index(spark, sf), states(spark, sf))
 
@@ -458,9 +470,18 @@ def l14(spark, sf):
     return locate.suffix_array(index(spark, sf)).select("packed", seq.alias("seq_id"), offset.alias("seq_offset"))
 
 
-@query("l15_locate_next", SQL("SELECT * FROM (SELECT node, packed, lead(packed) OVER (PARTITION BY node ORDER BY off) AS next_packed FROM sa) WHERE next_packed IS NOT NULL", SA))
+@query("l15_locate_next", SQL("SELECT * FROM (SELECT packed, lead(packed) OVER (PARTITION BY node ORDER BY off) AS next_packed FROM sa) WHERE next_packed IS NOT NULL", SA))
 def l15(spark, sf):
-    return locate.locate_next(index(spark, sf))
+    idx = index(spark, sf)
+    return locate.locate_next(idx, locate.suffix_array(idx).select("packed", "max_length"))
+
+
+@query("l15_second_next", SQL("SELECT seq_id AS seq, seq_offset AS off, next_seq, next_off FROM (SELECT *, lead(seq_id, 2) OVER w AS next_seq, lead(seq_offset, 2) OVER w AS next_off FROM sa WINDOW w AS (PARTITION BY node ORDER BY off)) WHERE next_seq IS NOT NULL", SA))
+def l15_second(spark, sf):
+    """The follower's follower of every visit, by jumps of two places."""
+    idx = index(spark, sf)
+    every = locate.suffix_array(idx).select(F.col("seq_id").alias("seq"), F.col("seq_offset").alias("off"))
+    return locate.followed(every, cut(locate.doubled_jumps(cut(locate.successors(idx))))).filter("next_seq is not null")
 
 
 # Invariants: what was compared, and that nothing differs ----------------------------------------------

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..plans import oracle as O
-from ..plans.tables import shared_dir
+from ..plans.index import PathIndex
+from ..plans.tables import placed, shared_dir
 from ..sources import bundle
 from ..sources.corpus import index, paths, read
 from .base import query
@@ -45,10 +46,14 @@ def k02(spark, sf):
 
 @query("s03_load_and_insert", O.sql("SELECT count(*) AS size, count(*) FILTER (pos = 0) AS sequences FROM visits"))
 def s03(spark, sf):
-    """A loaded bundle is as mutable as a built one: nothing is appended to it here."""
+    """A loaded bundle is as mutable as a built one: the first half is saved and loaded, the second is appended."""
     from ..operators.mutate import insert
+    from .construct import halves
 
-    return insert(_round_trip(spark, sf, "compressed"), paths(spark, sf).limit(0)).header.select("size", "sequences")
+    first, second = halves(spark, sf)
+    at = place(spark)
+    bundle.save(PathIndex.from_paths(first), at)
+    return insert(bundle.load(spark, at)[0], second).header.select("size", "sequences")
 
 
 @query("s04_text_paths", O.sql(SEQ).replace("FROM rows_ GROUP BY path_id", "FROM rows_ GROUP BY path_id UNION ALL SELECT max(path_id) + 1, '' FROM rows_"))
@@ -68,7 +73,9 @@ def s04_file(spark, sf):
 
 
 def _flat(spark, sf):
-    return paths(spark, sf).select("path_id", F.posexplode(F.concat("path", F.array(F.lit(0).cast("long")))).alias("p", "node")).select((F.col("path_id") * 1000 + F.col("p")).alias("i"), "node")
+    """(i, node): the paths one after the other, each with a zero behind it."""
+    rows = paths(spark, sf).select("path_id", F.posexplode(F.concat("path", F.array(F.lit(0).cast("long")))).alias("p", "node"))
+    return placed(rows, ["path_id", "p"], "i", ["node"])
 
 
 @query("s05_integer_paths", O.sql(SEQ))
@@ -76,10 +83,9 @@ def s05(spark, sf):
     return joined(bundle.split_integers(_flat(spark, sf), block=1 << 12))
 
 
-@query("s06_start_offsets", O.sql("SELECT i FROM (SELECT unnest([0, 3, 4, 9]) AS i)").split("\n")[-1])
+@query("s06_start_offsets", O.sql("SELECT (sum(len(path) + 1) OVER (ORDER BY seq_id) - len(path) - 1)::BIGINT AS i FROM seqs WHERE seq_id % 2 = 0"))
 def s06(spark, sf):
-    flat = spark.createDataFrame(list(enumerate([2, 4, 0, 0, 6, 8, 6, 8, 0, 2, 0])), "i long, node long")
-    return bundle.start_offsets(flat).select(F.col("i").cast("int").alias("i"))
+    return bundle.start_offsets(_flat(spark, sf))
 
 
 @query("s07_load_variants", "SELECT count(*) AS n FROM nation WHERE n_nationkey % 2 = 0")
@@ -174,12 +180,12 @@ def s18(spark, sf):
     return bundle.sizes(spark, at).join(rows("header").unionAll(rows("visits")), "part").select("part", "n", (F.col("bytes") > 0).alias("written"))
 
 
-@query("s19_generated_queries", O.sql("SELECT seq_id * 100 + pos AS query_id, array_to_string(path[pos : pos + 5], ',') AS pattern FROM (SELECT seq_id, path, unnest([1, 1 + (seq_id * 7919) % (len(path) - 5)]) AS pos FROM seqs WHERE len(path) >= 8) GROUP BY ALL"))
+@query("s19_generated_queries", O.sql("SELECT seq_id, pos, array_to_string(path[pos : pos + 5], ',') AS pattern FROM (SELECT seq_id, path, unnest([1, 1 + (seq_id * 7919) % (len(path) - 5)]) AS pos FROM seqs WHERE len(path) >= 8) GROUP BY ALL"))
 def s19(spark, sf):
     """Subpaths at places that a fixed rule picks from the sequence's number."""
     own = index(spark, sf).paths.filter("size(path) >= 8")
     at = own.select("seq_id", "path", F.explode(F.array(F.lit(1).cast("long"), 1 + (F.col("seq_id") * 7919) % (F.size("path") - 5))).alias("pos"))
-    return at.select((F.col("seq_id") * 100 + F.col("pos")).alias("query_id"), F.array_join(F.slice("path", F.col("pos").cast("int"), 6).cast("array<string>"), ",").alias("pattern")).distinct()
+    return at.select("seq_id", "pos", F.array_join(F.slice("path", F.col("pos").cast("int"), 6).cast("array<string>"), ",").alias("pattern")).distinct()
 
 
 # Codecs ----------------------------------------------------------------------------------------------

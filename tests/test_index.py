@@ -160,6 +160,21 @@ def test_insert_equals_rebuild(spark):
     assert grown.bidirectional and not mutate.insert(first, table(spark, [ALT]), both=False).bidirectional
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_merge_by_ranks_equals_rebuild(spark, seed):
+    """Few labels and long common stretches, words that only one index has, empty and repeated paths; both orientations and one."""
+    rng = random.Random(seed)
+    draw = lambda n, labels, longest: [[2 * rng.randint(1, labels) for _ in range(rng.randint(0, longest))] for _ in range(n)]
+    own, new = draw(14, 3, 20) + [[2, 4] * 17, []], draw(9, 4, 24) + [[2, 4] * 19, [], [90, 2, 4]]
+    own += new[:2]
+    df = lambda paths: spark.createDataFrame(list(enumerate(paths)), "path_id long, path array<bigint>")
+    for both in (True, False):
+        built = PathIndex.from_paths(df(own + new), both)
+        merged = mutate.merge(PathIndex.from_paths(df(own), both), PathIndex.from_paths(df(new), both))
+        assert tuples(merged.visits.fillna(-1)) == tuples(built.visits.fillna(-1))
+    assert tuples(mutate.merge(PathIndex.from_paths(df([])), PathIndex.from_paths(df(new))).visits.fillna(-1)) == tuples(PathIndex.from_paths(df(new)).visits.fillna(-1))
+
+
 def test_partition_range():
     assert mutate.partition_range(0, 9, 3) == [(0, 2), (3, 5), (6, 9)]
     assert mutate.partition_range(5, 6, 9) == [(5, 5), (6, 6)]
