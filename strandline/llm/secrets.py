@@ -70,7 +70,7 @@ def _is(*names: str) -> Column:
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Keep base parts, and weak ones only beside their complements. Adds ``base``."""
     base = _is("assign", "access", "hex")
-    order = Window.partitionBy("row").orderBy("at")
+    order, back = Window.partitionBy("row").orderBy("at"), Window.partitionBy("row").orderBy(F.desc("at"))
     ends_before, begins_after = order.rangeBetween(-scope, 0), order.rangeBetween(0, scope)
     edges = parts.select("*", base.alias("base"), F.explode(F.array(F.lit(True), F.lit(False))).alias("begins"))
     edges = edges.withColumn("at", F.when(F.col("begins"), F.col("start")).otherwise(F.col("end")))
@@ -83,7 +83,7 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     def overlaps(kind: Column) -> Column:
         """At a beginning: whether a part of the kind begins no later and ends after it, or begins no earlier and before the end."""
         last = F.max(F.when(kind & F.col("begins"), F.col("end"))).over(order.rangeBetween(Window.unboundedPreceding, 0))
-        first = F.min(F.when(kind & F.col("begins"), F.col("start"))).over(order.rangeBetween(0, Window.unboundedFollowing))
+        first = F.min(F.when(kind & F.col("begins"), F.col("start"))).over(back.rangeBetween(Window.unboundedPreceding, 0))  # a running minimum from the end
         return F.coalesce(F.col("begins") & ((last > F.col("start")) | (first < F.col("end"))), F.lit(False))
 
     weak = edges.select(

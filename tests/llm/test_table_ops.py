@@ -146,6 +146,18 @@ def test_secret_spans(spark, make, tmp_path):
     assert empty.count() == 0
 
 
+def test_a_long_dump_of_keys(spark):
+    """32,000 keys in one text: the frames over a text's parts are running ones, so the time grows with the parts, not with their square."""
+    import time
+
+    text = "".join(f"{k:032x}\n" for k in range(32_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    (row,) = secrets.scan_secrets(df).collect()
+    assert len(row["found"]) == 32_000 and row["found"][-1]["end"] == len(text) - 1
+    assert time.time() - began < 30
+
+
 # Mixing ----------------------------------------------------------------------------------------------
 
 
