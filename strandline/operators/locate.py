@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.index import PathIndex
 from ..plans.tables import as_of, cut, sums_within
-from .search import visits_in
+from .search import RANGE_BLOCK, visits_in
 from .stats import sampled
 
 
@@ -95,12 +95,17 @@ def unpack(packed: Column, max_length: Column) -> tuple[Column, Column]:
     return F.floor(packed / max_length).cast("long"), F.pmod(packed, max_length)
 
 
-def run_samples(index: PathIndex) -> DataFrame:
-    """(node, run_id, head_seq, head_offset, tail_seq, tail_offset) of each logical run."""
+def run_ends(index: PathIndex) -> DataFrame:
+    """(node, run_id, start_off, end_off, head_seq, head_offset, tail_seq, tail_offset): the logical runs with the samples of their ends."""
     sa = suffix_array(index)
     runs = index.logical_runs.select("node", "run_id", "start_off", (F.col("start_off") + F.col("len") - 1).alias("end_off"))
     end = lambda at, name: sa.select("node", F.col("off").alias(at), F.col("seq_id").alias(f"{name}_seq"), F.col("seq_offset").alias(f"{name}_offset"))
-    return runs.join(end("start_off", "head"), ["node", "start_off"]).join(end("end_off", "tail"), ["node", "end_off"]).select("node", "run_id", "head_seq", "head_offset", "tail_seq", "tail_offset")
+    return runs.join(end("start_off", "head"), ["node", "start_off"]).join(end("end_off", "tail"), ["node", "end_off"]).select("node", "run_id", "start_off", "end_off", "head_seq", "head_offset", "tail_seq", "tail_offset")
+
+
+def run_samples(index: PathIndex) -> DataFrame:
+    """(node, run_id, head_seq, head_offset, tail_seq, tail_offset) of each logical run."""
+    return run_ends(index).drop("start_off", "end_off")
 
 
 def find_with_first(index: PathIndex, states: DataFrame) -> DataFrame:
@@ -109,63 +114,75 @@ def find_with_first(index: PathIndex, states: DataFrame) -> DataFrame:
     return states.select("query_id", "node", "sp", "ep").join(at, ["node", "sp"]).select("query_id", "node", "sp", "ep", "first", "max_length")
 
 
-def successors(index: PathIndex) -> DataFrame:
-    """(seq, off, to_seq, to_off) of each logical run's tail: the visit that follows it in its node, the head of the next run; null at the node's end.
+def successors(runs: DataFrame) -> DataFrame:
+    """(seq, off, to_seq, to_off) of the tail of each of the ``runs`` (``run_samples``): the visit that follows it in its node, the head of the next run; null at the node's end.
 
     Both are given as (sequence, distance to the path's end). A visit that is no tail steps on in one run with the visit that
     follows it, so the two keep their distance until the first one reaches a tail: these rows define the follower of every visit.
     """
-    runs = run_samples(index)
     heads = runs.select("node", (F.col("run_id") - 1).alias("run_id"), F.col("head_seq").alias("to_seq"), F.col("head_offset").alias("to_off"))
     return runs.join(heads, ["node", "run_id"], "left").select(F.col("tail_seq").alias("seq"), F.col("tail_offset").alias("off"), "to_seq", "to_off")
 
 
-def followed(points: DataFrame, jumps: DataFrame) -> DataFrame:
+def followed(points: DataFrame, jumps: DataFrame, longest: int | None = None) -> DataFrame:
     """``points`` (seq, off, ...) with the visit (next_seq, next_off) that jumps (seq, off, to_seq, to_off) lead to: by the last jump not beyond each."""
-    met = as_of(points, jumps, ["seq"], "off", ["to_seq", "to_off"])
+    met = as_of(points, jumps, ["seq"], "off", ["to_seq", "to_off"], last=longest)
     return met.select(*points.columns, F.col("met.to_seq").alias("next_seq"), (F.col("met.to_off") + F.col("off") - F.col("met.at")).alias("next_off"))
 
 
-def doubled_jumps(jumps: DataFrame) -> DataFrame:
+def doubled_jumps(jumps: DataFrame, longest: int | None = None) -> DataFrame:
     """The jumps that go twice as far.
 
     An interval of visits that jump together is cut where its image meets the beginning of another one. Images don't overlap, so an as-of
     look-up finds the interval that a beginning is the image of; each gives one cut at most, and there are never more jumps than visits.
     """
     images = jumps.filter("to_seq is not null").select(F.col("to_seq").alias("seq"), F.col("to_off").alias("off"), F.col("seq").alias("from_seq"), F.col("off").alias("from_off"))
-    met = as_of(jumps.select("seq", "off"), images, ["seq"], "off", ["from_seq", "from_off"]).filter("met is not null")
+    met = as_of(jumps.select("seq", "off"), images, ["seq"], "off", ["from_seq", "from_off"], last=longest).filter("met is not null")
     cuts = met.select(F.col("met.from_seq").alias("seq"), (F.col("met.from_off") + F.col("off") - F.col("met.at")).alias("off"), F.col("seq").alias("mid_seq"), F.col("off").alias("mid_off"))
     # An image that ends before the beginning does not hold it: jumping from the cut leads elsewhere then.
-    cuts = followed(cuts, jumps).filter("next_seq = mid_seq and next_off = mid_off").select("seq", "off", "mid_seq", "mid_off")
+    cuts = cut(followed(cuts, jumps, longest).filter("next_seq = mid_seq and next_off = mid_off").select("seq", "off", "mid_seq", "mid_off"))
     starts = jumps.select("seq", "off", F.col("to_seq").alias("mid_seq"), F.col("to_off").alias("mid_off")).unionByName(cuts).dropDuplicates(["seq", "off"])
-    far = followed(starts.filter("mid_seq is not null").select(F.col("mid_seq").alias("seq"), F.col("mid_off").alias("off"), F.col("seq").alias("own_seq"), F.col("off").alias("own_off")), jumps)
+    far = followed(starts.filter("mid_seq is not null").select(F.col("mid_seq").alias("seq"), F.col("mid_off").alias("off"), F.col("seq").alias("own_seq"), F.col("off").alias("own_off")), jumps, longest)
     ended = starts.filter("mid_seq is null").select("seq", "off", F.col("mid_seq").alias("to_seq"), F.col("mid_off").alias("to_off"))
     return far.select(F.col("own_seq").alias("seq"), F.col("own_off").alias("off"), F.col("next_seq").alias("to_seq"), F.col("next_off").alias("to_off")).unionByName(ended)
 
 
-def locate_next(index: PathIndex, values: DataFrame, jumps: DataFrame | None = None) -> DataFrame:
+def locate_next(index: PathIndex, values: DataFrame) -> DataFrame:
     """(packed, next_packed) of packed values (packed, max_length): the value that follows each in its node, from the run samples alone."""
-    jumps = successors(index) if jumps is None else jumps
     seq, off = unpack(F.col("packed"), F.col("max_length"))
-    met = followed(values.select("packed", "max_length", seq.alias("seq"), off.alias("off")), jumps).filter("next_seq is not null")
+    met = followed(values.select("packed", "max_length", seq.alias("seq"), off.alias("off")), successors(run_samples(index)), index.longest).filter("next_seq is not null")
     return met.select("packed", pack(F.col("next_seq"), F.col("next_off"), F.col("max_length")).alias("next_packed"))
 
 
-def locate_by_successors(index: PathIndex, found: DataFrame, jumps: DataFrame | None = None) -> DataFrame:
+def _pieces(runs: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, cnt, seq, off): the parts of each state that lie in one run, by the first visit of each; the state's own first one begins the first part."""
+    block = lambda df, a, b: df.withColumn("_block", F.explode(F.sequence(F.floor(F.col(a) / RANGE_BLOCK), F.floor(F.col(b) / RANGE_BLOCK))))
+    seq, off = unpack(F.col("first"), F.col("max_length"))
+    states = block(found.select("query_id", "node", "sp", "ep", seq.alias("seq"), off.alias("off")), "sp", "ep")
+    met = states.join(block(runs.select("node", "start_off", "end_off", "head_seq", "head_offset"), "start_off", "end_off"), ["node", "_block"])
+    begin, end = F.greatest("sp", "start_off"), F.least("ep", "end_off")
+    met = met.filter((begin <= end) & (F.floor(begin / RANGE_BLOCK) == F.col("_block")))
+    own = F.col("start_off") <= F.col("sp")
+    return met.select("query_id", (end - begin + 1).alias("cnt"), F.when(own, F.col("seq")).otherwise(F.col("head_seq")).alias("seq"), F.when(own, F.col("off")).otherwise(F.col("head_offset")).alias("off"))
+
+
+def locate_by_successors(index: PathIndex, found: DataFrame) -> DataFrame:
     """(query_id, seq_id) of states with the first visit of each (``find_with_first``), from the run samples alone.
 
-    From the values known to be 0 .. 2^k - 1 places behind the first one, a jump of 2^k places gives as many again; the jumps are doubled
-    alongside. So a range of any length takes as many rounds as its length has binary digits, each a sweep over jumps and values.
+    A state is cut at the run heads in it, which are known. From the values known to be 0 .. 2^k - 1 places behind a part's first one, a jump of
+    2^k places gives as many again; the jumps are doubled alongside. So there are as many rounds as the longest part has binary digits, each a
+    sweep over jumps and values.
     """
-    jumps = cut(successors(index) if jumps is None else jumps)
-    seq, off = unpack(F.col("first"), F.col("max_length"))
-    known = cut(found.select("query_id", (F.col("ep") - F.col("sp") + 1).alias("cnt"), F.lit(0).cast("long").alias("place"), seq.alias("seq"), off.alias("off")))
+    runs = cut(run_ends(index))
+    known = cut(_pieces(runs, found).withColumn("place", F.lit(0).cast("long")))
     longest = known.agg(F.max("cnt")).first()[0] or 0
+    jumps = cut(successors(runs)) if longest > 1 else None
     step, out = 1, known
     while step < longest:
-        moved = followed(out.filter(F.col("place") + step < F.col("cnt")), jumps)
-        out = cut(out.unionByName(moved.select("query_id", "cnt", (F.col("place") + step).alias("place"), F.col("next_seq").alias("seq"), F.col("next_off").alias("off"))))
+        moved = followed(out.filter(F.col("place") + step < F.col("cnt")), jumps, index.longest)
+        moved = cut(moved.select("query_id", "cnt", F.col("next_seq").alias("seq"), F.col("next_off").alias("off"), (F.col("place") + step).alias("place")))
+        out = out.unionByName(moved)
         step *= 2
         if step < longest:
-            jumps = cut(doubled_jumps(jumps))
+            jumps = cut(doubled_jumps(jumps, index.longest))
     return out.select("query_id", F.col("seq").alias("seq_id")).distinct()

@@ -33,7 +33,7 @@ def rank_array(index: PathIndex, other: PathIndex) -> DataFrame:
     """
     n = index.visits.filter("pos = 0").count()
     own = other.visits.select("seq_id", "pos", "node", "off", "next")
-    longest = own.agg(F.max("pos")).first()[0] or 0
+    longest = other.longest
     ranks = cut(own.filter("pos = 0").select("seq_id", "pos", F.lit(n).cast("long").alias("at")))
     if longest:
         word = named(F.col("next"))
@@ -49,7 +49,7 @@ def rank_array(index: PathIndex, other: PathIndex) -> DataFrame:
         double = words.join(second, ["seq_id", "pos"]).select("seq_id", F.lit(1).alias("level"), "pos", F.col("m").alias("node"), F.col("m1").alias("w1"), F.col("m2").alias("w2"), *_renamed(named(F.col("w1"), F.col("w2"), F.col("m1"), F.col("m2"))), F.col("c").alias("at"), F.col("mc").alias("c"), F.col("node").alias("u"))
         points = onward.unionByName(double)
         seen = met.select("node", *WORD, F.col("off").alias("at"), F.lit(1).alias("seen"))
-        swept = sums_within(points.withColumn("seen", F.lit(0)).unionByName(seen, allowMissingColumns=True), ["node", *WORD], "at", ["seen"], F.col("seen"), "below").filter("seen = 0")
+        swept = sums_within(points.withColumn("seen", F.lit(0)).unionByName(seen, allowMissingColumns=True), ["node", *WORD], "at", ["seen"], F.col("seen"), "below", max(n, index.largest)).filter("seen = 0")
         swept = cut(swept.select("seq_id", "pos", "level", F.col("u").alias("node"), F.col("v1").alias("w1"), F.col("v2").alias("w2"), (F.col("c") + F.col("below")).alias("to")))
         known = swept.filter("level = 0").select("seq_id", "pos", F.col("to").alias("at"))
         ranks = ranks.unionAll(known)
@@ -75,7 +75,7 @@ def _interleaved(index: PathIndex, points: DataFrame, n: int) -> DataFrame:
     late = points.select((F.col("seq_id") + n).alias("seq_id"), "pos", "node", F.when(F.col("node") == 0, F.col("off") + n).otherwise(F.col("at") + F.col("off")).alias("off"))
     old = index.visits.select("seq_id", "pos", "node", F.col("off").alias("at"), F.lit(1).alias("_old"))
     rows = old.unionByName(points.filter("node <> 0").select("seq_id", "pos", "node", "at", F.lit(0).alias("_old")))
-    moved = sums_within(rows, ["node"], "at", ["_old"], 1 - F.col("_old"), "before").filter("_old = 1")
+    moved = sums_within(rows, ["node"], "at", ["_old"], 1 - F.col("_old"), "before", max(n, index.largest)).filter("_old = 1")
     return moved.select("seq_id", "pos", "node", (F.col("at") + F.col("before")).alias("off")).unionByName(late)
 
 
@@ -83,7 +83,7 @@ def merge(index: PathIndex, other: PathIndex) -> PathIndex:
     """Append all sequences of another index by its rank array: the visits of both keep their order and are interleaved once."""
     n = index.visits.filter("pos = 0").count()
     points = cut(rank_array(index, other))
-    return PathIndex(link_visits(cut(_interleaved(index, points, n))), index.bidirectional and other.bidirectional, index.tags, index.metadata)
+    return PathIndex(link_visits(cut(_interleaved(index, points, n)), max(index.longest, other.longest)), index.bidirectional and other.bidirectional, index.tags, index.metadata)
 
 
 def merge_all(indexes: list[PathIndex]) -> PathIndex:

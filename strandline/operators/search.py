@@ -126,7 +126,7 @@ def counts_before(index: PathIndex, points: DataFrame) -> DataFrame:
     points = points.withColumn("at", F.col("at").cast("long"))
     steps = index.visits.select("node", F.col("next").alias("via"), F.col("off").alias("at")).join(wanted, ["node", "via"], "left_semi").withColumn("_step", F.lit(1))
     rows = points.withColumn("_step", F.lit(0)).unionByName(steps, allowMissingColumns=True)
-    return sums_within(rows, ["node", "via"], "at", ["_step"], F.col("_step"), "before").filter("_step = 0").select(*cols, "before")
+    return sums_within(rows, ["node", "via"], "at", ["_step"], F.col("_step"), "before", index.largest).filter("_step = 0").select(*cols, "before")
 
 
 def _range_counts(index: PathIndex, states: DataFrame, key: list[str]) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby, pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +81,30 @@ def records(index: PathIndex) -> DataFrame:
     return runs
 
 
+def for_each_record(index: PathIndex, visit: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``visit(node, batches)`` gives for every record, as rows of ``schema``; ``batches`` are its visits (off, next, next_off) by offset.
+
+    A record streams by in Arrow batches of the session's size (``spark.sql.execution.arrow.maxRecordsPerBatch``), cut at the record's ends, and
+    is never in memory whole. What ``visit`` leaves unread is skipped.
+    """
+    rows = index.visits.select("node", "off", "next", "next_off").repartition("node").sortWithinPartitions("node", "off")
+    return rows.mapInArrow(lambda batches: _each_record(batches, visit), schema)
+
+
+def _each_record(batches: Iterator[pa.RecordBatch], visit) -> Iterator[pa.RecordBatch]:
+    slices = (part for batch in batches for part in _by_node(batch))
+    for node, parts in groupby(slices, key=lambda part: part[0]):
+        yield from visit(node, (batch for _, batch in parts))
+
+
+def _by_node(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    node = batch.column(0).to_numpy()
+    edges = [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist(), len(node)]
+    for begin, end in pairwise(edges):
+        if end > begin:
+            yield int(node[begin]), batch.slice(begin, end - begin).select([1, 2, 3])
+
+
 def summary(index: PathIndex, interval: int = 1024) -> DataFrame:
     """The numbers that describe an index, in one row."""
     samples = sampled(index, interval).agg(F.count(F.lit(1)).alias("samples"))

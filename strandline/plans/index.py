@@ -94,11 +94,22 @@ def offsets_by_doubling(rows: DataFrame, longest: int) -> DataFrame:
     return places_within(last, "node", ["r", "seq_id"], "off", ["seq_id", "pos", "node"])
 
 
-def link_visits(ranked: DataFrame) -> DataFrame:
-    """Add each visit's successor and predecessor."""
-    along = Window.partitionBy("seq_id").orderBy("pos")
-    after = ranked.select("*", F.coalesce(F.lead("node").over(along), F.lit(0)).alias("next"), F.lead("off").over(along).alias("next_off"), F.lag("node").over(along).alias("prev"), F.lag("off").over(along).alias("prev_off"))
-    return after.select(*VISIT_COLUMNS)
+def link_visits(ranked: DataFrame, longest: int | None = None) -> DataFrame:
+    """Add each visit's successor and predecessor.
+
+    A path that is ``longest`` or shorter fits one block; longer ones are swept block by block, each with the visit before and the one after it.
+    """
+    rows = ranked.select("seq_id", "pos", "node", "off")
+    block = F.floor(F.col("pos") / BLOCK)
+    if longest is None or longest >= BLOCK:
+        near = F.array(block, F.floor((F.col("pos") - 1) / BLOCK), F.floor((F.col("pos") + 1) / BLOCK))
+        rows = rows.withColumn("_block", F.explode(F.array_distinct(near)))
+        along = Window.partitionBy("seq_id", "_block").orderBy("pos")
+    else:
+        rows = rows.withColumn("_block", block)
+        along = Window.partitionBy("seq_id").orderBy("pos")
+    after = rows.select("*", F.coalesce(F.lead("node").over(along), F.lit(0)).alias("next"), F.lead("off").over(along).alias("next_off"), F.lag("node").over(along).alias("prev"), F.lag("off").over(along).alias("prev_off"))
+    return after.filter(block == F.col("_block")).select(*VISIT_COLUMNS)
 
 
 def build_visits(paths: DataFrame, method: str | None = None) -> DataFrame:
@@ -107,7 +118,7 @@ def build_visits(paths: DataFrame, method: str | None = None) -> DataFrame:
     longest = rows.agg(F.max("pos")).first()[0] or 0
     if method is None:
         method = "prefix" if longest <= PREFIX_LIMIT else "doubling"
-    return link_visits(offsets_by_prefix(rows) if method == "prefix" else offsets_by_doubling(rows, longest))
+    return link_visits(offsets_by_prefix(rows) if method == "prefix" else offsets_by_doubling(rows, longest), longest)
 
 
 @dataclass
@@ -160,6 +171,16 @@ class PathIndex:
         """(node, size), from the edges."""
         return self.edges.groupBy(F.col("src").alias("node")).agg(F.sum("cnt").alias("size"))
 
+    @cached_property
+    def largest(self) -> int:
+        """The most visits of a node: no offset reaches it."""
+        return self.node_sizes.agg(F.max("size")).first()[0] or 0
+
+    @cached_property
+    def longest(self) -> int:
+        """The most nodes of a sequence."""
+        return self.visits.agg(F.max("pos")).first()[0] or 0
+
     @cached_property
     def runs(self) -> DataFrame:
         """(node, run_id, start_off, len, successor): maximal runs of one successor."""
@@ -172,6 +193,12 @@ class PathIndex:
 
     def run_of_visits(self, logical: bool = False) -> DataFrame:
         """(node, off, next, run_id): the run of each visit; offsets are compared and counted by blocks, so that a node of any size is spread."""
+        if self.largest <= BLOCK:
+            along = Window.partitionBy("node").orderBy("off")
+            starts = F.coalesce(F.col("next") != F.lag("next").over(along), F.lit(True))
+            starts = starts | (F.col("next") == 0) if logical else starts
+            own = self.visits.select("node", "off", "next").withColumn("_starts", starts)
+            return sums_within(own, ["node"], "off", [], F.col("_starts"), "run_id", self.largest - 1).select("node", "off", "next", (F.col("run_id") - 1).alias("run_id"))
         own = self.visits.select("node", "off", "next").withColumn("_b", F.floor(F.col("off") / BLOCK))
         border = own.filter(F.col("off") % BLOCK == BLOCK - 1).select("node", (F.col("_b") + 1).alias("_b"), F.col("next").alias("_border"))
         before = F.lag("next").over(Window.partitionBy("node", "_b").orderBy("off"))

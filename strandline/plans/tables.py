@@ -78,11 +78,15 @@ def places_within(df: DataFrame, group: str, order: list[str], name: str, keep:
     return rows.join(first, group).select(*cols, (F.col("_place") - F.col("_first")).alias(name))
 
 
-def sums_within(df: DataFrame, group: list[str], at: str, ties: list, value: Column, name: str) -> DataFrame:
+def sums_within(df: DataFrame, group: list[str], at: str, ties: list, value: Column, name: str, last: int | None = None) -> DataFrame:
     """``df`` with the sum of ``value`` over its group's rows up to and including each, by ``at`` (a whole number) and ``ties``.
 
-    Sums run within blocks of ``at``; a window over the blocks, not the rows, of a group adds the blocks before.
+    Sums run within blocks of ``at``; a window over the blocks, not the rows, of a group adds the blocks before. Where ``last``, a bound of
+    ``at`` from 0 on, is within the first block, there is nothing to add.
     """
+    if last is not None and last < BLOCK:
+        upto = Window.partitionBy(*group).orderBy(at, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(name, F.sum(value.cast("long")).over(upto))
     block = F.floor(F.col(at) / BLOCK)
     rows = df.withColumn("_block", block).withColumn("_value", value.cast("long"))
     totals = rows.groupBy(*group, "_block").agg(F.sum("_value").alias("_total"))
@@ -92,16 +96,20 @@ def sums_within(df: DataFrame, group: list[str], at: str, ties: list, value: Col
     return rows.withColumn("_inside", F.sum("_value").over(inside)).join(bases, [*group, "_block"]).select(*df.columns, (F.col("_base") + F.col("_inside")).alias(name))
 
 
-def as_of(points: DataFrame, samples: DataFrame, group: list[str], at: str, values: list[str], name: str = "met") -> DataFrame:
+def as_of(points: DataFrame, samples: DataFrame, group: list[str], at: str, values: list[str], name: str = "met", last: int | None = None) -> DataFrame:
     """``points`` with the struct ``name`` (at, *values) of their group's last sample at or before them; null without one.
 
-    One sweep in blocks of ``at`` (a whole number), and a window over the blocks, not the rows, of a group for what lies further back.
+    One sweep in blocks of ``at`` (a whole number), and a window over the blocks, not the rows, of a group for what lies further back; none
+    of it where ``last``, a bound of ``at`` from 0 on, is within the first block.
     """
     value = F.struct(F.col(at).alias("at"), *values)
     block = F.floor(F.col(at) / BLOCK).alias("_block")
     told = samples.select(*group, at, block, value.alias("_value"), F.lit(0).alias("_asks"))
     asks = points.select("*", block, F.lit(1).alias("_asks"))
     rows = asks.unionByName(told, allowMissingColumns=True)
+    if last is not None and last < BLOCK:
+        upto = Window.partitionBy(*group).orderBy(at, "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumn(name, F.last("_value", ignorenulls=True).over(upto)).filter("_asks = 1").select(*points.columns, name)
     lasts = told.groupBy(*group, "_block").agg(F.max_by("_value", at).alias("_last"))
     earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.select(*group, "_block").distinct().join(lasts, [*group, "_block"], "left").select(*group, "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_base"))

@@ -152,6 +152,31 @@ def t15(spark, sf):
     return stats.records(index(spark, sf))
 
 
+def _runs_of(node, batches):
+    """A record's runs, from its visits as they stream by: a run goes on from one batch into the next."""
+    import numpy as np
+    import pyarrow as pa
+
+    names, run, begin, symbol, seen = ["node", "run_id", "start_off", "len", "successor"], 0, 0, None, 0
+    for batch in batches:
+        nexts_ = batch.column(1).to_numpy()
+        changes = np.flatnonzero(np.concatenate([[symbol is not None and nexts_[0] != symbol], nexts_[1:] != nexts_[:-1]]))
+        rows = []
+        for at in changes.tolist():
+            rows.append((node, run, begin, seen + at - begin, int(nexts_[at - 1]) if at else symbol))
+            run, begin = run + 1, seen + at
+        seen, symbol = seen + len(nexts_), int(nexts_[-1])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (node, run, begin, seen - begin, symbol)], names=names)
+
+
+@query("t15_for_each_record", SQL("SELECT node, run_id, start_off, len, successor FROM runs", R))
+def t15_each(spark, sf):
+    """The runs of every record, by a function that sees one record at a time."""
+    return stats.for_each_record(index(spark, sf), _runs_of, "node long, run_id long, start_off long, len long, successor long")
+
+
 @query("t16_statistics", SQL("""SELECT count(*) FILTER (pos = 0) AS sequences, count(*) AS size, min(node) FILTER (node > 0) - 1 AS offset, max(node) + 1 AS alphabet_size, max(node) + 2 - min(node) FILTER (node > 0) AS effective,
   (SELECT count(*) FROM runs) AS concrete, (SELECT count(*) FROM logical) AS logical, count(*) FILTER (next = 0 OR (pos + 1) % 1024 = 0) AS samples FROM visits""", R))
 def t16(spark, sf):
@@ -481,7 +506,7 @@ def l15_second(spark, sf):
     """The follower's follower of every visit, by jumps of two places."""
     idx = index(spark, sf)
     every = locate.suffix_array(idx).select(F.col("seq_id").alias("seq"), F.col("seq_offset").alias("off"))
-    return locate.followed(every, cut(locate.doubled_jumps(cut(locate.successors(idx))))).filter("next_seq is not null")
+    return locate.followed(every, cut(locate.doubled_jumps(cut(locate.successors(locate.run_samples(idx)))))).filter("next_seq is not null")
 
 
 # Invariants: what was compared, and that nothing differs ----------------------------------------------

@@ -175,6 +175,24 @@ def test_merge_by_ranks_equals_rebuild(spark, seed):
     assert tuples(mutate.merge(PathIndex.from_paths(df([])), PathIndex.from_paths(df(new))).visits.fillna(-1)) == tuples(PathIndex.from_paths(df(new)).visits.fillna(-1))
 
 
+def test_each_record_streams_by(spark):
+    """A function over records sees batches that are smaller than a large record, and gives its runs all the same."""
+    from strandline.queries.navigate import _runs_of
+
+    paths = spark.createDataFrame([(i, [2, 4 + 2 * (i // 7 % 3)] * (i % 3)) for i in range(60)], "path_id long, path array<bigint>")
+    index = PathIndex.from_paths(paths)
+    want = tuples(index.runs.select("node", "run_id", "start_off", "len", "successor"))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "5")
+    try:
+        assert index.largest > 5 and tuples(stats.for_each_record(index, _runs_of, "node long, run_id long, start_off long, len long, successor long")) == want
+        sizes = stats.for_each_record(index, lambda node, batches: (b.select([0]) for b in batches), "off long")
+        assert sizes.count() == index.visits.count()
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_partition_range():
     assert mutate.partition_range(0, 9, 3) == [(0, 2), (3, 5), (6, 9)]
     assert mutate.partition_range(5, 6, 9) == [(5, 5), (6, 6)]
