@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import codecs
+from ..operators.variants import all_alleles
 from ..plans import oracle as O
 from ..plans.index import PathIndex
 from ..plans.tables import placed, shared_dir
@@ -16,6 +17,7 @@ from ..sources.corpus import index, paths, read
 from .base import query
 from .names import PN, meta
 from .strings import NAMES, names
+from .variation import VP, vp
 
 SEQ = "SELECT path_id, array_to_string(list(node ORDER BY p), ',') AS path FROM rows_ GROUP BY path_id"
 
@@ -88,11 +90,12 @@ def s06(spark, sf):
     return bundle.start_offsets(_flat(spark, sf))
 
 
-@query("s07_load_variants", "SELECT count(*) AS n FROM nation WHERE n_nationkey % 2 = 0")
+@query("s07_load_variants", f"WITH {VP} SELECT site, allele, array_to_string(path, ',') AS path FROM every_")
 def s07(spark, sf):
+    """The alleles of a contig that was saved and loaded, the reference's own among them."""
     at = place(spark)
-    read(spark, sf, "nation").filter("n_nationkey % 2 = 0").write.parquet(at)
-    return spark.read.parquet(at).agg(F.count(F.lit(1)).alias("n"))
+    bundle.save_variants(vp(spark, sf), at)
+    return all_alleles(bundle.load_variants(spark, at)).select("site", "allele", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 @query("s08_phasing_files", "SELECT o_custkey % 3 AS file, count(*) AS n FROM orders WHERE o_custkey % 3 IN (0, 2) GROUP BY 1")

@@ -5,38 +5,52 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import variants as V
-from ..plans.tables import cut
+from ..plans.tables import cut, placed
 from ..sources.corpus import once, read
 from .base import query
 
-#: Every eighth reference position starts a site of 1 to 3 nodes; every other one overlaps its predecessor's end or not by the rule below.
+#: Sites of the contig that every customer has a genotype at.
 SITES = 40
 
 
-def _tables(spark, sf) -> V.VariantPaths:
-    reference = spark.range(SITES * 8 + 16).select(F.col("id").alias("pos"), (F.col("id") + 1).alias("node"))
-    sites = spark.range(SITES).select(F.col("id").alias("site"), (F.col("id") * 8).alias("ref_start"), (F.col("id") * 8 + F.when(F.col("id") % 4 == 1, 10).otherwise(F.col("id") % 3 + 1)).alias("ref_end"))
+def _contig(marks, n: int) -> V.VariantPaths:
+    """A contig of ``n`` sites (site, mark): every eighth reference position starts a site of 1 to 3 nodes, or of 10 where the mark says so, which overlaps the next one."""
+    spark, alone = marks.sparkSession, 8 * n + 1000
+    reference = marks.select(F.explode(F.sequence(F.col("site") * 8, F.col("site") * 8 + 7)).alias("pos")).unionAll(spark.range(8 * n, 8 * n + 16)).select("pos", (F.col("pos") + 1).alias("node"))
+    sites = marks.select("site", (F.col("site") * 8).alias("ref_start"), (F.col("site") * 8 + F.when(F.col("mark") % 4 == 1, 10).otherwise(F.col("mark") % 3 + 1)).alias("ref_end"))
     alleles = sites.select("site", "ref_start", "ref_end", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("allele"))
-    path = F.when((F.col("allele") == 2) & (F.col("site") % 2 == 1), F.concat(F.array(F.col("site") * 10 + 1000), F.transform(F.sequence(F.col("ref_start") + 1, F.col("ref_end") - 1), lambda x: x + 1))).otherwise(
-        F.array(F.col("site") * 10 + 1000 + F.col("allele"), F.col("site") * 10 + 1005 + F.col("allele"))
-    )
-    long_enough = F.col("ref_end") - F.col("ref_start") >= 2
-    path = F.when(long_enough, path).otherwise(F.array(F.col("site") * 10 + 1000 + F.col("allele")))
-    return V.VariantPaths(reference, sites, alleles.select("site", "allele", path.alias("path")))
+    own = lambda k: F.col("site") * 10 + alone + k
+    path = F.when((F.col("allele") == 2) & (F.col("site") % 2 == 1), F.concat(F.array(own(0)), F.transform(F.sequence(F.col("ref_start") + 1, F.col("ref_end") - 1), lambda x: x + 1))).otherwise(F.array(own(F.col("allele")), own(F.col("allele") + 5)))
+    path = F.when(F.col("ref_end") - F.col("ref_start") >= 2, path).otherwise(F.array(own(F.col("allele"))))
+    return V.VariantPaths(cut(reference), cut(sites), cut(alleles.select("site", "allele", path.alias("path"))))
 
 
 def vp(spark, sf) -> V.VariantPaths:
-    return once(spark, ("variants", sf), lambda: (lambda v: V.VariantPaths(cut(v.reference), cut(v.sites), cut(v.alleles)))(_tables(spark, sf)))
+    """A contig with a site for every part."""
+
+    def make():
+        part = read(spark, sf, "part").select("p_partkey", F.col("p_size").cast("long").alias("mark"))
+        marks = cut(placed(part, ["p_partkey"], "site", ["mark"]))
+        return _contig(marks, marks.count())
+
+    return once(spark, ("parts", sf), make)
+
+
+def short(spark, sf) -> V.VariantPaths:
+    """The contig of the customers' genotypes."""
+    return once(spark, ("variants", sf), lambda: _contig(spark.range(SITES).select(F.col("id").alias("site"), F.col("id").alias("mark")), SITES))
 
 
-VP = """reference AS (SELECT i AS pos, i + 1 AS node FROM (SELECT unnest(generate_series(0, 335)) AS i)), sites AS (
-  SELECT i AS site, i * 8 AS ref_start, i * 8 + CASE WHEN i % 4 = 1 THEN 10 ELSE i % 3 + 1 END AS ref_end FROM (SELECT unnest(generate_series(0, 39)) AS i)
+_PATHS = """n_ AS (SELECT count(*) AS n FROM marks), reference AS (SELECT i AS pos, i + 1 AS node FROM (SELECT unnest(generate_series(0, 8 * n + 15)) AS i FROM n_)), sites AS (
+  SELECT i AS site, i * 8 AS ref_start, i * 8 + CASE WHEN mark % 4 = 1 THEN 10 ELSE mark % 3 + 1 END AS ref_end FROM marks
 ), alleles AS (
-  SELECT site, allele, CASE WHEN ref_end - ref_start < 2 THEN [site * 10 + 1000 + allele] WHEN allele = 2 AND site % 2 = 1 THEN list_prepend(site * 10 + 1000, list_transform(generate_series(ref_start + 1, ref_end - 1), lambda x: x + 1))
-    ELSE [site * 10 + 1000 + allele, site * 10 + 1005 + allele] END AS path FROM sites, (VALUES (1::BIGINT), (2)) a(allele)
+  SELECT site, allele, CASE WHEN ref_end - ref_start < 2 THEN [own + allele] WHEN allele = 2 AND site % 2 = 1 THEN list_prepend(own, list_transform(generate_series(ref_start + 1, ref_end - 1), lambda x: x + 1))
+    ELSE [own + allele, own + allele + 5] END AS path FROM (SELECT *, site * 10 + 8 * n + 1000 AS own FROM sites, n_), (VALUES (1::BIGINT), (2)) a(allele)
 ), every_ AS (
   SELECT site, 0 AS allele, (SELECT list(node ORDER BY pos) FROM reference WHERE pos >= ref_start AND pos < ref_end) AS path FROM sites UNION ALL SELECT site, allele, path FROM alleles
 )"""
+VP = "marks AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_size::BIGINT AS mark FROM part), " + _PATHS
+SHORT = f"marks AS (SELECT i, i AS mark FROM (SELECT unnest(generate_series(0, {SITES - 1})) AS i)), " + _PATHS
 GENOTYPES = "genotypes AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN (o_custkey % 3)::VARCHAR WHEN 2 THEN concat(o_custkey % 3, '|', o_orderkey % 2) WHEN 3 THEN concat(o_custkey % 3, '/', o_orderkey % 2) ELSE '.|.' END AS text, o_orderkey % 2 = 0 AS was, o_custkey % 2 = 0 AS homo FROM orders)"
 PARSED = """parsed AS (SELECT id, text, CASE WHEN text = '' THEN 0 ELSE coalesce(try_cast(regexp_extract(text, '^([0-9]+)', 1) AS BIGINT), 0) END AS first,
   CASE WHEN text = '' THEN 0 ELSE coalesce(try_cast(regexp_extract(text, '[|/]([0-9]+)', 1) AS BIGINT), 0) END AS second, CASE WHEN text = '' THEN was ELSE regexp_matches(text, '[|/]') END AS diploid, text, was, homo FROM genotypes), typed AS (
@@ -130,7 +144,7 @@ def h12(spark, sf):
 def phasings(spark, sf):
     """A genotype for each site and customer: phased, unphased and haploid stretches."""
     cust = read(spark, sf, "customer").select(F.col("c_custkey").alias("sample"))
-    rows = cust.crossJoin(F.broadcast(vp(spark, sf).sites.select("site")))  # the sites of one contig
+    rows = cust.crossJoin(F.broadcast(short(spark, sf).sites.select("site")))  # the sites of one contig
     x = F.col("sample") * 31 + F.col("site") * 17
     return rows.select((F.col("sample") % 2).alias("file"), "site", "sample", (x % 3).alias("first"), (F.floor(x / 3) % 3).alias("second"), (F.floor(F.col("site") / 10 + F.col("sample")) % 4 != 3).alias("diploid"), (x % 11 != 0).alias("phased"))
 
@@ -166,7 +180,7 @@ PHASINGS = """phasings AS (
 
 def _generated(tail: str, skip: bool, files: str = "true") -> str:
     """``made``: (file, sample, phase, ends, k, path) in the order of the sites, and the query over it."""
-    return f"""WITH RECURSIVE {VP}, {PHASINGS}, ref_ AS (SELECT list(node ORDER BY pos) AS r, count(*) AS size FROM reference), bounds_ AS (
+    return f"""WITH RECURSIVE {SHORT}, {PHASINGS}, ref_ AS (SELECT list(node ORDER BY pos) AS r, count(*) AS size FROM reference), bounds_ AS (
   SELECT site, ref_start AS b, ref_end AS e, coalesce(lag(ref_end) OVER (ORDER BY site), 0) AS prev_end, coalesce(lead(ref_start) OVER (ORDER BY site), (SELECT size FROM ref_)) AS next_b FROM sites
 ), steps AS (
   SELECT p.*, phase, b, e, prev_end, next_b, a.path AS allele FROM phasings p JOIN bounds_ USING (site), (VALUES (0), (1)) f(phase)
@@ -209,12 +223,12 @@ PRINTED = "SELECT seq_id, file, sample, phase, count, array_to_string(path, ',')
 
 @query("h13_generate_haplotypes", _generated(PRINTED, skip=False))
 def h13(spark, sf):
-    return V.generate_haplotypes(vp(spark, sf), phasings(spark, sf)).select("seq_id", "file", "sample", "phase", "count", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+    return V.generate_haplotypes(short(spark, sf), phasings(spark, sf)).select("seq_id", "file", "sample", "phase", "count", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 @query("h13_generate_skipping", _generated(PRINTED, skip=True, files="p.file = 1"))
 def h13_skip(spark, sf):
-    return V.generate_haplotypes(vp(spark, sf), phasings(spark, sf), skip=True, files=[1]).select("seq_id", "file", "sample", "phase", "count", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
+    return V.generate_haplotypes(short(spark, sf), phasings(spark, sf), skip=True, files=[1], piece_sites=16).select("seq_id", "file", "sample", "phase", "count", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"))
 
 
 @query("h14_indexed_haplotypes", _generated("""SELECT sequences, size, least_ - 1 AS offset, top + 1 AS alphabet_size, top + 2 - least_ AS effective, true AS bidirectional FROM (
@@ -224,4 +238,4 @@ def h14(spark, sf):
     from ..tools import build_from_variants
     from .scan import place
 
-    return build_from_variants(spark, place(spark), vp(spark, sf), phasings(spark, sf)).header
+    return build_from_variants(spark, place(spark), short(spark, sf), phasings(spark, sf)).header

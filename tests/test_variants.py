@@ -31,10 +31,11 @@ def inputs(spark, case):
     return V.VariantPaths(reference, sites, alleles), texts.select(F.lit(0).alias("file"), "site", "sample", g.alias("g")).select("file", "site", "sample", "g.*")
 
 
+@pytest.mark.parametrize("size", [1, 2, 7])
 @pytest.mark.parametrize("case", [BASIC, OVERLAP, SKIP], ids=["basic", "overlap", "skip"])
-def test_golden_haplotypes(spark, case):
+def test_golden_haplotypes(spark, case, size):
     v, phasings = inputs(spark, case)
-    made = V.generate_haplotypes(v, phasings, case["skip"]).orderBy("seq_id").collect()
+    made = V.generate_haplotypes(v, phasings, case["skip"], piece_sites=size).orderBy("seq_id").collect()
     assert [r["path"] for r in made] == case["want"]
     assert [r["seq_id"] for r in made] == list(range(len(made)))
 
