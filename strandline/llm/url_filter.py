@@ -5,8 +5,10 @@ positives are known, so level 2 encodes those, level 3 the listed keys that leve
 holds, and so on until no false positive is left: membership is then exact for every key of
 the universe, with a few bits a key and without a join.
 
-The filters travel as constants of the plan. Their size is computed from counts before they
-are built; above ``MAX_BITS`` in total the listed keys are joined instead, which gives the same answer.
+Small filters travel as constants of the plan; their size is computed from counts before they are built. Above ``MAX_BITS``
+in total the key space is cut by hash into shards with a cascade each, of about ``SHARD_BITS``: a table with one row a shard, in the
+shared folder, and a url probes the row of its shard. So the method is the same at any size of the list; neither keys
+nor filters go through the driver then, and a hot host's urls are split over tasks by AQE, since its shard has one row.
 
 Listed hosts that the corpus lacks take no part, as its keys are all that is ever asked for.
 
@@ -32,6 +34,8 @@ LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets"
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Bits of all filters that may travel with a plan (1 MB).
 MAX_BITS = 8 << 20
+#: Bits of a shard's filters that are aimed at (512 KB).
+SHARD_BITS = 4 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,6 +109,60 @@ def member(key: Column, levels: list[Filter]) -> Column:
     return result
 
 
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("shard")), F.lit(shards))
+
+
+def _held(key: Column, level: Column) -> Column:
+    """Whether a filter (level, n_hashes, n_bits, words) of a table holds a key."""
+
+    def is_set(j: Column) -> Column:
+        at = F.pmod(F.xxhash64(key, level["level"], j), level["n_bits"])
+        return F.call_function("shiftright", F.get(level["words"], F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return F.forall(F.sequence(F.lit(0), level["n_hashes"] - 1), is_set)
+
+
+def _level_filters(own: DataFrame, other: DataFrame, level: int) -> DataFrame:
+    """(shard, filter): a filter of the keys of ``own`` (shard, key) in each shard that has some; the first level's rate follows the other keys."""
+    counts = own.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).join(other.groupBy("shard").agg(F.count(F.lit(1)).alias("rest")), "shard", "left")
+    rate = F.least(F.lit(0.5), F.col("n") / F.coalesce("rest", F.lit(1)) / math.sqrt(2)) if level == 1 else F.lit(0.5)
+    bits = -F.log2(rate)
+    sizes = counts.select("shard", F.greatest(F.lit(1), F.round(bits)).cast("int").alias("n_hashes"), F.greatest(F.lit(64), F.ceil(F.col("n") * bits / math.log(2))).cast("long").alias("n_bits"))
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.col("n_hashes") - 1), lambda j: F.pmod(F.xxhash64(F.col("key"), F.lit(level), j), F.col("n_bits"))))
+    put = own.join(sizes, "shard").select("shard", at.alias("at")).select("shard", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bits"))
+    none = sizes.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bits") - 1) / 64))).alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = put.unionByName(none).groupBy("shard", "word").agg(F.bit_or("bits").alias("bits"))
+    arrays = words.groupBy("shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
+    return arrays.join(sizes, "shard").select("shard", F.struct(F.lit(level).alias("level"), "n_hashes", "n_bits", "words").alias("filter"))
+
+
+def sharded_cascade(universe: DataFrame, scratch: Scratch, shard_bits: int = SHARD_BITS) -> tuple[DataFrame, int]:
+    """((shard, levels), shards): the cascade of each shard of ``universe`` (distinct ``key``, ``listed``), as a table."""
+    n_listed, n_rest = universe.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
+    rate = min(0.5, max(n_listed, 1) / max(n_rest, 1) / math.sqrt(2))
+    shards = 1 + 2 * Filter.size(n_listed, rate) // max(1, shard_bits)
+    dealt = scratch.keep(universe.select(_shard(F.col("key"), shards).alias("shard"), "key", "listed"))
+    own, other = dealt.filter("listed").select("shard", "key"), dealt.filter(~F.col("listed")).select("shard", "key")
+    levels = []
+    while own.limit(1).count():
+        levels.append(scratch.keep(_level_filters(own, other, len(levels) + 1)))
+        wrong = scratch.keep(other.join(levels[-1], "shard").filter(_held(F.col("key"), F.col("filter"))).select("shard", "key"))
+        own, other = wrong, own
+    if not levels:
+        return dealt.select("shard").limit(0).withColumn("levels", F.array().cast("array<struct<level:int,n_hashes:int,n_bits:bigint,words:array<bigint>>>")), shards
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.unionByName(more)
+    return scratch.keep(every.groupBy("shard").agg(F.array_sort(F.collect_list("filter")).alias("levels"))), shards
+
+
+def sharded_member(key: Column, levels: Column) -> Column:
+    """Whether a key is listed, by the levels of its shard; no key of a shard without levels is."""
+    odd = F.size(levels) % 2 == 1
+    return F.coalesce(F.aggregate(F.reverse(levels), odd, lambda result, level: F.when(_held(key, level), result).otherwise(level["level"] % 2 == 0)), F.lit(False))
+
+
 def carries_label(host: Column, names=LISTED_SITES) -> Column:
     """Whether a host has one of ``names`` among its dot-separated labels."""
     return F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, names)))
@@ -126,8 +184,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         universe = scratch.keep(hosts.withColumn("listed", listed(F.col("key"))))
     levels = cascade(universe, max_bits)
     if levels is None:
-        keys = universe.filter("listed").select(F.col("key").alias("host"), F.lit(True).alias("listed"))
-        urls = urls.join(keys, "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+        filters, shards = sharded_cascade(universe, scratch)
+        urls = urls.withColumn("shard", _shard(F.col("host"), shards)).join(filters, "shard", "left").withColumn("listed", sharded_member(F.col("host"), F.col("levels"))).drop("shard", "levels")
     else:
         scratch.drop(universe)
         urls = urls.withColumn("listed", member(F.col("host"), levels))

@@ -55,6 +55,22 @@ def test_listed_hosts_as_a_table(spark):
         assert len(rows) == 2101 and all((r["verdict"] == "block") == (r["page_id"] == 5000 or r["page_id"] % 700 % 3 == 0) for r in rows)
 
 
+def test_cascades_in_shards(spark):
+    """A list cut into many shards, filters only: the same keys, with a few bits each, and no listed key in the table."""
+    rng = random.Random(2)
+    rows = [(f"key{i}", rng.random() < 0.3) for i in range(4000)]
+    scratch = Scratch(spark)
+    universe = scratch.keep(spark.createDataFrame(rows, "key string, listed boolean"))
+    filters, shards = url_filter.sharded_cascade(universe, scratch, shard_bits=1000)
+    assert shards > 5 and filters.count() == shards
+    probed = universe.withColumn("shard", url_filter._shard(F.col("key"), shards)).join(filters, "shard", "left")
+    assert probed.filter(url_filter.sharded_member(F.col("key"), F.col("levels")) != F.col("listed")).count() == 0
+    assert filters.select(F.explode("levels").alias("l")).agg(F.sum("l.n_bits")).first()[0] < 4000 * 8
+    assert filters.schema.simpleString() == "struct<shard:bigint,levels:array<struct<level:int,n_hashes:int,n_bits:bigint,words:array<bigint>>>>"
+    none, _ = url_filter.sharded_cascade(universe.filter("not listed"), scratch)
+    assert none.count() == 0
+
+
 def test_registered_queries_agree_with_their_sql(spark):
     """Every query of the subpackage that has SQL, on the smallest tables."""
     import duckdb
