@@ -42,6 +42,8 @@ LETTERS = 62
 TABLE_CELLS = 64_000_000
 #: Bits of a letter that is spelled out, as no phrase of the labelled text can stand for it.
 LETTER_BITS = math.log2(0x110000)
+#: Characters that are encoded at a time.
+PIECE_CHARS = 1 << 22
 UNKNOWN_LANGUAGE = "und"
 LETTER = re.compile(r"[^\W\d_]")
 GAP = re.compile(r"(?:[\W\d_])+")
@@ -125,14 +127,15 @@ class Parser:
         self.bits = np.array([math.log2(max(2, len(texts[k]))) for k in self.names])
 
     def encode(self, text: str) -> np.ndarray:
-        return self.codes[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        """The codes of a text's letters, made from a piece at a time, so that only the codes are held for all of it."""
+        pieces = (text[i : i + PIECE_CHARS] for i in range(0, len(text), PIECE_CHARS))
+        return np.concatenate([np.zeros(0, self.codes.dtype), *(self.codes[np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32)] for p in pieces)])
 
     def costs(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): the bits that each normalised text takes."""
         coded = [self.encode(t) for t in texts]
-        sums = np.cumsum(self.lacks[:, np.concatenate([np.zeros(1, self.codes.dtype), *coded])], axis=1, dtype=np.int64)
-        stops = np.cumsum([0, *map(len, coded)])
-        lacking = (sums[:, stops[1:]] - sums[:, stops[:-1]]).T
+        # Letters that a language lacks, from each text's counts of letters: the memory is that of the alphabet, whatever the length.
+        lacking = np.array([self.lacks @ np.bincount(c, minlength=self.lacks.shape[1]) for c in coded], np.int64).reshape(len(coded), len(self.names))
         return (self.phrases(coded) - lacking) * self.bits + lacking * LETTER_BITS
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:

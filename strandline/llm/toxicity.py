@@ -5,7 +5,7 @@ inflected forms), each looked up in two tables so that a collision in one does n
 several widths slide over the whole text, each filter keeps its maximum, and a linear layer
 scores the pooled vector. Training (``fit``) runs on the driver over a bounded sample of labelled rows:
 at most ``MAX_SAMPLE`` rows and ``MAX_SAMPLE_CHARS`` characters, taken by the hash of their ids. Embeddings start from the log
-odds of their buckets, so that the filters have something to find, and all layers are then trained by Adam.
+odds of their buckets, so that the filters have something to find, and move by plain gradient steps; the other layers are trained by Adam.
 
 Thresholds are calibrated by language on a part of the sample that is not trained on. The
 language is never read from the row: a second hashed table, learned from the same sample, guesses it from the
