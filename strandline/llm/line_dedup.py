@@ -1,7 +1,7 @@
 """Reversible line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
-``LineIndex`` holds signed postings of every line, so that deleting a document is the exact inverse of inserting it; its counts say,
-for every line key, in how many documents it stands and the largest id among them. The keys that reach ``MIN_DOCS`` are held by cuckoo
+``LineIndex`` holds a written table that says, for every line key, in how many documents it stands and the largest id among them, and signed
+changes by key and id, so that deleting a document is the exact inverse of inserting it; both follow a change without reading earlier documents. The keys that reach ``MIN_DOCS`` are held by cuckoo
 filters, one a shard of the key space, which follow the counts by insertions and deletions and are rebuilt from them where they
 overflow. A scan probes the filters shard by shard and sends only lines they hold on to the exact join that decides; a filter's false
 positive costs a row, never a line.
@@ -190,35 +190,66 @@ def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, n_s
     return moved.filter("slots is not null").unionByName(build_filters(theirs, n_shards))
 
 
+#: Written changes that an index may pile up before it puts them together.
+MAX_PARTS = 8
+
+
+def _by_id(lines: DataFrame) -> DataFrame:
+    """(h1, h2, _ld_id, n): how often each id holds each key."""
+    return lines.groupBy("h1", "h2", "_ld_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _counted(held: DataFrame) -> DataFrame:
+    """(h1, h2, n_docs, last) of (h1, h2, _ld_id, n)."""
+    return held.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.max("_ld_id").alias("last"))
+
+
 class LineIndex:
-    """An incremental index: signed postings of every line, from which the counts follow exactly."""
+    """An incremental index: a written table of exact counts by key, and written signed changes by key and id behind it.
 
-    def __init__(self, postings: DataFrame, grows: bool = True):
-        self.postings, self.grows = postings, grows
+    An insertion adds its own counts to the table's rows by key; the lines of earlier documents are not looked at. A deletion takes away what
+    the index holds: only the keys of the deleted lines are looked up in the changes, for the largest id that is left to each. Neither
+    reads an earlier document again, and no plan grows with the number of changes, which are put together once there are ``MAX_PARTS``.
+    """
+
+    def __init__(self, scratch: Scratch, parts: list[DataFrame], table: DataFrame):
+        self.scratch, self.table = scratch, table
+        self.parts = parts if len(parts) <= MAX_PARTS else [scratch.keep(self._sums(parts))]
 
     @classmethod
     def of(cls, docs: DataFrame, *cols: str) -> LineIndex:
-        return cls(hashed_lines(docs, *cols).withColumn("sign", F.lit(1)))
+        scratch = Scratch(docs.sparkSession)
+        part = scratch.keep(_by_id(hashed_lines(docs, *cols)))
+        return cls(scratch, [part], scratch.keep(_counted(part)))
+
+    @staticmethod
+    def _sums(parts: list[DataFrame], keys: DataFrame | None = None) -> DataFrame:
+        """(h1, h2, _ld_id, n) after all changes, of some keys (h1, h2) only if they are given."""
+        found = None
+        for part in parts:
+            own = part if keys is None else part.join(keys, ["h1", "h2"], "left_semi")
+            found = own if found is None else found.unionByName(own)
+        return found.groupBy("h1", "h2", "_ld_id").agg(F.sum("n").alias("n")).filter("n > 0")
 
     def insert(self, docs: DataFrame, *cols: str) -> LineIndex:
-        return LineIndex(self.postings.unionByName(LineIndex.of(docs, *cols).postings), self.grows)
+        part = self.scratch.keep(_by_id(hashed_lines(docs, *cols)))
+        both = self.table.unionByName(_counted(part)).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last").alias("last"))
+        return LineIndex(self.scratch, [*self.parts, part], self.scratch.keep(both))
 
     def delete(self, docs: DataFrame, *cols: str) -> LineIndex:
         """Take away what the index holds of ``docs``; a row that was not inserted changes nothing."""
-        gone = hashed_lines(docs, *cols).groupBy("h1", "h2", F.col("_ld_id").alias("gone_id")).agg(F.count(F.lit(1)).alias("gone"))
-        held = self.held().join(gone.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("_ld_id").eqNullSafe(F.col("gone_id")))
-        minus = held.select("_ld_id", F.lit(None).cast("long").alias("_ld_text"), "h1", "h2", (-F.least("n", "gone")).cast("int").alias("sign"))
-        return LineIndex(self.postings.unionByName(minus), False)
-
-    def held(self) -> DataFrame:
-        """(h1, h2, _ld_id, n): how often each document id holds each key."""
-        return self.postings.groupBy("h1", "h2", "_ld_id").agg(F.sum("sign").alias("n")).filter("n > 0")
+        gone = self.scratch.keep(_by_id(hashed_lines(docs, *cols)))
+        keys = self.scratch.keep(gone.select("h1", "h2").distinct())
+        held = self._sums(self.parts, keys).withColumn("gone", F.lit(0).cast("long")).unionByName(gone.select("h1", "h2", "_ld_id", F.lit(0).cast("long").alias("n"), F.col("n").alias("gone")))
+        held = self.scratch.keep(held.groupBy("h1", "h2", "_ld_id").agg(F.sum("n").alias("n"), F.sum("gone").alias("gone")).filter("n > 0"))
+        minus = self.scratch.keep(held.filter("gone > 0").select("h1", "h2", "_ld_id", (-F.least("n", "gone")).alias("n")))
+        left = _counted(held.withColumn("n", F.col("n") - F.least("n", "gone")).filter("n > 0"))
+        table = self.table.join(keys, ["h1", "h2"], "left_anti").unionByName(left)
+        return LineIndex(self.scratch, [*self.parts, minus], self.scratch.keep(table))
 
     def counts(self) -> DataFrame:
-        """(h1, h2, n_docs, last); while nothing was deleted, the largest id needs no count by id."""
-        if self.grows:
-            return reference_counts(self.postings)
-        return self.held().groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"), F.max("_ld_id").alias("last"))
+        """(h1, h2, n_docs, last), as written."""
+        return self.table
 
 
 def _probe(lines: pa.Table, filters: pa.Table) -> pa.Table:
@@ -265,14 +296,13 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text_col``, and ``n_lines`` (before) and ``n_dropped``.
 
-    ``index`` holds ``docs`` and maybe more, so that inserted documents are judged against all of it without a recount; without it one
-    is made of ``docs``. ``filters``, with their number of shards, hold at least the index's keys that reach ``min_docs``.
+    ``index`` holds ``docs`` and maybe more, so that inserted documents are judged against all of it without a recount; without it
+    the lines of ``docs`` are counted. ``filters``, with their number of shards, hold at least the index's keys that reach ``min_docs``.
     """
     if filters is not None and index is None:
         raise ValueError("filters need the index that they follow")
     scratch = Scratch(docs.sparkSession)
-    index = LineIndex.of(docs, id_col, text_col) if index is None else index
-    counts = scratch.keep(index.counts())
+    counts = scratch.keep(reference_counts(hashed_lines(docs, id_col, text_col))) if index is None else index.counts()
     repeated = counts.filter(F.col("n_docs") >= min_docs)
     if filters is None:
         n_shards = max(1, -(-repeated.count() // SHARD_KEYS))

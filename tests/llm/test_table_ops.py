@@ -399,6 +399,29 @@ def test_search_in_every_length(spark):
     assert sorted(tuple(r) for r in codes.search(df, F.col("vec_id") % 3 == 0, k=5).collect()) == sorted(want)
 
 
+def test_changes_of_an_index_read_no_earlier_document(spark, tmp_path):
+    """Inserting, deleting and judging go on after the files of the first documents are gone, and their plans name none of them."""
+    import shutil
+
+    line = "a line that is long enough to count"
+    first = [(1, f"{line}\nonly one here, and it is long enough"), (2, line), (None, line)]
+    spark.createDataFrame(first, "doc_id long, text string").write.parquet(f"{tmp_path}/first")
+    index = line_dedup.LineIndex.of(spark.read.parquet(f"{tmp_path}/first"))
+    shutil.rmtree(f"{tmp_path}/first")
+    new = spark.createDataFrame([(5, line), (6, f"{line}\nx")], "doc_id long, text string")
+    counts = lambda x: sorted((r["n_docs"], r["last"]) for r in x.counts().collect())
+    assert counts(index) == [(1, 1), (3, 2)]
+    grown = index.insert(new)
+    assert counts(grown) == [(1, 1), (5, 6)] and "first" not in grown.counts()._jdf.queryExecution().toString()
+    assert {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(new, index=grown).collect()} == {5: 1, 6: 0}
+    assert counts(grown.delete(new.filter("doc_id = 6"))) == [(1, 1), (4, 5)]
+    back = grown.delete(new)
+    assert counts(back) == counts(index) and counts(back.delete(new)) == counts(index)
+    for _ in range(line_dedup.MAX_PARTS + 1):
+        index = index.insert(new)
+    assert len(index.parts) <= line_dedup.MAX_PARTS and counts(index) == [(1, 1), (3 + 2 * (line_dedup.MAX_PARTS + 1), 6)]
+
+
 # Near duplicates -------------------------------------------------------------------------------------
 
 
