@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")  # rows that agree in all columns are the same
     keyed = docs.withColumn("_copy", F.row_number().over(again)).withColumn("_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.when(F.col("_copy") > 1, F.col("_copy"))))
     return pieces.round_trip(keyed, id_col="_key").drop("_copy", "_key")
 
