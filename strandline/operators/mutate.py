@@ -204,6 +204,15 @@ def partition_range(first: int, last: int, blocks: int) -> list[tuple[int, int]]
     return [(a, b - 1) for a, b in zip(bounds, bounds[1:])] if length else []
 
 
+def partition_ranges(ranges: DataFrame, blocks: int) -> DataFrame:
+    """Ranges (..., first, last) each split near-evenly (``partition_range``): a row for each ``block``."""
+    size = F.col("last") - F.col("first") + 1
+    n = F.least(F.lit(blocks).cast("long"), size)
+    each = ranges.withColumn("_n", n).withColumn("_size", size).withColumn("block", F.explode(F.when(F.col("_size") > 0, F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))))
+    at = lambda i: F.col("first") + F.floor(F.col("_size") * i / F.col("_n"))
+    return each.select(*[c for c in ranges.columns if c not in ("first", "last")], "block", at(F.col("block")).alias("first"), (at(F.col("block") + 1) - 1).alias("last"))
+
+
 @dataclass
 class MergeParameters:
     """Settings that the callers of merges pass along. Spark sizes its own buffers, so they are only kept within bounds."""

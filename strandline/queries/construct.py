@@ -189,10 +189,11 @@ def c13(spark, sf):
     return index(spark, sf).runs.groupBy("node").agg(F.count(F.lit(1)).alias("runs"), F.sum("len").alias("visits"))
 
 
-@query("c16_partition_range", "SELECT i AS block, (100 * i // 7)::BIGINT AS first, (100 * (i + 1) // 7 - 1)::BIGINT AS last FROM (SELECT unnest(generate_series(0, 6)) AS i)")
+@query("c16_partition_range", O.sql("SELECT node, i AS block, n * i // b AS first, n * (i + 1) // b - 1 AS last FROM (SELECT *, unnest(range(0, b)) AS i FROM (SELECT node, count(*) AS n, least(7, count(*)) AS b FROM visits GROUP BY node))"))
 def c16(spark, sf):
-    rows = [(i, a, b) for i, (a, b) in enumerate(mutate.partition_range(0, 99, 7))]
-    return spark.createDataFrame(rows, "block long, first long, last long")
+    """The offsets of every node in seven ranges of nearly one size, or as many as there are offsets."""
+    sizes = index(spark, sf).node_sizes
+    return mutate.partition_ranges(sizes.select("node", F.lit(0).cast("long").alias("first"), (F.col("size") - 1).alias("last")), 7)
 
 
 @query("c17_source_tag", O.sql("SELECT unnest(['built', 'inserted', 'removed', 'merged']) AS kind, 'strandline' AS source, count(*) FILTER (pos = 0) > 0 AS filled FROM visits"))

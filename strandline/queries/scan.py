@@ -200,10 +200,11 @@ def u01(spark, sf):
     return rows.select("value", codecs.from_varint("code").alias("back"), F.length("code").cast("long").alias("bytes"))
 
 
-@query("u02_run_code", "SELECT s AS sigma, n AS length, s - 1 AS value, n AS back FROM (SELECT unnest([1, 3, 100, 254, 255, 1000]) AS s), (SELECT unnest([1, 2, 3, 85, 86, 300, 100000]) AS n)")
+@query("u02_run_code", O.sql("SELECT DISTINCT s::INTEGER AS sigma, len::INTEGER AS length, s::INTEGER - 1 AS value, len::INTEGER AS back FROM runs JOIN (SELECT node, count(DISTINCT successor) AS s FROM runs GROUP BY node) USING (node)", O.RUNS))
 def u02(spark, sf):
-    sigma = spark.createDataFrame([(x,) for x in (1, 3, 100, 254, 255, 1000)], "sigma int")
-    rows = sigma.crossJoin(spark.createDataFrame([(x,) for x in (1, 2, 3, 85, 86, 300, 100000)], "length int"))  # 42 cases
+    """The run lengths of the index, coded for alphabets of the size of their nodes' outdegrees."""
+    runs = index(spark, sf).runs
+    rows = runs.join(runs.groupBy("node").agg(F.count_distinct("successor").cast("int").alias("sigma")), "node").select("sigma", F.col("len").cast("int").alias("length")).distinct()
 
     @F.pandas_udf("int")
     def back(s: pd.Series, n: pd.Series) -> pd.Series:

@@ -20,7 +20,6 @@ def nations(spark, sf):
 
 NAMES = "names AS (SELECT c_custkey AS id, c_name AS string FROM customer)"
 NATIONS = "nations AS (SELECT n_nationkey::BIGINT AS id, n_name AS string FROM nation)"
-TAGS = {"Source": "x", "reference_samples": "GRCh38", "B": "2", "a": "1"}
 
 
 @query("d01_string_array", f"WITH {NAMES} SELECT row_number() OVER (ORDER BY id) - 1 AS id, upper(string) AS string FROM names WHERE id % 3 = 0")
@@ -28,10 +27,11 @@ def d01(spark, sf):
     return D.string_array(names(spark, sf), lambda: F.upper("string"), F.col("id") % 3 == 0)
 
 
-@query("d01_array_from_map", "SELECT unnest(generate_series(0, 7)) AS id, unnest(['a', '1', 'b', '2', 'reference_samples', 'GRCh38', 'source', 'x']) AS string")
+@query("d01_array_from_map", f"WITH {NATIONS} SELECT 2 * row_number() OVER (ORDER BY string) - 2 AS id, string FROM nations UNION ALL SELECT 2 * row_number() OVER (ORDER BY string) - 1, upper(string) FROM nations")
 def d01_map(spark, sf):
-    flat = spark.range(1).select(D.from_map(D.Tags(TAGS).column()).alias("flat"))
-    return D.from_list(flat, "flat")
+    """The nations' names and what they are mapped to, in turn."""
+    flat = nations(spark, sf).agg(F.map_from_entries(F.collect_list(F.struct("string", F.upper("string")))).alias("m"))  # the nations
+    return D.from_list(flat.select(D.from_map(F.col("m")).alias("flat")), "flat")
 
 
 @query("d02_lengths", f"WITH {NAMES} SELECT id, length(string) AS length, (sum(length(string)) OVER (ORDER BY id) - length(string))::BIGINT AS start FROM names")
@@ -73,18 +73,24 @@ def d05_duplicates(spark, sf):
     return D.duplicates(read(spark, sf, "customer").select(F.col("c_mktsegment").alias("string")))
 
 
-@query("d06_tags", "SELECT 'a' AS key, '1' AS value UNION ALL SELECT 'b', '3' UNION ALL SELECT 'source', 'x' UNION ALL SELECT 'missing', ''")
+@query("d06_tags", f"WITH {NATIONS} SELECT id, CASE WHEN id % 5 = 4 THEN '' WHEN id % 5 = 3 THEN 'set' ELSE string END AS value FROM nations")
 def d06(spark, sf):
-    tags = D.Tags(TAGS)
-    tags.set("B", "3")
-    tags.unset("REFERENCE_SAMPLES")
-    rows = [(k, tags.get(k)) for k in ("a", "b", "source", "missing")]
-    return spark.createDataFrame(rows, "key string, value string")
-
-
-@query("d06_tags_column", "SELECT 'a' AS key, '1' AS value UNION ALL SELECT 'b', '2' UNION ALL SELECT 'reference_samples', 'GRCh38' UNION ALL SELECT 'source', 'x'")
+    """Tags of the nations: all are set in capitals, some set again, some taken away; an absent one is empty."""
+    rows = nations(spark, sf).collect()  # the nations
+    tags = D.Tags({r["string"].upper(): r["string"] for r in rows})
+    for r in rows:
+        if r["id"] % 5 == 3:
+            tags.set(r["string"], "set")
+        elif r["id"] % 5 == 4:
+            tags.unset(r["string"].capitalize())
+    return spark.createDataFrame([(r["id"], tags.get(r["string"].lower())) for r in rows], "id long, value string")
+
+
+@query("d06_tags_column", f"WITH {NAMES} SELECT id, string, string AS value FROM names")
 def d06_column(spark, sf):
-    return spark.range(1).select(F.explode(D.Tags(TAGS).column()).alias("key", "value"))
+    """Tags as a column: each customer's own, a map of one key, looked up by its lower-cased name."""
+    own = names(spark, sf).withColumn("tags", F.create_map(F.lower("string"), F.col("string")))
+    return own.select("id", "string", F.element_at("tags", F.lower("string")).alias("value"))
 
 
 @query("d07_alphabet", f"WITH {NATIONS}, c AS (SELECT DISTINCT unnest(string_split(string, '')) AS char FROM nations) SELECT row_number() OVER (ORDER BY char) - 1 AS code, char FROM c WHERE char <> ''")

@@ -27,7 +27,7 @@ def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path for each user: the types of its events by time."""
     events = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     labels = dense_ids(events, ["event_type"], "label").withColumn("label", F.col("label") + 1)
-    return _collected(events.join(F.broadcast(labels), "event_type"), "user_id", ["ts", "event_id"])  # event types are a fixed domain
+    return _collected(events.join(labels, "event_type"), "user_id", ["ts", "event_id"])
 
 
 def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def conversation_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A path for each conversation: the roles of its turns."""
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     labels = dense_ids(turns, ["role"], "label").withColumn("label", F.col("label") + 1)
-    return _collected(turns.join(F.broadcast(labels), "role"), "conv_id", ["turn"])  # roles are a fixed domain
+    return _collected(turns.join(labels, "role"), "conv_id", ["turn"])
 
 
 PATHS = {"events": event_paths, "orders": order_paths, "conversations": conversation_paths}
