@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import PathIndex
-from ..plans.tables import agreement, sums_within
+from ..plans.tables import BLOCK, agreement, sums_within
 
 
 def to_comp(node: Column, offset: Column | int) -> Column:
@@ -123,7 +123,9 @@ def unfolded(index: PathIndex) -> DataFrame:
     """(node, off, next, next_off): every record unfolded from its runs; offsets at the successor follow from the edge's start and the rank among equals."""
     start = index.edges.select(F.col("src").alias("node"), F.col("dst").alias("successor"), "rank_off")
     runs = sums_within(index.runs, ["node", "successor"], "start_off", [], F.col("len"), "upto").join(start, ["node", "successor"])
-    each = runs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)))
+    last = F.col("len") - 1  # a long run block by block, so that no row holds all of it
+    blocks = runs.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / BLOCK)))).withColumn("low", F.col("low") * BLOCK)
+    each = blocks.withColumn("i", F.explode(F.sequence("low", F.least(last, F.col("low") + (BLOCK - 1)))))
     at = F.when(F.col("successor") != 0, F.col("rank_off") + F.col("upto") - F.col("len") + F.col("i"))
     return each.select("node", (F.col("start_off") + F.col("i")).alias("off"), F.col("successor").alias("next"), at.alias("next_off"))
 

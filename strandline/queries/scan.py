@@ -12,7 +12,7 @@ from ..operators.variants import all_alleles
 from ..plans import oracle as O
 from ..plans.index import PathIndex
 from ..plans.tables import placed, shared_dir
-from ..sources import bundle
+from ..sources import bundle, pathfile
 from ..sources.corpus import index, paths, read
 from .base import query
 from .names import PN, meta
@@ -46,6 +46,28 @@ def k02(spark, sf):
     return _round_trip(spark, sf, "plain").visits
 
 
+@query("s02_load_path_file", O.sql("SELECT * FROM visits"))
+def s02(spark, sf):
+    """A file of the portable layout, written in place and read by ranges of records; sequences and positions follow from the records."""
+    at = place(spark)
+    pathfile.save(index(spark, sf), at)
+    return pathfile.load(spark, at).visits
+
+
+@query("s02_path_file_records", O.sql("SELECT node, run_id, start_off, len, successor FROM runs", O.RUNS, corpus="orders"))
+def s02_records(spark, sf):
+    at = place(spark)
+    pathfile.save(index(spark, sf, "orders"), at)
+    return pathfile.read_table(spark, at, "runs", 16)
+
+
+@query("s02_path_file_edges", O.sql("SELECT src, dst, rank_off FROM edges", O.EDGES, corpus="orders"))
+def s02_edges(spark, sf):
+    at = place(spark)
+    pathfile.save(index(spark, sf, "orders"), at)
+    return pathfile.read_table(spark, at, "edges", 16)
+
+
 @query("s03_load_and_insert", O.sql("SELECT count(*) AS size, count(*) FILTER (pos = 0) AS sequences FROM visits"))
 def s03(spark, sf):
     """A loaded bundle is as mutable as a built one: the first half is saved and loaded, the second is appended."""
