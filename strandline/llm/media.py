@@ -155,7 +155,10 @@ class _Sequencer(HTMLParser):
 
 
 def parse_page(page: str | None) -> list[tuple]:
-    """The ordered segments (kind, text, ref, caption) of an HTML page."""
+    """The ordered segments (kind, text, ref, caption) of an HTML page.
+
+    A ``noscript`` or ``template`` that is never closed hides all text after it, as one that is closed at the page's end would; media stay.
+    """
     if not page:
         return []
     parser = _Sequencer()
@@ -278,3 +281,11 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     found = resolve(refs, store(docs, scratch), scratch)
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "segments")
+
+
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of ``pages`` as its ordered segments, media references resolved by digest in the store of the documents' payloads."""
+    scratch = Scratch(spark)
+    found = interleaved(table(spark, sf_dir, "pages").select("page_id", "html"), store(table(spark, sf_dir, "documents"), scratch), scratch)
+    of_kind = lambda kind: F.size(F.filter("segments", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("page_id", of_kind("text"), of_kind("media"), "segments")

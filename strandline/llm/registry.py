@@ -9,6 +9,7 @@ def queries() -> dict:
     return {
         "op1_sentencepiece": pieces.op1_sentencepiece,
         "op2_media": media.op2_media,
+        "media_pages": media.media_pages,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_secrets": secrets.op5_secrets,

@@ -285,6 +285,31 @@ def test_interleaved_pages(spark, make):
         assert r["segments"] and all(s["kind"] == "text" and s["position"] == i for i, s in enumerate(r["segments"]))
 
 
+@pytest.mark.parametrize("tag", ["noscript", "template"])
+def test_unclosed_silence(tag):
+    page = f"<p>one</p><{tag}><p>two</p><img src='a.png'>three"
+    assert media.parse_page(page) == media.parse_page(f"{page}</{tag}>") == [("text", "one", None, None), ("media", None, "a.png", None)]
+    assert media.parse_page(f"<{tag}>two</{tag}>three</{tag}>four") == [("text", "threefour", None, None)]
+
+
+def test_pages_query(spark, make, tmp_path):
+    """Whole pages, null, empty and repeated ones too, as the parser gives them one by one; references find the documents' payloads."""
+    texts = ["payload", None, ""]
+    make([(k, t, None) for k, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    ref = lambda t: media.SCHEME + hashlib.sha256(media.padded((t or "").encode())).hexdigest()
+    html = [None, "", "no tags", f"<p>a<img src='{ref('payload')}' alt='x'>b<img src='{ref(None)}'><img src='{ref('other')}'>" + "c " * 10**5]
+    pages = [(i, h) for i, h in enumerate(html)] + [(3, html[3])]
+    spark.createDataFrame(pages, "page_id long, html string").withColumn("segments", F.lit("clash")).write.parquet(str(tmp_path / "pages.parquet"))
+    rows = media.media_pages(spark, str(tmp_path)).collect()
+    assert sorted(r["page_id"] for r in rows) == [0, 1, 2, 3, 3]
+    for r in rows:
+        want = media.parse_page(html[r["page_id"]])
+        assert [(s["kind"], s["text"], s["ref"], s["caption"]) for s in r["segments"]] == want
+        assert (r["n_text"], r["n_media"]) == (sum(w[0] == "text" for w in want), sum(w[0] == "media" for w in want))
+        found = [s["media_sha256"] is not None for s in r["segments"] if s["kind"] == "media"]
+        assert found == ([True, True, False] if r["page_id"] == 3 else [])
+
+
 def test_media_of_texts(spark, make, odd, tmp_path):
     make(odd).write.parquet(str(tmp_path / "documents.parquet"))
     rows = media.op2_media(spark, str(tmp_path)).collect()
