@@ -10,8 +10,8 @@ piece: a task holds the edges of one node and a piece of its runs. The records o
 reads through what is before its own range, and keeps none of it.
 
 Writing: a file is a table (at, bytes) of the pieces of it. Places come from running sums, packed integers from a bitwise aggregate by word, and
-each task writes its pieces in place, so a task that is run again writes the same bytes, and the finished file takes its name in the
-commit. That needs a folder that all executors can open for writing in place; reading takes any store that Arrow opens.
+each task writes its pieces in place, so a task that is run again writes the same bytes, and the finished file takes its name at the
+end. That needs a folder that all executors can open for writing in place; reading takes any store that Arrow opens.
 
 Errors: a foreign tag, a version or a flag that is not known, parts that contradict each other and a file that ends early raise ``ValueError``.
 An empty index is a file without records. Runs are as the file has them; a writer may have cut one.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import codecs
 from ..operators import stats
@@ -398,23 +398,14 @@ def _batch(held: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held, strict=True)], names=names)
 
 
-class _InPlace(DataSourceArrowWriter):
-    """Writes (at, bytes) into a file of a known size, which takes its name when all of it is there."""
+def _in_place(draft: str):
+    """Writes rows (at, bytes) into a file; neighbours go together."""
 
-    def __init__(self, path: str, size: int):
-        if "://" in path and not path.startswith("file://"):
-            raise ValueError("a file is written in place: its folder has to be one that executors can open")
-        self.path = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
-        self.draft = f"{self.path}.{uuid.uuid4().hex}"
-        os.makedirs(os.path.dirname(self.draft), exist_ok=True)
-        with open(self.draft, "wb") as f:
-            f.truncate(size)
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        f = os.open(self.draft, os.O_WRONLY)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = os.open(draft, os.O_WRONLY)
         try:
-            begin, held, n = 0, [], 0
-            for batch in iterator:
+            begin, held, n, total = 0, [], 0, 0
+            for batch in batches:
                 for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if held and (at != begin + n or n >= PIECE):
                         _write_all(f, begin, b"".join(held))
@@ -422,18 +413,31 @@ class _InPlace(DataSourceArrowWriter):
                     if not held:
                         begin = at
                     held.append(data)
-                    n += len(data)
+                    n, total = n + len(data), total + len(data)
             _write_all(f, begin, b"".join(held))
             os.fsync(f)
         finally:
             os.close(f)
-        return WriterCommitMessage()
+        yield pa.RecordBatch.from_pydict({"n": [total]})
+
+    return write
 
-    def commit(self, messages) -> None:
-        os.replace(self.draft, self.path)
 
-    def abort(self, messages) -> None:
-        os.unlink(self.draft)
+def write_pieces(pieces: DataFrame, path: str, size: int) -> None:
+    """Write (at, bytes) as a file of ``size`` bytes, which takes its name, or another file's place, when all of it is there."""
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError("a file is written in place: its folder has to be one that executors can open")
+    path = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+    draft = f"{path}.{uuid.uuid4().hex}"
+    os.makedirs(os.path.dirname(draft), exist_ok=True)
+    with open(draft, "wb") as f:
+        f.truncate(size)
+    try:
+        pieces.repartitionByRange("at").sortWithinPartitions("at").mapInArrow(_in_place(draft), "n long").agg(F.sum("n")).collect()
+        os.replace(draft, path)
+    except BaseException:
+        os.unlink(draft)
+        raise
 
 
 def _write_all(f: int, at: int, data: bytes) -> None:
@@ -443,7 +447,7 @@ def _write_all(f: int, at: int, data: bytes) -> None:
 
 
 class PathFile(DataSource):
-    """Options: ``table`` (runs or edges) and ``partitions`` to read, ``size`` to write."""
+    """Options: ``table`` (runs or edges) and ``partitions``."""
 
     @classmethod
     def name(cls) -> str:
@@ -456,9 +460,6 @@ class PathFile(DataSource):
         n = self.options.get("partitions")
         return _Reader(self.options["path"], self.options.get("table", "runs"), int(n) if n else None)
 
-    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _InPlace(self.options["path"], int(self.options["size"]))
-
 
 def read_table(spark: SparkSession, path: str, table: str = "runs", partitions: int | None = None) -> DataFrame:
     """``runs`` or ``edges`` of a file."""
@@ -590,6 +591,5 @@ def save(index: PathIndex, path: str) -> None:
     low = low.select(F.inline(halves)).groupBy("at").agg(F.bit_or("part").alias("word"))
     small = spark.createDataFrame([(0, front), (high_at + 8 * high_words, middle), (data_at - 8, _element(total))], PIECES)
     pieces = small.unionByName(laid.select((F.col("at") + data_at).alias("at"), "bytes")).unionByName(high.unionByName(low).select("at", _word("word").alias("bytes")))
-    spark.dataSource.register(PathFile)
-    pieces.repartitionByRange("at").sortWithinPartitions("at").write.format("pathfile").mode("overwrite").option("size", size).save(path)
+    write_pieces(pieces, path, size)
     forget(units, laid)
