@@ -25,7 +25,8 @@ def bidirectional_agrees(index: PathIndex, patterns: DataFrame, longest: int) ->
 
 
 def locate_agrees(index: PathIndex, states: DataFrame) -> DataFrame:
-    return agreement(locate.locate_states(index, states), locate.locate_offsets(index, states))
+    """The sequences of the states by ranges of visits and position by position."""
+    return locate.locate_agreement(index, states)
 
 
 def extract_agrees(index: PathIndex, sequences: DataFrame) -> DataFrame:
