@@ -258,17 +258,16 @@ def q05(spark, sf):
     return search.lf(idx, positions(idx))
 
 
-#: Every position with its own successor, the node's smallest one, the last node of all and one that is absent: how many visits before it go there.
-LFTO = """least_ AS (SELECT node, min(next) AS least FROM visits GROUP BY node), asked_ AS (
-  SELECT DISTINCT node, off, unnest([next, least, (SELECT max(node) FROM visits), (SELECT max(node) + 2 FROM visits)]) AS to FROM visits JOIN least_ USING (node) WHERE node <> 0
-), pairs_ AS (SELECT a.node, a.off, a.to, count(v.off) AS before FROM asked_ a LEFT JOIN visits v ON v.node = a.node AND v.next = a.to AND v.off < a.off GROUP BY ALL)"""
+#: Every position with every node of the index and one that is absent: how many visits before it go there.
+LFTO = """nodes_ AS (SELECT DISTINCT node AS to FROM visits UNION ALL SELECT max(node) + 2 FROM visits), pairs_ AS (
+  SELECT v.node, v.off, t.to, sum(CASE WHEN v.next = t.to THEN 1 ELSE 0 END) OVER (PARTITION BY v.node, t.to ORDER BY v.off) - CASE WHEN v.next = t.to THEN 1 ELSE 0 END AS before
+  FROM visits v, nodes_ t WHERE v.node <> 0
+)"""
 
 
 def targets(idx):
-    least = idx.edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least"))
-    last = absent(idx).select(F.col("to").alias("absent"))
-    own = idx.visits.filter("node <> 0").select("node", "off", "next").join(least, "node").crossJoin(F.broadcast(last))  # one row
-    return own.select("node", "off", F.explode(F.array("next", "least", F.col("absent") - 2, "absent")).alias("to")).distinct()
+    nodes = idx.node_sizes.select(F.col("node").alias("to")).unionAll(absent(idx))
+    return positions(idx).filter("node <> 0").crossJoin(F.broadcast(nodes))  # the labels of the events
 
 
 @query("q06_lf_to", SQL("SELECT p.node, p.off, p.to, CASE WHEN p.to <> 0 THEN rank_off + before END::BIGINT AS target FROM pairs_ p LEFT JOIN edges e ON e.src = p.node AND e.dst = p.to", E, LFTO))

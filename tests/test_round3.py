@@ -51,3 +51,18 @@ def test_a_query_with_several_ranges(spark):
     want = expected(index, states)
     assert tuples(locate.locate_states(index, states)) == tuples(locate.locate_offsets(index, states)) == want
     assert tuple(locate.locate_agreement(index, states).first()) == (len(want), 0)
+
+
+def query(spark, name):
+    from strandline import catalog
+
+    return catalog.queries()[name](spark, DATA)
+
+
+def test_lf_asks_every_position_for_every_node(spark):
+    from strandline.sources.corpus import index
+
+    idx = index(spark, DATA)
+    want = idx.visits.filter("node <> 0").count() * (idx.node_sizes.count() + 1)
+    for name in ("q06_lf_to", "q10_full_lf"):
+        assert query(spark, name).count() == want
