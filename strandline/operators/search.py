@@ -227,9 +227,14 @@ def bd_find(index: PathIndex, nodes: DataFrame) -> DataFrame:
 
 
 def reverse_offset(index: PathIndex, states: DataFrame) -> DataFrame:
-    """(query_id, to, reverse_offset): visits in range whose reversed successor precedes the reversed ``to``; ends count as smaller."""
-    counts = successor_counts(index, states, ("to",))
-    return counts.groupBy("query_id", "to").agg(F.sum(F.when(_smaller(), F.col("cnt")).otherwise(0)).alias("reverse_offset"))
+    """(query_id, to, reverse_offset): visits in range whose reversed successor precedes the reversed ``to``; ends count as smaller.
+
+    A range that many queries share is counted once, and one count of its edges serves every ``to``.
+    """
+    own = cut(states.select("query_id", "to", F.struct("node", "sp", "ep").alias("range")).distinct())
+    counts = successor_counts(index, own.select(F.col("range").alias("query_id"), "range.*").distinct()).select(F.col("query_id").alias("range"), "next", "cnt")
+    asked = own.select("range", "to").distinct().join(counts, "range").groupBy("range", "to").agg(F.sum(F.when(_smaller(), F.col("cnt")).otherwise(0)).alias("n"))
+    return own.join(asked, ["range", "to"]).groupBy("query_id", "to").agg(F.sum("n").alias("reverse_offset"))
 
 
 def _smaller() -> Column:

@@ -349,9 +349,15 @@ def q15(spark, sf):
     return _bd_step(spark, sf, search.bd_extend_backward)
 
 
-@query("q16_reverse_offset", SQL("SELECT query_id, x.to, count(*) FILTER (next <> x.to AND (next = 0 OR xor(next, 1) < xor(x.to, 1))) AS reverse_offset FROM nexts x JOIN visits v ON v.node = x.node AND off BETWEEN sp AND ep GROUP BY query_id, x.to", P, FD, NEXTS))
+#: The states of the patterns with every real node and with one that is absent, whether there is such an edge or not.
+EVERY = "nexts AS (SELECT f.*, t.to FROM found f, (SELECT DISTINCT node AS to FROM visits WHERE node <> 0 UNION ALL SELECT max(node) + 2 FROM visits) t)"
+
+
+@query("q16_reverse_offset", SQL("SELECT query_id, x.to, count(*) FILTER (next <> x.to AND (next = 0 OR xor(next, 1) < xor(x.to, 1))) AS reverse_offset FROM nexts x JOIN visits v ON v.node = x.node AND off BETWEEN sp AND ep GROUP BY query_id, x.to", P, FD, EVERY))
 def q16(spark, sf):
-    return search.reverse_offset(index(spark, sf), nexts(spark, sf))
+    idx = index(spark, sf)
+    nodes = idx.node_sizes.filter("node <> 0").select(F.col("node").alias("to")).unionAll(absent(idx))
+    return search.reverse_offset(idx, states(spark, sf).crossJoin(F.broadcast(nodes)))  # the labels of the events
 
 
 BOTH = SQL(

@@ -66,3 +66,10 @@ def test_lf_asks_every_position_for_every_node(spark):
     want = idx.visits.filter("node <> 0").count() * (idx.node_sizes.count() + 1)
     for name in ("q06_lf_to", "q10_full_lf"):
         assert query(spark, name).count() == want
+
+
+def test_reverse_offsets_of_every_node(spark):
+    from strandline.sources.corpus import index
+
+    idx = index(spark, DATA)
+    assert query(spark, "q16_reverse_offset").count() == query(spark, "q02_find_pattern").count() * idx.node_sizes.count()  # the endmarker is left out, the absent node is in
