@@ -210,10 +210,10 @@ def doubled_jumps(jumps: DataFrame, longest: int | None = None) -> DataFrame:
 
 
 def locate_next(index: PathIndex, values: DataFrame) -> DataFrame:
-    """(packed, next_packed) of packed values (packed, max_length): the value that follows each in its node, from the run samples alone."""
+    """Packed values (..., packed, max_length) with ``next_packed``, the value that follows each in its node, from the run samples alone; other columns stay."""
     seq, off = unpack(F.col("packed"), F.col("max_length"))
-    met = followed(values.select("packed", "max_length", seq.alias("seq"), off.alias("off")), successors(run_samples(index)), index.longest).filter("next_seq is not null")
-    return met.select("packed", pack(F.col("next_seq"), F.col("next_off"), F.col("max_length")).alias("next_packed"))
+    met = followed(values.select("*", seq.alias("seq"), off.alias("off")), successors(run_samples(index)), index.longest).filter("next_seq is not null")
+    return met.select(*[c for c in values.columns if c != "max_length"], pack(F.col("next_seq"), F.col("next_off"), F.col("max_length")).alias("next_packed"))
 
 
 def _pieces(runs: DataFrame, found: DataFrame) -> DataFrame:

@@ -500,10 +500,10 @@ def l14(spark, sf):
     return locate.suffix_array(index(spark, sf)).select("packed", seq.alias("seq_id"), offset.alias("seq_offset"))
 
 
-@query("l15_locate_next", SQL("SELECT * FROM (SELECT packed, lead(packed) OVER (PARTITION BY node ORDER BY off) AS next_packed FROM sa) WHERE next_packed IS NOT NULL", SA))
+@query("l15_locate_next", SQL("SELECT * FROM (SELECT node, packed, lead(packed) OVER (PARTITION BY node ORDER BY off) AS next_packed FROM sa) WHERE next_packed IS NOT NULL", SA))
 def l15(spark, sf):
     idx = index(spark, sf)
-    return locate.locate_next(idx, locate.suffix_array(idx).select("packed", "max_length"))
+    return locate.locate_next(idx, locate.suffix_array(idx).select("node", "packed", "max_length"))
 
 
 @query("l15_second_next", SQL("SELECT seq_id AS seq, seq_offset AS off, next_seq, next_off FROM (SELECT *, lead(seq_id, 2) OVER w AS next_seq, lead(seq_offset, 2) OVER w AS next_off FROM sa WINDOW w AS (PARTITION BY node ORDER BY off)) WHERE next_seq IS NOT NULL", SA))

@@ -73,3 +73,7 @@ def test_reverse_offsets_of_every_node(spark):
 
     idx = index(spark, DATA)
     assert query(spark, "q16_reverse_offset").count() == query(spark, "q02_find_pattern").count() * idx.node_sizes.count()  # the endmarker is left out, the absent node is in
+
+
+def test_following_values_come_with_their_node(spark):
+    assert query(spark, "l15_locate_next").columns == ["node", "packed", "next_packed"]
