@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.index import PathIndex, both_orientations, build_visits, link_visits
+from ..plans.index import PREFIX_LIMIT, PathIndex, both_orientations, build_visits, link_visits, offsets_by_prefix
 from ..plans.tables import cut, dense_ids, places_within, sums_within
 from .search import WORD, before_source, full_lf, named
 
@@ -16,22 +16,55 @@ from .search import WORD, before_source, full_lf, named
 def insert(index: PathIndex, paths: DataFrame, both: bool | None = None) -> PathIndex:
     """Append (path_id, path), whose ids are dense from 0; forward-only paths make the index one-directional for good.
 
-    The new paths are indexed by themselves and merged by ranks: the index's own visits keep their order.
+    The new paths are indexed by themselves and merged.
     """
     both = index.bidirectional if both is None else both
     return merge(index, PathIndex(cut(PathIndex.from_paths(paths, both).visits), index.bidirectional and both))
 
 
+#: How many times as large as the rest together the largest index may be for the visits of all to be sorted at once.
+COMPARABLE = 8
+
+
+def sorted_at_once(indexes: list[PathIndex]) -> bool:
+    """Whether one sort of the prefixes of all is cheaper than sweeps over the largest: paths are short and no index is much larger than the rest."""
+    sizes = [i.extent[1] for i in indexes]
+    return max(i.longest for i in indexes) <= PREFIX_LIMIT and max(sizes) <= COMPARABLE * (sum(sizes) - max(sizes))
+
+
+def appended(indexes: list[PathIndex]) -> DataFrame:
+    """(seq_id, path) of all indexes, one after the other."""
+    out, shift = [], 0
+    for one in indexes:
+        out.append(one.paths.select((F.col("seq_id") + shift).alias("seq_id"), "path"))
+        shift += one.extent[0]
+    return reduce(DataFrame.unionAll, out)
+
+
 def rank_array(index: PathIndex, other: PathIndex) -> DataFrame:
     """(seq_id, pos, node, off, at) of the visits of ``other``: how many visits that ``index`` has of the node come before each.
 
+    Where one sort is cheaper (``sorted_at_once``), it is a visit's place among those of both less its place among its own.
+    Otherwise the ranks come from sweeps (``swept_ranks``).
+    """
+    if not sorted_at_once([index, other]):
+        return swept_ranks(index, other)
+    n = index.extent[0]
+    places = offsets_by_prefix(cut(appended([index, other]))).filter(F.col("seq_id") >= n)
+    places = places.select((F.col("seq_id") - n).alias("seq_id"), "pos", F.col("off").alias("place"))
+    return other.visits.select("seq_id", "pos", "node", "off").join(places, ["seq_id", "pos"]).select("seq_id", "pos", "node", "off", (F.col("place") - F.col("off")).alias("at"))
+
+
+def swept_ranks(index: PathIndex, other: PathIndex) -> DataFrame:
+    """``rank_array`` by sweeps.
+
     Where a visit of node u stands at i, its successor v stands behind all visits of v from smaller nodes than u and those from u below i.
     So along a word that follows u the place is c + (visits of u below i that are followed by the word), where c is the place that
     i = 0 leads to; without the word in ``index``, c alone. Words are doubled: c of a double word is the place that the first
     half's c leads to along the second half, and places known for the first 2^k positions give those of the next 2^k. That is
     one sweep a doubling over the visits of ``index`` that are followed by a word which ``other`` has; nothing is ranked again.
     """
-    n = index.visits.filter("pos = 0").count()
+    n = index.extent[0]
     own = other.visits.select("seq_id", "pos", "node", "off", "next")
     longest = other.longest
     ranks = cut(own.filter("pos = 0").select("seq_id", "pos", F.lit(n).cast("long").alias("at")))
@@ -80,14 +113,21 @@ def _interleaved(index: PathIndex, points: DataFrame, n: int) -> DataFrame:
 
 
 def merge(index: PathIndex, other: PathIndex) -> PathIndex:
-    """Append all sequences of another index by its rank array: the visits of both keep their order and are interleaved once."""
-    n = index.visits.filter("pos = 0").count()
-    points = cut(rank_array(index, other))
-    return PathIndex(link_visits(cut(_interleaved(index, points, n)), max(index.longest, other.longest)), index.bidirectional and other.bidirectional, index.tags, index.metadata)
+    """Append all sequences of another index: by one sort of the prefixes of both where that is cheaper, else by the rank array, where the visits of
+    both keep their order and are interleaved once."""
+    if sorted_at_once([index, other]):
+        visits = build_visits(appended([index, other]), "prefix")
+    else:
+        points = cut(swept_ranks(index, other))
+        visits = link_visits(cut(_interleaved(index, points, index.extent[0])), max(index.longest, other.longest))
+    return PathIndex(visits, index.bidirectional and other.bidirectional, index.tags, index.metadata)
 
 
 def merge_all(indexes: list[PathIndex]) -> PathIndex:
-    """Append the sequences of all indexes in their order, pair by pair, so that each visit is moved as often as the list can be halved."""
+    """Append the sequences of all indexes in their order: by one sort of all where that is cheaper, else pair by pair, so that each visit is moved as
+    often as the list can be halved."""
+    if len(indexes) > 2 and sorted_at_once(indexes):
+        return PathIndex(build_visits(appended(indexes), "prefix"), all(i.bidirectional for i in indexes), indexes[0].tags, indexes[0].metadata)
     while len(indexes) > 1:
         pairs = [indexes[i : i + 2] for i in range(0, len(indexes), 2)]
         indexes = [PathIndex(cut((joined := merge(*p)).visits), joined.bidirectional, joined.tags, joined.metadata) if len(p) == 2 else p[0] for p in pairs]

@@ -77,3 +77,15 @@ def test_reverse_offsets_of_every_node(spark):
 
 def test_following_values_come_with_their_node(spark):
     assert query(spark, "l15_locate_next").columns == ["node", "packed", "next_packed"]
+
+
+def test_one_sort_merges_as_the_sweeps_do(spark, monkeypatch):
+    from strandline.operators import mutate
+
+    parts = [built(spark, PATHS), built(spark, [[4, 6, 8], [2, 4, 6, 300], []]), built(spark, [[300, 2], [6, 8]])]
+    assert mutate.sorted_at_once(parts)
+    assert tuples(mutate.rank_array(*parts[:2])) == tuples(mutate.swept_ranks(*parts[:2]))
+    at_once = tuples(mutate.merge_all(parts).visits)
+    monkeypatch.setattr(mutate, "COMPARABLE", 0)
+    assert not mutate.sorted_at_once(parts)
+    assert tuples(mutate.merge_all(parts).visits) == at_once
