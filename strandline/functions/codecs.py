@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,37 +105,43 @@ def wang_hash(values: pd.Series) -> pd.Series:
     return pd.Series(x.view(np.int64))
 
 
-def encode_records(index: PathIndex) -> DataFrame:
-    """(node, record, edges, runs): each record as bytes, its outgoing edges first and then its runs."""
-    rank = F.row_number().over(_by_source()) - 1
-    edges = index.edges.select("src", "dst", "rank_off", rank.cast("long").alias("outrank"))
-    outgoing = edges.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list(F.struct("dst", "rank_off"))).alias("edges"))
-    body = index.runs.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("successor"), "outrank"), ["node", "successor"])
-    body = body.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("run_id", "outrank", "len"))).alias("runs"))
-    return outgoing.join(body, "node").select("node", _record("edges", "runs").alias("record"))
-
-
-def _by_source():
-    from pyspark.sql import Window
+#: Runs of a record that are coded together.
+PIECE_RUNS = 1 << 12
 
-    return Window.partitionBy("src").orderBy("dst")
 
-
-@F.pandas_udf(T.BinaryType())
-def _record(edges: pd.Series, runs: pd.Series) -> pd.Series:
-    def one(out_edges, body):
-        data, before = bytearray(), 0
-        write_varint(data, len(out_edges))
-        for e in out_edges:
-            write_varint(data, e["dst"] - before)
-            before = e["dst"]
-            write_varint(data, e["rank_off"])
-        code = RunCode(len(out_edges))
-        for r in body:
-            code.write(data, r["outrank"], r["len"])
-        return bytes(data)
-
-    return pd.Series([one(e, r) for e, r in zip(edges, runs, strict=True)])
+def encode_records(index: PathIndex) -> DataFrame:
+    """(node, first, record): each record as bytes, the outgoing edges first and then the runs.
+
+    A record of many runs comes in pieces of ``PIECE_RUNS`` from run ``first`` on, each with the edges that its own runs take, so that neither a row nor a
+    task holds all of it.
+    """
+    edges = index.edges.select(F.col("src").alias("node"), F.col("dst").alias("successor"), "rank_off")
+    first = F.floor(F.col("run_id") / PIECE_RUNS) * PIECE_RUNS
+    pieces = index.runs.join(edges, ["node", "successor"]).groupBy("node", first.cast("long").alias("first")).agg(F.array_sort(F.collect_list(F.struct("run_id", "successor", "rank_off", "len"))).alias("runs"))
+    return pieces.mapInArrow(_encoded, "node long, first long, record binary")
+
+
+def _encoded(batches):
+    """Pieces are taken one by one, so that only one is in Python at a time."""
+    for batch in batches:
+        records = [encode_record(batch.column(2)[i].as_py()) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(records, pa.binary())], names=["node", "first", "record"])
+
+
+def encode_record(runs: list[dict]) -> bytes:
+    """Runs (successor, rank_off, len) in their order as a record."""
+    out_edges = sorted({(r["successor"], r["rank_off"]) for r in runs})
+    rank = {dst: i for i, (dst, _) in enumerate(out_edges)}
+    data, before = bytearray(), 0
+    write_varint(data, len(out_edges))
+    for dst, rank_off in out_edges:
+        write_varint(data, dst - before)
+        before = dst
+        write_varint(data, rank_off)
+    code = RunCode(len(out_edges))
+    for r in runs:
+        code.write(data, rank[r["successor"]], r["len"])
+    return bytes(data)
 
 
 def decode_record(data: bytes) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -154,13 +161,17 @@ def decode_record(data: bytes) -> tuple[list[tuple[int, int]], list[tuple[int, i
 
 
 def decode_records(records: DataFrame) -> DataFrame:
-    """(node, run_id, successor, len) of encoded records."""
+    """(node, run_id, successor, len) of encoded records, one piece after the other."""
+    return records.select("node", "first", "record").mapInArrow(_decoded, "node long, run_id long, successor long, len long")
 
-    @F.pandas_udf("array<struct<run_id:bigint,successor:bigint,len:bigint>>")
-    def runs_of(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: [{"run_id": i, "successor": s, "len": n} for i, (s, n) in enumerate(decode_record(b)[1])])
 
-    return records.select("node", F.inline(runs_of("record")))
+def _decoded(batches):
+    names = ["node", "run_id", "successor", "len"]
+    for batch in batches:
+        for node, first, record in zip(*(batch.column(i) for i in range(3)), strict=True):
+            successor, length = np.array(decode_record(record.as_py())[1], np.int64).reshape(-1, 2).T
+            columns = [np.full(len(length), node.as_py()), first.as_py() + np.arange(len(length)), successor, length]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
 
 def bit_length(value: Column) -> Column:

@@ -89,3 +89,13 @@ def test_one_sort_merges_as_the_sweeps_do(spark, monkeypatch):
     monkeypatch.setattr(mutate, "COMPARABLE", 0)
     assert not mutate.sorted_at_once(parts)
     assert tuples(mutate.merge_all(parts).visits) == at_once
+
+
+def test_long_records_are_coded_in_pieces(spark, monkeypatch):
+    from strandline.functions import codecs
+
+    monkeypatch.setattr(codecs, "PIECE_RUNS", 2)
+    index = built(spark)
+    records = codecs.encode_records(index)
+    assert records.groupBy("node").count().filter("count > 1").count() > 0
+    assert tuples(codecs.decode_records(records)) == tuples(index.runs.select("node", "run_id", "successor", "len"))
