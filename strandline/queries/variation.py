@@ -143,7 +143,7 @@ def h12(spark, sf):
 
 def phasings(spark, sf):
     """A genotype for each site and customer: phased, unphased and haploid stretches."""
-    cust = read(spark, sf, "customer").select(F.col("c_custkey").alias("sample"))
+    cust = read(spark, sf, "customer").select(F.col("c_custkey").alias("sample")).repartition(4 * spark.sparkContext.defaultParallelism, "sample")  # a small file is one split
     rows = cust.crossJoin(F.broadcast(short(spark, sf).sites.select("site")))  # the sites of one contig
     x = F.col("sample") * 31 + F.col("site") * 17
     return rows.select((F.col("sample") % 2).alias("file"), "site", "sample", (x % 3).alias("first"), (F.floor(x / 3) % 3).alias("second"), (F.floor(F.col("site") / 10 + F.col("sample")) % 4 != 3).alias("diploid"), (x % 11 != 0).alias("phased"))
