@@ -66,14 +66,21 @@ class RunCode:
 _GROUPS = np.arange(0, 70, 7, dtype=np.uint64)
 
 
+def varint_bytes(values: np.ndarray, raw: np.ndarray | bool = False) -> tuple[bytes, np.ndarray]:
+    """Varints one after another and the bytes that each takes, group by group for all values at once; where ``raw``, a value is one byte as it is."""
+    own = values.astype(np.int64).view(np.uint64)
+    place = np.arange(max(1, -(-int(own.max(initial=0)).bit_length() // 7)))  # as many groups as the largest value takes
+    rest = own[:, None] >> np.minimum(_GROUPS[: len(place)], np.uint64(63))
+    raw = np.broadcast_to(raw, len(own))
+    length = np.where(raw, 1, np.maximum((rest > 0).sum(axis=1), 1))
+    groups = (rest & np.where(raw, 255, 127).astype(np.uint64)[:, None]).astype(np.uint8) | np.where(place < length[:, None] - 1, 128, 0).astype(np.uint8)
+    return groups[place < length[:, None]].tobytes(), length
+
+
 @F.pandas_udf(T.BinaryType())
 def varint(values: pd.Series) -> pd.Series:
-    """A bigint as a varint, group by group for all values at once; negative numbers as their unsigned view."""
-    rest = values.to_numpy(np.int64).view(np.uint64)[:, None] >> np.minimum(_GROUPS, np.uint64(63))
-    length = np.maximum((rest[:, :9] > 0).sum(axis=1) + (rest[:, 9] > 0), 1)
-    place = np.arange(len(_GROUPS))
-    groups = (rest & np.uint64(127)).astype(np.uint8) | np.where(place < length[:, None] - 1, 128, 0).astype(np.uint8)
-    flat = groups[place < length[:, None]].tobytes()
+    """A bigint as a varint; negative numbers as their unsigned view."""
+    flat, length = varint_bytes(values.to_numpy(np.int64))
     ends = np.cumsum(length).tolist()
     return pd.Series([flat[a:b] for a, b in zip([0, *ends], ends)], dtype=object)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Positions per block of a group's order.
 BLOCK = 1 << 16
+#: Groups up to which a number for each is sent to all tasks, so that rows aren't shuffled to meet it.
+FEW_GROUPS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,7 +76,8 @@ def places_within(df: DataFrame, group: str, order: list[str], name: str, keep:
     """``df``, or its columns ``keep``, with each row's place within its group; a group of any size is spread over the ranges of the order."""
     cols = keep or df.columns
     rows = placed(df, [group, *order], "_place", cols)
-    first = rows.groupBy(group).agg(F.min("_place").alias("_first"))
+    first = cut(rows.groupBy(group).agg(F.min("_place").alias("_first")))
+    first = F.broadcast(first) if first.count() <= FEW_GROUPS else first
     return rows.join(first, group).select(*cols, (F.col("_place") - F.col("_first")).alias(name))
 
 

@@ -9,8 +9,8 @@ equal ranges hold about equally many records and bytes. Planning counts the ones
 piece: a task holds the edges of one node and a piece of its runs. The records of version 6 are one compressed stream without entry points: a task
 reads through what is before its own range, and keeps none of it.
 
-Writing: a file is a table (at, bytes) of the pieces of it. Places come from running sums, packed integers from a bitwise aggregate by word, and
-each task writes its pieces in place, so a task that is run again writes the same bytes, and the finished file takes its name at the
+Writing: a file is a table (at, bytes) of the pieces of it. Edges and runs are sorted as numbers and coded in batches, so that pieces and record starts
+are all that is shuffled again; places come from the pieces' sizes, packed integers from a bitwise aggregate by word, and each task writes its pieces in place, so a task that is run again writes the same bytes, and the finished file takes its name at the
 end. That needs a folder that all executors can open for writing in place; reading takes any store that Arrow opens.
 
 Errors: a foreign tag, a version or a flag that is not known, parts that contradict each other and a file that ends early raise ``ValueError``.
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -537,22 +538,48 @@ def _word(values: pd.Series) -> pd.Series:
 
 
 def _units(index: PathIndex, offset: int, effective: int) -> DataFrame:
-    """(record, part, k, bytes): the edges (part 0) and runs (part 1) of each record in their order, so that a record of any size is spread."""
-    none, byte = F.expr("X''"), lambda x: F.unhex(F.lpad(F.hex(x), 2, "0"))
+    """(record, part, k, sigma, x, y): the edges (part 0: steps and rank_offs) and runs (part 1: edges and lengths) of each record in their
+    order, so that a record of any size is spread. A record without edges has one row without numbers."""
     record = lambda node: F.when(node == 0, 0).otherwise(node - offset).cast("long").alias("record")
-    along = Window.partitionBy("src").orderBy("dst")
-    sigma = index.edges.groupBy("src").agg(F.count(F.lit(1)).alias("sigma"))
-    edges = index.edges.select("src", "dst", "rank_off", (F.row_number().over(along) - 1).cast("long").alias("k"), (F.col("dst") - F.coalesce(F.lag("dst").over(along), F.lit(0))).alias("step")).join(sigma, "src")
-    first = F.when(F.col("k") == 0, codecs.varint("sigma")).otherwise(none)
-    heads = edges.select(record(F.col("src")), F.lit(0).alias("part"), "k", F.concat(first, codecs.varint("step"), codecs.varint("rank_off")).alias("bytes"))
+    group = Window.partitionBy("src")
+    along, none = group.orderBy("dst"), F.lit(None).cast("long")
+    edges = cut(index.edges.select("src", "dst", "rank_off", (F.row_number().over(along) - 1).cast("long").alias("k"), (F.col("dst") - F.coalesce(F.lag("dst").over(along), F.lit(0))).alias("step"), F.count(F.lit(1)).over(group).alias("sigma")))
+    heads = edges.select(record(F.col("src")), F.lit(0).alias("part"), "k", "sigma", F.col("step").alias("x"), F.col("rank_off").alias("y"))
     runs = index.runs.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("successor"), F.col("k").alias("edge"), "sigma"), ["node", "successor"])
-    runs = runs.withColumn("most", F.when(F.col("sigma") < 255, F.expr("256 div sigma")).otherwise(0))
-    long = F.when(F.col("len") >= F.col("most"), codecs.varint(F.greatest(F.col("len") - F.col("most"), F.lit(0)))).otherwise(none)
-    short = F.concat(byte(F.col("edge") + F.col("sigma") * (F.least("len", "most") - 1)), long)
-    code = F.when(F.col("most") > 0, short).otherwise(F.concat(codecs.varint("edge"), codecs.varint(F.col("len") - 1)))
-    bodies = runs.select(record(F.col("node")), F.lit(1).alias("part"), F.col("run_id").alias("k"), code.alias("bytes"))
-    unused = index.spark.range(effective).withColumnRenamed("id", "record").join(heads.select("record"), "record", "left_anti")
-    return heads.unionByName(bodies).unionByName(unused.select("record", F.lit(0).alias("part"), F.lit(0).cast("long").alias("k"), F.expr("X'00'").alias("bytes")))
+    bodies = runs.select(record(F.col("node")), F.lit(1).alias("part"), F.col("run_id").alias("k"), "sigma", F.col("edge").alias("x"), F.col("len").alias("y"))
+    unused = index.spark.range(effective).withColumnRenamed("id", "record").join(heads.filter("k = 0").select("record"), "record", "left_anti")
+    zero = F.lit(0).cast("long")
+    return heads.unionByName(bodies).unionByName(unused.select("record", F.lit(0).alias("part"), zero.alias("k"), zero.alias("sigma"), none.alias("x"), none.alias("y")))
+
+
+CODED = "_part int, inside long, record long, bytes binary"
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of a partition's units, in pieces, and where its records begin; ``inside`` counts from the partition's first byte."""
+    inside = 0
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        number = lambda c: pa.compute.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: E731, B023
+        run, k, sigma, x, y = number("part") == 1, number("k"), number("sigma"), number("x"), number("y")
+        most = np.where(sigma < 255, 256 // np.maximum(sigma, 1), 0)
+        byte = run & (most > 0)
+        values = np.stack([sigma, np.where(byte, x + sigma * (np.minimum(y, most) - 1), x), np.where(run, np.where(byte, y - most, y - 1), y)], axis=1)
+        first = ~run & (k == 0)
+        there = np.stack([first, sigma > 0, (sigma > 0) & ~(byte & (y < most))], axis=1)
+        raw = np.stack([np.zeros(n, bool), byte, np.zeros(n, bool)], axis=1)
+        data, lengths = codecs.varint_bytes(values[there], raw[there])
+        sizes = np.zeros(there.shape, np.int64)
+        sizes[there] = lengths
+        sizes = sizes.sum(axis=1)
+        starts = inside + np.cumsum(sizes) - sizes
+        begins, m = np.flatnonzero(first), int(first.sum())
+        record = pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(number("record")[begins], pa.int64())])
+        part = pa.array(np.full(m + 1, number("_part")[0], np.int32))
+        yield pa.RecordBatch.from_arrays([part, pa.array(np.append(inside, starts[begins]), pa.int64()), record, pa.array([data, *[None] * m], pa.binary())], names=["_part", "inside", "record", "bytes"])
+        inside += len(data)
 
 
 def save(index: PathIndex, path: str) -> None:
@@ -560,11 +587,11 @@ def save(index: PathIndex, path: str) -> None:
     spark, head = index.spark, index.header.first()
     offset, effective = head["offset"], head["effective"]
     order = ["record", "part", "k"]
-    units = cut(_units(index, offset, effective).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    units = cut(_units(index, offset, effective))
+    coded = cut(units.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).mapInArrow(_coded, CODED))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = units.groupBy("_part").agg(F.sum(F.length("bytes")).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row a partition
-    inside = F.coalesce(F.sum(F.length("bytes")).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    laid = cut(units.withColumn("inside", inside).join(F.broadcast(sizes), "_part").select(*order, (F.col("base") + F.col("inside")).alias("at"), "bytes"))
+    sizes = coded.groupBy("_part").agg(F.sum(F.length("bytes")).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row a partition
+    laid = coded.join(F.broadcast(sizes), "_part").select("record", (F.col("base") + F.col("inside")).alias("at"), "bytes")
     total = laid.agg(F.sum(F.length("bytes"))).first()[0] or 0
 
     flags = PORTABLE | (BIDIRECTIONAL if index.bidirectional else 0)
@@ -580,7 +607,7 @@ def save(index: PathIndex, path: str) -> None:
     data_at = low_at + 8 * low_words + 8
     size = data_at + -(-total // 8) * 8 + 16  # neither samples nor metadata
 
-    starts = laid.filter("part = 0 and k = 0").select("record", "at")
+    starts = laid.filter("record is not null").select("record", "at")
     one = lambda place, base: (F.shiftright(place, 6) * 8 + base, place.bitwiseAND(F.lit(63)).cast("int"))
     at, bit = one(F.shiftright("at", width) + F.col("record"), high_at)
     high = starts.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word"))
@@ -590,6 +617,6 @@ def save(index: PathIndex, path: str) -> None:
     halves = F.expr(f"if(bit + {width} > 64, array({own}, {over}), array({own}))")
     low = low.select(F.inline(halves)).groupBy("at").agg(F.bit_or("part").alias("word"))
     small = spark.createDataFrame([(0, front), (high_at + 8 * high_words, middle), (data_at - 8, _element(total))], PIECES)
-    pieces = small.unionByName(laid.select((F.col("at") + data_at).alias("at"), "bytes")).unionByName(high.unionByName(low).select("at", _word("word").alias("bytes")))
+    pieces = small.unionByName(laid.filter("bytes is not null").select((F.col("at") + data_at).alias("at"), "bytes")).unionByName(high.unionByName(low).select("at", _word("word").alias("bytes")))
     write_pieces(pieces, path, size)
-    forget(units, laid)
+    forget(units, coded)

@@ -36,3 +36,38 @@ def test_null_alleles_keep_samples_apart(spark, size):
     nulls = one.select("file", "site", "sample", hit("first", 1), hit("second", 2), "diploid", "phased")
     zeros = nulls.fillna(0, ["first", "second"])
     assert haplotypes(V.generate_haplotypes(v, nulls, piece_sites=size)) == haplotypes(V.generate_haplotypes(v, zeros, piece_sites=size))
+
+
+def test_varints_in_a_row():
+    import numpy as np
+
+    from strandline.functions import codecs
+
+    values = [0, 1, 127, 128, 300, 1 << 14, (1 << 62) + 5, -1, 200]
+    want = bytearray()
+    for x in values[:-1]:
+        codecs.write_varint(want, x % (1 << 64))
+    want.append(200)  # as it is
+    raw = np.arange(len(values)) == len(values) - 1
+    data, lengths = codecs.varint_bytes(np.array(values), raw)
+    assert data == bytes(want) and lengths.sum() == len(want)
+    assert codecs.varint_bytes(np.zeros(0, np.int64))[0] == b""
+
+
+def test_records_are_coded_once_and_in_batches(spark, tmp_path, monkeypatch):
+    from strandline.plans.index import PathIndex
+    from strandline.sources import pathfile
+
+    paths = [[2 * (i % 7 + 1), 2 * (i % 300 + 1), 2 * (i % 5 + 1)] for i in range(900)]
+    index = PathIndex.from_paths(spark.createDataFrame(list(enumerate(paths)), "path_id long, path array<bigint>"))
+    tables = []
+    monkeypatch.setattr(pathfile, "cut", lambda df, *c, real=pathfile.cut: tables.append((df.columns, real(df, *c))) or tables[-1][1])
+    monkeypatch.setattr(pathfile, "forget", lambda *tables: None)
+    at = str(tmp_path / "file")
+    pathfile.save(index, at)
+    n_units = index.runs.count() + index.edges.count()
+    [coded] = [t for columns, t in tables if "bytes" in columns]
+    assert coded.filter("bytes is not null").count() < n_units / 10  # pieces, not a row for each edge and run
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(pathfile.read_table(spark, at)) == rows(index.runs.select("node", "run_id", "start_off", "len", "successor"))
+    assert rows(pathfile.read_table(spark, at, "edges")) == rows(index.edges.drop("cnt"))
