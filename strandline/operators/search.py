@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.index import PREFIX_LIMIT, PathIndex, doubled_ranks, flip, reverse_path
+from ..plans.index import PREFIX_LIMIT, PathIndex, flip, reverse_path
 from ..plans.tables import BLOCK, cut, sums_within
 
 
@@ -310,9 +310,9 @@ def longest_common_suffix(index: PathIndex, method: str | None = None) -> DataFr
     if method is None:
         longest = index.visits.agg(F.max("pos")).first()[0] or 0
         method = "prefix" if longest <= PREFIX_LIMIT else "doubling"
-    own = index.visits.filter("node <> 0").select("node", "off", "seq_id", "pos")
     if method == "doubling":
-        return _lcs_by_doubling(index, own)
+        return _lcs_by_doubling(index)
+    own = index.visits.filter("node <> 0").select("node", "off", "seq_id", "pos")
     back = own.join(index.paths, "seq_id").select("node", "off", F.reverse(F.slice("path", 1, F.greatest(F.col("pos") - 1, F.lit(0)).cast("int"))).alias("back"))
     pairs = back.join(back.select("node", (F.col("off") - 1).alias("off"), F.col("back").alias("other")), ["node", "off"])
     same = F.zip_with("back", "other", lambda a, b: F.coalesce(a == b, F.lit(False)))
@@ -321,20 +321,51 @@ def longest_common_suffix(index: PathIndex, method: str | None = None) -> DataFr
     return pairs.select("node", "off", (common + 1).cast("long").alias("lcs"))
 
 
-def _lcs_by_doubling(index: PathIndex, own: DataFrame) -> DataFrame:
-    """Both visits of a pair go back by the largest length whose ranks agree, then by smaller ones; start rows never agree."""
-    rows = cut(index.visits.select("seq_id", "pos", "node"))
-    longest = rows.agg(F.max("pos")).first()[0] or 0
-    levels = [(1, rows.select("seq_id", "pos", F.when(F.col("node") == 0, -1 - F.col("seq_id")).otherwise(F.col("node")).alias("r")))]
-    levels += [(n, ranks.select("seq_id", "pos", "r")) for n, ranks in doubled_ranks(rows, longest)]
-    after = own.select("node", (F.col("off") - 1).alias("off"), F.col("seq_id").alias("seq_b"), F.col("pos").alias("pos_b"))
-    pairs = own.withColumnsRenamed({"seq_id": "seq_a", "pos": "pos_a"}).join(after, ["node", "off"]).withColumn("lcs", F.lit(0).cast("long"))
-    for n, ranks in reversed(levels):
-        of = lambda x: ranks.select(F.col("seq_id").alias(f"seq_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("r").alias(f"r_{x}"))  # noqa: E731, B023
-        met = pairs.join(of("a"), ["seq_a", "pos_a"]).join(of("b"), ["seq_b", "pos_b"])
-        step = F.when(F.col("r_a") == F.col("r_b"), n).otherwise(0)
-        pairs = cut(met.select("node", "off", "seq_a", (F.col("pos_a") - step).alias("pos_a"), "seq_b", (F.col("pos_b") - step).alias("pos_b"), (F.col("lcs") + step).alias("lcs")))
-    return pairs.select("node", "off", "lcs")
+#: Nodes before a visit that are compared one by one before words are doubled.
+NEAR = 16
+
+
+def _lcs_by_doubling(index: PathIndex) -> DataFrame:
+    """Neighbours are compared by their last ``NEAR`` nodes. Where all agree and the visits before both are neighbours too, the two agree in one node more than
+    those, which is filled in along the sequence; only the other pairs go back by doubled words. Start rows never agree."""
+    rows = index.visits.select("node", "off", "seq_id", "pos", "prev", "prev_off")
+    back = F.reverse(F.collect_list("node").over(Window.partitionBy("seq_id").orderBy("pos").rowsBetween(1 - NEAR, Window.currentRow)))
+    rows = rows.withColumn("back", back).filter("node <> 0")
+    block = F.floor(F.col("off") / BLOCK)
+    rows = rows.withColumn("_block", F.explode(F.array_distinct(F.array(block, F.floor((F.col("off") - 1) / BLOCK)))))
+    after = F.lead(F.struct("seq_id", "pos", "prev", "prev_off", "back")).over(Window.partitionBy("node", "_block").orderBy("off"))
+    pairs = rows.withColumn("b", after).filter(block == F.col("_block")).filter("b is not null")
+    same = F.zip_with("back", "b.back", lambda x, y: F.coalesce((x == y) & (x != 0), F.lit(False)))
+    near = F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1
+    follows = F.coalesce((F.col("prev") != 0) & (F.col("prev") == F.col("b.prev")) & (F.col("prev_off") + 1 == F.col("b.prev_off")), F.lit(False))
+    pairs = cut(pairs.select("node", "off", F.col("seq_id").alias("seq_a"), F.col("pos").alias("pos_a"), F.col("b.seq_id").alias("seq_b"), F.col("b.pos").alias("pos_b"), near.cast("long").alias("lcs"), follows.alias("follows")))
+    open_ = pairs.filter("lcs is null and not follows").drop("lcs", "follows")
+    known = pairs.filter("lcs is not null or follows").select("node", "off", "seq_a", "pos_a", "lcs")
+    if open_.limit(1).count():
+        known = known.unionByName(_lcs_by_words(index, open_))
+    along = Window.partitionBy("seq_a").orderBy("pos_a").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("lcs").isNotNull(), F.col("lcs") - F.col("pos_a")), ignorenulls=True).over(along)
+    return known.select("node", "off", (last + F.col("pos_a")).alias("lcs"))
+
+
+def _lcs_by_words(index: PathIndex, pairs: DataFrame) -> DataFrame:
+    """(node, off, seq_a, pos_a, lcs): both visits of a pair go back by the longest words that agree, then by shorter ones."""
+    needed = pairs.select(F.col("seq_a").alias("seq_id")).unionAll(pairs.select("seq_b")).distinct()
+    along, size, levels = Window.partitionBy("seq_id").orderBy("pos"), 1, []
+    words = index.visits.select("seq_id", "pos", F.when(F.col("node") == 0, -1 - F.col("seq_id")).otherwise(F.col("node")).alias("w")).join(needed, "seq_id", "left_semi")
+    words = words.withColumn("word_1", F.struct(*[F.xxhash64(F.lit(salt), "w").alias(name) for salt, name in enumerate(WORD)]))
+    while size <= index.longest:
+        levels.append(size)
+        own, before = F.col(f"word_{size}"), F.lag(f"word_{size}", size).over(along)
+        words, size = words.withColumn(f"word_{2 * size}", F.when(before.isNotNull(), F.struct(*named(before["w1"], before["w2"], own["w1"], own["w2"])))), 2 * size
+    words = cut(words.select("seq_id", "pos", *[f"word_{n}" for n in levels]))
+    pairs = pairs.select("*", F.col("pos_a").alias("at_a"), F.col("pos_b").alias("at_b"))
+    for n in reversed(levels):
+        of = lambda x: words.filter(f"word_{n} is not null").select(F.col("seq_id").alias(f"seq_{x}"), F.col("pos").alias(f"at_{x}"), F.col(f"word_{n}").alias(f"w_{x}"))  # noqa: E731, B023
+        met = pairs.join(of("a"), ["seq_a", "at_a"], "left").join(of("b"), ["seq_b", "at_b"], "left")
+        step = F.when(F.col("w_a") == F.col("w_b"), n).otherwise(0)
+        pairs = cut(met.select("node", "off", "seq_a", "pos_a", "seq_b", (F.col("at_a") - step).alias("at_a"), (F.col("at_b") - step).alias("at_b")))
+    return pairs.select("node", "off", "seq_a", "pos_a", (F.col("pos_a") - F.col("at_a")).alias("lcs"))
 
 
 def extend_all(index: PathIndex, states: DataFrame) -> DataFrame:

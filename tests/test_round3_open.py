@@ -71,3 +71,21 @@ def test_records_are_coded_once_and_in_batches(spark, tmp_path, monkeypatch):
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(pathfile.read_table(spark, at)) == rows(index.runs.select("node", "run_id", "start_off", "len", "successor"))
     assert rows(pathfile.read_table(spark, at, "edges")) == rows(index.edges.drop("cnt"))
+
+
+@pytest.mark.parametrize("near", [1, 3, 16])
+def test_common_suffixes_of_copies(spark, monkeypatch, near):
+    from strandline.operators import search
+    from strandline.plans.index import PathIndex
+
+    monkeypatch.setattr(search, "NEAR", near)
+    monkeypatch.setattr(search, "BLOCK", 4)
+    own = [[2 + 2 * (i * i // 3 % 2) for i in range(40)], [4] * 25, [2, 4] * 9 + [6], [6, 2, 4, 2], [6], []]
+    paths = [*own * 3, own[0][7:], own[0][:30] + [6], [2, 2] + own[0]]
+    index = PathIndex.from_paths(spark.createDataFrame(list(enumerate(paths)), "path_id long, path array<bigint>"))
+    compared = []
+    monkeypatch.setattr(search, "_lcs_by_words", lambda index, pairs, real=search._lcs_by_words: compared.append(pairs.count()) or real(index, pairs))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    found = rows(search.longest_common_suffix(index, "doubling"))
+    assert found == rows(search.longest_common_suffix(index, "prefix"))
+    assert near == 1 or sum(compared) < len(found) / 2  # copies are filled in from their neighbours
