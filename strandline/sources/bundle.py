@@ -11,6 +11,7 @@ from ..operators import dictionary
 from ..operators.metadata import Metadata
 from ..operators.variants import VariantPaths
 from ..plans.index import VISIT_COLUMNS, PathIndex
+from ..plans.shared import GROUP_COLUMNS, SharedIndex
 
 VERSION = 1
 TAG = "strandline"
@@ -18,11 +19,17 @@ CODECS = {"plain": "none", "compressed": "zstd"}
 
 
 def save(index: PathIndex, path: str, form: str = "compressed", metadata: Metadata | None = None) -> None:
-    """Write a bundle: visits clustered by (node, off), so that row groups can be skipped by node; header and metadata beside them."""
-    spark, codec = index.spark, CODECS[form]
-    ordered = index.visits.repartitionByRange("node", "off").sortWithinPartitions("node", "off")
-    ordered.write.mode("overwrite").option("compression", codec).parquet(f"{path}/visits")
-    info = {"tag": TAG, "version": VERSION, "bidirectional": index.bidirectional, "tags": index.tags, "metadata": None if metadata is None else list(metadata.counts())}
+    """Write a bundle: visits clustered by (node, off), so that row groups can be skipped by node; header and metadata beside them.
+
+    Of a shared index the groups are written, by (node, begin), and its members, in place of the visits.
+    """
+    spark, codec, shared = index.spark, CODECS[form], isinstance(index, SharedIndex)
+    rows, order, name = (index.groups, ("node", "begin"), "groups") if shared else (index.visits, ("node", "off"), "visits")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.write.mode("overwrite").option("compression", codec).parquet(f"{path}/{name}")
+    if shared:
+        index.members.write.mode("overwrite").option("compression", codec).parquet(f"{path}/members")
+    info = {"tag": TAG, "version": VERSION, "shared": shared, "bidirectional": index.bidirectional, "tags": index.tags, "metadata": None if metadata is None else list(metadata.counts())}
     parts = {} if metadata is None else {"path_names": metadata.path_names, "samples": metadata.samples, "contigs": metadata.contigs}
     info["parts"] = [name for name, df in parts.items() if df is not None]
     for name in info["parts"]:
@@ -36,13 +43,16 @@ def load(spark: SparkSession, path: str) -> tuple[PathIndex, Metadata | None]:
     info = json.loads(spark.read.parquet(f"{path}/header").first()["info"])
     if info.get("tag") != TAG or not 1 <= info.get("version", 0) <= VERSION:
         raise ValueError("not a bundle of a known version")
-    visits = spark.read.parquet(f"{path}/visits")
-    if set(visits.columns) != set(VISIT_COLUMNS):
+    shared = info.get("shared", False)
+    visits = spark.read.parquet(f"{path}/groups" if shared else f"{path}/visits")
+    if set(visits.columns) != set(GROUP_COLUMNS if shared else VISIT_COLUMNS):
         raise ValueError("the visits have other columns")
     meta = None
     if info["metadata"] is not None:
         part = lambda name: spark.read.parquet(f"{path}/{name}") if name in info["parts"] else None
         meta = Metadata(*info["metadata"], part("path_names"), part("samples"), part("contigs"))
+    if shared:
+        return SharedIndex(visits, spark.read.parquet(f"{path}/members"), info["tags"], meta), meta
     return PathIndex(visits, info["bidirectional"], info["tags"], meta), meta
 
 

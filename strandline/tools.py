@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import locate, metadata, mutate, search, stats, variants, verify
 from .plans.index import PathIndex
+from .plans.shared import SharedIndex
 from .sources import bundle
 
 
@@ -30,12 +31,12 @@ def build(
 
 
 def build_from_variants(spark: SparkSession, out: str, v: variants.VariantPaths, phasings: DataFrame, skip: bool = False, samples: DataFrame | None = None) -> PathIndex:
-    """Generate haplotypes, index them in both orientations, and name their paths."""
-    made = variants.generate_haplotypes(v, phasings, skip, samples)
+    """Generate haplotypes, index them in both orientations, and name their paths. Haplotypes that samples share are ranked once."""
+    made, parts = variants.shared_haplotypes(v, phasings, skip, samples)
     named = variants.path_names(made)
     n = metadata.counts(named).first()
-    encoded = made.select(F.col("seq_id").alias("path_id"), F.transform("path", lambda x: x * 2).alias("path"))
-    index = PathIndex.from_paths(encoded)
+    encoded = parts.select("part", F.transform("path", lambda x: x * 2).alias("path"))
+    index = SharedIndex.from_parts(made.select(F.col("seq_id").alias("path_id"), "part"), encoded)
     bundle.save(index, out, metadata=metadata.Metadata(n["samples"], n["haplotypes"], 1, named))
     return bundle.load(spark, out)[0]
 
