@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +15,9 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 #: Groups up to which a number for each is sent to all tasks, so that rows aren't shuffled to meet it.
 FEW_GROUPS = 1 << 20
+#: Setting by which Spark removes a query's shuffle files when the query is done, not when the driver happens to collect its garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SCOPES = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,20 +42,53 @@ def cut(df: DataFrame, *cluster: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later reads survive lost executors, don't recompute, and
     keep column pruning, filter pushdown and statistics, which a checkpointed RDD would lose.
 
-    ``cluster`` sorts it globally, so that row groups can be skipped by those columns. ``forget`` deletes the table.
+    ``cluster`` sorts it globally, so that row groups can be skipped by those columns. ``forget`` deletes the table. As later reads take the
+    table, the shuffle files that made it are removed at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     laid = df.repartitionByRange(*cluster).sortWithinPartitions(*cluster) if cluster else df
-    laid.write.parquet(path)
+    with released(spark):
+        laid.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    if scopes := getattr(_SCOPES, "open", None):
+        scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """What is written in here leaves no shuffle files."""
+    before = spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(RELEASE, before)
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables that this thread cuts in here are deleted at the end, but for those that are ``kept``."""
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), []]
+    try:
+        yield
+    finally:
+        forget(*_SCOPES.open.pop())
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table that ``cut`` wrote, which is read after the ``passing`` scope that it was made in."""
+    for scope in getattr(_SCOPES, "open", []):
+        scope[:] = [other for other in scope if other is not df]
+    return df
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote and that nothing reads any more."""
     for df in tables:
+        kept(df)
         delete_path(df.sparkSession, df.cut_path)
 
 
@@ -72,10 +111,13 @@ def dense_ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return placed(df.select(*keys).distinct(), keys, name)
 
 
-def places_within(df: DataFrame, group: str, order: list[str], name: str, keep: list[str] | None = None) -> DataFrame:
-    """``df``, or its columns ``keep``, with each row's place within its group; a group of any size is spread over the ranges of the order."""
+def places_within(df: DataFrame, group: str, order: list[str], name: str, keep: list[str] | None = None, leads: bool = False) -> DataFrame:
+    """``df``, or its columns ``keep``, with each row's place within its group; a group of any size is spread over the ranges of the order.
+
+    ``leads`` says that the order has the groups one after the other by itself, so that the group isn't compared.
+    """
     cols = keep or df.columns
-    rows = placed(df, [group, *order], "_place", cols)
+    rows = placed(df, order if leads else [group, *order], "_place", cols)
     first = cut(rows.groupBy(group).agg(F.min("_place").alias("_first")))
     first = F.broadcast(first) if first.count() <= FEW_GROUPS else first
     return rows.join(first, group).select(*cols, (F.col("_place") - F.col("_first")).alias(name))

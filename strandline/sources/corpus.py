@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import PathIndex, both_orientations
-from ..plans.tables import cut, dense_ids, shared_dir
+from ..plans.tables import cut, dense_ids, kept, passing, shared_dir
 
 _BUILT: dict[tuple, object] = {}
 
@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _collected(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(path_id, path) from rows with ``label``: ids follow the key's order, paths the given order."""
     ids = dense_ids(rows, [key], "path_id")
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "label")))
+    ordered = F.sort_array(F.collect_list(F.struct(*order, "label")))
     paths = rows.groupBy(key).agg(F.transform(ordered, lambda x: x["label"] * 2).alias("path"))
     return paths.join(ids, key).select("path_id", "path")
 
@@ -64,7 +64,12 @@ def index(spark: SparkSession, sf_dir: str, corpus: str = "events") -> PathIndex
 
     def make() -> PathIndex:
         own = paths(spark, sf_dir, corpus)
-        return PathIndex(cut(PathIndex.from_paths(own).visits, "node", "off"), stored_paths=cut(both_orientations(own)))
+        stored = cut(both_orientations(own))
+        with passing():
+            # Linked rows are written before they are sorted, as a sort by range reads them twice.
+            built = cut(PathIndex.build(stored, True).visits)
+            visits = kept(cut(built, "node", "off"))
+        return PathIndex(visits, stored_paths=stored)
 
     return once(spark, ("index", sf_dir, corpus), make)
 

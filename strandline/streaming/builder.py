@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.mutate import merge, merge_all
 from ..plans.index import VISIT_COLUMNS, PathIndex
-from ..plans.tables import delete_path, dense_ids
+from ..plans.tables import delete_path, dense_ids, passing, released
 
 RUN = "first long, last long, level int"
 
@@ -44,18 +44,21 @@ class StreamingBuilder:
         return PathIndex(self.spark.read.schema(", ".join(f"{c} bigint" for c in VISIT_COLUMNS)).parquet(self._at(run)), self.both)
 
     def _write(self, run: tuple[int, int, int], index: PathIndex) -> tuple[int, int, int]:
-        index.visits.select(*[F.col(c).cast("long") for c in VISIT_COLUMNS]).write.mode("overwrite").parquet(self._at(run))
+        with released(index.spark):
+            index.visits.select(*[F.col(c).cast("long") for c in VISIT_COLUMNS]).write.mode("overwrite").parquet(self._at(run))
         return run
 
     def add(self, rows: DataFrame, batch: int) -> None:
         """Append one batch (key, path), ids in the order of its keys."""
         before = self._runs(batch)
-        own = rows.join(dense_ids(rows, ["key"], "path_id"), "key").select("path_id", "path")
-        runs = [*before, self._write((batch, batch, 0), PathIndex.from_paths(own, self.both))]
+        with passing():
+            own = rows.join(dense_ids(rows, ["key"], "path_id"), "key").select("path_id", "path")
+            runs = [*before, self._write((batch, batch, 0), PathIndex.from_paths(own, self.both))]
         made = {runs[-1]}
         while len(runs) > 1 and runs[-2][2] == runs[-1][2]:
             old, new = runs[-2:]
-            runs[-2:] = [self._write((old[0], new[1], new[2] + 1), merge(self._read(old), self._read(new)))]
+            with passing():
+                runs[-2:] = [self._write((old[0], new[1], new[2] + 1), merge(self._read(old), self._read(new)))]
             made.add(runs[-1])
         self.spark.createDataFrame(runs, RUN).coalesce(1).write.mode("overwrite").parquet(f"{self.manifests}/batch={batch}")
         # What was only made on the way, and what the manifest before the last one lists, is out of reach once this one is written.
