@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .index import PREFIX_LIMIT, PathIndex, both_orientations, doubled_ranks, link_visits, node_id, prefix_keys, symbols
-from .tables import cut, placed, places_within, sums_within
+from .tables import cut, kept, placed, places_within, sums_within
 
 GROUP_COLUMNS = ("word", "pos", "node", "begin", "copies")
 
@@ -63,7 +63,7 @@ class SharedIndex(PathIndex):
         sequences = self.members.select("path_id", "part", both.alias("_o")).select((F.col("path_id") * 2 + F.col("_o")).alias("seq_id"), (F.col("part") * 2 + F.col("_o")).alias("word"))
         rows = self.groups.join(sequences, "word")
         longest = self.groups.agg(F.max("pos")).first()[0] or 0
-        return cut(link_visits(places_within(rows, "node", ["begin", "seq_id"], "off", ["seq_id", "pos", "node"]), longest), "node", "off")
+        return kept(cut(link_visits(places_within(rows, "node", ["begin", "seq_id"], "off", ["seq_id", "pos", "node"]), longest), "node", "off"))
 
     @cached_property
     def extent(self) -> tuple[int, int, int]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import PathIndex, both_orientations
-from ..plans.tables import cut, dense_ids, kept, passing, shared_dir
+from ..plans.tables import cut, dense_ids, forget, kept, passing, shared_dir
 
 _BUILT: dict[tuple, object] = {}
 
@@ -55,7 +55,7 @@ def once(spark: SparkSession, key: tuple, make):
 
 
 def paths(spark: SparkSession, sf_dir: str, corpus: str = "events") -> DataFrame:
-    return once(spark, ("paths", sf_dir, corpus), lambda: cut(PATHS[corpus](spark, sf_dir)))
+    return once(spark, ("paths", sf_dir, corpus), lambda: kept(cut(PATHS[corpus](spark, sf_dir))))
 
 
 def index(spark: SparkSession, sf_dir: str, corpus: str = "events") -> PathIndex:
@@ -64,11 +64,11 @@ def index(spark: SparkSession, sf_dir: str, corpus: str = "events") -> PathIndex
 
     def make() -> PathIndex:
         own = paths(spark, sf_dir, corpus)
-        stored = cut(both_orientations(own))
+        stored = kept(cut(both_orientations(own)))
         with passing():
-            # Linked rows are written before they are sorted, as a sort by range reads them twice.
-            built = cut(PathIndex.build(stored, True).visits)
-            visits = kept(cut(built, "node", "off"))
+            built = kept(cut(PathIndex.build(stored, True).visits))
+        visits = kept(cut(built, "node", "off"))  # from a table, as a sort by range reads its rows twice
+        forget(built)
         return PathIndex(visits, stored_paths=stored)
 
     return once(spark, ("index", sf_dir, corpus), make)

@@ -36,8 +36,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import codecs
 from ..operators import stats
-from ..plans.index import VISIT_COLUMNS, PathIndex
-from ..plans.tables import cut, forget
+from ..plans.index import VISIT_COLUMNS, PathIndex, run_pieces, runs_of
+from ..plans.tables import cut, forget, kept, passing, released
 
 # Fixed values of the layout.
 TAG = 0x6B376B37
@@ -434,7 +434,8 @@ def write_pieces(pieces: DataFrame, path: str, size: int) -> None:
     with open(draft, "wb") as f:
         f.truncate(size)
     try:
-        pieces.repartitionByRange("at").sortWithinPartitions("at").mapInArrow(_in_place(draft), "n long").agg(F.sum("n")).collect()
+        with released(pieces.sparkSession):
+            pieces.repartitionByRange("at").sortWithinPartitions("at").mapInArrow(_in_place(draft), "n long").agg(F.sum("n")).collect()
         os.replace(draft, path)
     except BaseException:
         os.unlink(draft)
@@ -545,7 +546,8 @@ def _units(index: PathIndex, offset: int, effective: int) -> DataFrame:
     along, none = group.orderBy("dst"), F.lit(None).cast("long")
     edges = cut(index.edges.select("src", "dst", "rank_off", (F.row_number().over(along) - 1).cast("long").alias("k"), (F.col("dst") - F.coalesce(F.lag("dst").over(along), F.lit(0))).alias("step"), F.count(F.lit(1)).over(group).alias("sigma")))
     heads = edges.select(record(F.col("src")), F.lit(0).alias("part"), "k", "sigma", F.col("step").alias("x"), F.col("rank_off").alias("y"))
-    runs = index.runs.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("successor"), F.col("k").alias("edge"), "sigma"), ["node", "successor"])
+    runs = index.runs if "runs" in index.__dict__ else runs_of(run_pieces(index.visits))
+    runs = runs.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("successor"), F.col("k").alias("edge"), "sigma"), ["node", "successor"])
     bodies = runs.select(record(F.col("node")), F.lit(1).alias("part"), F.col("run_id").alias("k"), "sigma", F.col("edge").alias("x"), F.col("len").alias("y"))
     unused = index.spark.range(effective).withColumnRenamed("id", "record").join(heads.filter("k = 0").select("record"), "record", "left_anti")
     zero = F.lit(0).cast("long")
@@ -587,8 +589,10 @@ def save(index: PathIndex, path: str) -> None:
     spark, head = index.spark, index.header.first()
     offset, effective = head["offset"], head["effective"]
     order = ["record", "part", "k"]
-    units = cut(_units(index, offset, effective))
+    with passing():
+        units = kept(cut(_units(index, offset, effective)))
     coded = cut(units.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).mapInArrow(_coded, CODED))
+    forget(units)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = coded.groupBy("_part").agg(F.sum(F.length("bytes")).alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row a partition
     laid = coded.join(F.broadcast(sizes), "_part").select("record", (F.col("base") + F.col("inside")).alias("at"), "bytes")
@@ -619,4 +623,4 @@ def save(index: PathIndex, path: str) -> None:
     small = spark.createDataFrame([(0, front), (high_at + 8 * high_words, middle), (data_at - 8, _element(total))], PIECES)
     pieces = small.unionByName(laid.filter("bytes is not null").select((F.col("at") + data_at).alias("at"), "bytes")).unionByName(high.unionByName(low).select("at", _word("word").alias("bytes")))
     write_pieces(pieces, path, size)
-    forget(units, coded)
+    forget(coded)

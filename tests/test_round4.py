@@ -19,9 +19,9 @@ def corpus(spark, n, longest=30):
     return spark.createDataFrame([(i, [2 * rng.randrange(1, 400) for _ in range(rng.randrange(longest))]) for i in range(n)], "path_id long, path array<bigint>")
 
 
-def shuffled(spark):
+def shuffled_bytes(spark):
     where = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
-    return sum(name.startswith("shuffle_") for d in where for _, _, names in os.walk(d) for name in names)
+    return sum(os.path.getsize(f"{at}/{name}") for d in where for at, _, names in os.walk(d) for name in names if name.startswith("shuffle_"))
 
 
 def test_a_path_is_spelled_once(spark):
@@ -41,9 +41,9 @@ def test_paths_of_one_file_are_spread(spark, monkeypatch):
 
 
 def test_a_written_table_leaves_no_shuffle_files(spark):
-    before = shuffled(spark)
+    before = shuffled_bytes(spark)
     tables.cut(spark.range(1000).repartition(3).groupBy("id").count(), "id")
-    assert shuffled(spark) <= before
+    assert shuffled_bytes(spark) <= before
 
 
 def test_tables_on_the_way_are_deleted(spark, tmp_path):
@@ -61,3 +61,34 @@ def test_tables_on_the_way_are_deleted(spark, tmp_path):
         assert one.count() == 3
         raise RuntimeError
     assert [os.path.exists(t.cut_path.removeprefix("file:")) for t in (one, two, three)] == [False, True, False]
+
+
+@pytest.mark.parametrize("logical", [False, True])
+def test_runs_across_blocks(spark, monkeypatch, logical):
+    """A run that fills blocks, ends with one or goes over the border of several is one run."""
+    monkeypatch.setattr(I, "BLOCK", 4)
+    paths = [[2, 4]] * 9 + [[2, 6]] * 3 + [[2]] * 5 + [[6, 2, 4]] * 2 + [[2, 8, 2]] * 4 + [[], [8]]
+    index = I.PathIndex.from_paths(spark.createDataFrame(list(enumerate(paths)), "path_id long, path array<bigint>"))
+    want = []
+    for node, off, to in sorted(index.visits.select("node", "off", "next").collect()):
+        if off and not (logical and to == 0) and want[-1][4] == to:
+            want[-1][3] += 1
+        else:
+            want.append([node, want[-1][1] + 1 if off else 0, off, 1, to])
+    got = I.runs_of(I.run_pieces(index.visits, logical))
+    assert got.columns == ["node", "run_id", "start_off", "len", "successor"]
+    assert sorted(map(list, got.collect())) == want and any(r[3] > 8 for r in want)
+
+
+def test_saving_leaves_no_tables_or_shuffle_files(spark, tmp_path):
+    """Of a save only the file stays, and the edges that the index keeps."""
+    from strandline.sources import pathfile
+
+    where = lambda: {f for f in os.listdir(tables.shared_dir(spark).removeprefix("file:")) if f.startswith("table-")}
+    index = I.PathIndex(tables.cut(I.PathIndex.from_paths(corpus(spark, 1500)).visits))
+    before, files = where(), shuffled_bytes(spark)
+    pathfile.save(index, str(tmp_path / "file"))
+    assert len(where() - before) == 1 and "edges" in index.__dict__
+    assert shuffled_bytes(spark) - files < os.path.getsize(tmp_path / "file")  # counts by partition only
+    got = pathfile.read_table(spark, str(tmp_path / "file"))
+    assert rows(got) == rows(index.runs.select("node", "run_id", "start_off", "len", "successor"))
